@@ -173,7 +173,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     rest = first.where("not settled")
     groups = max(1, -(-rest.count() // again))
 
-    def repack(key, table: pa.Table) -> pa.Table:
+    def repack(key, table):
         rows = {k: table.column(k).fill_null(_NO_ID).to_numpy().astype(np.int64) if k == "doc_id" else table.column(k).to_numpy().astype(np.int64) for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
         return pa.Table.from_batches([_placed(rows, capacity, -((key[0].as_py() + 1) << 32), None)])
 
