@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
 import unicodedata
 import zlib
 
@@ -22,20 +21,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
-from .bpe import CACHE_ENTRIES, PLAIN_CHARS, read_vocabulary
+from .bpe import PLAIN_CHARS, read_vocabulary
+
+#: Entries of a worker's table, about 200 bytes each.
+RUN_ENTRIES = 500_000
 
 _LOWER_SAFE = frozenset(c for c in PLAIN_CHARS if unicodedata.is_normalized("NFC", c) and c != "Σ" and len(c.lower()) == 1 and c.lower() in PLAIN_CHARS)
 
 
 class WordTokenizer:
-    """Ids of whole texts as the tokenizers library gives them, with a bounded table of words met before.
+    """Ids of whole texts as the tokenizers library gives them, with a bounded table of what was met before.
 
-    Words that are not in the table are encoded by the library, many at once. A text with a character outside the
-    safe set, or with a special token's string, is encoded by the library as a whole.
+    For vocabularies whose pre-tokens hold no white space: a run of characters between white space gets the same ids wherever it
+    stands. Runs that are not in the table are encoded by the library, many at once. A text with a character
+    outside the safe set, or with a special token's string, is encoded by the library as a whole.
     """
 
-    PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
@@ -43,21 +44,19 @@ class WordTokenizer:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words.clear()
-        known = self.words
-        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        ids, owner = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        if len(owner) and int(owner[-1]) == len(words) - 1:
-            edges = np.searchsorted(owner, np.arange(len(words) + 1))
-            for k, w in enumerate(words):
-                known[w] = ids[edges[k] : edges[k + 1]].tobytes()
-        else:
-            for w in words:
-                known[w] = self.whole(w)
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, runs: list[str]) -> None:
+        known = self.known
+        for at in range(0, len(runs), 20_000):
+            part = runs[at : at + 20_000]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            starts = np.cumsum([0, *(len(r) + 1 for r in part)])
+            raw, edges = ids.tobytes(), (4 * np.searchsorted(places, starts)).tolist()
+            for k, r in enumerate(part):
+                known[r] = raw[edges[k] : edges[k + 1]]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -65,20 +64,17 @@ class WordTokenizer:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         out: list[bytes] = []
-        for text in texts:
-            if not _LOWER_SAFE.issuperset(text) or any(s in text for s in self.specials):
-                out.append(self.whole(text))
-                continue
-            words = self.PATTERN.findall(text.lower())
-            known = self.words
-            try:
-                out.append(b"".join(map(known.__getitem__, words)))
-            except KeyError:
-                self._learn(list(dict.fromkeys(w for w in words if w not in known)))
-                if all(w in known for w in words):
-                    out.append(b"".join(map(known.__getitem__, words)))
-                else:  # the table was emptied on the way
-                    out.append(self.whole(text))
+        for at in range(0, len(texts), 128):
+            some = texts[at : at + 128]
+            runs = [None if not _LOWER_SAFE.issuperset(t) or any(s in t for s in self.specials) else t.lower().split() for t in some]
+            new = set().union(*filter(None, runs)).difference(self.known)
+            if len(self.known) + len(new) > RUN_ENTRIES:
+                self.known.clear()
+                new = set().union(*filter(None, runs))
+            if new:
+                self._learn(list(new))
+            known = self.known
+            out.extend(self.whole(t) if r is None else b"".join(map(known.__getitem__, r)) for t, r in zip(some, runs, strict=True))
         return out
 
 
