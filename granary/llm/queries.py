@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hilbert, bpe, embedding_dedup, html_extract, packing, quality, token_counts, url_filter
+from . import ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,12 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=2048)
 
 
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), percent=90, n=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing)
+    f.__name__: f for f in (op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join)
 }
 
 _URL_PARTS = """
