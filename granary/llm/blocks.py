@@ -115,42 +115,49 @@ def parts_for(spark) -> int:
     return p if p > 64 else 4 * p
 
 
-def census(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, width: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
     """Codes of the blocks' hashes, as ``side`` rows.
 
-    ``hashes(block)`` gives the block's distinct 64-bit hashes, sorted, and how often it holds each (at most 255). The code of a
-    hash is its number in all blocks, at most 255. The high bits of a hash pick its part and the next 32 stand for it, so two
-    hashes of a part pass for one with a probability of rows / 2**32: a code may be too large, never too small.
+    ``hashes(block)`` gives the block's distinct 64-bit hashes, sorted, and ``width`` bytes (an integer) with each. The high bits of a hash pick its
+    part and the next 32 stand for it, so two hashes of a part pass for one with a probability of rows / 2**32. ``judge(notes,
+    starts, ends)`` gives a code for each group of equal hashes, from all the integers sent with it.
     """
+    kind = f"<u{width}"
 
     def send(batches):
         for block in rows(batches):
-            values, weights = hashes(block)
+            values, notes = hashes(block)
             if not len(values):
                 continue
             part, low = split(values, parts)
+            notes = notes.astype(kind)
             edges = np.searchsorted(part, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(edges))
-            blobs = [low[edges[p] : edges[p + 1]].tobytes() + weights[edges[p] : edges[p + 1]].tobytes() for p in used]
+            blobs = [low[edges[p] : edges[p + 1]].tobytes() + notes[edges[p] : edges[p + 1]].tobytes() for p in used]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), block["block_id"]), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["block_id", "part", "blob"])
 
     def count(key, table):
         blobs = table.column("blob").to_pylist()
-        sizes = [len(b) // 5 for b in blobs]
+        sizes = [len(b) // (4 + width) for b in blobs]
         values = np.frombuffer(b"".join([b[: 4 * n] for b, n in zip(blobs, sizes, strict=True)]), "<u4")
-        weights = np.frombuffer(b"".join([b[4 * n :] for b, n in zip(blobs, sizes, strict=True)]), np.uint8)
+        notes = np.frombuffer(b"".join([b[4 * n :] for b, n in zip(blobs, sizes, strict=True)]), kind)
         order = np.argsort(values, kind="stable")
         ranked = values[order]
-        fresh = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        total = np.add.reduceat(weights[order].astype(np.int64), fresh)
+        starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
+        ends = np.append(starts[1:], len(values))
         codes = np.empty(len(values), np.uint8)
-        codes[order] = np.repeat(np.minimum(total, 255), np.diff([*fresh, len(values)]))
-        ends = np.cumsum(sizes)
-        return pa.table({"block_id": table.column("block_id"), "part": table.column("part"), "blob": pa.array([codes[e - n : e].tobytes() for e, n in zip(ends, sizes, strict=True)], pa.binary())})
+        codes[order] = np.repeat(judge(notes[order], starts, ends).astype(np.uint8), ends - starts)
+        at = np.cumsum(sizes)
+        return pa.table({"block_id": table.column("block_id"), "part": table.column("part"), "blob": pa.array([codes[e - n : e].tobytes() for e, n in zip(at, sizes, strict=True)], pa.binary())})
 
     return frame.mapInArrow(send, SIDE).groupBy("part").applyInArrow(count, SIDE)
 
 
+def census(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
+    """How often all blocks hold each hash, at most 255: an :func:`exchange` of hashes with their number in the block. A code may be too large, never too small."""
+    return exchange(frame, hashes, parts, 1, lambda notes, starts, ends: np.minimum(np.add.reduceat(notes.astype(np.int64), starts), 255))
+
+
 def split(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Part and 32-bit stand-in of sorted 64-bit hashes; both grow with the hash."""
     high = sorted_hashes >> np.uint64(40)
@@ -158,9 +165,9 @@ def split(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray
     return part.astype(np.int64), ((sorted_hashes >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def codes_of(block: dict, count: int) -> np.ndarray:
-    """The census codes of a block, in the order of its sorted hashes."""
-    found = np.frombuffer(b"".join(s["blob"] for s in block["side"] or []), np.uint8)
+def codes_of(block: dict, count: int, name: str = "side") -> np.ndarray:
+    """The codes of a block, in the order of its sorted hashes."""
+    found = np.frombuffer(b"".join(s["blob"] for s in block[name] or []), np.uint8)
     if len(found) != count:
         raise ValueError(f"block {block['block_id']}: {len(found)} codes for {count} hashes")
     return found

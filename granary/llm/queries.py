@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, token_counts, url_filter
+from . import ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.93)
 
@@ -58,7 +62,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join)
 }
 
 _URL_PARTS = """
