@@ -22,18 +22,26 @@ from pyspark.sql import functions as F
 from . import scratch
 
 BLOCK_BYTES = 4 << 20
-_BLOCK = "block_id long, doc_ids array<long>, sizes array<long>, data binary"
+_BLOCK = "block_id long, doc_ids array<long>, sizes array<long>, data binary, extra array<string>"
 
 
 class Blocks:
     """The table of blocks of one corpus."""
 
-    def __init__(self, table: DataFrame, buckets: int, name: str, path: str):
-        self.table, self.buckets, self.name, self.path = table, buckets, name, path
+    def __init__(self, every: DataFrame, name: str, carry: str):
+        self.every, self.table, self.name = every, every.drop("extra"), name
+        #: Type of what the documents carry, as DDL.
+        self.carry = carry
 
-    def joined(self, *sides: DataFrame) -> DataFrame:
-        """Blocks with the columns of tables that hold at most one row per ``block_id``; only those tables are shuffled."""
-        out = self.table
+    def restored(self, rows: DataFrame, order: list[str]) -> DataFrame:
+        """``rows`` with the carried columns in place of ``extra``, in the order given."""
+        if self.carry:
+            rows = rows.withColumn("extra", F.from_json("extra", self.carry))
+        return rows.select(*[F.col(f"extra.`{c}`").alias(c) if c not in rows.columns else F.col(c) for c in order])
+
+    def joined(self, *sides: DataFrame, extra: bool = False) -> DataFrame:
+        """Blocks with the columns of tables that hold at most one row per ``block_id``; only those tables are shuffled. ``extra``: with what the documents carry."""
+        out = self.every if extra else self.table
         for side in sides:
             out = out.join(side.hint("shuffle_hash"), "block_id", "left")
         return out
@@ -47,8 +55,11 @@ def gathered(side: DataFrame, name: str = "side") -> DataFrame:
     return side.groupBy("block_id").agg(F.sort_array(F.collect_list(F.struct("part", "blob"))).alias(name))
 
 
-def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
-    """Blocks of the UTF-8 bytes of ``docs(doc_id, text)``; a null text is empty. Every row has its place, repeated ids too; rows with a null id are left out."""
+def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> Blocks:
+    """Blocks of the UTF-8 bytes of ``docs(doc_id, text)``; a null text is empty. Every row has its place, repeated ids too; rows with a null id are left out.
+
+    The columns in ``carry`` travel along as JSON, one string per document.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -57,6 +68,7 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
         pid, made = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[bytes] = []
+        extras: list[str] = []
         held = 0
 
         def flush():
@@ -64,30 +76,32 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> Blocks:
             order = np.argsort(np.array(ids, np.int64), kind="stable")
             data = b"".join([texts[i] for i in order])
             row = pa.RecordBatch.from_arrays(
-                [pa.array([(pid << 24) | made], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(texts[i]) for i in order]], pa.list_(pa.int64())), pa.array([data], pa.binary())],
-                ["block_id", "doc_ids", "sizes", "data"],
+                [pa.array([(pid << 24) | made], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(texts[i]) for i in order]], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([[extras[i] for i in order] if carry else None], pa.list_(pa.string()))],
+                ["block_id", "doc_ids", "sizes", "data", "extra"],
             )
             made, held = made + 1, 0
             ids.clear()
             texts.clear()
+            extras.clear()
             return row
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc, text, extra in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(doc)
                 texts.append(text or b"")
+                extras.append(extra)
                 held += len(texts[-1])
                 if held >= block_bytes or len(ids) >= 1 << 19:
                     yield flush()
         if ids:
             yield flush()
 
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), (F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")).alias("extra"))
     made = source.mapInArrow(run, _BLOCK)
     buckets = scratch.partitions(spark)
     name, path = f"granary_blocks_{uuid.uuid4().hex}", scratch.new_path(spark, "blocks")
     made.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
-    return Blocks(spark.table(name), buckets, name, path)
+    return Blocks(spark.table(name), name, docs.select(*carry).schema.toDDL() if carry else "")
 
 
 def documents(row_ids, row_sizes) -> tuple[np.ndarray, np.ndarray]:

@@ -137,17 +137,10 @@ def join_sets(sets: list[np.ndarray], percent: int, root: list[int] | None = Non
     return [find(i) for i in range(count)]
 
 
-def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
-    """Components of documents whose sets of n-word shingles have a Jaccard similarity of at least ``percent`` / 100.
-
-    Reads ``doc_id`` and ``text``. Words are maximal runs without white space (space, 0x09-0x0D) after lower-casing A-Z. Fewer than n words are one
-    shingle; a text without words, or null, has an empty set and links with nothing. Returns a row for each row with a ``doc_id``:
-    ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included). Rows with a null ``doc_id`` are left out.
-    Equal sets are compared once. A cluster of more than ``cluster`` sets is cut into parts that share a pivot; only where they don't
-    hang together after that is each part compared with each other.
-    """
+def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int, carry: list[str] | None = None) -> tuple[B.Blocks, DataFrame]:
+    """The blocks of the documents, and ``uid, doc_id, n_shingles, comp`` of each; ``uid`` is a document's place, ``comp`` the same for all of a component."""
     spark = docs.sparkSession
-    table = B.build(docs)
+    table = B.build(docs, carry=carry)
 
     def measure(batches):
         for block in B.rows(batches):
@@ -250,6 +243,42 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: i
     final = graph.components(found.unionByName(more))
 
     rows = every.join(classes, "digest", "left").join(final.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class", "left")
-    rows = rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "uid").alias("comp"))
+    return table, rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "uid").alias("comp"))
+
+
+def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
+    """Components of documents whose sets of n-word shingles have a Jaccard similarity of at least ``percent`` / 100.
+
+    Reads ``doc_id`` and ``text``. Words are maximal runs without white space (space, 0x09-0x0D) after lower-casing A-Z. Fewer than n words are one
+    shingle; a text without words, or null, has an empty set and links with nothing. Returns a row for each row with a ``doc_id``:
+    ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included). Rows with a null ``doc_id`` are left out.
+    Equal sets are compared once. A cluster of more than ``cluster`` sets is cut into parts that share a pivot; only where they don't
+    hang together after that is each part compared with each other.
+    """
+    _, rows = _classified(docs, percent, n, cluster, rare)
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
     return rows.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
+    """``docs`` with one document of each component of :func:`similar_documents`: the one with the least ``doc_id``, and one row of it if rows repeat.
+
+    All columns come back (those besides ``doc_id`` and ``text`` must be of types that JSON can hold). Texts are not shuffled.
+    """
+    carry = [c for c in docs.columns if c not in ("doc_id", "text")]
+    table, rows = _classified(docs, percent, n, cluster, rare, carry)
+    kept = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "uid")).alias("k")).select("k.uid", "k.doc_id")
+    kept = kept.groupBy("doc_id").agg(F.min("uid").alias("uid"))  # a repeated row without words is a component of its own
+    places = kept.select(F.floor(F.col("uid") / (1 << 20)).alias("block_id"), F.pmod("uid", F.lit(1 << 20)).cast("int").alias("at"))
+    places = places.groupBy("block_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
+
+    def take(batches):
+        for block in B.rows(batches):
+            at, starts, data = block["at"] or [], block["starts"], block["data"].tobytes()
+            extra = block["extra"] or [None] * len(block["ids"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(block["ids"][at], pa.int64()), pa.array([data[starts[i] : starts[i + 1]].decode("utf-8", "replace") for i in at], pa.string()), pa.array([extra[i] for i in at], pa.string())], ["doc_id", "text", "extra"]
+            )
+
+    out = table.joined(places, extra=True).mapInArrow(take, "doc_id long, text string, extra string")
+    return table.restored(out, docs.columns)

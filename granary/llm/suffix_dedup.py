@@ -266,18 +266,19 @@ def _spans(start: np.ndarray, size: np.ndarray) -> bytes:
     return np.stack([start, start + size], axis=1).astype("<i8").tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, run_items: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: list[str] | None = None, run_items: int = 1_000_000) -> DataFrame:
     """Remove every byte of ``docs(doc_id, text)`` that is covered by a string of ``length`` bytes (at least 8) which also starts earlier.
 
     Texts are taken as UTF-8 bytes; matches never cross documents; earlier means a smaller ``doc_id``, or the same document and an earlier
     start; strings are judged on the input. Rows that repeat a ``doc_id`` come one after the other in some fixed order. Rows with a null
     ``doc_id`` are left out; a null text is empty. Returns a row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if
-    ``keep_text``, ``kept`` (the bytes left, invalid UTF-8 at cuts replaced) and ``spans`` (start and end of each removed run).
+    ``keep_text``, ``kept`` (the text left, without characters that a cut went through) and ``spans`` (start and end of each removed run);
+    the columns in ``carry`` come last.
     """
     if length < 8:
         raise ValueError("length must be at least 8")
     spark = docs.sparkSession
-    table = B.build(docs)
+    table = B.build(docs, carry=carry)
     parts = B.parts_for(spark)
     gram_codes = scratch.materialize(B.exchange(table.table, lambda b: (lambda p: (p.kinds, p.notes()))(Prepared(b, length)), parts, 4, _judge_grams), "grams")
     grams = B.gathered(gram_codes, "grams")
@@ -395,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
                 raw = left.tobytes()
                 sha.append(hashlib.sha256(raw).hexdigest())
                 if keep_text:
-                    kept.append(raw.decode("utf-8", "replace"))
+                    kept.append(raw.decode("utf-8", "ignore"))
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).reshape(-1, 2)
                     lists.append(turn.tolist())
             cols = [pa.array(block["ids"], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(np.diff(total[starts]), pa.int64()), pa.array(np.diff(runs_[starts]), pa.int64()), pa.array(sha, pa.string())]
@@ -403,7 +404,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             if keep_text:
                 cols += [pa.array(kept, pa.string()), pa.array(lists, pa.list_(pa.list_(pa.int64())))]
                 names += ["kept", "spans"]
+            if carry:
+                cols, names = [*cols, pa.array(block["extra"], pa.string())], [*names, "extra"]
             yield pa.RecordBatch.from_arrays(cols, names)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<array<long>>" * keep_text
-    return table.joined(marks).mapInArrow(cut, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<array<long>>" * keep_text + ", extra string" * bool(carry)
+    out = table.joined(marks, extra=bool(carry)).mapInArrow(cut, schema)
+    return table.restored(out, [c for c in out.columns if c != "extra"] + carry) if carry else out
