@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import json
+import re
 import unicodedata
 import zlib
 
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from . import scratch
 from .bpe import PLAIN_CHARS, read_vocabulary
 
-#: Entries of a worker's table, about 200 bytes each.
-RUN_ENTRIES = 500_000
+#: Entries of a worker's tables, about 200 bytes each.
+RUN_ENTRIES, WORD_ENTRIES = 800_000, 400_000
 
 _LOWER_SAFE = frozenset(c for c in PLAIN_CHARS if unicodedata.is_normalized("NFC", c) and c != "Σ" and len(c.lower()) == 1 and c.lower() in PLAIN_CHARS)
 
@@ -32,11 +34,13 @@ _LOWER_SAFE = frozenset(c for c in PLAIN_CHARS if unicodedata.is_normalized("NFC
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them, with a bounded table of what was met before.
 
-    For vocabularies whose pre-tokens hold no white space: a run of characters between white space gets the same ids wherever it
+    For vocabularies whose pre-tokens are those of ``PATTERN`` after lower-casing, and whose pre-tokens hold no white space: a run of characters between white space gets the same ids wherever it
     stands. Runs that are not in the table are encoded by the library, many at once. A text with a character
     outside the safe set, or with a special token's string, is encoded by the library as a whole.
     """
 
+    PATTERN = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\s\w]|_)+")
+
     def __init__(self, source: str):
         from tokenizers import Tokenizer
 
@@ -45,18 +49,32 @@ class WordTokenizer:
         self.tokenizer.no_padding()
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        # The same model for words that stand between blanks, without normalizing or splitting again.
+        spec = json.loads(source)
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+        self.plain = Tokenizer.from_str(json.dumps(spec))
+        self.plain.no_truncation()
+        self.plain.no_padding()
 
     def _learn(self, runs: list[str]) -> None:
-        known = self.known
-        for at in range(0, len(runs), 20_000):
-            part = runs[at : at + 20_000]
-            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            places = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
-            starts = np.cumsum([0, *(len(r) + 1 for r in part)])
-            raw, edges = ids.tobytes(), (4 * np.searchsorted(places, starts)).tolist()
-            for k, r in enumerate(part):
-                known[r] = raw[edges[k] : edges[k + 1]]
+        """Put runs into the table: each is cut into words, and words not met before are encoded by the library's model, all at once."""
+        known, words = self.known, self.words
+        cut = [self.PATTERN.findall(r) for r in runs]
+        new = list(set().union(*cut).difference(words))
+        if len(words) + len(new) > WORD_ENTRIES:
+            words.clear()
+            new = list(set().union(*cut))
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            found = self.plain.encode(" ".join(part), add_special_tokens=False)
+            raw = np.array(found.ids, "<u4").tobytes()
+            edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
+            for k, w in enumerate(part):
+                words[w] = raw[edges[k] : edges[k + 1]]
+        for r, pieces in zip(runs, cut, strict=True):
+            known[r] = words[pieces[0]] if len(pieces) == 1 else b"".join([words[w] for w in pieces])
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
