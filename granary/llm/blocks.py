@@ -129,14 +129,15 @@ def parts_for(spark) -> int:
     return p if p > 64 else 4 * p
 
 
-def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, width: int, judge: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, judge: Callable[..., np.ndarray], note: str = "u4", key: str = "u4", code: str = "u1") -> DataFrame:
     """Codes of the blocks' hashes, as ``side`` rows.
 
-    ``hashes(block)`` gives the block's distinct 64-bit hashes, sorted, and ``width`` bytes (an integer) with each. The high bits of a hash pick its
-    part and the next 32 stand for it, so two hashes of a part pass for one with a probability of rows / 2**32. ``judge(notes,
-    starts, ends)`` gives a code for each group of equal hashes, from all the integers sent with it.
+    ``hashes(block)`` gives the block's distinct 64-bit hashes, sorted, and an integer of type ``note`` with each. The high bits of a hash
+    pick its part. With a 32-bit ``key`` the next 32 bits stand for it, so two hashes of a part pass for one with a probability of rows / 2**32; with a
+    64-bit key the hash itself does. ``judge(notes, owners, starts, ends)`` gets all integers in order of hash and sender, the senders,
+    and where each group of equal hashes begins and ends; it gives a code per group, or one per hash.
     """
-    kind = f"<u{width}"
+    width, wide = np.dtype(key).itemsize, np.dtype(note).itemsize
 
     def send(batches):
         for block in rows(batches):
@@ -144,23 +145,26 @@ def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.nda
             if not len(values):
                 continue
             part, low = split(values, parts)
-            notes = notes.astype(kind)
+            low, notes = (low if width == 4 else values.astype("<u8")), notes.astype("<" + note)
             edges = np.searchsorted(part, np.arange(parts + 1))
             used = np.flatnonzero(np.diff(edges))
             blobs = [low[edges[p] : edges[p + 1]].tobytes() + notes[edges[p] : edges[p + 1]].tobytes() for p in used]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), block["block_id"]), pa.int64()), pa.array(used, pa.int32()), pa.array(blobs, pa.binary())], ["block_id", "part", "blob"])
 
-    def count(key, table):
+    def count(_, table):
+        table = table.take(pa.array(np.argsort(table.column("block_id").to_numpy(), kind="stable")))
         blobs = table.column("blob").to_pylist()
-        sizes = [len(b) // (4 + width) for b in blobs]
-        values = np.frombuffer(b"".join([b[: 4 * n] for b, n in zip(blobs, sizes, strict=True)]), "<u4")
-        notes = np.frombuffer(b"".join([b[4 * n :] for b, n in zip(blobs, sizes, strict=True)]), kind)
+        sizes = np.array([len(b) // (width + wide) for b in blobs])
+        values = np.frombuffer(b"".join([b[: width * n] for b, n in zip(blobs, sizes, strict=True)]), "<" + key)
+        notes = np.frombuffer(b"".join([b[width * n :] for b, n in zip(blobs, sizes, strict=True)]), "<" + note)
         order = np.argsort(values, kind="stable")
         ranked = values[order]
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         ends = np.append(starts[1:], len(values))
-        codes = np.empty(len(values), np.uint8)
-        codes[order] = np.repeat(judge(notes[order], starts, ends).astype(np.uint8), ends - starts)
+        owners = np.repeat(np.arange(len(sizes)), sizes)[order]
+        found = judge(notes[order], owners, starts, ends)
+        codes = np.empty(len(values), "<" + code)
+        codes[order] = found if len(found) == len(values) and len(starts) < len(values) else np.repeat(found, ends - starts)
         at = np.cumsum(sizes)
         return pa.table({"block_id": table.column("block_id"), "part": table.column("part"), "blob": pa.array([codes[e - n : e].tobytes() for e, n in zip(at, sizes, strict=True)], pa.binary())})
 
@@ -169,7 +173,7 @@ def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.nda
 
 def census(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int) -> DataFrame:
     """How often all blocks hold each hash, at most 255: an :func:`exchange` of hashes with their number in the block. A code may be too large, never too small."""
-    return exchange(frame, hashes, parts, 1, lambda notes, starts, ends: np.minimum(np.add.reduceat(notes.astype(np.int64), starts), 255))
+    return exchange(frame, hashes, parts, lambda notes, owners, starts, ends: np.minimum(np.add.reduceat(notes.astype(np.int64), starts), 255), note="u1")
 
 
 def split(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -179,9 +183,9 @@ def split(sorted_hashes: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray
     return part.astype(np.int64), ((sorted_hashes >> np.uint64(8)) & np.uint64(0xFFFFFFFF)).astype("<u4")
 
 
-def codes_of(block: dict, count: int, name: str = "side") -> np.ndarray:
+def codes_of(block: dict, count: int, name: str = "side", code: str = "u1") -> np.ndarray:
     """The codes of a block, in the order of its sorted hashes."""
-    found = np.frombuffer(b"".join(s["blob"] for s in block[name] or []), np.uint8)
+    found = np.frombuffer(b"".join(s["blob"] for s in block[name] or []), "<" + code)
     if len(found) != count:
         raise ValueError(f"block {block['block_id']}: {len(found)} codes for {count} hashes")
     return found

@@ -1,19 +1,20 @@
 """Removal of repeated substrings by a distributed merge sort of suffixes.
 
 A string of ``length`` bytes that occurs twice holds, in both places, the same *anchor*: the place of the least hash of its k-byte
-grams. So suffixes are sorted at anchors alone, about one place in 35. An anchor stands for a short range of window starts, and its context is
-all bytes of those windows.
-
-1. Which anchors are repeated is found out before anything is sorted, from packed hashes (the distinguishing-prefix step of a communication-efficient
-   string sort): a unique gram costs a few bytes and drops out. Contexts that occur alike everywhere stay whole; where the contexts of a gram differ, at the edges of
-   a repeated passage, its windows are looked at one by one, and again the unique ones drop out by their hashes.
-2. Every task sorts what is left of its own suffixes, each cut to its context or window, into a run, and keeps the earliest of equal ones.
+grams. So suffixes are sorted at anchors, about one place in 35. An anchor stands for a short range of window starts, and its context is all
+bytes of those windows.
+
+1. What can't be repeated is found out before anything is sorted, from packed hashes (the distinguishing-prefix step of a
+   communication-efficient string sort): a unique gram costs a few bytes and drops out. If all contexts of a gram are alike, whole contexts are
+   sorted. If they differ, as at the edges of a repeated passage, the first of each kind of context is looked at window by window;
+   windows that hang together in all places that hold them form one piece, and unique ones drop out.
+2. Every task sorts what is left of its own suffixes, each cut to its context or piece, into a run, and keeps the earliest of equal ones.
 3. Runs are cut at splitters and exchanged front-coded: a suffix carries the length of the prefix it shares with the one before, and the rest.
 4. Each range is merged with a loser tree that holds for every run the length of the prefix it shares with the last suffix put out. A
    comparison starts there and known prefixes are never compared again; equal suffixes show by their shared length alone.
 5. All but the earliest of equal suffixes mark their bytes; a last pass over the blocks takes them out.
 
-Hashes only decide what is not sorted; whether two strings are equal is decided by their bytes.
+Hashes decide what is sorted; whether two strings are equal is decided by their bytes.
 """
 
 from __future__ import annotations
@@ -30,137 +31,167 @@ from . import blocks as B
 from . import scratch
 
 GRAM = 32
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
-class Grams:
-    """Hashes of all places of a stretch of bytes."""
+class Anchors:
+    """Anchors of a block's documents, with hashes of any of its strings.
 
-    def __init__(self, data: np.ndarray):
-        n = len(data)
-        padded = np.zeros(n + 8, np.uint8)
-        padded[:n] = data
-        words = np.ndarray((n,), "<u8", padded.tobytes(), strides=(1,)).astype(np.uint64)
-        self.values = B.mix(words + _K[0])
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values, out=self.sums[1:])
-        self.moments = np.zeros(n + 1, np.uint64)
-        np.cumsum(self.values * np.arange(n, dtype=np.uint64), out=self.moments[1:])
+    ``place`` of each anchor, and the ``first`` and ``last`` start of the windows of ``length`` bytes whose least gram it is. Windows lie within
+    documents; anchors come in order.
+    """
 
-    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from start to end (at least 8 bytes), vectorised: sums of word hashes, plain and weighted by place."""
+    def __init__(self, data: np.ndarray, starts: np.ndarray, length: int, gram: int = GRAM):
+        gram, n = min(gram, length), len(data)
+        self.length, self.gram_bytes = length, gram
+        width = length - gram + 1
+        raw = data.tobytes() + bytes(8)
+        self.sums, self.moments = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        edge = np.zeros(n + 1, np.int8)  # no document is entered twice, so sums stay 0 or 1
+        long_ = np.diff(starts) >= length
+        np.add.at(edge, starts[:-1][long_], 1)
+        np.add.at(edge, (starts[1:] - length + 1)[long_], -1)
+        valid = np.cumsum(edge[:n], dtype=np.int8) > 0
+        entry = np.zeros(n + 1, bool)
+        entry[starts[:-1]] = True
+        total, moment = np.uint64(0), np.uint64(0)
+        shifts = sorted({*range(0, gram - 7, 8), gram - 8}) if gram >= 8 else [0]
+        place, first, last = [], [], []
+        for offset in range(0, n, _CHUNK):
+            count = min(_CHUNK, n - offset)
+            reach = min(n, offset + count + length) - offset
+            word = np.ndarray((reach,), "<u8", raw, offset, strides=(1,)).astype(np.uint64)
+            value = B.mix(word + _K[0])
+            own = value[:count]
+            np.cumsum(own, out=self.sums[offset + 1 : offset + count + 1])
+            self.sums[offset + 1 : offset + count + 1] += total
+            np.cumsum(own * np.arange(offset, offset + count, dtype=np.uint64), out=self.moments[offset + 1 : offset + count + 1])
+            self.moments[offset + 1 : offset + count + 1] += moment
+            total, moment = self.sums[offset + count], self.moments[offset + count]
+            windows = min(count, n - length + 1 - offset)
+            if windows <= 0:
+                continue
+            ok = valid[offset : offset + windows]
+            if not ok.any():
+                continue
+            m = windows + width - 1
+            key = value[shifts[0] : shifts[0] + m] * _K[1]
+            for i, s in enumerate(shifts[1:]):
+                key += value[s : s + m] * _K[(i + 2) % 5]
+            key ^= key >> np.uint64(29)
+            key *= _K[3]
+            key &= np.uint64(0xFFFFFFFF00000000)
+            key |= np.arange(m, dtype=np.uint64)
+            step = 1
+            while 2 * step <= width:
+                key = np.minimum(key[:-step], key[step:])
+                step *= 2
+            if step < width:
+                key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
+            at = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            fresh = np.empty(windows, bool)
+            fresh[0] = True
+            np.not_equal(at[1:], at[:-1], out=fresh[1:])
+            fresh[1:] |= ok[1:] != ok[:-1]
+            fresh |= entry[offset : offset + windows]
+            begins = np.flatnonzero(fresh)
+            finish = np.append(begins[1:], windows) - 1
+            kept = ok[begins]
+            place.append(at[begins[kept]] + offset)
+            first.append(begins[kept] + offset)
+            last.append(finish[kept] + offset)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        place, first, last = join(place), join(first), join(last)
+        # A range that a chunk border cuts is one again.
+        new = np.ones(len(place), bool)
+        if len(place):
+            new[1:] = (place[1:] != place[:-1]) | (first[1:] != last[:-1] + 1) | entry[first[1:]]
+        self.place, self.first = place[new], first[new]
+        self.last = last[np.append(np.flatnonzero(new)[1:], len(new)) - 1] if len(new) else last
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the strings from start to end (8 bytes at least): sums of word hashes, plain and weighted by place."""
         last = end - 7
         plain = self.sums[last] - self.sums[start]
         weighted = self.moments[last] - self.moments[start] - plain * start.astype(np.uint64)
         return B.mix(plain * _K[1] ^ B.mix(weighted * _K[2] + (end - start).astype(np.uint64)))
 
 
-def anchors(data: np.ndarray, starts: np.ndarray, length: int, gram: int = GRAM):
-    """Anchors of a block in order, chunk by chunk: ``(offset, grams, anchor, first window, last window)``.
-
-    Windows are those of ``length`` bytes within a document; positions are relative to the chunk's offset. A range that a chunk border cuts
-    becomes two with contexts of their own.
-    """
-    gram = min(gram, length)
-    width, n = length - gram + 1, len(data)
-    edge = np.zeros(n + 1, np.int32)  # windows that would cross into the next document
-    sizes = np.diff(starts)
-    long_ = sizes >= length
-    np.add.at(edge, starts[:-1][long_], 1)
-    np.add.at(edge, (starts[1:] - length + 1)[long_], -1)
-    valid = np.cumsum(edge[:n]) > 0
-    owner_changes = starts[:-1]
-    for offset in range(0, max(0, n - length + 1), _CHUNK):
-        count = min(_CHUNK, n - length + 1 - offset)
-        ok = valid[offset : offset + count]
-        if not ok.any():
-            continue
-        part = data[offset : offset + count + length - 1]
-        grams = Grams(part)
-        at = np.arange(len(part) - gram + 1)
-        key = (grams.of(at, at + gram) & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
-        step = 1
-        while 2 * step <= width:
-            key = np.minimum(key[:-step], key[step:])
-            step *= 2
-        if step < width:
-            key = np.minimum(key[: len(key) - (width - step)], key[width - step :])
-        place = (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        fresh = np.concatenate([[True], (place[1:] != place[:-1]) | (ok[1:] != ok[:-1])])
-        inside = owner_changes[(owner_changes > offset) & (owner_changes < offset + count)] - offset
-        fresh[inside] = True
-        first = np.flatnonzero(fresh)
-        last = np.append(first[1:], count) - 1
-        kept = ok[first]
-        first, last = first[kept], last[kept]
-        yield offset, grams, place[first], first, last
-
-
 class Prepared:
-    """Anchors of a block with the hashes of their grams and contexts; positions in the block."""
+    """A block's anchors grouped by gram and by context."""
 
     def __init__(self, block: dict, length: int):
-        self.length = length
-        found = []
-        self.windows = []
-        for offset, grams, place, first, last in anchors(block["data"], block["starts"], length):
-            gram = grams.of(place, place + min(GRAM, length))
-            context = grams.of(first, last + length)
-            found.append((gram, context, first + offset, last + offset))
-            self.windows.append((offset, offset + len(grams.values) - length + 1, grams))
-        if found:
-            self.gram, self.context, self.first, self.last = (np.concatenate(c) for c in zip(*found, strict=True))
-        else:
-            self.gram, self.context = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.kinds, self.inverse, self.times = np.unique(self.gram, return_inverse=True, return_counts=True)
+        self.block, self.length = block, length
+        self.anchors = a = Anchors(block["data"], block["starts"], length)
+        self.first, self.last = a.first, a.last
+        gram = a.hashes(a.place, a.place + a.gram_bytes)
+        self.context = a.hashes(a.first, a.last + length)
+        self.kinds, self.inverse, self.times = np.unique(gram, return_inverse=True, return_counts=True)
 
     def notes(self) -> np.ndarray:
         """For each gram the low bits of its context's hash, or 0 if its contexts differ in this block."""
         low = np.maximum(self.context & np.uint64(0xFFFFFFFF), np.uint64(1))
-        least, most = np.full(len(self.kinds), 1 << 63, np.uint64), np.zeros(len(self.kinds), np.uint64)
-        np.minimum.at(least, self.inverse, low)
-        np.maximum.at(most, self.inverse, low)
+        order = np.argsort(self.inverse, kind="stable")
+        at = np.concatenate([[0], np.cumsum(self.times)[:-1]]) if len(self.times) else np.zeros(0, np.int64)
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        least, most = np.minimum.reduceat(low[order], at), np.maximum.reduceat(low[order], at)
         return np.where(least == most, least, np.uint64(0))
 
-    def distinct(self, data: bytes, codes: np.ndarray) -> tuple[list[tuple[bytes, int]], list[int], list[int]]:
-        """Contexts that may be repeated, each once with its first anchor; anchors that repeat one; anchors whose windows must be looked at."""
-        code = codes[self.inverse]
+    def distinct(self) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Contexts whose gram other places have: their bytes, the anchor that holds each first in this block and the gram's code; and the anchors that repeat one."""
+        data = self.block["data"].tobytes()
+        code = B.codes_of(self.block, len(self.kinds), "grams")[self.inverse]
         seen: dict[bytes, int] = {}
-        repeats, mixed = [], []
+        repeats = []
         for i in np.flatnonzero((code > 0) | (self.times[self.inverse] > 1)).tolist():
-            text = data[self.first[i] : self.last[i] + self.length]
-            if text in seen:
+            if seen.setdefault(data[self.first[i] : self.last[i] + self.length], i) != i:
                 repeats.append(i)
-            else:
-                seen[text] = i
-                if code[i] == 2:
-                    mixed.append(i)
-        # A context of one window is that window where windows are looked at.
-        return [(t, i) for t, i in seen.items() if code[i] == 1 or code[i] == 2 and len(t) > self.length], repeats, mixed
-
-    def window_starts(self, which: list[int]) -> np.ndarray:
-        if not which:
-            return np.zeros(0, np.int64)
-        first, count = self.first[which], (self.last - self.first + 1)[which]
+        who = np.fromiter(seen.values(), np.int64, len(seen))
+        return list(seen), who, code[who], np.array(repeats, np.int64)
+
+    def elected(self, who: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """For contexts of grams with differing contexts what all blocks together know (see :func:`_judge_contexts`), 0 for others."""
+        mixed = np.flatnonzero(code == 2)
+        values = np.unique(self.context[who[mixed]])
+        out = np.zeros(len(who), np.uint8)
+        out[mixed] = B.codes_of(self.block, len(values), "contexts")[np.searchsorted(values, self.context[who[mixed]])]
+        return out
+
+    def expand(self, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All windows of some anchors: their starts, and the anchor of each."""
+        count = self.last[who] - self.first[who] + 1
         ends = np.cumsum(count)
-        return np.arange(ends[-1]) + np.repeat(first - (ends - count), count)
+        total = int(ends[-1]) if len(ends) else 0
+        return np.arange(total) + np.repeat(self.first[who] - (ends - count), count), np.repeat(who, count)
 
-    def window_hashes(self, starts: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), np.uint64)
-        for low, high, grams in self.windows:
-            mine = np.flatnonzero((starts >= low) & (starts < high))
-            out[mine] = grams.of(starts[mine] - low, starts[mine] - low + self.length)
-        return out
+    def document(self, places: np.ndarray) -> np.ndarray:
+        return self.block["ids"][np.searchsorted(self.block["starts"], places, side="right") - 1]
 
 
-def _judge_grams(notes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _judge_grams(notes, owners, starts, ends):
     """0: one block has the gram, with one context; 1: several have it, all with the same context; 2: contexts differ."""
     least, most = np.minimum.reduceat(notes, starts), np.maximum.reduceat(notes, starts)
     return np.where((least != most) | (least == 0), 2, np.where(ends - starts > 1, 1, 0))
 
 
+def _judge_contexts(notes, owners, starts, ends):
+    """1: no other block has the context; 2: others have it and this one is the first, by document and then by block; 3: it isn't."""
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    order = np.lexsort((owners, notes, group))  # groups stay in place
+    out = np.full(len(notes), 3)
+    out[order[starts]] = 2
+    out[starts[ends - starts == 1]] = 1
+    return out
+
+
+def _judge_windows(notes, owners, starts, ends):
+    """0 for a window that stands alone, else a sum over all anchors that hold it: equal for windows that the same anchors hold."""
+    total = np.add.reduceat(notes & ~np.uint64(1), starts)
+    return np.where((ends - starts > 1) | (np.bitwise_or.reduceat(notes, starts) & np.uint64(1) > 0), total | np.uint64(1), np.uint64(0))
+
+
 def shared(a: bytes, b: bytes, known: int) -> int:
     """Length of the common prefix of two strings that share ``known`` bytes."""
     m = min(len(a), len(b))
@@ -280,16 +311,37 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     spark = docs.sparkSession
     table = B.build(docs, carry=carry)
     parts = B.parts_for(spark)
-    gram_codes = scratch.materialize(B.exchange(table.table, lambda b: (lambda p: (p.kinds, p.notes()))(Prepared(b, length)), parts, 4, _judge_grams), "grams")
-    grams = B.gathered(gram_codes, "grams")
 
-    def windows(block):
+    def send_grams(block):
         ready = Prepared(block, length)
-        _, _, mixed = ready.distinct(block["data"].tobytes(), B.codes_of(block, len(ready.kinds), "grams"))
-        found, times = np.unique(ready.window_hashes(ready.window_starts(mixed)), return_counts=True)
-        return found, np.minimum(times, 255)
+        return ready.kinds, ready.notes()
 
-    window_codes = scratch.materialize(B.census(table.joined(grams), windows, parts), "windows")
+    def send_contexts(block):
+        ready = Prepared(block, length)
+        _, who, code, _ = ready.distinct()
+        who = who[code == 2]
+        values, at = np.unique(ready.context[who], return_index=True)
+        return values, ready.document(ready.first[who[at]]).view(np.uint64) ^ np.uint64(1 << 63)  # in order of signed ids
+
+    def own_windows(ready: Prepared, who: np.ndarray, state: np.ndarray):
+        """Windows to look at: of contexts that come first. With their anchors, distinct hashes and places among those."""
+        starts, owner = ready.expand(who[(state == 1) | (state == 2)])
+        hashes = ready.anchors.hashes(starts, starts + length)
+        return starts, owner, *np.unique(hashes, return_inverse=True)
+
+    def send_windows(block):
+        ready = Prepared(block, length)
+        _, who, code, _ = ready.distinct()
+        starts, owner, values, inverse = own_windows(ready, who, ready.elected(who, code))
+        own = B.mix(np.array([block["block_id"]], np.uint64) + _K[3])  # never a name of 0, which would not show in a sum
+        names = B.mix(own + owner.astype(np.uint64) * _K[2] + _K[4]) & ~np.uint64(1)
+        sums, times = np.zeros(len(values), np.uint64), np.bincount(inverse, minlength=len(values))
+        np.add.at(sums, inverse, names)
+        return values, sums | (times > 1).astype(np.uint64)
+
+    grams = B.gathered(scratch.materialize(B.exchange(table.table, send_grams, parts, _judge_grams), "grams"), "grams")
+    contexts = B.gathered(scratch.materialize(B.exchange(table.joined(grams), send_contexts, parts, _judge_contexts, "u8", "u8"), "contexts"), "contexts")
+    windows = B.gathered(scratch.materialize(B.exchange(table.joined(grams, contexts), send_windows, parts, _judge_windows, "u8", "u4", "u8"), "windows"), "windows")
     # Splitters: a fixed number of short strings from all over the corpus, taken by hash.
     piece = F.expr("substring(text, cast(pmod(xxhash64(doc_id, 3), length(text)) as int) + 1, 24)")
     probes = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), piece.alias("s")).orderBy("h", "s").limit(32 * parts).collect()
@@ -307,7 +359,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             ranked = np.array(sorted(by_place.tolist(), key=strings.__getitem__), np.int64)
             texts = [strings[i] for i in ranked.tolist()]
             fresh = np.array([True, *(a != b for a, b in zip(texts, texts[1:], strict=False))], bool)[: len(texts)]
-            again = ranked[~fresh]  # the earliest of equal strings stands first
+            twice = np.zeros(len(ranked), bool)  # a context and a piece of the same place
+            twice[1:] = ~fresh[1:] & (places[ranked[1:]] == places[ranked[:-1]]) & (origins[ranked[1:]] == origins[ranked[:-1]])
+            again = ranked[~fresh & ~twice]  # the earliest of equal strings stands first
             sizes = np.array([len(s) for s in strings], np.int64)
             rows = []
             for o in np.unique(origins[again]).tolist():
@@ -324,19 +378,25 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             if not len(ready.kinds):
                 continue
             data = block["data"].tobytes()
-            contexts, repeats, mixed = ready.distinct(data, B.codes_of(block, len(ready.kinds), "grams"))
-            if repeats:
+            texts, who, code, repeats = ready.distinct()
+            if len(repeats):
                 yield _batch([(int(block["block_id"] % parts), 1, block["block_id"], None, None, _spans(ready.first[repeats], ready.last[repeats] - ready.first[repeats] + length), None, None, None, None)])
-            starts = ready.window_starts(mixed)
-            hashes = ready.window_hashes(starts)
-            found = np.unique(hashes)
-            repeated = B.codes_of(block, len(found), "windows")[np.searchsorted(found, hashes)] > 1 if len(found) else np.zeros(0, bool)
-            starts = starts[repeated]
-            places = np.concatenate([ready.first[[i for _, i in contexts]], starts]).astype(np.int64)
+            state = ready.elected(who, code)
+            whole = np.flatnonzero((code == 1) | (state > 1))
+            starts, owner, values, inverse = own_windows(ready, who, state)
+            sums = B.codes_of(block, len(values), "windows", "u8")[inverse]
+            # Pieces: consecutive windows of an anchor that the same anchors hold.
+            cut = np.ones(len(starts), bool)
+            cut[1:] = (owner[1:] != owner[:-1]) | (sums[1:] != sums[:-1])
+            begins = np.flatnonzero(cut)
+            ends = np.append(begins[1:], len(starts)) - 1
+            some = sums[begins] > 0 if len(begins) else np.zeros(0, bool)
+            low, high = starts[begins[some]], starts[ends[some]] + length
+            places = np.concatenate([ready.first[who[whole]], low]).astype(np.int64)
             if len(places):
-                strings.extend(t for t, _ in contexts)
-                strings.extend(data[s : s + length] for s in starts.tolist())
-                order_docs.append(block["ids"][np.searchsorted(block["starts"], places, side="right") - 1])
+                strings.extend([texts[i] for i in whole.tolist()])
+                strings.extend([data[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+                order_docs.append(ready.document(places))
                 order_places.append(places)
                 order_origins.append(np.full(len(places), len(origin_ids)))
                 origin_ids.append(block["block_id"])
@@ -345,7 +405,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
         if strings:
             yield flush()
 
-    runs = table.joined(grams, B.gathered(window_codes, "windows")).mapInArrow(sort_runs, _RUN)
+    runs = table.joined(grams, contexts, windows).mapInArrow(sort_runs, _RUN)
 
     def merge_runs(key, table):
         sources, orders = [], []
