@@ -34,7 +34,7 @@ _LOWER_SAFE = frozenset(c for c in PLAIN_CHARS if unicodedata.is_normalized("NFC
 class WordTokenizer:
     """Ids of whole texts as the tokenizers library gives them, with a bounded table of what was met before.
 
-    For vocabularies whose pre-tokens are those of ``PATTERN`` after lower-casing, and whose pre-tokens hold no white space: a run of characters between white space gets the same ids wherever it
+    For vocabularies whose pre-tokens are those of ``PATTERN`` after lower-casing. Such a pre-token holds no white space, so a run of characters between white space gets the same ids wherever it
     stands. Runs that are not in the table are encoded by the library, many at once. A text with a character
     outside the safe set, or with a special token's string, is encoded by the library as a whole.
     """
@@ -66,8 +66,8 @@ class WordTokenizer:
         if len(words) + len(new) > WORD_ENTRIES:
             words.clear()
             new = list(set().union(*cut))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        for at in range(0, len(new), 2_000):  # short enough for the library's buffers to stay in the cache
+            part = new[at : at + 2_000]
             found = self.plain.encode(" ".join(part), add_special_tokens=False)
             raw = np.array(found.ids, "<u4").tobytes()
             edges = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(part) + 1))).tolist()
