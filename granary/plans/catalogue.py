@@ -1,14 +1,701 @@
-"""The registered queries of the core operators and their SQL counterparts."""
+"""The registered queries of the core operators and their SQL counterparts.
+
+Every query runs over its whole tables. Where a limit stands it is the feature: a top-k, a trimmed history.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from granary.functions import text as T
+from granary.functions import vector as V
+from granary.operators import ann, cache, chunking, curate, guard, metrics, packing, retrieval, stats, tokenizer
+from granary.plans import relational
+from granary.sources.readers import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+for _name, (_run, _sql) in relational.QUERIES.items():
+    QUERIES[_name], ORACLES[_name] = _run, _sql
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+def items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries: their first six words."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+
+
+def vecs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("v"), "label")
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """The stated query vectors: ids divisible by 20."""
+    return vecs(spark, d).where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"), F.col("label").alias("q_label"))
+
+
+_LICENSE = "CASE WHEN n % 4 = 0 THEN 'cc-by-4.0' WHEN n % 4 = 1 THEN 'mit' WHEN n % 4 = 2 THEN 'proprietary' ELSE 'apache-2.0' END"
+_DOCS = f"d AS (SELECT *, {_LICENSE} AS license FROM (SELECT *, TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) AS n FROM documents))"
+
+
+@query(f"WITH {_DOCS} SELECT doc_id, license FROM d WHERE license IN ('mit', 'cc-by-4.0')")
+def license_filter(spark, d):
+    return curate.filter_license(curate.with_license(docs(spark, d)), ["mit", "cc-by-4.0"]).select("doc_id", "license")
+
+
+_STOP = ", ".join("'" + w + "'" for w in T.LANGUAGE_STOPWORDS)
+_LANG = f"""(len(regexp_extract_all(text, '[A-Za-z]')) > 0.85 * len(regexp_extract_all(text, '\\p{{L}}'))
+ AND len(list_filter(regexp_extract_all(lower(text), '[A-Za-z'']+'), lambda w: list_contains([{_STOP}], w))) > 0.03 * len(regexp_extract_all(lower(text), '[A-Za-z'']+')))"""
+_SOLID = "length(regexp_replace(text, '[\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]', '', 'g'))"
+_WORDS = "len(regexp_extract_all(text, '[^\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]+'))"
+_GOOD = f"({_WORDS} BETWEEN 20 AND 200000 AND {_SOLID} / {_WORDS} BETWEEN 2.0 AND 12.0 AND len(regexp_extract_all(text, '\\p{{L}}')) / {_SOLID} >= 0.6)"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_LANG}")
+def language_filter(spark, d):
+    return curate.filter_language(docs(spark, d)).select("doc_id")
+
+
+@query(f"SELECT doc_id FROM documents WHERE {_GOOD}")
+def quality_filter(spark, d):
+    return curate.filter_quality(docs(spark, d)).select("doc_id")
+
+
+@query(f"SELECT lang, count(*) AS n, sum(CASE WHEN {_GOOD} THEN 1 ELSE 0 END) AS good, round(avg(CASE WHEN {_GOOD} THEN 1.0 ELSE 0.0 END), 6) AS share FROM documents GROUP BY lang")
+def quality_stats(spark, d):
+    ok = T.quality_ok(F.col("text")).cast("int")
+    return docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.sum(ok).alias("good"), F.round(F.avg(ok), 6).alias("share"))
+
+
+@query(
+    "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_-]+\\.[A-Za-z]{2,}')) AS emails, len(regexp_extract_all(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b')) AS ssns, len(regexp_extract_all(text, '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b')) AS ips FROM documents"
+)
+def pii_scrub_counts(spark, d):
+    counts = [F.size(F.regexp_extract_all("text", F.lit(p), F.lit(0))).alias(n) for n, (_, p) in zip(("emails", "ssns", "ips"), T.SCRUB_PATTERNS, strict=False)]
+    return docs(spark, d).select("doc_id", *counts)
+
+
+@query()
+def pii_scrub(spark, d):
+    return curate.scrub_documents(docs(spark, d)).select("doc_id", "text")
+
+
+@query("SELECT min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY text")
+def exact_dedup(spark, d):
+    return curate.exact_duplicates(docs(spark, d))
+
+
+_GRAMS = """w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
+ g AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) AS g FROM w WHERE len(w) >= 5),
+ n AS (SELECT doc_id, count(*) AS m FROM g GROUP BY doc_id),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ pairs AS (SELECT a, b, c / (x.m + y.m - c) AS s FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.m + y.m - c))"""
+
+
+@query(f"WITH {_GRAMS} SELECT a, b, round(s, 6) AS similarity FROM pairs")
+def near_dedup_pairs(spark, d):
+    return curate.near_duplicate_pairs(docs(spark, d)).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query()
+def near_dedup_keep(spark, d):
+    every = docs(spark, d)
+    return curate.keep_first(every, curate.near_duplicate_pairs(every)).select("doc_id")
+
+
+_THIRTEEN = """bw AS (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM benchmark),
+ bg AS (SELECT DISTINCT unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g FROM bw WHERE len(w) >= 13),
+ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
+ dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g FROM dw WHERE len(w) >= 13),
+ bad AS (SELECT DISTINCT doc_id FROM dg JOIN bg USING (g))"""
+
+
+@query(f"WITH {_THIRTEEN} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM bad)")
+def decontaminate(spark, d):
+    return curate.decontaminated(docs(spark, d), table(spark, d, "benchmark")).select("doc_id")
+
+
+@query(f"WITH {_THIRTEEN} SELECT (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents) - (SELECT count(*) FROM bad) AS kept, (SELECT count(*) FROM bad) AS removed, round((SELECT count(*) FROM bad) / (SELECT count(*) FROM documents), 6) AS ratio")
+def decontamination_stats(spark, d):
+    every = docs(spark, d)
+    return curate.removal_stats(every, curate.decontaminated(every, table(spark, d, "benchmark"))).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("SELECT w, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+')) AS w FROM documents) GROUP BY w")
+def word_freq(spark, d):
+    return docs(spark, d).select(F.explode(T.words(F.col("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+
+
+@query("SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM benchmark) WHERE len(w) >= 3) GROUP BY g")
+def ngram_freq(spark, d):
+    return table(spark, d, "benchmark").select(F.explode(T.ngrams(T.words(F.col("text")), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+
+@query()
+def mixture_sample(spark, d):
+    every = docs(spark, d)
+    by = {lang: (every.where(F.col("lang") == lang), w) for lang, w in (("en", 0.6), ("fr", 0.2), ("de", 0.2))}
+    return curate.mixture(by, 1000, seed=7).select("draw", "source_name", "doc_id")
+
+
+_BM = """q AS (SELECT item_id AS qid, unnest(regexp_extract_all(lower(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')), '[a-z0-9]+')) AS term FROM benchmark),
+ qn AS (SELECT qid, term, count(*) AS qn FROM q GROUP BY ALL),
+ t AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+ st AS (SELECT count(*)::DOUBLE AS n, avg(len(w)) AS avgdl FROM t),
+ tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+ df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)"""
+
+
+def _bm_sql(k1: float, k: int, tail: str) -> str:
+    return f"""WITH {_BM}, s AS (SELECT qid, doc_id, sum(qn * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * ({k1}::DOUBLE + 1) / (tf + {k1}::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS score
+ FROM qn JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) {tail.format(k=k)}"""
+
+
+def _stable(found: DataFrame) -> DataFrame:
+    """Scores to nine digits, so that sums in another order rank alike."""
+    return found.select("qid", "doc_id", F.round("score", 9).alias("score"))
+
+
+@query(_bm_sql(1.5, 10, "SELECT qid, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"))
+def bm25_topk(spark, d):
+    found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60)), 10)
+    return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_bm_sql(1.2, 10, "SELECT qid, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= {k} AND score > 0"))
+def bm25_eval_variant(spark, d):
+    found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60, k1=1.2).where("score > 0")), 10)
+    return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {_BM}, s AS (SELECT qid, doc_id, sum(qn * tf)::DOUBLE AS score FROM qn JOIN tf USING (term) GROUP BY ALL)
+ SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def splade_topk(spark, d):
+    weights = retrieval.sparse_weights(docs(spark, d), "doc_id")
+    wanted = retrieval.sparse_weights(items(spark, d), "qid")
+    return retrieval.sparse_search(weights, wanted, 10).select("qid", "doc_id", "score", "rank")
+
+
+_V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings), q AS (SELECT vec_id AS qid, v AS q, label AS q_label FROM v WHERE vec_id % 20 = 0)"
+_COS = "list_dot_product(v, q) / sqrt(list_dot_product(v, v)) / sqrt(list_dot_product(q, q))"
+
+
+def _knn_sql(score: str, where: str = "TRUE", k: int = 10) -> str:
+    return f"WITH {_V}, s AS (SELECT qid, vec_id AS doc_id, round({score}, 9) AS score FROM v, q WHERE vec_id <> qid AND {where}) SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= {k}"
+
+
+def _ranked(found: DataFrame, k: int = 10) -> DataFrame:
+    return retrieval.top(_stable(found), k).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(_knn_sql("list_dot_product(v, q)"))
+def dense_topk(spark, d):
+    return _ranked(retrieval.dense_search(vecs(spark, d), asked(spark, d), 12))
+
+
+@query(_knn_sql(_COS))
+def knn_exact(spark, d):
+    return _ranked(ann.exact(vecs(spark, d), asked(spark, d), 12))
+
+
+@query(_knn_sql(_COS, "label < 3"))
+def knn_prefilter(spark, d):
+    return _ranked(ann.prefiltered(vecs(spark, d), asked(spark, d), "label < 3", 12))
+
+
+@query(f"WITH {_V}, s AS (SELECT qid, vec_id AS doc_id, label, round({_COS}, 9) AS score FROM v, q WHERE vec_id <> qid), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM s) SELECT qid, doc_id, round(score, 6) AS score FROM r WHERE r <= 10 AND label < 3")
+def knn_postfilter(spark, d):
+    return ann.postfiltered(vecs(spark, d), asked(spark, d), "label < 3", 10).select("qid", "doc_id", F.round("score", 6).alias("score"))
+
+
+_NORM = "list_transform({v}, lambda x: x / sqrt(list_dot_product({v}, {v})))"
+
+
+@query(f"""WITH {_V}, p AS (SELECT qid, vec_id AS doc_id, v, q, list_slice(v, 1, 16) AS a, list_slice(q, 1, 16) AS b FROM v, q WHERE vec_id <> qid),
+ f AS (SELECT qid, doc_id, v, q, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(a, b) / sqrt(list_dot_product(a, a)) / sqrt(list_dot_product(b, b)), 9) DESC, doc_id) AS r1 FROM p),
+ s AS (SELECT qid, doc_id, round(list_dot_product(v, q), 9) AS score FROM f WHERE r1 <= 100)
+ SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def mrl_two_stage(spark, d):
+    return _ranked(retrieval.two_stage(vecs(spark, d), asked(spark, d), 16, 100, 12))
+
+
+@query()
+def hamming_rescore(spark, d):
+    return ann.hamming_rescored(vecs(spark, d), asked(spark, d), 64, 200, 10).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def hamming_recall(spark, d):
+    v, q = vecs(spark, d), asked(spark, d)
+    return ann.recall(ann.hamming_rescored(v, q, 64, 200, 10), ann.exact(v, q, 10))
+
+
+@query()
+def int8_recall(spark, d):
+    v, q = vecs(spark, d), asked(spark, d)
+    return ann.recall(ann.exact(ann.int8(v), q, 10), ann.exact(v, q, 10))
+
+
+@query()
+def filtered_ann_recall(spark, d):
+    v, q = vecs(spark, d), asked(spark, d)
+    truth = ann.prefiltered(v, q, "label = 1", 10)
+    post = ann.recall(ann.postfiltered(v, q, "label = 1", 10, 50), truth).select(F.lit("post").alias("plan"), "recall")
+    return post.unionByName(ann.recall(truth, truth).select(F.lit("pre").alias("plan"), "recall"))
+
+
+@query()
+def ivf_recall_curve(spark, d):
+    v, q = vecs(spark, d).select("doc_id", "v"), asked(spark, d).select("qid", "q")
+    index = ann.InvertedFile(v, cells=16)
+    return index.curve(q, ann.exact(v, q, 10), 10, [1, 4, 16])
+
+
+_PARTS = "list_slice({x}, {i} * 16 + 1, {i} * 16 + 16)"
+
+
+@query(f"""WITH {_V}, i AS (SELECT unnest(range(4)) AS i), j AS (SELECT unnest(range(4)) AS j),
+ m AS (SELECT qid, j, vec_id, max(list_dot_product(list_slice(v, i * 16 + 1, i * 16 + 16), list_slice(q, j * 16 + 1, j * 16 + 16))) AS m FROM v, q, i, j GROUP BY ALL),
+ s AS (SELECT qid, vec_id AS doc_id, round(sum(m), 9) AS score FROM m GROUP BY ALL)
+ SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def late_interaction(spark, d):
+    tokens = vecs(spark, d).select("doc_id", F.explode(F.array(*[F.slice("v", i * 16 + 1, 16) for i in range(4)])).alias("v"))
+    wanted = asked(spark, d).select("qid", F.posexplode(F.array(*[F.slice("q", i * 16 + 1, 16) for i in range(4)])).alias("pos", "q"))
+    return _ranked(retrieval.late_interaction(tokens, wanted, 12))
+
+
+def arms(spark, d) -> dict[str, DataFrame]:
+    lexical = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), 30)), 20)
+    sparse = retrieval.sparse_search(retrieval.sparse_weights(docs(spark, d), "doc_id"), retrieval.sparse_weights(items(spark, d), "qid"), 20)
+    return {"bm25": lexical, "sparse": sparse}
+
+
+_ARMS = f"""WITH {_BM}, s1 AS (SELECT qid, doc_id, round(sum(qn * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 9) AS score
+ FROM qn JOIN tf USING (term) JOIN df USING (term), st GROUP BY qid, doc_id),
+ s2 AS (SELECT qid, doc_id, sum(qn * tf)::DOUBLE AS score FROM qn JOIN tf USING (term) GROUP BY ALL),
+ u AS (SELECT 'bm25' AS arm, *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s1 UNION ALL SELECT 'sparse', *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) FROM s2),
+ a AS (SELECT * FROM u WHERE rank <= 20)"""
+
+
+@query(f"""{_ARMS}, f AS (SELECT qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM a GROUP BY ALL)
+ SELECT qid, doc_id, rank, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
+def rrf_fusion(spark, d):
+    fused = retrieval.reciprocal_rank_fusion(arms(spark, d), 60, 40)
+    return retrieval.top(fused.select("qid", "doc_id", F.round("score", 12).alias("score")), 10).select("qid", "doc_id", "rank", F.round("score", 9).alias("score"))
+
+
+@query(f"""{_ARMS}, z AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS x FROM a WINDOW w AS (PARTITION BY arm, qid)),
+ f AS (SELECT qid, doc_id, round(sum(x * CASE arm WHEN 'bm25' THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 9) AS score FROM z GROUP BY ALL)
+ SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM f) WHERE rank <= 10""")
+def weighted_fusion(spark, d):
+    return _ranked(retrieval.weighted_fusion(arms(spark, d), {"bm25": 0.7, "sparse": 0.3}, 40))
+
+
+def qrels(spark, d) -> DataFrame:
+    """Documents that share a 13-gram with an item."""
+    grams = lambda t, key: t.select(key, F.explode(F.array_distinct(T.ngrams(T.words(F.col("text")), 13))).alias("g"))
+    return grams(table(spark, d, "benchmark"), "item_id").join(grams(docs(spark, d), "doc_id"), "g").select(F.col("item_id").alias("qid"), "doc_id").distinct()
+
+
+_QRELS = """bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM benchmark),
+ bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g FROM bw WHERE len(w) >= 13),
+ dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents),
+ dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(list_slice(w, i, i + 12), ' '))) AS g FROM dw WHERE len(w) >= 13),
+ rel AS (SELECT DISTINCT item_id AS qid, doc_id FROM bg JOIN dg USING (g)), sz AS (SELECT qid, count(*) AS m FROM rel GROUP BY qid)"""
+
+_METRICS = f"""{_ARMS.replace('WITH ', 'WITH ' + _QRELS + ', ', 1)}, h AS (SELECT a.qid, rank, row_number() OVER (PARTITION BY a.qid ORDER BY rank) AS nth FROM a JOIN rel ON rel.qid = a.qid AND rel.doc_id = a.doc_id WHERE arm = 'bm25' AND rank <= 10),
+ x AS (SELECT qid, count(*) AS f, sum(1 / log2(rank + 1)) AS dcg, min(rank) AS first, sum(nth / rank) AS pr FROM h GROUP BY qid),
+ per AS (SELECT sz.qid, m, coalesce(f / m, 0) AS recall, coalesce(dcg / list_sum(list_transform(range(1, least(m, 10) + 1), lambda i: 1 / log2(i + 1))), 0) AS ndcg, coalesce(1.0::DOUBLE / first, 0) AS rr, coalesce(pr / least(m, 10), 0) AS ap FROM sz LEFT JOIN x USING (qid))"""
+
+
+@query(f"{_METRICS} SELECT qid, m AS n_relevant, round(recall, 6) AS recall, round(ndcg, 6) AS ndcg, round(rr, 6) AS rr, round(ap, 6) AS ap FROM per")
+def retrieval_metrics(spark, d):
+    per = metrics.ranking_metrics(arms(spark, d)["bm25"], qrels(spark, d), 10)
+    return per.select("qid", "n_relevant", *[F.round(m, 6).alias(m) for m in ("recall", "ndcg", "rr", "ap")])
+
+
+@query(f"{_METRICS}, c AS (SELECT *, CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'odd' END AS category FROM per) SELECT coalesce(category, 'overall') AS category, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg, round(avg(rr), 6) AS rr, round(avg(ap), 6) AS ap FROM c GROUP BY ROLLUP (category)")
+def metrics_by_category(spark, d):
+    per = metrics.ranking_metrics(arms(spark, d)["bm25"], qrels(spark, d), 10)
+    kinds = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.when(F.col("item_id") % 2 == 0, "even").otherwise("odd").alias("category"))
+    names = ["recall", "ndcg", "rr", "ap"]
+    return metrics.by_category(per, kinds, names).select("category", "n", *[F.round(m, 6).alias(m) for m in names])
+
+
+@query()
+def fusion_grid(spark, d):
+    return retrieval.tune_weights(arms(spark, d), qrels(spark, d), steps=2, k=10)
+
+
+@query(f"""{_ARMS}, qs AS (SELECT qid, list_distinct(list(term)) AS s FROM q GROUP BY qid), ds AS (SELECT doc_id, list_distinct(w) AS s FROM t),
+ j AS (SELECT a.qid, a.doc_id, round(len(list_intersect(qs.s, ds.s)) / (len(qs.s) + len(ds.s) - len(list_intersect(qs.s, ds.s))), 9) AS score FROM a JOIN qs ON qs.qid = a.qid JOIN ds ON ds.doc_id = a.doc_id WHERE arm = 'bm25')
+ SELECT qid, doc_id, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM j) WHERE rank <= 5""")
+def rerank_jaccard(spark, d):
+    return _ranked(retrieval.rerank(arms(spark, d)["bm25"], docs(spark, d), items(spark, d), 20), 5)
+
+
+@query()
+def rerank_listwise(spark, d):
+    return retrieval.rerank_listwise(arms(spark, d)["bm25"], docs(spark, d), items(spark, d), 5)
+
+
+_SPACED = "regexp_extract_all(text, '[^\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]+')"
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_SPACED} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(greatest(0, ceil((len(w) - 128) / 96))::BIGINT + 1)) AS idx FROM w WHERE len(w) > 0)
+ SELECT doc_id, idx::INT AS idx, doc_id || '#' || idx AS chunk_id, len(list_slice(w, idx * 96 + 1, idx * 96 + 128)) AS size_tokens, least(32, idx * 96) AS overlap_tokens, array_to_string(list_slice(w, idx * 96 + 1, idx * 96 + 128), ' ') AS text FROM c""")
+def chunk_fixed(spark, d):
+    return chunking.fixed(docs(spark, d), 128, 32)
+
+
+@query(f"""WITH w AS (SELECT doc_id, {_SPACED} AS w FROM documents), c AS (SELECT doc_id, w, unnest(range(greatest(0, ceil((len(w) - 128) / 96))::BIGINT + 1)) AS idx FROM w WHERE len(w) > 0),
+ x AS (SELECT len(list_slice(w, idx * 96 + 1, idx * 96 + 128)) AS s, least(32, idx * 96) AS o FROM c) SELECT count(*) AS n, round(avg(s), 6) AS mean_size, min(s) AS min_size, max(s) AS max_size, round(avg(o), 6) AS mean_overlap FROM x""")
+def chunk_stats(spark, d):
+    return chunking.chunk_stats(chunking.fixed(docs(spark, d), 128, 32)).select("n", F.round("mean_size", 6).alias("mean_size"), "min_size", "max_size", F.round("mean_overlap", 6).alias("mean_overlap"))
+
+
+@query()
+def chunk_recursive(spark, d):
+    return chunking.recursive(docs(spark, d), 128, 16).drop("text")
+
+
+@query()
+def chunk_semantic(spark, d):
+    return chunking.semantic(docs(spark, d), 128).drop("text")
+
+
+@query()
+def chunk_contextual(spark, d):
+    return chunking.contextual(docs(spark, d), 128).select("doc_id", "idx", "size_tokens", F.length("full_text").alias("full_chars"))
+
+
+@query()
+def chunk_late(spark, d):
+    return chunking.late(docs(spark, d), 128, 0).select("doc_id", "idx", F.size("vector").alias("dim"))
+
+
+def markdown(spark, d) -> DataFrame:
+    """Orders as Markdown documents, one per nation: a heading, a paragraph, a table of its segments, a figure."""
+    joined = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    seg = joined.groupBy("n_nationkey", "n_name", "c_mktsegment").agg(F.count("*").alias("n"))
+    rows = seg.groupBy("n_nationkey", "n_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_mktsegment", "n"))), lambda r: F.concat(F.lit("| "), r["c_mktsegment"], F.lit(" | "), r["n"], F.lit(" |"))), "\n").alias("rows"))
+    text = F.concat(F.lit("# "), F.col("n_name"), F.lit("\nCustomers by segment.\n\n| segment | customers |\n| --- | --- |\n"), F.col("rows"), F.lit("\n\n![map of "), F.col("n_name"), F.lit("](maps/"), F.col("n_nationkey"), F.lit(".png)"))
+    return rows.select(F.col("n_nationkey").cast("long").alias("doc_id"), text.alias("text"))
+
+
+@query("""WITH n AS (SELECT DISTINCT n_nationkey::BIGINT AS doc_id FROM customer JOIN nation ON c_nationkey = n_nationkey)
+ SELECT doc_id, unnest([1, 2, 3, 4]) AS ord, unnest(['heading', 'paragraph', 'table', 'figure']) AS kind FROM n""")
+def parse_blocks(spark, d):
+    return chunking.blocks(markdown(spark, d)).select("doc_id", "ord", "kind")
+
+
+@query("""WITH s AS (SELECT n_nationkey::BIGINT AS doc_id, c_mktsegment, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+ r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY c_mktsegment) AS row FROM s),
+ c AS (SELECT doc_id, row, 0 AS col, c_mktsegment AS value FROM r UNION ALL SELECT doc_id, row, 1, n::VARCHAR FROM r UNION ALL SELECT DISTINCT doc_id, 0, 0, 'segment' FROM r UNION ALL SELECT DISTINCT doc_id, 0, 1, 'customers' FROM r)
+ SELECT doc_id, doc_id || '#table0' AS table_id, row, col, value FROM c""")
+def table_cells(spark, d):
+    return chunking.tables(chunking.blocks(markdown(spark, d)))
+
+
+@query("SELECT DISTINCT n_nationkey::BIGINT AS doc_id, n_nationkey || '#fig0' AS figure_id, 'maps/' || n_nationkey || '.png' AS path, 'map of ' || n_name AS caption FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def figure_captions(spark, d):
+    return chunking.figures(chunking.blocks(markdown(spark, d)))
+
+
+def lengths(spark, d) -> DataFrame:
+    return docs(spark, d).select("doc_id", F.size(T.spaced_words(F.col("text"))).cast("long").alias("n"))
+
+
+_FRAGMENTS = f"""WITH l AS (SELECT doc_id, len({_SPACED}) AS n FROM documents), o AS (SELECT doc_id, n, sum(n) OVER (ORDER BY doc_id) - n AS s FROM l WHERE n > 0),
+ f AS (SELECT doc_id, n, s, unnest(range((s // 257)::BIGINT, ((s + n - 1) // 257)::BIGINT + 1)) AS row FROM o),
+ x AS (SELECT row, doc_id, greatest(s, row * 257) - s AS doc_start, greatest(s, row * 257) - row * 257 AS row_start, least(s + n, (row + 1) * 257) - greatest(s, row * 257) AS len FROM f)"""
+
+
+@query(f"{_FRAGMENTS} SELECT row, doc_id, doc_start::BIGINT AS doc_start, row_start::BIGINT AS row_start, len::BIGINT AS len FROM x")
+def pack_rows(spark, d):
+    return packing.pack_rows(lengths(spark, d), 256)
+
+
+@query(f"{_FRAGMENTS} SELECT row, array_to_string(list_sort(list(DISTINCT row_start::BIGINT)), ',') AS boundaries, sum(len)::BIGINT AS used, count(*) AS fragments FROM x GROUP BY row")
+def pack_boundaries(spark, d):
+    return packing.row_boundaries(packing.pack_rows(lengths(spark, d), 256)).select("row", F.array_join(F.transform("boundaries", lambda b: b.cast("string")), ",").alias("boundaries"), "used", "fragments")
+
+
+@query()
+def epoch_order(spark, d):
+    return packing.epoch_order(lengths(spark, d), seed=3, epoch=1, batch=32, key="doc_id").select("doc_id", "place", "batch")
+
+
+@query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text || '<|eos|>' || chr(10), '' ORDER BY turn, text) AS chat, count(*) AS turns FROM conversations GROUP BY conv_id")
+def chat_template(spark, d):
+    return packing.chat_template(table(spark, d, "conversations"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, substr(text, 1, 2000) AS text FROM conversations), k AS (SELECT *, row_number() OVER w AS back, sum(length(text)) OVER (w ROWS UNBOUNDED PRECEDING) AS held FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC))
+ SELECT conv_id, turn, length(text) AS chars FROM k WHERE back = 1 OR (back <= 20 AND held <= 6000)""")
+def session_trim(spark, d):
+    return packing.trim_memory(table(spark, d, "conversations")).select("conv_id", "turn", F.length("text").alias("chars"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role = 'user')
+ SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS history, count(*) AS turns FROM k WHERE back <= 5 GROUP BY conv_id""")
+def user_history(spark, d):
+    return packing.user_history(table(spark, d, "conversations"))
+
+
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn, role) AS rendered FROM k WHERE back <= 6 GROUP BY conv_id""")
+def rendered_history(spark, d):
+    return packing.render_history(table(spark, d, "conversations"))
+
+
+@query("SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id ORDER BY last_turn DESC, conv_id LIMIT 128")
+def recent_sessions(spark, d):
+    return packing.recent_sessions(table(spark, d, "conversations"))
+
+
+def turn_pairs(spark, d) -> DataFrame:
+    c = table(spark, d, "conversations").where("role <> 'system'")
+    return c.select("conv_id", "turn", "text", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn", "role")).alias("reply")).where("reply is not null")
+
+
+@query()
+def token_f1(spark, d):
+    return turn_pairs(spark, d).select("conv_id", "turn", F.round(metrics.token_f1(F.col("reply"), F.col("text")), 6).alias("f1"))
+
+
+@query()
+def claim_support(spark, d):
+    pairs = turn_pairs(spark, d).withColumn("qid", F.col("conv_id") * 1000 + F.col("turn"))
+    return metrics.faithfulness(pairs.select("qid", F.col("reply").alias("text")), pairs.select("qid", "text"))
+
+
+def rated(spark, d) -> DataFrame:
+    return docs(spark, d).join(table(spark, d, "labels"), "doc_id").select("doc_id", "lang", "quality", T.quality_ok(F.col("text")).cast("int").alias("ok"))
+
+
+@query(f"""WITH r AS (SELECT quality AS a, CASE WHEN {_GOOD} THEN 1 ELSE 0 END AS b FROM documents JOIN labels USING (doc_id)), t AS (SELECT count(*) AS n, avg(CASE WHEN a = b THEN 1.0::DOUBLE ELSE 0 END) AS po FROM r),
+ e AS (SELECT sum(x.c * y.c) AS c FROM (SELECT a AS v, count(*) AS c FROM r GROUP BY a) x JOIN (SELECT b AS v, count(*) AS c FROM r GROUP BY b) y USING (v))
+ SELECT n, round(po, 6) AS observed, round(c / (n * n), 6) AS expected, round(CASE WHEN c = n * n THEN CASE WHEN po = 1 THEN 1 ELSE 0 END ELSE (po - c / (n * n)) / (1 - c / (n * n)) END, 6) AS kappa FROM t, e""")
+def cohens_kappa(spark, d):
+    return stats.kappa(rated(spark, d), "quality", "ok").select("n", *[F.round(c, 6).alias(c) for c in ("observed", "expected", "kappa")])
+
+
+@query(f"SELECT lang, count(*) AS n, round(avg(CASE WHEN quality = CASE WHEN {_GOOD} THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0 END), 6) AS agreement, avg(CASE WHEN quality = CASE WHEN {_GOOD} THEN 1 ELSE 0 END THEN 1.0::DOUBLE ELSE 0 END) < 0.9 AS below FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def agreement_report(spark, d):
+    hit = F.avg((F.col("quality") == F.col("ok")).cast("double"))
+    return rated(spark, d).groupBy("lang").agg(F.count("*").alias("n"), F.round(hit, 6).alias("agreement"), (hit < 0.9).alias("below"))
+
+
+@query("""WITH c AS (SELECT source, count(*)::DOUBLE AS n, sum(quality)::DOUBLE AS k FROM documents JOIN labels USING (doc_id) GROUP BY source), z AS (SELECT *, 1.959963984540054::DOUBLE AS z, k / n AS p FROM c),
+ y AS (SELECT *, (p + z * z / (2 * n)) / (1 + z * z / n) AS m, z / (1 + z * z / n) * sqrt(p * (1 - p) / n + z * z / (4 * n * n)) AS h FROM z)
+ SELECT source, n::BIGINT AS n, round(p, 6) AS share, round(greatest(0, m - h), 6) AS lo, round(least(1, m + h), 6) AS hi FROM y""")
+def wilson_ci(spark, d):
+    counts = docs(spark, d).join(table(spark, d, "labels"), "doc_id").groupBy("source").agg(F.count("*").alias("n"), F.sum("quality").alias("k"))
+    lo, hi = stats.wilson(F.col("k"), F.col("n"))
+    return counts.select("source", "n", F.round(F.col("k") / F.col("n"), 6).alias("share"), F.round(lo, 6).alias("lo"), F.round(hi, 6).alias("hi"))
+
+
+@query()
+def mean_ci_t(spark, d):
+    return stats.mean_interval(table(spark, d, "events"), ["event_type"], "value").select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n")
+
+
+@query("SELECT event_id, rank() OVER w + (count(*) OVER (PARTITION BY event_type, round(value, 1)) - 1) / 2.0::DOUBLE AS mid_rank FROM events WINDOW w AS (PARTITION BY event_type ORDER BY round(value, 1))")
+def mid_ranks(spark, d):
+    return stats.mid_ranks(table(spark, d, "events").withColumn("v", F.round("value", 1)), "v", ["event_type"]).select("event_id", "mid_rank")
+
+
+def paired(spark, d) -> DataFrame:
+    """Each user's mean value of two kinds of events."""
+    kinds = [r[0] for r in table(spark, d, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
+    means = table(spark, d, "events").where(F.col("event_type").isin(kinds)).groupBy("user_id").pivot("event_type", kinds).agg(F.round(F.avg("value"), 6))
+    return means.select(F.lit("all").alias("g"), "user_id", F.col(kinds[0]).alias("x"), F.col(kinds[1]).alias("y")).where("x is not null and y is not null")
+
+
+@query()
+def wilcoxon_w(spark, d):
+    return stats.wilcoxon_sums(paired(spark, d), ["g"], "x", "y")
+
+
+@query()
+def wilcoxon_p(spark, d):
+    return stats.wilcoxon(paired(spark, d), "g", "x", "y")
+
+
+@query()
+def bootstrap_ci(spark, d):
+    return stats.bootstrap_mean(table(spark, d, "labels"), "quality", 200)
+
+
+@query("SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
+def latency_percentiles(spark, d):
+    return cache.latency_report(table(spark, d, "events"), "event_type", "value").select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("mean", "p50", "p95", "p99")])
+
+
+@query("WITH o AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, value FROM o WHERE i = round_even(0.95::DOUBLE * (n - 1), 0)::BIGINT")
+def nearest_rank(spark, d):
+    return stats.nearest_rank_percentile(table(spark, d, "events"), ["event_type"], "value", 0.95)
+
+
+_BOUNDS = [1.0, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0]
+
+
+@query(f"SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, (SELECT unnest({_BOUNDS})::DOUBLE AS le) GROUP BY event_type, le")
+def stage_histogram(spark, d):
+    return cache.histogram(table(spark, d, "events"), "event_type", "value", _BOUNDS)
+
+
+@query("SELECT event_type, user_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def counters(spark, d):
+    return table(spark, d, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("SELECT user_id, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY user_id")
+def gauge_last_value(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+
+
+@query("WITH r AS (SELECT event_type, row_number() OVER (PARTITION BY user_id, event_type, props ORDER BY ts, event_id) > 1 AS hit FROM events) SELECT event_type, count(*) AS requests, sum(hit::INT) AS hits, count(*) - sum(hit::INT) AS misses, round(sum(hit::INT) / count(*), 6) AS hit_rate FROM r GROUP BY event_type")
+def response_cache_replay(spark, d):
+    events = table(spark, d, "events").withColumn("key", F.xxhash64("user_id", "event_type", "props"))
+    return cache.hit_stats(cache.replay_exact(events, "key", ["ts", "event_id"], "value"), ["event_type"]).withColumn("hit_rate", F.round("hit_rate", 6))
+
+
+@query()
+def ttl_cache_replay(spark, d):
+    return cache.hit_stats(cache.replay_ttl(table(spark, d, "events"), "user_id", "ts", 3600.0, "event_id"), ["event_type"])
+
+
+@query()
+def token_bucket(spark, d):
+    return cache.token_bucket(table(spark, d, "events"), "user_id", "ts", "event_id", capacity=2.0, rate=1 / 3600).select("event_id", "allowed", F.round("retry_after", 3).alias("retry_after"))
+
+
+_TAUS = [0.3, 0.5, 0.7, 0.9, 0.95]
+
+
+@query(f"""WITH {_V}, s AS (SELECT qid, vec_id, label = q_label AS same, {_COS} AS s FROM v, q WHERE vec_id <> qid), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, vec_id) AS r FROM s) WHERE r = 1), t AS (SELECT unnest({_TAUS})::DOUBLE AS tau)
+ SELECT tau, round(count(*) FILTER (WHERE s >= tau) / count(*), 6) AS hit_rate, round(coalesce(count(*) FILTER (WHERE s >= tau AND NOT same) / nullif(count(*) FILTER (WHERE s >= tau), 0), 0), 6) AS false_of_hits, round(count(*) FILTER (WHERE s >= tau AND NOT same) / count(*), 6) AS false_of_total FROM b, t GROUP BY tau""")
+def semantic_tau_sweep(spark, d):
+    entries = vecs(spark, d).withColumnRenamed("label", "intent")
+    sweep = cache.sweep_thresholds(cache.nearest_entry(entries, asked(spark, d).withColumnRenamed("q_label", "q_intent")), _TAUS)
+    return sweep.select("tau", *[F.round(c, 6).alias(c) for c in ("hit_rate", "false_of_hits", "false_of_total")])
+
+
+@query()
+def semantic_operating_point(spark, d):
+    return cache.operating_point(semantic_tau_sweep(spark, d))
+
+
+@query()
+def radix_prefix_match(spark, d):
+    words = table(spark, d, "benchmark").select("item_id", F.slice(T.words(F.col("text")), 1, 32).alias("tokens"))
+    some = docs(spark, d).select(F.col("doc_id").alias("entry"), F.slice(T.words(F.col("text")), 1, 32).alias("tokens"))
+    return cache.longest_prefix(words.withColumnRenamed("item_id", "qid"), some)
+
+
+@query()
+def injection_scan(spark, d):
+    return guard.scan_injection(docs(spark, d))
+
+
+@query("SELECT doc_id, len(regexp_extract_all(text, '\\b[0-9]{3}-[0-9]{2}-[0-9]{4}\\b')) AS ssn FROM documents")
+def pii_detect_ssn(spark, d):
+    return docs(spark, d).select("doc_id", guard.pii_counts(F.col("text"))["ssn"].alias("ssn"))
+
+
+@query()
+def pii_detect(spark, d):
+    return docs(spark, d).select("doc_id", *[c.alias(k) for k, c in guard.pii_counts(F.col("text")).items()])
+
+
+@query("SELECT conv_id, turn, CASE WHEN trim(text) = '' THEN 'empty' WHEN length(text) > 4000 THEN 'too_long' ELSE 'ok' END AS verdict FROM conversations")
+def screen_input(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", guard.screen_input(F.col("text")).alias("verdict"))
+
+
+@query("SELECT item_id, 3 - (item_id % 3) AS first, 2 AS n FROM benchmark")
+def citations(spark, d):
+    answer = F.concat(F.substring("text", 1, 30), F.lit(" ["), (3 - F.col("item_id") % 3).cast("string"), F.lit("][99] and ["), F.lit("4"), F.lit("] ["), (3 - F.col("item_id") % 3).cast("string"), F.lit("]"))
+    return table(spark, d, "benchmark").select("item_id", guard.citations(answer, F.lit(4)).alias("c")).select("item_id", F.element_at("c", 1).cast("long").alias("first"), F.size("c").alias("n"))
+
+
+@query("SELECT doc_id, '<untrusted_data source=\"' || doc_id || '\" nonce=\"' || left(sha256(encode(doc_id || chr(0) || text)), 12) || '\">' || chr(10) || text || chr(10) || '</untrusted_data nonce=\"' || left(sha256(encode(doc_id || chr(0) || text)), 12) || '\">' AS wrapped FROM documents")
+def wrap_untrusted(spark, d):
+    return docs(spark, d).select("doc_id", guard.wrap_untrusted(F.col("text"), F.col("doc_id")).alias("wrapped"))
+
+
+@query("SELECT doc_id, 'emb:m:' || sha256('m' || chr(10) || text) AS key FROM documents")
+def embedding_keys(spark, d):
+    return docs(spark, d).select("doc_id", cache.embedding_key(F.col("text"), "m").alias("key"))
+
+
+@query("SELECT doc_id, greatest(1, length(text) // 4)::INT AS tokens FROM documents")
+def estimate_tokens(spark, d):
+    return docs(spark, d).select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("""WITH s AS (SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL), q AS (SELECT *, 200 * n / sum(n) OVER () AS q FROM s), b AS (SELECT *, floor(q) AS base, row_number() OVER (ORDER BY round(q - floor(q), 9) DESC, lang, source) AS r FROM q)
+ SELECT lang, source, n, (base + CASE WHEN r <= 200 - (SELECT sum(base) FROM b) THEN 1 ELSE 0 END)::BIGINT AS take FROM b""")
+def stratified_sample_alloc(spark, d):
+    return stratified(docs(spark, d).groupBy("lang", "source").agg(F.count("*").alias("n")), 200)
+
+
+def stratified(strata: DataFrame, n: int) -> DataFrame:
+    """Largest-remainder allocation of ``n`` rows to strata (a row each)."""
+    total = strata.agg(F.sum("n").alias("all"))
+    quota = strata.crossJoin(F.broadcast(total)).withColumn("q", n * F.col("n") / F.col("all")).withColumn("base", F.floor("q"))
+    order = Window.orderBy(F.desc(F.round(F.col("q") - F.col("base"), 9)), "lang", "source")
+    given = quota.agg(F.sum("base").alias("given"))
+    ranked = quota.withColumn("r", F.row_number().over(order)).crossJoin(F.broadcast(given))
+    return ranked.select("lang", "source", "n", (F.col("base") + F.when(F.col("r") <= n - F.col("given"), 1).otherwise(0)).alias("take"))
+
+
+@query()
+def stratified_sample(spark, d):
+    every = docs(spark, d)
+    take = stratified(every.groupBy("lang", "source").agg(F.count("*").alias("n")), 200)
+    order = Window.partitionBy("lang", "source").orderBy(F.xxhash64("doc_id", F.lit(1337)), "doc_id")
+    return every.withColumn("r", F.row_number().over(order)).join(F.broadcast(take), ["lang", "source"]).where("r <= take").select("doc_id", "lang", "source")
+
+
+@query()
+def bpe_train_encode(spark, d):
+    every = docs(spark, d)
+    coded = tokenizer.encode(every, tokenizer.train(every, merges=64, kinds=5000))
+    return coded.select("doc_id", "n_tokens", "n_bytes")
+
+
+@query()
+def curated_corpus(spark, d):
+    return curate.curate(docs(spark, d), table(spark, d, "benchmark"), ["mit", "cc-by-4.0", "apache-2.0"]).select("doc_id", "text")
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents that pass the quality filter, searched by BM25 and by term weights for every benchmark item, fused by rank."""
+    chunks = chunking.fixed(curate.filter_quality(docs(spark, d)), 128, 32).select((F.col("doc_id") * 10_000 + F.col("idx")).alias("doc_id"), "text")
+    wanted = items(spark, d)
+    sparse = retrieval.sparse_search(retrieval.sparse_weights(chunks, "doc_id"), retrieval.sparse_weights(wanted, "qid"), 20)
+    return retrieval.reciprocal_rank_fusion({"bm25": retrieval.bm25(chunks, wanted, 20), "sparse": sparse}, 60, 10)
