@@ -11,6 +11,8 @@ are unique, rare or frequent in the corpus, for some 4 bytes and 2 bits each.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,10 +23,20 @@ from pyspark.sql import functions as F
 
 from . import scratch
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 _BLOCK = "block_id long, doc_ids array<long>, sizes array<long>, data binary, extra array<string>"
 
 
+def tidy() -> None:
+    """Give memory that a task has freed back to the system; workers live on and would keep it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Blocks:
     """The table of blocks of one corpus."""
 
@@ -95,6 +107,7 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | No
                     yield flush()
         if ids:
             yield flush()
+        tidy()
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), (F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")).alias("extra"))
     made = source.mapInArrow(run, _BLOCK)
@@ -118,6 +131,7 @@ def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             ids, starts = documents(row["doc_ids"].values.to_numpy(), row["sizes"].values.to_numpy())
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
             yield {k: v.as_py() for k, v in row.items() if k not in ("data", "doc_ids", "sizes")} | {"ids": ids, "starts": starts, "data": data}
+    tidy()
 
 
 SIDE = "block_id long, part int, blob binary"

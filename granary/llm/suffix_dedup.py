@@ -297,7 +297,7 @@ def _spans(start: np.ndarray, size: np.ndarray) -> bytes:
     return np.stack([start, start + size], axis=1).astype("<i8").tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: list[str] | None = None, run_items: int = 1_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False, carry: list[str] | None = None, run_items: int = 200_000) -> DataFrame:
     """Remove every byte of ``docs(doc_id, text)`` that is covered by a string of ``length`` bytes (at least 8) which also starts earlier.
 
     Texts are taken as UTF-8 bytes; matches never cross documents; earlier means a smaller ``doc_id``, or the same document and an earlier
