@@ -38,7 +38,7 @@ def replay_ttl(requests: DataFrame, key: str, ts: str, ttl: float, tie: str) ->
     Which miss wrote an entry depends on all earlier ones of the key, so each key's requests pass in order through one function; a key's
     history is read as a stream of batches and only the time of its entry is kept. Keys are grouped into hash partitions.
     """
-    ordered = requests.withColumn("sec", F.col(ts).cast("double")).repartition(F.col(key)).sortWithinPartitions(key, "sec", tie)
+    ordered = requests.withColumn("sec", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).repartition(F.col(key)).sortWithinPartitions(key, "sec", tie)
     fields = ordered.schema
 
     def run(frames):
@@ -56,7 +56,7 @@ def replay_ttl(requests: DataFrame, key: str, ts: str, ttl: float, tie: str) ->
 
     from pyspark.sql.types import BooleanType, StructType
 
-    return ordered.mapInPandas(run, StructType(fields.fields).add("hit", BooleanType())).drop("sec")
+    return ordered.mapInPandas(run, StructType(list(fields.fields)).add("hit", BooleanType())).drop("sec")
 
 
 def hit_stats(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -98,7 +98,7 @@ def token_bucket(requests: DataFrame, key: str, ts: str, tie: str, capacity: flo
 
     A bucket's level depends on all earlier requests of its key; keys stream through in order and only one level is kept.
     """
-    ordered = requests.withColumn("sec", F.col(ts).cast("double")).repartition(F.col(key)).sortWithinPartitions(key, "sec", tie)
+    ordered = requests.withColumn("sec", F.unix_micros(F.col(ts).cast("timestamp")) / 1e6).repartition(F.col(key)).sortWithinPartitions(key, "sec", tie)
 
     def run(frames):
         now, level, last = None, capacity, 0.0
@@ -117,7 +117,7 @@ def token_bucket(requests: DataFrame, key: str, ts: str, tie: str, capacity: flo
 
     from pyspark.sql.types import BooleanType, DoubleType, StructType
 
-    schema = StructType(ordered.schema.fields).add("allowed", BooleanType()).add("retry_after", DoubleType())
+    schema = StructType(list(ordered.schema.fields)).add("allowed", BooleanType()).add("retry_after", DoubleType())
     return ordered.mapInPandas(run, schema).drop("sec")
 
 

@@ -65,9 +65,19 @@ def decontaminated(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
     return docs.join(contaminated_ids(docs, evals, n), "doc_id", "left_anti")
 
 
+def word_ngrams(docs: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Distinct word n-grams of each text as ``g``.
+
+    Words are a column of their own, or every n-gram would split the text again; and the outer form of explode keeps Spark from
+    inferring a filter on the array's size, which it would push below that column.
+    """
+    words = docs.select(*keys, T.words(F.col("text")).alias("w"))
+    return words.select(*keys, F.explode_outer(F.array_distinct(T.ngrams(F.col("w"), n))).alias("g")).where("g is not null")
+
+
 def contaminated_ids(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
-    grams = evals.select(F.explode(F.array_distinct(T.ngrams(T.words(F.col("text")), n))).alias("g")).distinct().withColumn("h", F.xxhash64("g"))
-    mine = docs.select("doc_id", F.explode(F.array_distinct(T.ngrams(T.words(F.col("text")), n))).alias("g")).withColumn("h", F.xxhash64("g"))
+    grams = word_ngrams(evals, [], n).distinct().withColumn("h", F.xxhash64("g"))
+    mine = word_ngrams(docs, ["doc_id"], n).withColumn("h", F.xxhash64("g"))
     return mine.join(grams, ["h", "g"], "left_semi").select("doc_id").distinct()
 
 
@@ -88,8 +98,9 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, ra
     Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must meet those of a partner.
     Candidates are verified on whole sets. The pairs are the result here; ``keep_first`` needs no more.
     """
-    sets = docs.select("doc_id", F.array_distinct(F.transform(T.ngrams(T.words(F.col("text")), n), lambda g: F.xxhash64(g))).alias("s")).where(F.size("s") > 0)
-    tokens = sets.select("doc_id", F.size("s").alias("m"), F.explode("s").alias("t"))
+    words = docs.select("doc_id", T.words(F.col("text")).alias("w"))
+    sets = words.select("doc_id", F.array_distinct(F.transform(T.ngrams(F.col("w"), n), lambda g: F.xxhash64(g))).alias("s"))
+    tokens = sets.select("doc_id", F.size("s").alias("m"), F.explode_outer("s").alias("t")).where("t is not null")
     frequency = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ranked = tokens.join(frequency, "t").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "t")))
     prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * threshold) + 1) & (F.col("df") > 1)).select("doc_id", "m", "t")

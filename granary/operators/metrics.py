@@ -66,23 +66,22 @@ def f1(precision: Column, recall: Column) -> Column:
     return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
 
 
-def token_f1(prediction: Column, reference: Column) -> Column:
-    """Token overlap F1; 0 if either side is empty."""
-    p, r = T.answer_tokens(prediction), T.answer_tokens(reference)
+def token_f1(p: Column, r: Column) -> Column:
+    """Token overlap F1 of two columns of answer tokens; 0 if either side is empty."""
     same = overlap(p, r)
     return F.when((F.size(p) > 0) & (F.size(r) > 0), f1(same / F.size(p), same / F.size(r))).otherwise(F.lit(0.0))
 
 
-def claim_support(claim: Column, chunk: Column) -> Column:
-    """Multiset recall of a claim's content words in a chunk."""
-    need = T.content_tokens(claim)
-    return F.coalesce(F.try_divide(overlap(need, T.content_tokens(chunk)), F.size(need)), F.lit(0.0))
+def claim_support(need: Column, held: Column) -> Column:
+    """Multiset recall of a claim's content words in those of a chunk; both are columns of tokens."""
+    return F.coalesce(F.try_divide(overlap(need, held), F.size(need)), F.lit(0.0))
 
 
 def faithfulness(answers: DataFrame, chunks: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Share of the claims of ``answers(qid, text)`` that some chunk of ``chunks(qid, text)`` supports."""
-    parts = answers.select("qid", F.posexplode(T.claims(F.col("text"))).alias("pos", "claim"))
-    scored = parts.join(chunks.select("qid", F.col("text").alias("chunk")), "qid", "left").groupBy("qid", "pos").agg(F.max(F.coalesce(claim_support(F.col("claim"), F.col("chunk")), F.lit(0.0))).alias("s"))
+    parts = answers.select("qid", F.posexplode_outer(T.claims(F.col("text"))).alias("pos", "claim")).where("claim is not null").select("qid", "pos", T.content_tokens(F.col("claim")).alias("need"))
+    held = chunks.select("qid", T.content_tokens(F.col("text")).alias("held"))
+    scored = parts.join(held, "qid", "left").groupBy("qid", "pos").agg(F.max(F.coalesce(claim_support(F.col("need"), F.col("held")), F.lit(0.0))).alias("s"))
     return scored.groupBy("qid").agg(F.avg((F.col("s") >= threshold).cast("double")).alias("faithfulness"), F.count("*").alias("claims"))
 
 

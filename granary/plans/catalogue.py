@@ -149,7 +149,8 @@ def word_freq(spark, d):
 
 @query("SELECT g, count(*) AS n FROM (SELECT unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(list_slice(w, i, i + 2), ' '))) AS g FROM (SELECT regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM benchmark) WHERE len(w) >= 3) GROUP BY g")
 def ngram_freq(spark, d):
-    return table(spark, d, "benchmark").select(F.explode(T.ngrams(T.words(F.col("text")), 3)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    words = table(spark, d, "benchmark").select(T.words(F.col("text")).alias("w"))
+    return words.select(F.explode_outer(T.ngrams(F.col("w"), 3)).alias("g")).where("g is not null").groupBy("g").agg(F.count("*").alias("n"))
 
 
 @query()
@@ -315,8 +316,8 @@ def weighted_fusion(spark, d):
 
 def qrels(spark, d) -> DataFrame:
     """Documents that share a 13-gram with an item."""
-    grams = lambda t, key: t.select(key, F.explode(F.array_distinct(T.ngrams(T.words(F.col("text")), 13))).alias("g"))
-    return grams(table(spark, d, "benchmark"), "item_id").join(grams(docs(spark, d), "doc_id"), "g").select(F.col("item_id").alias("qid"), "doc_id").distinct()
+    mine, others = curate.word_ngrams(table(spark, d, "benchmark"), ["item_id"], 13), curate.word_ngrams(docs(spark, d), ["doc_id"], 13)
+    return mine.join(others, "g").select(F.col("item_id").alias("qid"), "doc_id").distinct()
 
 
 _QRELS = """bw AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM benchmark),
@@ -482,7 +483,8 @@ def turn_pairs(spark, d) -> DataFrame:
 
 @query()
 def token_f1(spark, d):
-    return turn_pairs(spark, d).select("conv_id", "turn", F.round(metrics.token_f1(F.col("reply"), F.col("text")), 6).alias("f1"))
+    tokens = turn_pairs(spark, d).select("conv_id", "turn", T.answer_tokens(F.col("reply")).alias("p"), T.answer_tokens(F.col("text")).alias("r"))
+    return tokens.select("conv_id", "turn", F.round(metrics.token_f1(F.col("p"), F.col("r")), 6).alias("f1"))
 
 
 @query()
