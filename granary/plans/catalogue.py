@@ -179,13 +179,13 @@ def _stable(found: DataFrame) -> DataFrame:
     return found.select("qid", "doc_id", F.round("score", 9).alias("score"))
 
 
-@query(_bm_sql(1.5, 10, "SELECT qid, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"))
+@query(_bm_sql(1.5, 10, "SELECT qid, doc_id, rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= {k}"))
 def bm25_topk(spark, d):
     found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60)), 10)
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query(_bm_sql(1.2, 10, "SELECT qid, doc_id, rank, round(score, 6) AS score FROM r WHERE rank <= {k} AND score > 0"))
+@query(_bm_sql(1.2, 10, "SELECT qid, doc_id, rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= {k} AND score > 0"))
 def bm25_eval_variant(spark, d):
     found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60, k1=1.2).where("score > 0")), 10)
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
