@@ -11,8 +11,6 @@ are unique, rare or frequent in the corpus, for some 4 bytes and 2 bits each.
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,21 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .worker import enter, tidy
 
 BLOCK_BYTES = 2 << 20
 _BLOCK = "block_id long, doc_ids array<long>, sizes array<long>, data binary, extra array<string>"
 
 
-def tidy() -> None:
-    """Give memory that a task has freed back to the system; workers live on and would keep it."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 class Blocks:
     """The table of blocks of one corpus."""
 
@@ -77,6 +66,7 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | No
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
+        enter("blocks")
         pid, made = TaskContext.get().partitionId(), 0
         ids: list[int] = []
         texts: list[bytes] = []

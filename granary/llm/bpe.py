@@ -23,6 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .worker import enter, keeps
+
 CACHE_ENTRIES = 200_000
 
 
@@ -236,7 +238,9 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
     sha = hashlib.sha256
 
     def run(batches):
+        enter("bpe")
         bpe = load(held.value)
+        keeps("bpe", _loaded.cache_clear)
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import graph, scratch
+from .worker import enter, keeps
 
 #: Tokens of at most so many documents are rare.
 RARE = 32
@@ -54,6 +55,8 @@ def _shingles_of(words: np.ndarray, n: int) -> np.ndarray:
 
 def block_sets(block: dict, n: int, only: list[int] | None = None) -> dict[int, np.ndarray]:
     """Shingle sets of a block's documents, by their place in the block."""
+    enter("jaccard")
+    keeps("jaccard", _hashes.clear)
     data, starts, out = block["data"].tobytes(), block["starts"], {}
     for i in range(len(block["ids"])) if only is None else only:
         words = data[starts[i] : starts[i + 1]].lower().split()  # ASCII only: A-Z, and the six white-space bytes

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from . import scratch
 from .bpe import PLAIN_CHARS, read_vocabulary
+from .worker import enter, keeps
 
 #: Entries of a worker's tables, about 200 bytes each.
 RUN_ENTRIES, WORD_ENTRIES = 800_000, 400_000
@@ -164,6 +165,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     def tokenize(batches):
         from pyspark import TaskContext
 
+        enter("packing")
+        keeps("packing", _loaded.cache_clear)
         source = held.value
         own = _loaded(hashlib.sha256(source.encode()).hexdigest(), source)
         found: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}

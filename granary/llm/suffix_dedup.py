@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import scratch
+from .worker import enter
 
 GRAM = 32
 _CHUNK = 1 << 16
@@ -122,6 +123,7 @@ class Prepared:
     """A block's anchors grouped by gram and by context."""
 
     def __init__(self, block: dict, length: int):
+        enter("suffix")
         self.block, self.length = block, length
         self.anchors = a = Anchors(block["data"], block["starts"], length)
         self.first, self.last = a.first, a.last
@@ -440,6 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     marks = B.gathered(runs.groupBy("part").applyInArrow(merge_runs, B.SIDE), "marks")
 
     def cut(batches):
+        enter("suffix")
         for block in B.rows(batches):
             data, starts = block["data"], block["starts"]
             spans = np.frombuffer(b"".join(m["blob"] for m in block["marks"] or []), "<i8").reshape(-1, 2)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import bpe as B
+from .worker import enter, keeps
 
 _CONTRACTION = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 #: Unicode's White_Space property.
@@ -106,6 +107,11 @@ class PrefixCounter:
 _counters: dict[int, PrefixCounter] = {}
 
 
+def forget() -> None:
+    _counters.clear()
+    B._loaded.cache_clear()
+
+
 def counter(source: str) -> PrefixCounter:
     vocabulary = B.load(source)
     return _counters.setdefault(id(vocabulary), PrefixCounter(vocabulary))
@@ -122,7 +128,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
     held = spark.sparkContext.broadcast(B.read_vocabulary(tokenizer_path))
 
     def run(batches):
+        enter("counts")
         own = counter(held.value)
+        keeps("counts", forget)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = [own.count(t) for t in texts]
