@@ -8,12 +8,16 @@ from pyspark.sql.window import Window
 
 
 def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buckets: int = 64) -> DataFrame:
-    """``start``: the sum of all earlier values, over a global order.
+    """``start``: the sum of all earlier values, over a global order of a numeric column.
 
-    Two levels instead of one unpartitioned window: rows are range-partitioned on the order, sums of whole partitions (one row each)
-    become their offsets, and within a partition a window adds up. Materialise the input if its order isn't deterministic.
+    Two levels instead of one unpartitioned window: quantiles of the order, found first, cut it into ranges; sums of whole ranges (one row
+    each) become their offsets, and a window adds up within each. A row's range depends on its value alone, so both levels agree
+    even where a plan is computed twice. Raise ``buckets`` with the data.
     """
-    ranged = lengths.repartitionByRange(buckets, order).withColumn("part", F.spark_partition_id())
+    shares = [i / buckets for i in range(1, buckets)]
+    found = lengths.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<long>")
+    ranged = lengths.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col(order))))
     sums = ranged.groupBy("part").agg(F.sum(value).alias("s"))
     offsets = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
     w = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
