@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from granary.functions import text as T
 from granary.functions import vector as V
-from granary.operators import ann, cache, chunking, curate, guard, metrics, packing, retrieval, stats, tokenizer
+from granary.operators import ann, cache, chunking, curate, guard, metrics, packing, report, retrieval, routing, stats, tokenizer, training
 from granary.plans import relational
 from granary.sources.readers import table
 
@@ -690,6 +690,51 @@ def bpe_train_encode(spark, d):
     return coded.select("doc_id", "n_tokens", "n_bytes")
 
 
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'empty' WHEN 1 THEN 'cut' WHEN 2 THEN 'repeated' ELSE 'off_topic' END AS mode, CASE p_partkey % 4 WHEN 0 THEN '' WHEN 1 THEN substr(p_name, 1, 10) WHEN 2 THEN p_name || ' ' || p_name ELSE 'I would rather talk about something else.' END AS rejected FROM part")
+def preference_pairs(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("prompt"), F.col("p_name").alias("answer"))
+    return training.preference_pairs(rows, "p_partkey").select("p_partkey", "mode", "rejected")
+
+
+@query(f"WITH l AS (SELECT len({_SPACED}) AS n FROM documents) SELECT sum(ceil(n / 16))::BIGINT AS blocks, (sum(ceil(n / 16) * 16) - sum(n))::BIGINT AS wasted, round(count(*) * 2048 / sum(ceil(n / 16) * 16), 6) AS amplification FROM l")
+def block_fragmentation(spark, d):
+    return training.block_report(lengths(spark, d)).select(F.col("blocks").cast("long").alias("blocks"), F.col("wasted").cast("long").alias("wasted"), F.round("amplification", 6).alias("amplification"))
+
+
+@query()
+def sft_packing(spark, d):
+    words = table(spark, d, "conversations").where("role <> 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), F.transform(T.words(F.col("text")), lambda w: F.pmod(F.xxhash64(w), F.lit(30_000)).cast("int")).alias("ids"))
+    return training.pack_examples(words.withColumn("completion_start", F.floor(F.size("ids") / 2).cast("int")), 256, 0).select("row", F.size(F.filter("labels", lambda x: x != training.IGNORE)).alias("supervised"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'purchase' THEN 'search_web' ELSE 'calculate' END AS tool, event_type <> 'purchase' AS allowed FROM events")
+def tool_gate(spark, d):
+    calls = table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "purchase", "search_web").otherwise("calculate").alias("tool"), F.lit("user").alias("provenance"), F.lit("in_domain").alias("route"))
+    return routing.authorize(calls).select("event_id", "tool", "allowed")
+
+
+@query()
+def query_rewrite(spark, d):
+    return table(spark, d, "benchmark").select("item_id", routing.rewrite(F.substring("text", 1, 80), F.col("text"), F.col("item_id") % 2).alias("query"))
+
+
+@query()
+def rendered_context(spark, d):
+    found = arms(spark, d)["bm25"].where("rank <= 3").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return routing.render_context(found)
+
+
+@query()
+def stable_hashes(spark, d):
+    return table(spark, d, "part").select("p_partkey", routing.stable_hash(F.col("p_name")).alias("h"))
+
+
+@query()
+def paired_comparison(spark, d):
+    both, rel = arms(spark, d), qrels(spark, d)
+    return report.compare(metrics.ranking_metrics(both["bm25"], rel, 10), metrics.ranking_metrics(both["sparse"], rel, 10), "ndcg")
+
+
 @query()
 def curated_corpus(spark, d):
     return curate.curate(docs(spark, d), table(spark, d, "benchmark"), ["mit", "cc-by-4.0", "apache-2.0"]).select("doc_id", "text")

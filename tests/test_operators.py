@@ -84,3 +84,22 @@ def test_cache_keys_and_prefix(spark):
     a = spark.createDataFrame([(1, [1, 2, 3]), (2, [9])], "qid long, tokens array<int>")
     b = spark.createDataFrame([(1, [1, 2, 4])], "entry long, tokens array<int>")
     assert {r.qid: r.matched for r in cache.longest_prefix(a, b).collect()} == {1: 2, 2: 0}
+
+
+def test_example_packing(spark):
+    from granary.operators import training
+
+    rows = spark.createDataFrame([(1, [5, 6, 7], 1), (2, [8, 9], 1), (3, [4], 1)], "doc_id long, ids array<int>, completion_start int")
+    got = {r.row: (r.ids, r.labels) for r in training.pack_examples(rows, 3, 0).collect()}
+    assert got == {0: ([5, 6, 7, 8], [-100, 6, 7, -100]), 1: ([9, 4, 0, 0], [9, -100, -100, -100])}
+
+
+def test_crossing_and_hash(spark):
+    from granary.operators import routing, training
+
+    run = spark.createDataFrame([("a", 0, 0.0), ("a", 10, 1.0), ("a", 20, 0.0), ("b", 0, 0.1)], "run string, step int, value double")
+    assert [tuple(r) for r in training.first_crossing(run, 0.5).collect()] == [("a", 5.0)]
+    h = 0x811C9DC5
+    for b in "héllo".encode():
+        h = (h ^ b) * 0x01000193 % (1 << 32)
+    assert spark.createDataFrame([("héllo",)], "t string").select(routing.stable_hash(F.col("t"))).first()[0] == h
