@@ -1,3 +1,6 @@
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,6 +75,14 @@ def test_injection(spark):
     assert {r.doc_id: r.flagged for r in guard.scan_injection(docs).collect()} == {1: True, 2: False, 3: False}
 
 
+def test_injection_cases(spark):
+    cases = json.loads((Path(__file__).parent / "injection_cases.json").read_text())
+    docs = spark.createDataFrame([(c["id"], c["payload"]) for c in cases], "doc_id string, text string")
+    flagged = {r.doc_id: r.flagged for r in guard.scan_injection(docs).collect()}
+    assert len(cases) == 52 and flagged == {c["id"]: c["label"] == "attack" for c in cases}
+    assert len(guard.INJECTION_PATTERNS) == 40 and len({f for f, _, _ in guard.INJECTION_PATTERNS}) == 9
+
+
 def test_tokenizer_round_trip(spark):
     docs = spark.createDataFrame([(1, "low lower lowest low low"), (2, "naïve 日本 low")], "doc_id long, text string")
     own = tokenizer.Tokenizer(tokenizer.train(docs, 20))
