@@ -83,6 +83,15 @@ def test_injection_cases(spark):
     assert len(guard.INJECTION_PATTERNS) == 40 and len({f for f, _, _ in guard.INJECTION_PATTERNS}) == 9
 
 
+def test_personal_data(spark):
+    texts = ["call (555) 123-4567 or +1 212.555.0187", "ghp_" + "a1" * 10 + " AKIA" + "Z" * 16 + " sk-" + "b" * 16, "4111 1111 1111 1111, 4111111111111112; 4111111111111111", "1@x.org 123-45-6789 10.0.0.1", "calm", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = docs.select("doc_id", guard.redact(F.col("text")).alias("text"), *[c.alias(k) for k, c in guard.pii_counts(F.col("text")).items()]).orderBy("doc_id").collect()
+    assert [(r.phone, r.api_key, r.credit_card) for r in rows[:5]] == [(2, 0, 0), (0, 3, 0), (0, 0, 2), (0, 0, 0), (0, 0, 0)]
+    phone, key, card = ("[REDACTED:" + k + "]" for k in ("phone", "api_key", "credit_card"))
+    assert [r.text for r in rows] == [f"call {phone} or {phone}", f"{key} {key} {key}", f"{card}, 4111111111111112; {card}", "[REDACTED:email] [REDACTED:ssn] [REDACTED:ipv4]", "calm", None]
+
+
 def test_tokenizer_round_trip(spark):
     docs = spark.createDataFrame([(1, "low lower lowest low low"), (2, "naïve 日本 low")], "doc_id long, text string")
     own = tokenizer.Tokenizer(tokenizer.train(docs, 20))
