@@ -1,6 +1,6 @@
-"""Byte-pair tokenizers trained on word frequencies: training on the driver, encoding as an Arrow function.
+"""Byte-pair tokenizers trained on word frequencies: training over all pre-tokens, encoding as an Arrow function.
 
-Counting pre-tokens is the distributed part; merges are learnt from the counts of the most frequent pre-tokens, a bounded table.
+Counting pre-tokens and their pairs of symbols is the distributed part; the driver holds a count for each pair of symbols, never the pre-tokens.
 """
 
 from __future__ import annotations
@@ -11,19 +11,77 @@ import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as T
+from granary.operators.curate import _ensure_checkpoint
 
 _PATTERN = T.PRETOKEN_PATTERN.removeprefix("(?U)")
 
 
-def train(docs: DataFrame, merges: int = 256, kinds: int = 100_000) -> list[tuple[int, int]]:
-    """Merges in order, from the ``kinds`` most frequent pre-tokens; ties go to the smaller pair."""
+def train(docs: DataFrame, merges: int = 256) -> list[tuple[int, int]]:
+    """Merges in order, from all pre-tokens; ties go to the smaller pair.
+
+    A word is a string with a character for each symbol, so that a merge is a replacement. Only words that hold a merged pair are counted
+    again. A round makes every merge that :func:`_certain` allows; words are cut from their lineage after some merges.
+    """
+    if merges > 0xD800 - 256:
+        raise ValueError("too many merges for a character each")
+    _ensure_checkpoint(docs.sparkSession)
     counts = docs.select(F.explode(T.pretokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "token").limit(kinds).collect()
-    return learn({tuple(r["token"].encode()): r["n"] for r in rows}, merges)
+    words = counts.select(F.decode(F.encode("token", "UTF-8"), "ISO-8859-1").alias("w"), "n").where(F.length("w") > 1).checkpoint()
+    pairs: Counter[tuple[int, int]] = Counter()
+    _add(pairs, words.select(F.explode(_pairs(F.col("w"))).alias("pair"), "n"))
+    out: list[tuple[int, int]] = []
+    pending = 0
+    while len(out) < merges and (batch := _certain(pairs, merges - len(out))):
+        old, new, held = F.col("w"), F.col("w"), F.lit(False)
+        for pair in batch:
+            text = "".join(map(chr, pair))
+            held = held | F.contains(old, F.lit(text))
+            new = F.replace(new, F.lit(text), F.lit(chr(256 + len(out))))
+            out.append(pair)
+        if len(out) == merges:
+            break
+        changed = words.where(held).select("w", new.alias("v"), "n")
+        gone = changed.select(F.explode(_pairs(F.col("w"))).alias("pair"), (-F.col("n")).alias("n"))
+        come = changed.select(F.explode(_pairs(F.col("v"))).alias("pair"), "n")
+        _add(pairs, gone.unionByName(come))
+        words, pending = words.select(new.alias("w"), "n").where(F.length("w") > 1), pending + len(batch)
+        if pending >= 8:
+            words, pending = words.checkpoint(), 0
+    return out
+
+
+def _pairs(word: Column) -> Column:
+    """Neighbouring characters of a string of two or more; none of a shorter one."""
+    chars = F.split(word, "")
+    return F.filter(F.zip_with(F.slice(chars, 1, F.size(chars) - 1), F.slice(chars, 2, F.size(chars)), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())
+
+
+def _add(pairs: Counter[tuple[int, int]], found: DataFrame) -> None:
+    for row in found.groupBy("pair").agg(F.sum("n").alias("n")).where("n <> 0").collect():
+        pair = (ord(row["pair"][0]), ord(row["pair"][1]))
+        pairs[pair] += row["n"]
+        if not pairs[pair]:
+            del pairs[pair]
+
+
+def _certain(pairs: Counter[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """The next merge, and those after it whose place no earlier one of them can change.
+
+    A merge of (a, b) changes the counts of pairs that end with a or begin with b only, and no new pair is more frequent than one of those.
+    So pairs follow in order as long as they are more frequent than all that are changed so far.
+    """
+    order = sorted(pairs, key=lambda p: (-pairs[p], p))
+    out, limit = [], 0
+    for a, b in order[:most]:
+        if out and pairs[a, b] <= limit:
+            break
+        out.append((a, b))
+        limit = max([limit] + [n for p, n in pairs.items() if p[1] == a or p[0] == b])
+    return out
 
 
 def learn(words: dict[tuple[int, ...], int], merges: int) -> list[tuple[int, int]]:

@@ -686,7 +686,7 @@ def stratified_sample(spark, d):
 @query()
 def bpe_train_encode(spark, d):
     every = docs(spark, d)
-    coded = tokenizer.encode(every, tokenizer.train(every, merges=64, kinds=5000))
+    coded = tokenizer.encode(every, tokenizer.train(every, merges=64))
     return coded.select("doc_id", "n_tokens", "n_bytes")
 
 

@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import cache, chunking, guard, packing, tokenizer
+from granary.operators import cache, chunking, curate, guard, packing, tokenizer
 
 
 def test_fixed_chunks(spark):
@@ -100,6 +100,19 @@ def test_tokenizer_round_trip(spark):
     assert len(own.encode(" low")) == 1
 
 
+def test_training_counts_every_pretoken(spark, tmp_path, monkeypatch):
+    from granary.plans import catalogue
+
+    few, many = ([a + b + c + end for a in letters for b in letters for c in letters] for letters, end in (("abcdefghijklmnopqr", "zj"), ("abcdefghijklmnopqrstuvwxy", "QZ")))
+    texts = [" ".join(few), " ".join(few), " ".join(many), "aaaa aaaaa abab naïve 日本 日本", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    used, encode = [], tokenizer.encode
+    monkeypatch.setattr(tokenizer, "encode", lambda docs, merges: used.append(merges) or encode(docs, merges))
+    catalogue.bpe_train_encode(spark, str(tmp_path))
+    counts = {tuple(r["token"].encode()): r["n"] for r in curate.word_frequencies(catalogue.docs(spark, str(tmp_path))).collect()}
+    assert len(few) > 5000 and used[0][0] == tuple(b"QZ") and used[0] == tokenizer.learn(counts, 64)
+
+
 def test_cache_keys_and_prefix(spark):
     a = spark.createDataFrame([(1, [1, 2, 3]), (2, [9])], "qid long, tokens array<int>")
     b = spark.createDataFrame([(1, [1, 2, 4])], "entry long, tokens array<int>")
