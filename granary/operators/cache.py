@@ -124,13 +124,18 @@ def token_bucket(requests: DataFrame, key: str, ts: str, tie: str, capacity: flo
 def longest_prefix(requests: DataFrame, entries: DataFrame) -> DataFrame:
     """Longest shared token prefix of each request with any entry: ``qid, matched``.
 
-    Every prefix is named by a hash that grows token by token; prefixes meet in an equi-join.
+    Every prefix is named by a hash that is chained token by token; prefixes meet in an equi-join. Of entries, only as many tokens are read
+    as the longest request has.
     """
     def prefixes(table: DataFrame, key: str) -> DataFrame:
-        grown = F.expr("transform(sequence(1, size(tokens)), n -> struct(n as n, xxhash64(slice(tokens, 1, n)) as h))")
-        return table.where(F.size("tokens") > 0).select(key, F.explode(grown).alias("p")).select(key, "p.n", "p.h")
-
-    mine = prefixes(requests, "qid").join(prefixes(entries, "entry").select("n", "h").distinct(), ["n", "h"], "left_semi")
+        # The hashes of all prefixes so far; the last one and the next token give the next.
+        chained = F.reduce("tokens", F.array(F.lit(42).cast("long")), lambda hs, t: F.concat(hs, F.array(F.xxhash64(F.element_at(hs, -1), t))))
+        named = table.where(F.size("tokens") > 0).select(key, F.posexplode(F.slice(chained, 2, F.size("tokens"))).alias("n", "h"))
+        return named.select(key, (F.col("n") + 1).alias("n"), "h")
+
+    longest = requests.agg(F.max(F.size("tokens"))).first()[0] or 0
+    cut = entries.withColumn("tokens", F.slice("tokens", 1, max(longest, 0)))
+    mine = prefixes(requests, "qid").join(prefixes(cut, "entry").select("n", "h").distinct(), ["n", "h"], "left_semi")
     found = mine.groupBy("qid").agg(F.max("n").alias("matched"))
     return requests.select("qid").join(found, "qid", "left").select("qid", F.coalesce("matched", F.lit(0)).alias("matched"))
 

@@ -613,8 +613,8 @@ def semantic_operating_point(spark, d):
 
 @query()
 def radix_prefix_match(spark, d):
-    words = table(spark, d, "benchmark").select("item_id", F.slice(T.words(F.col("text")), 1, 32).alias("tokens"))
-    some = docs(spark, d).select(F.col("doc_id").alias("entry"), F.slice(T.words(F.col("text")), 1, 32).alias("tokens"))
+    words = table(spark, d, "benchmark").select("item_id", T.words(F.col("text")).alias("tokens"))
+    some = docs(spark, d).select(F.col("doc_id").alias("entry"), T.words(F.col("text")).alias("tokens"))
     return cache.longest_prefix(words.withColumnRenamed("item_id", "qid"), some)
 
 

@@ -119,6 +119,15 @@ def test_cache_keys_and_prefix(spark):
     assert {r.qid: r.matched for r in cache.longest_prefix(a, b).collect()} == {1: 2, 2: 0}
 
 
+def test_prefix_match_reads_whole_items(spark, tmp_path):
+    from granary.plans import catalogue
+
+    words = [f"w{i}" for i in range(50)]
+    spark.createDataFrame([(1, " ".join(words)), (2, "other"), (3, " ".join(words[1:]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, " ".join(words[:45] + ["x"] * 200)), (2, " ".join(words[:40])), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.qid: r.matched for r in catalogue.radix_prefix_match(spark, str(tmp_path)).collect()} == {1: 45, 2: 0, 3: 0}
+
+
 def test_example_packing(spark):
     from granary.operators import training
 
