@@ -111,24 +111,34 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, ra
     return scored.where(F.col("similarity") >= threshold)
 
 
-def keep_first(docs: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
+def keep_first(docs: DataFrame, pairs: DataFrame, small: int = 200_000) -> DataFrame:
     """Documents kept in order of ``doc_id``: one is kept unless an earlier *kept* one is its near duplicate.
 
     Rounds of a lexicographically first independent set: keep what has no undecided earlier neighbour, drop its later neighbours. A chain
-    a ~ b ~ c keeps a and c. Each round is cut by a checkpoint in the session's shared folder.
+    a ~ b ~ c keeps a and c. Each round is cut by a checkpoint in the session's shared folder. Rounds go on until no pair is undecided, or
+    at most ``small`` are, which one pass in order decides: a long chain takes a round for every two documents.
     """
     spark = docs.sparkSession
     _ensure_checkpoint(spark)
-    edges = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     dropped = spark.createDataFrame([], "doc_id long")
-    for _ in range(rounds):
-        if edges.isEmpty():
+    rounds = 0
+    while left := edges.limit(small + 1).count():
+        if left <= small:
+            gone: set[int] = set()
+            for a, b in sorted(edges.select("a", "b").collect()):
+                if a not in gone:
+                    gone.add(b)
+            dropped = dropped.unionByName(spark.createDataFrame([(b,) for b in sorted(gone)], "doc_id long"))
             break
         later = edges.select(F.col("b").alias("doc_id")).distinct()
         heads = edges.select(F.col("a").alias("doc_id")).join(later, "doc_id", "left_anti").distinct()
         out = edges.join(heads.withColumnRenamed("doc_id", "a"), "a", "left_semi").select(F.col("b").alias("doc_id")).distinct().checkpoint()
         dropped = dropped.unionByName(out)
         edges = edges.join(out.withColumnRenamed("doc_id", "a"), "a", "left_anti").join(out.withColumnRenamed("doc_id", "b"), "b", "left_anti").join(heads.withColumnRenamed("doc_id", "a"), "a", "left_anti").checkpoint()
+        rounds += 1
+        if rounds % 20 == 0:
+            dropped = dropped.checkpoint()
     return docs.join(dropped, "doc_id", "left_anti")
 
 

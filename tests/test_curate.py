@@ -26,6 +26,12 @@ def test_near_duplicates_keep_first_along_a_chain(spark):
     assert sorted(r[0] for r in curate.keep_first(every, chain).select("doc_id").collect()) == [0, 2]
 
 
+def test_near_duplicates_keep_first_along_a_long_chain(spark):
+    kept = lambda n, **more: sorted(r[0] for r in curate.keep_first(spark.range(n).withColumnRenamed("id", "doc_id"), spark.range(n - 1).selectExpr("id AS a", "id + 1 AS b"), **more).select("doc_id").collect())
+    assert kept(400) == list(range(0, 400, 2))
+    assert kept(110, small=0) == list(range(0, 110, 2))
+
+
 def test_near_duplicate_pairs(spark):
     base = " ".join(f"w{i}" for i in range(200))
     near = base.replace("w100", "x")
