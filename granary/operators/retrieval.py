@@ -38,6 +38,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, with_zero: bool = False) -> DataFrame:
     """BM25 with idf ``ln((N - df + 0.5) / (df + 0.5) + 1)``; a repeated query term counts as often.
 
+    Scores have nine digits before they are ranked, so that sums in another order rank alike.
     ``with_zero``: documents without a query term rank too, with 0; they only fill up lists shorter than k, so only the first k
     documents by id can be needed.
     """
@@ -50,7 +51,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: f
     hits = index.join(_small(terms.join(df, "term")), "term").crossJoin(F.broadcast(stats))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("qid", "doc_id").agg(F.sum(F.col("qn") * idf * weight).alias("score"))
+    scored = hits.groupBy("qid", "doc_id").agg(F.round(F.sum(F.col("qn") * idf * weight), 9).alias("score"))
     if with_zero:
         fill = docs.select("doc_id").orderBy("doc_id").limit(k)
         pairs = queries.select("qid").crossJoin(F.broadcast(fill)).join(scored.select("qid", "doc_id"), ["qid", "doc_id"], "left_anti")

@@ -42,10 +42,15 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark items as queries: their first six words."""
+    """Benchmark items as queries of those searches that have SQL, which takes their first six words."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
 
 
+def whole_items(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items as queries: their whole texts."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
+
+
 def vecs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("v"), "label")
 
@@ -181,13 +186,13 @@ def _stable(found: DataFrame) -> DataFrame:
 
 @query(_bm_sql(1.5, 10, "SELECT qid, doc_id, rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= {k}"))
 def bm25_topk(spark, d):
-    found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60)), 10)
+    found = retrieval.bm25(docs(spark, d), items(spark, d), k=10)
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(_bm_sql(1.2, 10, "SELECT qid, doc_id, rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= {k} AND score > 0"))
 def bm25_eval_variant(spark, d):
-    found = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), k=60, k1=1.2).where("score > 0")), 10)
+    found = retrieval.bm25(docs(spark, d), items(spark, d), k=10, k1=1.2).where("score > 0")
     return found.select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -287,9 +292,9 @@ def late_interaction(spark, d):
     return _ranked(retrieval.late_interaction(tokens, wanted, 12))
 
 
-def arms(spark, d) -> dict[str, DataFrame]:
-    lexical = retrieval.top(_stable(retrieval.bm25(docs(spark, d), items(spark, d), 30)), 20)
-    sparse = retrieval.sparse_search(retrieval.sparse_weights(docs(spark, d), "doc_id"), retrieval.sparse_weights(items(spark, d), "qid"), 20)
+def arms(spark, d, queries=items) -> dict[str, DataFrame]:
+    lexical = retrieval.bm25(docs(spark, d), queries(spark, d), 20)
+    sparse = retrieval.sparse_search(retrieval.sparse_weights(docs(spark, d), "doc_id"), retrieval.sparse_weights(queries(spark, d), "qid"), 20)
     return {"bm25": lexical, "sparse": sparse}
 
 
@@ -347,7 +352,7 @@ def metrics_by_category(spark, d):
 
 @query()
 def fusion_grid(spark, d):
-    return retrieval.tune_weights(arms(spark, d), qrels(spark, d), steps=2, k=10)
+    return retrieval.tune_weights(arms(spark, d, whole_items), qrels(spark, d), steps=2, k=10)
 
 
 @query(f"""{_ARMS}, qs AS (SELECT qid, list_distinct(list(term)) AS s FROM q GROUP BY qid), ds AS (SELECT doc_id, list_distinct(w) AS s FROM t),
@@ -359,7 +364,7 @@ def rerank_jaccard(spark, d):
 
 @query()
 def rerank_listwise(spark, d):
-    return retrieval.rerank_listwise(arms(spark, d)["bm25"], docs(spark, d), items(spark, d), 5)
+    return retrieval.rerank_listwise(arms(spark, d, whole_items)["bm25"], docs(spark, d), whole_items(spark, d), 5)
 
 
 _SPACED = "regexp_extract_all(text, '[^\\s\\x{85}\\x{A0}\\x{2028}\\x{2029}]+')"
@@ -720,7 +725,7 @@ def query_rewrite(spark, d):
 
 @query()
 def rendered_context(spark, d):
-    found = arms(spark, d)["bm25"].where("rank <= 3").join(docs(spark, d).select("doc_id", "text"), "doc_id")
+    found = arms(spark, d, whole_items)["bm25"].where("rank <= 3").join(docs(spark, d).select("doc_id", "text"), "doc_id")
     return routing.render_context(found)
 
 
@@ -731,7 +736,7 @@ def stable_hashes(spark, d):
 
 @query()
 def paired_comparison(spark, d):
-    both, rel = arms(spark, d), qrels(spark, d)
+    both, rel = arms(spark, d, whole_items), qrels(spark, d)
     return report.compare(metrics.ranking_metrics(both["bm25"], rel, 10), metrics.ranking_metrics(both["sparse"], rel, 10), "ndcg")
 
 
@@ -743,6 +748,6 @@ def curated_corpus(spark, d):
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of the documents that pass the quality filter, searched by BM25 and by term weights for every benchmark item, fused by rank."""
     chunks = chunking.fixed(curate.filter_quality(docs(spark, d)), 128, 32).select((F.col("doc_id") * 10_000 + F.col("idx")).alias("doc_id"), "text")
-    wanted = items(spark, d)
+    wanted = whole_items(spark, d)
     sparse = retrieval.sparse_search(retrieval.sparse_weights(chunks, "doc_id"), retrieval.sparse_weights(wanted, "qid"), 20)
     return retrieval.reciprocal_rank_fusion({"bm25": retrieval.bm25(chunks, wanted, 20), "sparse": sparse}, 60, 10)

@@ -15,6 +15,21 @@ def test_bm25_by_hand(spark):
     assert got[1, 1] == pytest.approx(1.2867181013832312)
 
 
+def test_bm25_rounds_before_the_cut(spark):
+    docs = spark.createDataFrame([(0, "b c d"), (1, "b c")], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "b")], "qid long, text string")
+    assert [r.doc_id for r in retrieval.bm25(docs, q, k=1, b=1e-12).collect()] == [0]
+
+
+def test_context_is_found_by_whole_items(spark, tmp_path):
+    from granary.plans import catalogue
+
+    spark.createDataFrame([(1, "a b c d e f target")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(7, "the target here"), (8, "nothing")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = catalogue.rendered_context(spark, str(tmp_path)).collect()
+    assert [r.qid for r in rows] == [1] and "the target here" in rows[0].context
+
+
 def test_zero_scores_fill_up(spark):
     docs = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "doc_id long, text string")
     q = spark.createDataFrame([(0, "b")], "qid long, text string")
