@@ -31,7 +31,8 @@ _WORDS = frozenset(
     "recommended recommendations widget widgets toolbar pagination pager login search alert alerts disclaimer paywall teaser teasers outbrain taboola".split()
 )
 _OWN = frozenset("article post entry content main story".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
+_VALUE = r"""=\s*(?>"[^"]*"|'[^']*'|[^\s"'>][^\s>]*)"""  # a ">" inside quotes ends no tag
+_TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?>[^>"'=]+|{_VALUE}|["'=])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -90,12 +91,6 @@ def parse(page: str) -> _Tree:
         if name is None:
             continue
         tag, attrs, closing = name.lower(), m[3], m[1] == "/"
-        if attrs and (attrs.count('"') % 2 or attrs.count("'") % 2 and '"' not in attrs):  # a ">" inside quotes
-            quote = '"' if attrs.count('"') % 2 else "'"
-            stop = page.find(quote, at)
-            more = page.find(">", stop) if 0 <= stop < at + 2000 else -1
-            if more >= 0:
-                attrs, at = attrs + page[at - 1 : more], more + 1
         if closing:
             if tag == "p" and "p" not in {tree.tag[i] for i in stack[1:]}:
                 if not dropped:

@@ -127,6 +127,11 @@ def test_html():
     assert html_extract.extract("plain") == "plain"
 
 
+def test_html_long_attribute_values():
+    value = "{a > b} 'c' " * 400
+    assert html_extract.extract(f'<body><div data-x="{value}"><p>Text of the article.</p></div><p title=it\'s>More &gt; text.</p></body>').split("\n") == ["Text of the article.", "More > text."]
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "é" * 10)], "page_id long, url string, html string").selectExpr("*", "url as text")
     rows = html_extract.extract_pages(pages).collect()
