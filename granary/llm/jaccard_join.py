@@ -246,7 +246,7 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
     final = graph.components(found.unionByName(more))
 
     rows = every.join(classes, "digest", "left").join(final.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class", "left")
-    return table, rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "uid").alias("comp"))
+    return table, rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "uid").alias("comp"), "digest")
 
 
 def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
@@ -266,12 +266,13 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: i
 def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
     """``docs`` with one document of each component of :func:`similar_documents`: the one with the least ``doc_id``, and one row of it if rows repeat.
 
+    Rows that share a ``doc_id`` but not their set of shingles are different documents: one of each component stays.
     All columns come back (those besides ``doc_id`` and ``text`` must be of types that JSON can hold). Texts are not shuffled.
     """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
     table, rows = _classified(docs, percent, n, cluster, rare, carry)
-    kept = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "uid")).alias("k")).select("k.uid", "k.doc_id")
-    kept = kept.groupBy("doc_id").agg(F.min("uid").alias("uid"))  # a repeated row without words is a component of its own
+    kept = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "uid", "digest")).alias("k")).select("k.uid", "k.doc_id", "k.digest")
+    kept = kept.groupBy("doc_id", "digest").agg(F.min("uid").alias("uid"))  # a repeated row without words is a component of its own
     places = kept.select(F.floor(F.col("uid") / (1 << 20)).alias("block_id"), F.pmod("uid", F.lit(1 << 20)).cast("int").alias("at"))
     places = places.groupBy("block_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
 

@@ -112,6 +112,13 @@ def test_keep_one(spark):
     assert jaccard_join.keep_one(docs.where("false")).count() == 0
 
 
+def test_keep_one_of_unlike_texts_with_one_id(spark):
+    one, other = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, one), (1, other), (1, one), (2, other), (3, ""), (3, None), (4, "")]
+    kept = jaccard_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 80, 5).collect()
+    assert sorted((r.doc_id, r.text or "") for r in kept) == [(1, one), (1, other), (3, ""), (4, "")]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (40, 40), (60, 60)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges).collect()}
