@@ -96,6 +96,37 @@ def test_packing(spark):
     assert len(used) <= 1.1 * -(-total // 64)
 
 
+@pytest.mark.parametrize("weigh", [True, False])
+def test_sum_of_squares_equals_trying_every_place(weigh):
+    for seed in range(30):
+        rng = random.Random(seed)
+        capacity = rng.choice([5, 12, 30])
+        sizes = [rng.randint(1, capacity) for _ in range(120)]
+        bins, offsets, gaps = packing.pack(np.array(sizes), capacity, weigh)
+        left = []  # gap of each bin
+        for size, b, offset in zip(sizes, bins.tolist(), offsets.tolist(), strict=True):
+            ways = {}
+            for at, gap in [*enumerate(left), (len(left), capacity)]:
+                if gap >= size:
+                    after = [*left[:at], gap - size, *left[at + 1 :]]
+                    ways[at] = sum(sum(g == h for g in after) ** 2 for h in range(1, capacity))
+            if not weigh and len(ways) > 1:
+                del ways[len(left)]
+            if b == len(left):
+                left.append(capacity)
+            assert ways[b] == min(ways.values()) and offset == capacity - left[b]
+            left[b] -= size
+        assert gaps.tolist() == left
+
+
+def test_packing_edges(spark):
+    rows = [(-(1 << 63), "x"), (None, "y"), (None, None), (3, ""), (3, ""), (4, "long word " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as piece", "'a' as start", "2 as sequence_id", "0 as settled")
+    got = packing.pack_documents(docs, WORD, capacity=2048, together=2).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.piece, r.length) for r in got) == [(False, -(1 << 63), 0, 2), (False, 3, 0, 1), (False, 3, 0, 1), *((False, 4, k, min(2048, 10001 - 2048 * k)) for k in range(5)), (True, 0, 0, 1), (True, 0, 0, 2)]
+    assert packing.pack_documents(docs.where("false"), WORD).collect() == []
+
+
 def test_url_rules(spark):
     urls = ["https://a.b.com/en/x", "http://EXAMPLE.com/en/7?q#f", "https://example.com/en/8", "http://www.example.net/de/8/z", "http://x.net/de/1", "ftp://notcom/en/", "http://com/en/", "http://a.org?/es/", "plain", None, "", "://", "http://evilexample.com/en/7"]
     rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
