@@ -35,7 +35,7 @@ class PrefixCounter:
         found = self.tables.get(word)
         if found is None:
             counts = self.bpe.prefix_counts(word.encode())
-            found = bytes(counts) if counts[-1] < 256 else tuple(counts)
+            found = bytes(counts) if max(counts) < 256 else tuple(counts)  # a prefix may have more tokens than the whole
             if len(word) <= 64:
                 if len(self.tables) >= B.CACHE_ENTRIES:
                     self.tables.clear()
@@ -122,7 +122,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 512, id_col:
 
     A row for each row of ``docs``: the id column, ``n_bytes`` long, ``n_tokens`` long, ``over_limit`` boolean (more than
     ``limit`` tokens) and, if ``keep_prefix``, ``prefix_counts`` array<int> (by code points) and ``within`` string (the
-    longest prefix within the limit). A null text counts as empty. Only the two columns named are read.
+    longest prefix within the limit). A null or empty text has 0 tokens, repeated rows stay repeated, a null id stays null, an empty table gives no rows; texts and
+    pre-tokens may be of any length. Only the two columns named are read, so others can't clash.
     """
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(B.read_vocabulary(tokenizer_path))
