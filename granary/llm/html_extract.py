@@ -2,8 +2,9 @@
 
 Every node of the DOM gets the number of characters per tag below it, adjusted for links: a node whose text is mostly link
 text counts for little. A node's density sum is the sum of its children's densities. The subtree with the largest sum is the
-article; the least density on its path to ``body`` is the threshold that siblings of the same kind must reach to belong to
-it. Elements that can't be article text (menus, forms, adverts, comments and the like) are taken out before counting.
+article; the least density on its path to ``body`` is the threshold that blocks beside that path must reach to belong to
+it. Elements that can't be article text (menus, forms, adverts, comments and the like) are taken out before counting; among what is left
+tags decide ties only.
 """
 
 from __future__ import annotations
@@ -60,30 +61,61 @@ class _Tree:
     """Nodes in page order, as parallel lists; node 0 is the root."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.attrs, self.last = ["#root"], [-1], [""], [0]
-        self.chars, self.tags, self.link_chars, self.link_tags = [0], [0], [0], [0]
+        self.tag, self.parent, self.attrs = ["#root"], [-1], [""]
         self.texts: list[tuple[int, str]] = []  # (node, text), or (node, "") where a block begins or ends
 
     def add(self, tag: str, parent: int, attrs: str) -> int:
         self.tag.append(tag)
         self.parent.append(parent)
         self.attrs.append(attrs)
-        for column in (self.chars, self.tags, self.link_chars, self.link_tags, self.last):
-            column.append(0)
         return len(self.tag) - 1
 
 
+class _Open:
+    """Open elements: a stack of nodes with the depths of each tag's, so that no question needs a walk down the stack."""
+
+    def __init__(self) -> None:
+        self.nodes, self.tags = [0], ["#root"]
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.nodes)
+
+    def last(self, *tags: str) -> int:
+        """Depth of the innermost open element of some tags, 0 if there is none."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def push(self, node: int, tag: str) -> None:
+        depth = len(self.nodes)
+        self.nodes.append(node)
+        self.tags.append(tag)
+        self.depths.setdefault(tag, []).append(depth)
+        if tag in _BLOCK:
+            self.blocks.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close elements down to a depth, which is closed too."""
+        while len(self.nodes) > depth:
+            self.nodes.pop()
+            self.depths[self.tags.pop()].pop()
+        while self.blocks and self.blocks[-1] >= depth:
+            self.blocks.pop()
+
+
+_WALLS = ("table", "td", "article", "main", "body")
+
+
 def parse(page: str) -> _Tree:
     """A tree of the elements that may hold article text. Unclosed and stray tags are taken as browsers do, roughly."""
-    tree, stack, at, n = _Tree(), [0], 0, len(page)
+    tree, open_, at, n = _Tree(), _Open(), 0, len(page)
     dropped = 0  # depth of the stack where an unwanted element began, 0: none
-    articles = 0
     texts = tree.texts
     while at < n:
         m = _TOKEN.search(page, at)
         end = m.start() if m else n
         if end > at and not dropped:
-            texts.append((stack[-1], page[at:end]))
+            texts.append((open_.nodes[-1], page[at:end]))
         if not m:
             break
         at = m.end()
@@ -92,57 +124,45 @@ def parse(page: str) -> _Tree:
             continue
         tag, attrs, closing = name.lower(), m[3], m[1] == "/"
         if closing:
-            if tag == "p" and "p" not in {tree.tag[i] for i in stack[1:]}:
+            depth = open_.last(tag)
+            if depth and (tag in _BLOCK or depth >= open_.last(*_WALLS)):
+                open_.cut(depth)
+            elif tag == "p":
                 if not dropped:
-                    texts.append((stack[-1], ""))
+                    texts.append((open_.nodes[-1], ""))
                 continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] == tag:
-                    articles -= sum(tree.tag[i] in ("article", "main") for i in stack[depth:])
-                    del stack[depth:]
-                    break
-                if tree.tag[stack[depth]] in ("table", "td", "article", "main", "body") and tag not in _BLOCK:
-                    break
-            if dropped and len(stack) <= dropped:
+            if dropped and len(open_) <= dropped:
                 dropped = 0
             elif not dropped and tag in _BLOCK:
-                texts.append((stack[-1], ""))
+                texts.append((open_.nodes[-1], ""))
             continue
-        if tag in ("html", "body") and any(tree.tag[i] == tag for i in stack):
+        if tag in ("html", "body") and open_.last(tag):
             continue
         if tag in _BLOCK:  # a block ends an open paragraph
-            for depth in range(len(stack) - 1, max(dropped, 0), -1):
-                if tree.tag[stack[depth]] == "p":
-                    del stack[depth:]
-                    break
-                if tree.tag[stack[depth]] in _BLOCK:
-                    break
+            depth = open_.last("p")
+            if depth > dropped and depth == open_.blocks[-1]:
+                open_.cut(depth)
         if tag in _ENDS:
             kinds, walls = _ENDS[tag]
-            for depth in range(len(stack) - 1, max(dropped, 0), -1):
-                if tree.tag[stack[depth]] in walls:
-                    break
-                if tree.tag[stack[depth]] in kinds:
-                    del stack[depth:]
-                    break
-        if tag == "body" and dropped and tree.tag[stack[dropped]] == "head":
-            del stack[dropped:]
+            depth = open_.last(*kinds)
+            if depth > dropped and depth > open_.last(*walls):
+                open_.cut(depth)
+        if tag == "body" and dropped and open_.tags[dropped] == "head":
+            open_.cut(dropped)
             dropped = 0
         if tag in _RAW:
             close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = close.end() if close else n
             continue
-        node = tree.add(tag, stack[-1], attrs)
+        node = tree.add(tag, open_.nodes[-1], attrs)
         if tag in _VOID or attrs.endswith("/") and tag not in _BLOCK:
             if not dropped and (tag == "br" or tag == "hr"):
-                texts.append((stack[-1], " " if tag == "br" else ""))
+                texts.append((open_.nodes[-1], " " if tag == "br" else ""))
             continue
-        stack.append(node)
-        if tag in ("article", "main"):
-            articles += 1
+        open_.push(node, tag)
         if not dropped:
-            if _unwanted(tag, attrs, articles > 0):
-                dropped = len(stack) - 1
+            if _unwanted(tag, attrs, open_.last("article", "main") > 0):
+                dropped = len(open_) - 1
                 tree.attrs[node] = None
                 if tag in _BLOCK:
                     texts.append((tree.parent[node], ""))
@@ -151,42 +171,105 @@ def parse(page: str) -> _Tree:
     return tree
 
 
-def densities(tree: _Tree) -> tuple[list[float], list[float]]:
-    """Composite density and density sum of every node."""
-    n = len(tree.tag)
-    keep = [True] * n
+class Counts:
+    """Characters (without white space), tags, characters in links and links of every node's subtree; unwanted ones count nothing."""
+
+    def __init__(self, tree: _Tree):
+        n = len(tree.tag)
+        self.keep = [True] * n
+        for i in range(1, n):
+            self.keep[i] = self.keep[tree.parent[i]] and tree.attrs[i] is not None
+        self.chars, self.tags, self.link_chars, self.link_tags = [0] * n, [0] * n, [0] * n, [0] * n
+        for node, text in tree.texts:
+            self.chars[node] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            if self.keep[i]:
+                self.tags[i] += tree.tag[i] not in ("br", "wbr")
+                if tree.tag[i] == "a":
+                    self.link_tags[i] += 1
+            if tree.tag[i] == "a":
+                self.link_chars[i] = self.chars[i]
+            p = tree.parent[i]
+            self.chars[p] += self.chars[i]
+            self.tags[p] += self.tags[i]
+            self.link_chars[p] += self.link_chars[i]
+            self.link_tags[p] += self.link_tags[i]
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite density of a node: characters per tag, times how much more text than link text it holds; ``ratio``: link characters to characters of the page.
+
+    The second factor is the logarithm of ``chars / link_chars * tags / link_tags`` in a base that grows with the node's share of link text.
+    """
+    if not chars:
+        return 0.0
+    tags, more = max(1, tags), chars / max(1, link_chars) * max(1, tags) / max(1, link_tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + ratio * chars + math.e)
+    if base <= 1.0:  # no links anywhere: the natural logarithm
+        return chars / tags * math.log(max(math.e, more))
+    return chars / tags * max(0.0, math.log(max(1.0, more)) / math.log(max(base, 1.0 + 1e-9)))
+
+
+def densities(tree: _Tree) -> tuple[Counts, list[float], list[float]]:
+    """Counts, composite density and density sum of every node."""
+    c, n = Counts(tree), len(tree.tag)
+    ratio = c.link_chars[0] / c.chars[0] if c.chars[0] else 0.0
+    own = [density(c.chars[i], c.tags[i], c.link_chars[i], c.link_tags[i], ratio) if c.keep[i] else 0.0 for i in range(n)]
+    total = [0.0] * n
     for i in range(1, n):
-        keep[i] = keep[tree.parent[i]] and tree.attrs[i] is not None
-    for node, text in tree.texts:
-        tree.chars[node] += len("".join(text.split()))
+        total[tree.parent[i]] += own[i]
+    return c, own, total
+
+
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
+_TEXTUAL = _HEADINGS | frozenset("p blockquote pre ul ol dl table figure".split())
+
+
+def select(tree: _Tree) -> set[int]:
+    """The nodes whose subtrees are the article.
+
+    The subtree with the largest density sum is chosen among nodes that hold blocks (a paragraph's inline elements make no article); ties go to ``article`` and
+    ``main`` and then to the earlier one. Beside its path to ``body``, blocks whose density reaches the least one of the path belong to it
+    if they are text blocks or of the same kind as the path's node there, each with its own subtree of the largest sum; so do
+    blocks between two that belong and a heading right before one. A page without blocks is chosen whole.
+    """
+    counts, own, total = densities(tree)
+    n = len(tree.tag)
+    if not counts.chars[0]:
+        return set()
+    children: dict[int, list[int]] = {}
     for i in range(1, n):
-        if keep[i]:
-            tree.tags[i] = tree.tag[i] not in ("br", "wbr")
-            if tree.tag[i] == "a":
-                tree.link_tags[i] = 1
+        if counts.chars[i] and counts.keep[i] and tree.tag[i] in _BLOCK:
+            children.setdefault(tree.parent[i], []).append(i)
+    rank = lambda i: (total[i], tree.tag[i] in ("article", "main"), -i)
+    best = max((i for i in children if i == 0 or tree.tag[i] in _BLOCK), key=rank, default=0)
+    path, i = [], best
+    while i >= 0 and tree.tag[i] not in ("html", "#root"):
+        path.append(i)
+        i = tree.parent[i]
+    threshold = min((own[i] for i in path), default=0.0)
+    last = list(range(n))  # the last node of each subtree
     for i in range(n - 1, 0, -1):
-        if tree.tag[i] == "a":
-            tree.link_chars[i] = tree.chars[i]
-        p = tree.parent[i]
-        tree.chars[p] += tree.chars[i]
-        tree.tags[p] += tree.tags[i]
-        tree.link_chars[p] += tree.link_chars[i]
-        tree.link_tags[p] += tree.link_tags[i]
-    ratio = tree.link_chars[0] / tree.chars[0] if tree.chars[0] else 0.0
-    density, total = [0.0] * n, [0.0] * n
-    for i in range(n):
-        c = tree.chars[i]
-        if not c or not keep[i]:
+        last[tree.parent[i]] = max(last[tree.parent[i]], last[i])
+    chosen = {best}
+    for inner in path:
+        beside = children.get(tree.parent[inner], [])
+        if tree.parent[inner] < 0 or inner not in beside:
             continue
-        t, lc, lt = max(1, tree.tags[i]), max(1, tree.link_chars[i]), max(1, tree.link_tags[i])
-        base = math.log(c / max(1, c - tree.link_chars[i]) * tree.link_chars[i] + ratio * c + math.e)
-        density[i] = c / t * max(0.0, math.log(max(1.0, c / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9)) if base > 1.0 else math.log(max(math.e, c / lc * t / lt)))
-    for i in range(1, n):
-        total[tree.parent[i]] += density[i]
-    for i in range(n - 1, -1, -1):
-        if total[i] == 0.0:
-            total[i] = density[i]  # a leaf stands for itself
-    return density, total
+        kind = tree.tag[inner], tree.attrs[inner]
+        taken = [c for c in beside if c == inner or own[c] >= threshold and (tree.tag[c] in _TEXTUAL or (tree.tag[c], tree.attrs[c]) == kind)]
+        first, final = beside.index(taken[0]), beside.index(taken[-1])
+        while first and tree.tag[beside[first - 1]] in _HEADINGS:
+            first -= 1
+        marked = set(taken)
+        for c in beside[first : final + 1]:
+            if c == inner:
+                continue
+            if c not in marked or tree.tag[c] in _TEXTUAL:
+                chosen.add(c)  # between blocks that belong, a heading, or a text block: all of it
+            else:
+                chosen.add(max((j for j in range(c, last[c] + 1) if j in children), key=rank, default=c))
+    return chosen
 
 
 def extract(page: str | None) -> str:
@@ -194,33 +277,11 @@ def extract(page: str | None) -> str:
     if not page:
         return ""
     tree = parse(page)
-    density, total = densities(tree)
-    if not tree.chars[0]:
+    chosen = select(tree)
+    if not chosen:
         return ""
-    n = len(tree.tag)
-    best = max(range(n), key=lambda i: (total[i] if tree.chars[i] else -1.0, -i))
-    regions = [i for i in range(n) if tree.tag[i] in ("article", "main") and tree.chars[i]]
-    ancestors, i = [], best
-    while i >= 0:
-        ancestors.append(i)
-        i = tree.parent[i]
-    inside = next((i for i in ancestors if tree.tag[i] == "article"), None)
-    if inside is None:
-        inside = next((i for i in ancestors if tree.tag[i] == "main"), None)
-    if inside is not None:
-        chosen = {inside}
-    elif regions and 5 * max(tree.chars[i] for i in regions) >= tree.chars[best]:
-        chosen = {max(regions, key=lambda i: (total[i], -i))}
-    else:
-        while best > 0 and (tree.tag[best] not in _BLOCK or tree.tag[best] in ("p", "li", "td", "blockquote", "pre") and tree.parent[best] > 0 and tree.tag[tree.parent[best]] not in ("body", "html")):
-            best = tree.parent[best]
-            if tree.tag[best] in ("body", "html", "#root"):
-                break
-        threshold = min((density[i] for i in ancestors if tree.tag[i] not in ("#root", "html")), default=0.0)
-        same = lambda i: tree.parent[i] == tree.parent[best] and tree.tag[i] == tree.tag[best] and tree.attrs[i] == tree.attrs[best] and density[i] >= threshold
-        chosen = {best} | {i for i in range(1, n) if same(i)}
-    within = [False] * n
-    for i in range(n):
+    within = [False] * len(tree.tag)
+    for i in range(len(within)):
         within[i] = i in chosen or i > 0 and within[tree.parent[i]]
     blocks, current = [], []
     for node, text in tree.texts:
@@ -239,7 +300,8 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_id, url, text, n_chars`` for each row of ``pages``, from the whole HTML (null: empty text).
 
-    ``n_chars`` counts code points. Repeated rows stay repeated; columns that aren't named are not read.
+    ``n_chars`` counts code points. Repeated rows stay repeated, null ids and urls stay null, an empty table gives no rows; pages, attributes and nesting may be of any
+    length, the work grows with it in proportion. Columns that aren't named are not read, so they can't clash.
     """
 
     def run(batches):
