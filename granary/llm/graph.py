@@ -1,8 +1,8 @@
 """Connected components of an edge table, by alternating large-star and small-star rounds.
 
-Each round is two aggregations with map-side minima and two equi-joins; nothing is gathered per node, so
-a node with a third of all edges costs no more than its rows. The number of rounds grows with the
-logarithm of the longest path.
+Each round is two aggregations with map-side minima and two equi-joins; nothing is gathered per node, and the edges of
+the busiest nodes are dealt over several tasks, so a node with a third of all edges is no task of its own. The number of rounds
+grows with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import scratch
+from .deal import join_dealt
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,13 +21,15 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current = scratch.materialize(pairs, "edges")
+    if not current.head(1):
+        return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     seen = None
     for _ in range(max_rounds):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_dealt(both.where("b > a"), least, ["a"], "n", F.col("b")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        root = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = join_dealt(large, root, ["a"], "n", F.col("b")).select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e"))
         following = scratch.materialize(small.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct(), "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         scratch.discard(current)
