@@ -2,7 +2,8 @@
 
 Every URL is expanded into its host suffixes combined with those prefixes of its path whose lengths some
 rule has. The expressions meet the rules in an equi-join on a short prefix of their SHA-256; a match must
-then agree in the full digest. Among the confirmed rules of a URL the longest wins.
+then agree in the full digest. Among the confirmed rules of a URL the longest wins. URLs with the same host and
+beginning of a path are expanded once; what was found goes back to them in a join that deals popular ones over several tasks.
 
 Only built-in DataFrame functions run here.
 """
@@ -12,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .deal import join_dealt
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules are broadcast up to this many rows; beyond it the join shuffles both sides.
 BROADCAST_RULES = 200_000
@@ -52,7 +55,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     if not count:
         return urls.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     longest = max(lengths)
-    keys = urls.select("host", F.substring("path", 1, max(longest, 1)).alias("lead")).where("host <> ''").distinct()
+    urls = urls.withColumn("lead", F.substring("path", 1, max(longest, 1)))
+    keys = urls.where("host <> ''").groupBy("host", "lead").agg(F.count("*").alias("urls"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("lead")), lambda n: F.expr("lead").substr(F.lit(1), n))
@@ -61,9 +65,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     side = F.broadcast(rules) if count <= BROADCAST_RULES else rules
     hits = expanded.join(side, "short").where("full = digest")
     best = hits.groupBy("host", "lead").agg(
-        F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("action") == "block").alias("b"), "r_host", "r_path", "action")).alias("best")
+        F.max("urls").alias("urls"),
+        F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"), (F.col("action") == "block").alias("b"), "r_host", "r_path", "action")).alias("best"),
     )
-    joined = urls.withColumn("lead", F.substring("path", 1, max(longest, 1))).join(best, ["host", "lead"], "left")
+    joined = join_dealt(urls, best, ["host", "lead"], "urls", F.struct("id", "path"), "left", keys)
     return joined.select(F.col("id").alias(id_col), "host", "path", F.concat("best.r_host", "best.r_path").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
 
