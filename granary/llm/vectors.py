@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,26 +14,26 @@ def dimension(table: DataFrame, vector_col: str) -> int:
     return found["n"] if found else 0
 
 
-def usable(table: DataFrame, id_col: str, vector_col: str, dim: int, carry: str | None = None) -> DataFrame:
-    """``id, x`` (the vector as 64-bit floats) and ``carry`` as ``c`` for rows with a non-null id and a vector of ``dim`` finite components, not all zero."""
+def marked(table: DataFrame, id_col: str, vector_col: str, dim: int, carry: Column) -> DataFrame:
+    """``id, x, c`` for every row: the vector as 64-bit floats and ``carry`` as a long; ``x`` is null unless the id and ``carry`` are not null and the vector has ``dim`` finite components, not all zero."""
 
     def run(batches):
         for batch in batches:
             lists = batch.column(1)
             sizes = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
             fit = (sizes == dim) & ~lists.is_null().to_numpy(zero_copy_only=False) & ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+            fit &= ~batch.column(2).is_null().to_numpy(zero_copy_only=False)
             rows = np.flatnonzero(fit)
-            taken = batch.take(pa.array(rows))
-            values = taken.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
+            values = lists.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), dim)
             good = np.isfinite(values).all(axis=1) & (values != 0).any(axis=1)  # a null component has become NaN
             values = np.where(values == 0, 0.0, values)  # no negative zeros: equal vectors have equal bytes
-            yield pa.RecordBatch.from_arrays(
-                [taken.column(0).filter(pa.array(good)), pa.array([v.tobytes() for v in values[good]], pa.binary()), *[c.filter(pa.array(good)) for c in taken.columns[2:]]],
-                ["id", "x", *(["c"] if carry else [])],
-            )
+            out: list[bytes | None] = [None] * len(batch)
+            for i, v in zip(rows[good].tolist(), values[good], strict=True):
+                out[i] = v.tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), batch.column(2)], ["id", "x", "c"])
 
-    source = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), *([F.col(carry).cast("long").alias("c")] if carry else []))
-    return source.mapInArrow(run, "id long, x binary" + ", c long" * bool(carry))
+    source = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), carry.cast("long").alias("c"))
+    return source.mapInArrow(run, "id long, x binary, c long")
 
 
 def matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
