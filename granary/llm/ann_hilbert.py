@@ -1,12 +1,13 @@
 """Nearest neighbours by shifted space-filling curves.
 
 Vectors are projected on a few random directions, several times with other directions and offsets; each time their place
-on a Hilbert curve orders them. Spark range-partitions every ordering; a query looks at the rows in its own block of the
-order and the two next to it. The candidates of all curves are merged and reranked on the original vectors.
+on a Hilbert curve orders them. Spark range-partitions every ordering; a query looks at the rows within a window around its own
+place. The candidates of all curves are merged and reranked on the original vectors.
 
-What the windows can't see is bounded: a block of the first curve can be skipped for a query if even the best vector
-that its centre and radius allow is worse than the query's last neighbour so far. Blocks that can't be skipped are
-scored too, so the result is exact; clustered data skips most blocks, data without structure none.
+How wide the window must be depends on the data, so it is measured: for some queries, taken by hash, the true neighbours are found by one pass over all
+rows, and the distances between their places and the query's say which number of curves and which window reach the recall asked for
+at the least cost. Clustered data needs narrow windows however many rows there are; vectors without structure need
+windows that hold a share of all rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import scratch, vectors
+from .deal import join_dealt
 
 BITS = 10
 
@@ -63,85 +65,122 @@ def curve_keys(x: np.ndarray, spread: float, number: int, projected: int, seed:
     return hilbert_keys(np.clip(scaled * (1 << BITS), 0, (1 << BITS) - 1))
 
 
-def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k best, best first, ties to the smaller id."""
-    if len(ids) > 4 * k:
+def _best(ties: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best, best first, ties to the smaller of ``ties``."""
+    if len(ties) > 4 * k:
         cut = np.partition(scores, len(scores) - k)[len(scores) - k]
         rows = np.flatnonzero(scores >= cut)
     else:
-        rows = np.arange(len(ids))
-    return rows[np.lexsort((ids[rows], -scores[rows]))[:k]]
+        rows = np.arange(len(ties))
+    return rows[np.lexsort((ties[rows], -scores[rows]))[:k]]
 
 
-_PART = "query long, ids array<long>, scores array<double>"
+_PART = "query long, ids array<long>, ties array<long>, scores array<double>"
 
 
-def _parts(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
-    return pa.table({"query": pa.array([f[0] for f in found], pa.int64()), "ids": pa.array([f[1] for f in found], pa.list_(pa.int64())), "scores": pa.array([f[2] for f in found], pa.list_(pa.float64()))})
+def _parts(found: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> pa.Table:
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64())]
+    return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate(zip(("query", "ids", "ties", "scores"), kinds, strict=True))})
 
 
-def _score(query_ids, queries, ids, x, k, floors=None) -> list[tuple[int, np.ndarray, np.ndarray]]:
+def _score(query_ids, queries, ids, ties, x, k) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The k best rows of every query, with their inner products in double precision."""
     out = []
     for a in range(0, len(query_ids), 256):
         scores = queries[a : a + 256] @ x.T
         for j, row in enumerate(scores):
-            if floors is not None:
-                rows = np.flatnonzero(row >= floors[a + j])
-                if not len(rows):
-                    continue
-                top = rows[_best(ids[rows], row[rows], k)]
-            else:
-                top = _best(ids, row, k)
+            top = _best(ties, row, k)
             exact = np.array([float(np.dot(queries[a + j], v)) for v in x[top]])
-            out.append((int(query_ids[a + j]), ids[top], exact))
+            out.append((int(query_ids[a + j]), ids[top], ties[top], exact))
     return out
 
 
 def _merged(parts: DataFrame, k: int) -> DataFrame:
     """The k best of all parts of a query (a row each): its parts are a few short lists per curve and block."""
-    flat = parts.select("query", F.explode(F.arrays_zip("ids", "scores")).alias("z")).groupBy("query", F.col("z.ids").alias("id")).agg(F.max("z.scores").alias("score"))
-    ranked = flat.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id")))
+    flat = parts.select("query", F.explode(F.arrays_zip("ids", "ties", "scores")).alias("z")).groupBy("query", F.col("z.ids").alias("id"), F.col("z.ties").alias("tie")).agg(F.max("z.scores").alias("score"))
+    ranked = flat.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "tie", "id")))
     return ranked.where(F.col("r") <= k).drop("r")
 
 
+def _truth(classes: DataFrame, probes: list, dim: int, k: int) -> DataFrame:
+    """The k best classes for each of a few probes, by one pass over all: a task keeps one short list per probe."""
+    numbers = np.array([r["class"] for r in probes], np.int64)
+    held = classes.sparkSession.sparkContext.broadcast(np.array([np.frombuffer(r["x"], np.float64) for r in probes]).reshape(-1, dim))
+
+    def run(batches):
+        best: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(numbers)
+        for batch in batches:
+            for i, (_, ids, ties, scores) in enumerate(_score(numbers, held.value, batch.column(0).to_numpy(), batch.column(1).to_numpy(), vectors.matrix(batch.column(2), dim), k)):
+                a, b, c = (np.concatenate(p) for p in zip(best[i], (ids, ties, scores), strict=True))
+                top = _best(b, c, k)
+                best[i] = a[top], b[top], c[top]
+        yield from _parts([(int(n), *b) for n, b in zip(numbers.tolist(), best, strict=True)]).to_batches()
+
+    return _merged(classes.select("class", "least", "x").mapInArrow(run, _PART), k)
+
+
+def choose_windows(distances: np.ndarray, recall: float, total: int, least: int = 2) -> tuple[int, int]:
+    """Number of curves (``least`` or more) and half-window that reach a recall at the least cost; ``distances`` has a row for each pair of a query and its neighbour, a column for each curve."""
+    ways = []
+    for curves in range(min(least, distances.shape[1]), distances.shape[1] + 1):
+        near = np.sort(distances[:, :curves].min(axis=1))
+        half = int(near[max(0, int(np.ceil(recall * len(near))) - 1)]) if len(near) else 0
+        ways.append((curves * min(2 * half + 1, total), curves, half))
+    _, curves, half = min(ways)
+    return curves, half
+
+
+_RESULT = "query_id long, rank int, vec_id long, score double"
+
+
 def nearest(
-    table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 4, projected: int = 6, window: int = 2048, query_block: int = 8192, seed: int = 7, complete: bool = True
+    table: DataFrame, queries: str, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", curves: int = 4, projected: int = 6, recall: float = 0.97, probes: int = 128, window: int | None = None, block: tuple[int, int] = (256, 8192), query_rows: int = 8192, seed: int = 7
 ) -> DataFrame:
-    """The ``k`` nearest rows, by inner product in double precision, of each row for which the SQL condition ``queries`` holds.
+    """The ``k`` nearest rows found, by inner product in double precision, for each row for which the SQL condition ``queries`` holds.
 
     Returns ``query_id, rank, vec_id, score``; nearest first, ties to the smaller id, never the query's own row; fewer than k if there
     are fewer candidates. Rows with null ids, and vectors that are null, zero, of another length than most, or with null or
-    non-finite components take no part. Equal vectors are searched as one, with the k + 1 smallest of their ids (no more can
-    be among k), so a vector that a third of the rows hold costs one row. Rows that repeat an id count once.
-    ``complete=False`` leaves out the bounded second look and returns what the windows found.
+    non-finite components take no part. Rows that repeat an id and its vector count once; rows with the same id and different vectors
+    are rows of their own, as queries with a list each. Equal vectors are searched as one, with the k + 1 smallest of their ids (no more can
+    be among k), so a vector that a third of the rows hold costs one row. An empty table gives no rows. Columns that neither the condition nor the two names
+    mention are not read.
+
+    ``recall``: the share of true neighbours that windows must have held for ``probes`` queries; at most ``curves`` curves are used. ``window`` states
+    the number of places to either side instead; one as large as the table makes the search exact. ``block``: least and most rows scored in a task at once;
+    ``query_rows``: queries in a task, about.
     """
     dim = vectors.dimension(table, vector_col)
     spark = table.sparkSession
     if not dim:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = scratch.materialize(vectors.usable(table, id_col, vector_col, dim).dropDuplicates(["id", "x"]).withColumn("h", F.xxhash64("x")), "vectors")
+        return spark.createDataFrame([], _RESULT)
+    wanted = F.coalesce(F.expr(queries).cast("int"), F.lit(0))
+    rows = vectors.marked(table, id_col, vector_col, dim, wanted).where("x is not null").groupBy("id", "x").agg(F.max("c").alias("q"))
+    rows = scratch.materialize(rows.withColumn("h", F.xxhash64("x")), "vectors")
     first = rows.withColumn("r", F.row_number().over(Window.partitionBy("h", "x").orderBy("id"))).where(F.col("r") <= k + 1)
-    asked = rows.where(F.expr(queries.replace(id_col, "id"))).select("id", "h", "x")
-    classes = first.groupBy("h", "x").agg(F.min("id").alias("class"), F.sort_array(F.collect_list("id")).alias("members"))
-    has_query = asked.select("h", "x").distinct().withColumn("q", F.lit(True))
-    classes = scratch.materialize(classes.join(has_query, ["h", "x"], "left").select("class", "members", "x", F.coalesce("q", F.lit(False)).alias("q"), "h"), "classes")
+    classes = first.groupBy("h", "x").agg(F.min("id").alias("least"), F.sort_array(F.collect_list("id")).alias("members"))
+    asked = rows.where("q = 1").select("id", "h", "x")
+    asking = asked.groupBy("h", "x").agg(F.count("*").alias("asks"))
+    classes = classes.join(asking, ["h", "x"], "left").select(F.monotonically_increasing_id().alias("class"), "least", "members", "x", F.coalesce("asks", F.lit(0)).alias("asks"), "h")
+    classes = scratch.materialize(classes, "classes")
 
     def moments(batches):
         for batch in batches:
             x = vectors.matrix(batch.column(0), dim)
-            yield pa.RecordBatch.from_arrays([pa.array([float(len(x))]), pa.array([float((x * x).sum())])], ["n", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([float(len(x))]), pa.array([float((x * x).sum())]), pa.array([float((batch.column(1).to_numpy() > 0).sum())])], ["n", "s", "a"])
 
-    n, squares = classes.select("x").mapInArrow(moments, "n double, s double").agg(F.sum("n"), F.sum("s")).first()
-    spread = float(np.sqrt(squares / max(n, 1) / dim)) or 1.0
+    n, squares, n_asked = classes.select("x", "asks").mapInArrow(moments, "n double, s double, a double").agg(F.sum("n"), F.sum("s"), F.sum("a")).first()
+    if not n_asked:
+        return spark.createDataFrame([], _RESULT)
+    spread = float(np.sqrt(squares / n / dim)) or 1.0
 
     def keyed(batches):
         for batch in batches:
-            x = vectors.matrix(batch.column(1), dim)
+            x = vectors.matrix(batch.column(2), dim)
             for c in range(curves):
                 keys = curve_keys(x, spread, c, projected, seed) if len(x) else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c), pa.int32()), pa.array(keys, pa.int64()), *batch.columns], ["curve", "key", "class", "x", "q"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c), pa.int32()), pa.array(keys, pa.int64()), *batch.columns], ["curve", "key", *batch.schema.names])
 
-    ordered = classes.select("class", "x", "q").mapInArrow(keyed, "curve int, key long, class long, x binary, q boolean")
+    ordered = classes.select("class", "least", "x", (F.col("asks") > 0).alias("q")).mapInArrow(keyed, "curve int, key long, class long, least long, x binary, q boolean")
     parts = scratch.partitions(spark)
     ordered = ordered.repartitionByRange(parts, "curve", "key", "class").sortWithinPartitions("curve", "key", "class")
 
@@ -153,59 +192,49 @@ def nearest(
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(batch), pid), pa.int32()), pa.array(np.arange(at, at + len(batch)), pa.int64()), *batch.columns], ["pid", "at", *batch.schema.names])
             at += len(batch)
 
-    ordered = scratch.materialize(ordered.mapInArrow(numbered, "pid int, at long, curve int, key long, class long, x binary, q boolean"), "curves")
+    ordered = scratch.materialize(ordered.mapInArrow(numbered, "pid int, at long, curve int, key long, class long, least long, x binary, q boolean"), "curves")
     # Rows before each range partition: as many rows as there are partitions.
     sizes = ordered.groupBy("pid").agg(F.count("*").alias("n")).orderBy("pid").collect()
-    starts, total = [], 0
+    starts, before_all = [], 0
     for r in sizes:
-        starts.append((r["pid"], total))
-        total += r["n"]
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        starts.append((r["pid"], before_all))
+        before_all += r["n"]
+    total = before_all // curves
     before = spark.createDataFrame(starts, "pid int, before long")
-    ranked = ordered.join(F.broadcast(before), "pid").withColumn("block", F.floor((F.col("before") + F.col("at")) / window)).select("curve", "block", "class", "x", "q")
-    around = ranked.where("q").select("curve", F.explode(F.array(F.col("block") - 1, F.col("block"), F.col("block") + 1)).alias("block"), "class", "x", F.lit(True).alias("q"))
-    both = ranked.withColumn("q", F.lit(False)).unionByName(around)
+    ranked = ordered.join(F.broadcast(before), "pid").select("curve", (F.col("before") + F.col("at")).alias("place"), "class", "least", "x", "q")
+
+    used, half = curves, window
+    if window is None:
+        some = classes.where("asks > 0").orderBy(F.xxhash64("h", F.lit(seed)), "h", "least").limit(probes).select("class", "x").collect()
+        pairs = [(r["query"], r["id"]) for r in _truth(classes, some, dim, k + 1).select("query", "id").collect()]
+        named = spark.createDataFrame([(c,) for c in sorted({c for p in pairs for c in p})], "class long")  # at most probes * (k + 2) rows
+        places: dict[int, list[int]] = {}
+        for r in ranked.select("curve", "place", "class").join(F.broadcast(named), "class").collect():
+            places.setdefault(r["class"], [0] * curves)[r["curve"]] = r["place"]
+        apart = np.array([[abs(a - b) for a, b in zip(places[q], places[i], strict=True)] for q, i in pairs if q != i]).reshape(-1, curves)
+        used, half = choose_windows(apart, recall, total)
+    rows_at_once = int(np.clip(half // 8, *block))
+    reach = min(-(-half // rows_at_once), -(-total // rows_at_once))
+    met = n_asked / max(total, 1) * rows_at_once * (2 * reach + 1)  # queries that meet a block
+    groups = max(1, int(-(-met // query_rows)))
+    ranked = ranked.where(F.col("curve") < used).withColumn("block", F.floor(F.col("place") / rows_at_once))
+    near_blocks = F.explode(F.sequence(F.col("block") - reach, F.col("block") + reach)).alias("block")
+    around = ranked.where("q").select("curve", near_blocks, F.pmod(F.xxhash64("class"), F.lit(groups)).cast("int").alias("g"), "class", "least", "x", F.lit(True).alias("q"))
+    both = ranked.select("curve", "block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "least", "x", F.lit(False).alias("q")).unionByName(around)
 
     def windows(key, table):
-        q = np.array(table.column("q").to_pylist(), bool)
-        x, ids = vectors.matrix(table.column("x"), dim), table.column("class").to_numpy()
+        q = table.column("q").to_numpy()
         if not q.any() or q.all():
             return _parts([])
-        return _parts(_score(ids[q], x[q], ids[~q], x[~q], k + 1))
-
-    near = scratch.materialize(_merged(both.groupBy("curve", "block").applyInArrow(windows, _PART), k + 1), "windows")
-    best = near
-    if complete:
-        floors = near.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("least")).select("query", F.when(F.col("n") > k, F.col("least")).otherwise(float("-inf")).alias("floor"))
-        lone = classes.where("q").join(floors, F.col("class") == F.col("query")).select("class", "x", "floor", "h")
-        n_queries = lone.count()
-        groups, blocks = max(1, -(-n_queries // query_block)), -(-total // curves // window) + 1
-        bundled = lone.withColumn("g", F.pmod("h", F.lit(groups))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
-        data = ranked.where("curve = 0").select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "class", "x", F.lit(None).cast("double").alias("floor"))
-        mixed = data.unionByName(bundled.select("block", F.col("g").cast("int").alias("g"), "class", "x", "floor"))
-
-        def rest(key, table):
-            x, ids = vectors.matrix(table.column("x"), dim), table.column("class").to_numpy()
-            own = table.column("floor").is_null().to_numpy()
-            asks = ~own
-            if not own.any() or not asks.any():
-                return _parts([])
-            floor = table.column("floor").drop_null().to_numpy()
-            centre = x[own].mean(0)
-            radius = np.sqrt(((x[own] - centre) ** 2).sum(1).max())
-            q = x[asks]
-            bound = q @ centre + np.sqrt((q * q).sum(1)) * radius
-            open_ = np.flatnonzero(bound * (1 + 1e-12) + 1e-12 >= floor)
-            return _parts(_score(ids[asks][open_], q[open_], ids[own], x[own], k + 1, floor[open_] - 1e-12 * np.abs(floor[open_]) if len(open_) else floor))
-
-        more = mixed.groupBy("block", "g").applyInArrow(rest, _PART)
-        again = near.groupBy("query").agg(F.collect_list("id").alias("ids"), F.collect_list("score").alias("scores"))
-        best = _merged(more.unionByName(again), k + 1)
+        x, ids, ties = vectors.matrix(table.column("x"), dim), table.column("class").to_numpy(), table.column("least").to_numpy()
+        return _parts(_score(ids[q], x[q], ids[~q], ties[~q], x[~q], k + 1))
+
+    near = _merged(both.groupBy("curve", "block", "g").applyInArrow(windows, _PART), k + 1)
     # Back to rows: each query row gets the members of the classes nearest to its class.
     members = classes.select(F.col("class").alias("id"), "members")
-    lists = best.join(members, "id").groupBy("query").agg(F.collect_list(F.struct("score", "members")).alias("near"))
-    askers = asked.join(classes.select("h", "x", "class"), ["h", "x"]).select(F.col("id").alias("query_id"), F.col("class").alias("query"))
-    wide = askers.join(lists, "query").select("query_id", F.explode("near").alias("n")).select("query_id", F.col("n.score").alias("score"), F.explode("n.members").alias("vec_id")).where("vec_id <> query_id")
-    final = wide.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
+    lists = near.join(members, "id").groupBy("query").agg(F.collect_list(F.struct("score", F.col("id").alias("class"), "members")).alias("near"))
+    lists = scratch.materialize(lists.join(classes.where("asks > 0").select(F.col("class").alias("query"), "asks", "h", "x"), "query"), "windows")
+    wide = join_dealt(asked, lists, ["h", "x"], "asks", F.col("id")).select(F.col("id").alias("query_id"), "query", F.explode("near").alias("n"))
+    wide = wide.select("query_id", "query", F.col("n.class").alias("class"), F.col("n.score").alias("score"), F.explode("n.members").alias("vec_id")).where("vec_id <> query_id or class <> query")
+    final = wide.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return final.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
