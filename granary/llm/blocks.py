@@ -23,22 +23,26 @@ from . import scratch
 from .worker import enter, tidy
 
 BLOCK_BYTES = 2 << 20
+#: Text whose hashes one task counts, about a tenth of it in bytes.
+PART_BYTES = 256 << 20
+#: Stands for a null id in the order of documents.
+LAST = (1 << 63) - 1
 _BLOCK = "block_id long, doc_ids array<long>, sizes array<long>, data binary, extra array<string>"
 
 
 class Blocks:
     """The table of blocks of one corpus."""
 
-    def __init__(self, every: DataFrame, name: str, carry: str):
+    def __init__(self, every: DataFrame, name: str, carry: str, carried: list[str]):
         self.every, self.table, self.name = every, every.drop("extra"), name
-        #: Type of what the documents carry, as DDL.
-        self.carry = carry
+        #: Type of what the documents carry, as DDL, and its columns.
+        self.carry, self.carried = carry, carried
 
     def restored(self, rows: DataFrame, order: list[str]) -> DataFrame:
         """``rows`` with the carried columns in place of ``extra``, in the order given."""
         if self.carry:
             rows = rows.withColumn("extra", F.from_json("extra", self.carry))
-        return rows.select(*[F.col(f"extra.`{c}`").alias(c) if c not in rows.columns else F.col(c) for c in order])
+        return rows.select(*[F.col(f"extra.`{c}`").alias(c) if c in self.carried else F.col(c) for c in order])
 
     def joined(self, *sides: DataFrame, extra: bool = False) -> DataFrame:
         """Blocks with the columns of tables that hold at most one row per ``block_id``; only those tables are shuffled. ``extra``: with what the documents carry."""
@@ -47,8 +51,9 @@ class Blocks:
             out = out.join(side.hint("shuffle_hash"), "block_id", "left")
         return out
 
-    def drop(self) -> None:
-        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+    def bytes(self) -> int:
+        """Bytes of all texts."""
+        return self.table.select(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, n: s + n).alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
 def gathered(side: DataFrame, name: str = "side") -> DataFrame:
@@ -57,7 +62,7 @@ def gathered(side: DataFrame, name: str = "side") -> DataFrame:
 
 
 def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | None = None) -> Blocks:
-    """Blocks of the UTF-8 bytes of ``docs(doc_id, text)``; a null text is empty. Every row has its place, repeated ids too; rows with a null id are left out.
+    """Blocks of the UTF-8 bytes of ``docs(doc_id, text)``; a null text is empty. Every row has its place, repeated ids too; a null id counts as the largest.
 
     The columns in ``carry`` travel along as JSON, one string per document.
     """
@@ -75,7 +80,7 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | No
 
         def flush():
             nonlocal made, held
-            order = np.argsort(np.array(ids, np.int64), kind="stable")
+            order = np.argsort(np.array([LAST if i is None else i for i in ids], np.int64), kind="stable")
             data = b"".join([texts[i] for i in order])
             row = pa.RecordBatch.from_arrays(
                 [pa.array([(pid << 24) | made], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())), pa.array([[len(texts[i]) for i in order]], pa.list_(pa.int64())), pa.array([data], pa.binary()), pa.array([[extras[i] for i in order] if carry else None], pa.list_(pa.string()))],
@@ -99,38 +104,41 @@ def build(docs: DataFrame, block_bytes: int = BLOCK_BYTES, carry: list[str] | No
             yield flush()
         tidy()
 
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), (F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")).alias("extra"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), (F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")).alias("extra"))
     made = source.mapInArrow(run, _BLOCK)
     buckets = scratch.partitions(spark)
-    name, path = f"granary_blocks_{uuid.uuid4().hex}", scratch.new_path(spark, "blocks")
+    name = f"granary_blocks_{uuid.uuid4().hex}"
+    path = scratch.new_path(spark, "blocks", name)
     made.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(buckets, "block_id").saveAsTable(name)
-    return Blocks(spark.table(name), name, docs.select(*carry).schema.toDDL() if carry else "")
-
-
-def documents(row_ids, row_sizes) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and start offsets (one more than documents) of a block."""
-    return np.array(row_ids, np.int64), np.concatenate([[0], np.cumsum(np.array(row_sizes, np.int64))])
+    return Blocks(spark.table(name), name, docs.select(*carry).schema.toDDL() if carry else "", carry or [])
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Blocks one by one, with ``data`` as a NumPy array of bytes; other columns as Python values."""
+    """Blocks one by one, with ``data`` as a NumPy array of bytes, ``ids`` (a null one as the largest long) and ``null`` of the documents, and
+    ``starts``, one more than documents; other columns as Python values."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = {n: batch.column(k)[i] for k, n in enumerate(batch.schema.names)}
             raw = row["data"].as_buffer()
-            ids, starts = documents(row["doc_ids"].values.to_numpy(), row["sizes"].values.to_numpy())
+            found = row["doc_ids"].values
+            starts = np.concatenate([[0], np.cumsum(row["sizes"].values.to_numpy())]).astype(np.int64)
             data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-            yield {k: v.as_py() for k, v in row.items() if k not in ("data", "doc_ids", "sizes")} | {"ids": ids, "starts": starts, "data": data}
+            yield {k: v.as_py() for k, v in row.items() if k not in ("data", "doc_ids", "sizes")} | {"ids": found.fill_null(LAST).to_numpy(), "null": found.is_null().to_numpy(zero_copy_only=False), "starts": starts, "data": data}
     tidy()
 
 
+def ids_of(block: dict) -> pa.Array:
+    """The documents' ids, nulls included."""
+    return pa.array(block["ids"], pa.int64(), mask=block["null"])
+
+
 SIDE = "block_id long, part int, blob binary"
 
 
-def parts_for(spark) -> int:
-    """Parts of a census: some more than tasks, so that hashing parts to tasks evens out."""
+def parts_for(spark, size: int = 0) -> int:
+    """Parts of an exchange over texts of ``size`` bytes: some more than tasks, so that hashing parts to tasks evens out, and so many that each stands for :data:`PART_BYTES` at most."""
     p = scratch.partitions(spark)
-    return p if p > 64 else 4 * p
+    return max(p if p > 64 else 4 * p, -(-size // PART_BYTES))
 
 
 def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.ndarray]], parts: int, judge: Callable[..., np.ndarray], note: str = "u4", key: str = "u4", code: str = "u1") -> DataFrame:

@@ -32,6 +32,8 @@ from . import scratch
 from .worker import enter
 
 GRAM = 32
+#: Short strings that splitters are taken from, at most.
+SPLITTER_SAMPLE = 500_000
 _CHUNK = 1 << 16
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -132,8 +134,8 @@ class Prepared:
         self.kinds, self.inverse, self.times = np.unique(gram, return_inverse=True, return_counts=True)
 
     def notes(self) -> np.ndarray:
-        """For each gram the low bits of its context's hash, or 0 if its contexts differ in this block."""
-        low = np.maximum(self.context & np.uint64(0xFFFFFFFF), np.uint64(1))
+        """For each gram its context's hash, or 0 if its contexts differ in this block."""
+        low = np.maximum(self.context, np.uint64(1))
         order = np.argsort(self.inverse, kind="stable")
         at = np.concatenate([[0], np.cumsum(self.times)[:-1]]) if len(self.times) else np.zeros(0, np.int64)
         if not len(at):
@@ -303,8 +305,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     """Remove every byte of ``docs(doc_id, text)`` that is covered by a string of ``length`` bytes (at least 8) which also starts earlier.
 
     Texts are taken as UTF-8 bytes; matches never cross documents; earlier means a smaller ``doc_id``, or the same document and an earlier
-    start; strings are judged on the input. Rows that repeat a ``doc_id`` come one after the other in some fixed order. Rows with a null
-    ``doc_id`` are left out; a null text is empty. Returns a row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if
+    start; strings are judged on the input. Rows that repeat a ``doc_id`` come one after the other in some fixed order, and rows with a null ``doc_id`` after
+    all others; a null text is empty, a text of any length is taken whole, an empty table gives no rows, columns that aren't named are not read. Returns a row for each document: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if
     ``keep_text``, ``kept`` (the text left, without characters that a cut went through) and ``spans`` (start and end of each removed run);
     the columns in ``carry`` come last.
     """
@@ -312,7 +314,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
         raise ValueError("length must be at least 8")
     spark = docs.sparkSession
     table = B.build(docs, carry=carry)
-    parts = B.parts_for(spark)
+    parts = B.parts_for(spark, table.bytes())
 
     def send_grams(block):
         ready = Prepared(block, length)
@@ -341,12 +343,15 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
         np.add.at(sums, inverse, names)
         return values, sums | (times > 1).astype(np.uint64)
 
-    grams = B.gathered(scratch.materialize(B.exchange(table.table, send_grams, parts, _judge_grams), "grams"), "grams")
-    contexts = B.gathered(scratch.materialize(B.exchange(table.joined(grams), send_contexts, parts, _judge_contexts, "u8", "u8"), "contexts"), "contexts")
-    windows = B.gathered(scratch.materialize(B.exchange(table.joined(grams, contexts), send_windows, parts, _judge_windows, "u8", "u4", "u8"), "windows"), "windows")
+    gram_codes = scratch.materialize(B.exchange(table.table, send_grams, parts, _judge_grams, "u8"), "grams")
+    grams = B.gathered(gram_codes, "grams")
+    context_codes = scratch.materialize(B.exchange(table.joined(grams), send_contexts, parts, _judge_contexts, "u8", "u8"), "contexts")
+    contexts = B.gathered(context_codes, "contexts")
+    window_codes = scratch.materialize(B.exchange(table.joined(grams, contexts), send_windows, parts, _judge_windows, "u8", "u4", "u8"), "windows")
+    windows = B.gathered(window_codes, "windows")
     # Splitters: a fixed number of short strings from all over the corpus, taken by hash.
     piece = F.expr("substring(text, cast(pmod(xxhash64(doc_id, 3), length(text)) as int) + 1, 24)")
-    probes = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), piece.alias("s")).orderBy("h", "s").limit(32 * parts).collect()
+    probes = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), piece.alias("s")).orderBy("h", "s").limit(min(32 * parts, SPLITTER_SAMPLE)).collect()
     some = sorted(r["s"].encode() for r in probes)
     splitters = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
 
@@ -439,7 +444,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
             told.append(np.array(spans, "<i8").tobytes())
         return pa.table({"block_id": pa.array(told_ids, pa.int64()), "part": pa.array([part] * len(told), pa.int32()), "blob": pa.array(told, pa.binary())})
 
-    marks = B.gathered(runs.groupBy("part").applyInArrow(merge_runs, B.SIDE), "marks")
+    marked = scratch.materialize(runs.groupBy("part").applyInArrow(merge_runs, B.SIDE), "marks")
+    scratch.discard(gram_codes, context_codes, window_codes)
+    marks = B.gathered(marked, "marks")
 
     def cut(batches):
         enter("suffix")
@@ -462,7 +469,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
                     kept.append(raw.decode("utf-8", "ignore"))
                     turn = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].astype(np.int8), [0]]))).reshape(-1, 2)
                     lists.append(turn.tolist())
-            cols = [pa.array(block["ids"], pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(np.diff(total[starts]), pa.int64()), pa.array(np.diff(runs_[starts]), pa.int64()), pa.array(sha, pa.string())]
+            cols = [B.ids_of(block), pa.array(np.diff(starts), pa.int64()), pa.array(np.diff(total[starts]), pa.int64()), pa.array(np.diff(runs_[starts]), pa.int64()), pa.array(sha, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             if keep_text:
                 cols += [pa.array(kept, pa.string()), pa.array(lists, pa.list_(pa.list_(pa.int64())))]
