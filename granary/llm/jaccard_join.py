@@ -2,11 +2,13 @@
 
 All sets are ordered alike: by document frequency, then by hash. Two sets that are similar enough can differ in few tokens, so they
 meet in a prefix. Rare tokens of the prefix are indexed one by one. Where a set has too few rare tokens, its prefix is
-extended into the frequent ones, and those are indexed in combinations of two neighbours: a combination is shared by far
-fewer sets than a frequent token. The extension is long enough that what two similar sets may differ in
-cannot break every combination they share (see :func:`signatures`). Tokens of one document alone are never indexed.
+extended into the frequent ones: tokens of the middle class are indexed in combinations of two neighbours, those of the most frequent class in
+combinations of three, which far fewer sets share than a single token. The extension is just long enough that what two similar sets may differ in
+cannot break all that they share (see :func:`signatures`). Tokens of one document alone are never indexed. Every key is also split
+by the sets' sizes, so only sets of similar sizes meet.
 
-Sets that meet form candidate clusters; each cluster is joined exactly, every set being sent once.
+Sets that meet form candidate clusters; each cluster is joined exactly, every set being sent once. A cluster that is too large for a
+task is cut, its parts are joined, and what then still falls apart is joined key by key.
 """
 
 from __future__ import annotations
@@ -21,70 +23,145 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import graph, scratch
-from .worker import enter, keeps
+from .deal import join_dealt
+from .worker import enter
 
-#: Tokens of at most so many documents are rare.
-RARE = 32
-#: Sets joined in one task; larger clusters are cut.
-CLUSTER = 1024
+#: Tokens of at most so many documents are rare; above the second number (the census ends at 255) they are of the most frequent class.
+RARE, MIDDLE = 32, 254
+#: Sets joined in one task, and their bytes; larger clusters are cut.
+CLUSTER, CLUSTER_BYTES = 1024, 32 << 20
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+#: A word's hash is a polynomial in an odd base, modulo 2 ** 64, over a random odd value for each byte; A-Z have those of a-z.
+_BASE = 0xD1342543DE82EF95
+_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_VALUES[65:91] = _VALUES[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_SEGMENT, _LONG_WORD = 1 << 17, 1 << 16
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
+def _powers(base: int) -> np.ndarray:
+    found = np.full(_SEGMENT + _LONG_WORD + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+    found[0] = 1
+    return np.cumprod(found, dtype=np.uint64)
 
 
-_hashes = _WordHashes()
+_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
-def _shingles_of(words: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the distinct n-word shingles of word hashes, sorted; fewer than n words count as one shingle."""
-    if not len(words):
-        return words
-    width = min(n, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
-    for i in range(width):
-        total = (total ^ (words[i : len(words) - width + 1 + i] * _K[i % 5] + np.uint64(i))) * _K[(i + 1) % 5]
+def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all documents in a row, A-Z as a-z, and where each document's begin (one more than documents).
+
+    Words are looked at in segments that stay in a core's cache; one of more than 64 KiB is hashed on its own.
+    """
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
+    solid = ~_SPACE[data]
+    full = starts[:-1][np.diff(starts) > 0], starts[1:][np.diff(starts) > 0]
+    edge = np.empty(n, bool)
+    edge[0] = True
+    edge[1:] = ~solid[:-1]
+    edge[full[0]] = True
+    first = np.flatnonzero(solid & edge)
+    edge[-1] = True
+    edge[:-1] = ~solid[1:]
+    edge[full[1] - 1] = True
+    last = np.flatnonzero(solid & edge) + 1
+    out = np.empty(len(first), np.uint64)
+    long_ = last - first > _LONG_WORD
+    parts = np.flatnonzero(np.concatenate([[True], (np.diff(first // _SEGMENT) != 0) | long_[1:] | long_[:-1]])) if len(first) else np.zeros(0, np.int64)
+    for i, j in zip(parts.tolist(), [*parts[1:].tolist(), len(first)], strict=True):
+        at, end = int(first[i]), int(last[j - 1])
+        if long_[i]:
+            out[i] = xxhash.xxh3_64_intdigest(data[at:end].tobytes().lower())
+            continue
+        sums = np.zeros(end - at + 1, np.uint64)
+        np.cumsum(_VALUES[data[at:end]] * _UP[: end - at], out=sums[1:])
+        out[i:j] = (sums[last[i:j] - at] - sums[first[i:j] - at]) * _DOWN[first[i:j] - at] ^ (last[i:j] - first[i:j]).astype(np.uint64)
+    return B.mix(out), np.searchsorted(first, starts)
+
+
+def _shingles(words: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all runs of ``width`` words."""
+    count = len(words) - width + 1
+    total = np.full(max(count, 0), width, np.uint64)
+    for i in range(width if count > 0 else 0):
+        total = (total ^ (words[i : count + i] * _K[i % 5] + np.uint64(i))) * _K[(i + 1) % 5]
         total ^= total >> np.uint64(29)
-    return np.unique(B.mix(total))
+    return B.mix(total)
 
 
 def block_sets(block: dict, n: int, only: list[int] | None = None) -> dict[int, np.ndarray]:
-    """Shingle sets of a block's documents, by their place in the block."""
+    """Sorted hashes of the distinct n-word shingles of a block's documents, by their place in the block; fewer than n words count as one shingle."""
     enter("jaccard")
-    keeps("jaccard", _hashes.clear)
-    data, starts, out = block["data"].tobytes(), block["starts"], {}
-    for i in range(len(block["ids"])) if only is None else only:
-        words = data[starts[i] : starts[i + 1]].lower().split()  # ASCII only: A-Z, and the six white-space bytes
-        out[i] = _shingles_of(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)), n)
+    data, starts = block["data"], block["starts"]
+    places = list(range(len(block["ids"]))) if only is None else only
+    if len(places) < len(starts) - 1:
+        sizes = np.diff(starts)[places] if places else np.zeros(0, np.int64)
+        data = np.concatenate([np.zeros(0, np.uint8), *[data[starts[i] : starts[i + 1]] for i in places]])
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    words, edges = word_hashes(data, starts)
+    every, out = _shingles(words, n), {}
+    for i, a, b in zip(places, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        out[i] = np.unique(every[a : b - n + 1] if b - a >= n else _shingles(words[a:b], b - a) if b > a else words[a:b])
     return out
 
 
-def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, rare: int = RARE) -> np.ndarray:
+def widths(percent: int) -> list[tuple[int, float]]:
+    """For each class of tokens how many neighbours a combination has, and how many combinations a token's worth of difference can break at most.
+
+    Let a similar set lack x of a set's n tokens and hold y others: (n - x) / (n + y) >= p, so x + p * y <= n * (1 - p). Of combinations of k
+    neighbours a lacking token breaks k and another token between them k - 1; so a unit of that budget breaks r = max(k, (k - 1) / p) at most. A class whose k could not
+    outlast the budget takes a smaller one.
+    """
+    p, found = percent / 100, []
+    for most in (1, 2, 3):
+        k = max(k for k in range(1, most + 1) if k == 1 or max(k, (k - 1) / p) * (1 - p) < 0.9)
+        found.append((k, max(float(k), (k - 1) / p)))
+    return found
+
+
+def size_edges(percent: int) -> np.ndarray:
+    """Sizes that part bands: two sets of similar enough sizes are in the same band or in neighbouring ones."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(100 * edges[-1] // percent + 1)
+    return np.array(edges)
+
+
+def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, rare: int = RARE, middle: int = MIDDLE) -> np.ndarray:
     """Index keys of a set, given its tokens' document frequencies (the same for all sets, at most 255).
 
-    Let the set have n tokens and lack at most d = n - ceil(percent * n / 100) of them in a similar set. With d + 1 rare tokens, one of
-    those is shared. With x < d + 1 of them none need be shared; then at most d tokens are missing and at most e = floor(n / percent * 100) - n
-    differ in all, so of m frequent neighbours in order at most d + e pairs are broken (a missing token breaks two, an extra
-    one a single pair). m = d + e + 2 tokens have d + e + 1 pairs, so one is left. Of two similar sets, the one whose prefix ends first
-    gives the guarantee, as the other's prefix covers it.
+    The prefix ends as soon as its singles and combinations are worth more than the budget of differences n * (1 - p): each is worth the
+    share of the budget that it takes to break it (see :func:`widths`). So one of them is left in any similar set. Of two similar sets, the one whose prefix ends
+    first gives the guarantee, as the other's prefix covers it. A set that ends before its prefix does (a handful of
+    tokens, none of them rare) is covered whole by it and has its tokens as keys besides, for others of that kind.
     """
     n = len(tokens)
     order = np.lexsort((tokens, frequency))
     tokens, frequency = tokens[order], frequency[order]
-    d = n - -(-percent * n // 100)
-    few = int(np.searchsorted(frequency, rare, side="right"))
-    singles = tokens[: min(few, d + 1)]
-    keys = B.mix(singles[frequency[: len(singles)] > 1] ^ np.uint64(0x51ED270B))
-    if few < d + 1:
-        e = n * 100 // percent - n
-        often = tokens[few : few + d + e + 2]
-        keys = np.concatenate([keys, B.mix(often[:-1] * _K[0] + B.mix(often[1:]))])
-    return keys
+    left = n * (100 - percent) / 100 + 1e-9
+    ends = [0, *np.searchsorted(frequency, [rare, middle], side="right").tolist(), n]
+    keys = []
+    for kind, (k, worth) in enumerate(widths(percent)):
+        mine = tokens[ends[kind] : ends[kind + 1]]
+        need = int(left * worth) + 1
+        some = mine[: need + k - 1]
+        count = max(0, len(some) - k + 1)
+        if k == 1:
+            keys.append(B.mix(some[frequency[ends[kind] : ends[kind] + len(some)] > 1] ^ (np.uint64(0x51ED270B) + np.uint64(kind))))
+        elif count:
+            total = np.full(count, k, np.uint64)
+            for i in range(k):
+                total = B.mix(total * _K[0] + some[i : i + count])
+            keys.append(total)
+        if count >= need:
+            break
+        left -= count / worth
+    else:
+        keys.append(B.mix(tokens[frequency > 1] ^ np.uint64(0x2545F491)))
+    return np.concatenate(keys)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -140,7 +217,7 @@ def join_sets(sets: list[np.ndarray], percent: int, root: list[int] | None = Non
     return [find(i) for i in range(count)]
 
 
-def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int, carry: list[str] | None = None) -> tuple[B.Blocks, DataFrame]:
+def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int, middle: int, carry: list[str] | None = None) -> tuple[B.Blocks, DataFrame]:
     """The blocks of the documents, and ``uid, doc_id, n_shingles, comp`` of each; ``uid`` is a document's place, ``comp`` the same for all of a component."""
     spark = docs.sparkSession
     table = B.build(docs, carry=carry)
@@ -151,10 +228,10 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
             sizes = [len(sets[i]) for i in range(len(sets))]
             digests = [xxhash.xxh3_128_digest(sets[i].tobytes()) if len(sets[i]) else None for i in range(len(sets))]
             places = block["block_id"] * (1 << 20) + np.arange(len(sizes))
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), pa.array(block["ids"], pa.int64()), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["uid", "doc_id", "n", "digest"])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int64()), B.ids_of(block), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary())], ["uid", "doc_id", "n", "digest"])
 
     every = scratch.materialize(table.table.mapInArrow(measure, "uid long, doc_id long, n long, digest binary"), "sets")
-    classes = every.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("class"))
+    classes = scratch.materialize(every.where("digest is not null").groupBy("digest").agg(F.min("uid").alias("class"), F.count("*").alias("copies")), "digests")
     block_of = F.floor(F.col("class") / (1 << 20)).alias("block_id")
     place_of = F.pmod("class", F.lit(1 << 20)).cast("int").alias("at")
     # Places of the representatives of a block: at most its documents.
@@ -169,7 +246,8 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
     def hashes(block):
         return held(block)[1:]
 
-    codes = B.gathered(B.census(table.joined(chosen), hashes, B.parts_for(spark)))
+    codes = B.gathered(B.census(table.joined(chosen), hashes, B.parts_for(spark, table.bytes())))
+    bands = size_edges(percent)
 
     def sign(batches):
         for block in B.rows(batches):
@@ -179,21 +257,22 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
             code = B.codes_of(block, len(values))
             keys, owners = [], []
             for i, tokens in sets.items():
-                if len(tokens) > 1:
-                    found = signatures(tokens, code[np.searchsorted(values, tokens)], percent, rare)
-                    keys.append(found)
-                    owners.append(np.full(len(found), block["block_id"] * (1 << 20) + i))
+                if len(tokens):
+                    found = signatures(tokens, code[np.searchsorted(values, tokens)], percent, rare, middle)
+                    band = np.searchsorted(bands, len(tokens), side="right") + np.array([[0], [1]])
+                    keys.append(B.mix(found + band.astype(np.uint64) * _K[1]).reshape(-1))
+                    owners.append(np.full(2 * len(found), block["block_id"] * (1 << 20) + i))
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners), pa.int64())], ["key", "uid"])
 
     signs = scratch.materialize(table.joined(chosen, codes).mapInArrow(sign, "key long, uid long"), "signatures")
-    heads = signs.groupBy("key").agg(F.min("uid").alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-    edges = signs.join(heads, "key").where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
-    clusters = scratch.materialize(graph.components(edges), "clusters")
+    heads = scratch.materialize(signs.groupBy("key").agg(F.min("uid").alias("head"), F.count("*").alias("m")).where("m > 1"), "heads")
+    edges = join_dealt(signs, heads, ["key"], "m", F.col("uid")).where("uid <> head").select(F.col("uid").alias("a"), F.col("head").alias("b")).distinct()
+    clusters = scratch.materialize(graph.components(edges).join(every.select(F.col("uid").alias("node"), "n"), "node"), "clusters")
 
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.min("node").alias("first"))
-    wide = clusters.join(sizes, "root").withColumn("cuts", F.ceil(F.col("m") / cluster).cast("int"))
-    wide = wide.withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+    sizes = clusters.groupBy("root").agg(F.count("*").alias("m"), F.sum(8 * F.col("n")).alias("bytes"), F.min("node").alias("first"))
+    sizes = scratch.materialize(sizes.withColumn("cuts", F.ceil(F.greatest(F.col("m") / cluster, F.col("bytes") / CLUSTER_BYTES)).cast("int")).drop("bytes"), "sizes")
+    wide = join_dealt(clusters, sizes, ["root"], "m", F.col("node")).withColumn("cut", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
     block_id, at = F.floor(F.col("node") / (1 << 20)).alias("block_id"), F.pmod("node", F.lit(1 << 20)).cast("int").alias("at")
     members = wide.select(block_id, F.struct(at, F.col("root"), F.col("cut"), F.col("cuts"), (F.col("node") == F.col("first")).alias("pivot")).alias("m"))
     members = members.groupBy("block_id").agg(F.sort_array(F.collect_list("m")).alias("members"))
@@ -227,52 +306,69 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
     spread = sent.where("pivot and cuts > 1").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     first = sent.where("not (pivot and cuts > 1)").unionByName(spread)
     found = scratch.materialize(first.groupBy("root", "cut").applyInArrow(within, "a long, b long"), "links")
-    joined = graph.components(found)
-    # Clusters that were cut and still fall into several components: every two of their parts, but for pairs that hang together.
-    split = sent.where("cuts > 1").join(joined.withColumnRenamed("node", "uid").withColumnRenamed("root", "comp"), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
-    loose = split.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("root")
-    open_ = split.join(loose, "root", "left_semi")
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).where("other <> cut").withColumn("x", F.least("cut", "other")).withColumn("y", F.greatest("cut", "other"))
-
-    def between(key, table):
+    joined = scratch.materialize(graph.components(found), "joined")
+    # Clusters that were cut and still fall into several components.
+    split = sent.where("cuts > 1").select("root", "uid").join(joined.select(F.col("node").alias("uid"), F.col("root").alias("comp")), "uid", "left").withColumn("comp", F.coalesce("comp", "uid"))
+    loose = split.groupBy("root").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
+    open_ = scratch.materialize(join_dealt(split, loose.select("root", "m"), ["root"], "m", F.col("uid")).select("uid", "comp"), "open")
+    final = joined
+    if open_.head(1):
+        final = graph.components(found.unionByName(_by_key(signs, open_, sent, percent, cluster, read, links)))
+
+    rows = join_dealt(every.where("digest is not null"), classes, ["digest"], "copies", F.col("uid"))
+    rows = rows.join(final.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class", "left").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class").alias("comp"), "digest")
+    rows = rows.unionByName(every.where("digest is null").select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("uid").alias("comp"), "digest"))
+    return table, scratch.materialize(rows, "rows")
+
+
+def _by_key(signs: DataFrame, open_: DataFrame, sent: DataFrame, percent: int, cluster: int, read, links) -> DataFrame:
+    """Links between sets of ``open_(uid, comp)`` that share a key but not their component.
+
+    A key whose sets hang together already needs nothing more. The sets of any other meet; where they are too many for a task, they are cut
+    into parts, and every two parts meet.
+    """
+    mine = scratch.materialize(signs.join(open_, "uid"), "open-keys")
+    keys = mine.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi").select("key", "m", F.ceil(F.col("m") / cluster).cast("int").alias("parts"))
+    placed = join_dealt(mine, scratch.materialize(keys, "open-heads"), ["key"], "m", F.col("uid")).withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    met = placed.select("key", "uid", "comp", "part", other).select("key", "uid", "comp", "part", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"))
+
+    def meet(key, table):
         ids, sets, table = read(table)
-        comps, side = table.column("comp").to_numpy(), table.column("cut").to_numpy()
-        _, start = np.unique(comps, return_inverse=True)
         least: dict[int, int] = {}
-        root = [least.setdefault(int(c), i) for i, c in enumerate(start)]
-        return links(ids, join_sets(sets, percent, root, side))
-
-    more = scratch.materialize(open_.groupBy("root", "x", "y").applyInArrow(between, "a long, b long"), "links")
-    final = graph.components(found.unionByName(more))
+        root = [least.setdefault(c, i) for i, c in enumerate(table.column("comp").to_pylist())]
+        return links(ids, join_sets(sets, percent, root, table.column("part").to_numpy() if key[1].as_py() != key[2].as_py() else None))
 
-    rows = every.join(classes, "digest", "left").join(final.select(F.col("node").alias("class"), F.col("root").alias("comp")), "class", "left")
-    return table, rows.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "class", "uid").alias("comp"), "digest")
+    return scratch.materialize(met.join(sent.where("cuts > 1").select("uid", "tokens").dropDuplicates(["uid"]), "uid").groupBy("key", "x", "y").applyInArrow(meet, "a long, b long"), "links")
 
 
-def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: int = CLUSTER, rare: int = RARE, middle: int = MIDDLE) -> DataFrame:
     """Components of documents whose sets of n-word shingles have a Jaccard similarity of at least ``percent`` / 100.
 
-    Reads ``doc_id`` and ``text``. Words are maximal runs without white space (space, 0x09-0x0D) after lower-casing A-Z. Fewer than n words are one
-    shingle; a text without words, or null, has an empty set and links with nothing. Returns a row for each row with a ``doc_id``:
-    ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included). Rows with a null ``doc_id`` are left out.
-    Equal sets are compared once. A cluster of more than ``cluster`` sets is cut into parts that share a pivot; only where they don't
-    hang together after that is each part compared with each other.
+    Reads ``doc_id`` and ``text``, so other columns can't clash. Words are maximal runs without white space (space, 0x09-0x0D) after lower-casing
+    A-Z; texts and words may be of any length. Fewer than n words are one shingle; a text without words, or null, has an empty set and links with
+    nothing. Returns a row for each row, repeated ones too: ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included; null
+    only where all of a component's are). An empty table gives no rows. Equal sets are compared once. A cluster of more than ``cluster`` sets, or
+    of more bytes than a task should hold, is cut into parts that share a pivot; only where they don't hang together after that are its
+    sets joined key by key.
     """
-    _, rows = _classified(docs, percent, n, cluster, rare)
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "comp").select("doc_id", "n_shingles", "component_id")
+    _, rows = _classified(docs, percent, n, cluster, rare, middle)
+    least = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    return join_dealt(rows, least, ["comp"], "m", F.col("uid")).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, cluster: int = CLUSTER, rare: int = RARE) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, cluster: int = CLUSTER, rare: int = RARE, middle: int = MIDDLE) -> DataFrame:
     """``docs`` with one document of each component of :func:`similar_documents`: the one with the least ``doc_id``, and one row of it if rows repeat.
 
-    Rows that share a ``doc_id`` but not their set of shingles are different documents: one of each component stays.
+    Rows that share a ``doc_id`` but not their set of shingles are different documents: one of each component stays. A null ``doc_id`` counts as the largest, and
+    such rows without words all stay.
     All columns come back (those besides ``doc_id`` and ``text`` must be of types that JSON can hold). Texts are not shuffled.
     """
     carry = [c for c in docs.columns if c not in ("doc_id", "text")]
-    table, rows = _classified(docs, percent, n, cluster, rare, carry)
-    kept = rows.groupBy("comp").agg(F.min(F.struct("doc_id", "uid", "digest")).alias("k")).select("k.uid", "k.doc_id", "k.digest")
-    kept = kept.groupBy("doc_id", "digest").agg(F.min("uid").alias("uid"))  # a repeated row without words is a component of its own
+    table, rows = _classified(docs, percent, n, cluster, rare, middle, carry)
+    kept = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "uid", "digest")).alias("k")).select("k.uid", "k.doc_id", "k.digest")
+    # A repeated row without words is a component of its own.
+    kept = kept.groupBy("doc_id", "digest", F.when(F.col("doc_id").isNull(), F.col("uid")).alias("own")).agg(F.min("uid").alias("uid"))
     places = kept.select(F.floor(F.col("uid") / (1 << 20)).alias("block_id"), F.pmod("uid", F.lit(1 << 20)).cast("int").alias("at"))
     places = places.groupBy("block_id").agg(F.sort_array(F.collect_list("at")).alias("at"))
 
@@ -281,7 +377,7 @@ def keep_one(docs: DataFrame, percent: int = 80, n: int = 5, cluster: int = CLUS
             at, starts, data = block["at"] or [], block["starts"], block["data"].tobytes()
             extra = block["extra"] or [None] * len(block["ids"])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(block["ids"][at], pa.int64()), pa.array([data[starts[i] : starts[i + 1]].decode("utf-8", "replace") for i in at], pa.string()), pa.array([extra[i] for i in at], pa.string())], ["doc_id", "text", "extra"]
+                [B.ids_of(block).take(pa.array(at, pa.int64())), pa.array([data[starts[i] : starts[i + 1]].decode("utf-8", "replace") for i in at], pa.string()), pa.array([extra[i] for i in at], pa.string())], ["doc_id", "text", "extra"]
             )
 
     out = table.joined(places, extra=True).mapInArrow(take, "doc_id long, text string, extra string")
