@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from granary.llm import ann_hilbert, embedding_dedup, graph, jaccard_join, suffix_dedup
+from granary.llm import ann_hilbert, deal, embedding_dedup, graph, jaccard_join, scratch, suffix_dedup
 
 
 def repeated_texts(seed):
@@ -45,10 +45,13 @@ def test_substrings(spark, length):
 
 
 def test_substrings_edges(spark):
-    docs = spark.createDataFrame([(1, "x" * 300), (1, "x" * 300), (None, "y"), (2, None)], "doc_id long, text string")
-    rows = suffix_dedup.remove_repeats(docs, 100, keep_text=True, carry=[]).collect()
-    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in rows) == [(1, 300, 299), (1, 300, 300), (2, 0, 0)] or sorted((r.doc_id, r.n_bytes) for r in rows) == [(1, 300), (1, 300), (2, 0)]
-    assert suffix_dedup.remove_repeats(docs.where("false"), 100).count() == 0
+    rows = [(1, "x" * 300, 1), (1, "x" * 300, 1), (None, "y" * 120, 2), (2, None, 3), (None, "y" * 120, 2), ((1 << 63) - 2, "y" * 110, 4), (5, "é" * 200_000 + "tail" * 30, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_bytes int").selectExpr("*", "text as kept", "'a' as block_id")
+    got = suffix_dedup.remove_repeats(docs, 100, keep_text=True, carry=[]).collect()
+    key = lambda r: (r[0] is None, r[0] or 0, r[2])
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed) for r in got), key=key) == [(1, 300, 299), (1, 300, 300), (2, 0, 0), (5, 400_120, 400_114), ((1 << 63) - 2, 110, 109), (None, 120, 120), (None, 120, 120)]
+    none = suffix_dedup.remove_repeats(docs.where("false"), 100)
+    assert none.count() == 0 and none.columns[0] == "doc_id"
 
 
 def test_loser_tree():
@@ -103,6 +106,75 @@ def test_jaccard(spark, percent, n, cluster):
     assert got == classes(rows, percent, n)
 
 
+def test_word_hashes_tell_words_apart():
+    texts = [b"A b  a\tB", b"", b"b", b"x" * 70_000 + b" y " + b"X" * 70_000, b" " * 9, "É é".encode(), b"word " * 60_000]
+    data, starts = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    hashes, edges = jaccard_join.word_hashes(data, starts)
+    names: dict[int, bytes] = {}
+    for t, a, b in zip(texts, edges[:-1], edges[1:], strict=True):
+        words = t.lower().split()
+        assert len(words) == b - a
+        for w, h in zip(words, hashes[a:b].tolist(), strict=True):
+            assert names.setdefault(h, w) == w
+    assert len(names) == len(set(names.values()))
+
+
+@pytest.mark.parametrize("percent", [55, 60, 80, 90, 95])
+def test_similar_sets_share_a_key(percent):
+    """Sets at the edge of similarity, over all mixtures of rare, middle and frequent tokens."""
+    rng = np.random.default_rng(percent)
+    bands = jaccard_join.size_edges(percent)
+    tested = 0
+    for _ in range(3000):
+        size = int(rng.integers(1, 60))
+        mix = rng.dirichlet([0.4, 0.4, 0.4])
+        pool = rng.integers(1, 1 << 62, 200).astype(np.uint64)
+        level = dict(zip(pool.tolist(), rng.choice([3, 40, 255], 200, p=mix), strict=True))
+        a = set(rng.choice(pool, size, replace=False).tolist())
+        for _ in range(4):
+            b = set(a)
+            lost = int(rng.integers(0, len(a) + 1)) if rng.random() < 0.3 else int(rng.integers(0, 1 + len(a) * (100 - percent) // 100))
+            for x in rng.permutation(sorted(b))[:lost].tolist():
+                b.discard(x)
+            b |= set(rng.choice(pool, int(rng.integers(0, 2 + len(a) * (100 - percent) // percent)), replace=False).tolist())
+            if not b or 100 * len(a & b) < percent * len(a | b) or a == b:
+                continue
+            tested += 1
+            keys = []
+            for x in (a, b):
+                tokens = np.array(sorted(x), np.uint64)
+                band = int(np.searchsorted(bands, len(x), side="right"))
+                found = jaccard_join.signatures(tokens, np.array([level[t] for t in tokens.tolist()]), percent)
+                keys.append({(k, at) for k in found.tolist() for at in (band, band + 1)})
+            assert keys[0] & keys[1]
+    assert tested > 500
+
+
+def test_large_clusters_are_joined_key_by_key(spark, monkeypatch):
+    rng, called = random.Random(3), []
+    rows, step = [], jaccard_join._by_key
+    words = [f"w{i}" for i in range(260)]
+    for i in range(60):  # a chain: every text shares most with the next, the first and the last share nothing
+        rows.append((i * 7 % 60, " ".join(words[3 * i : 3 * i + 60])))
+    rows += [(100 + i, " ".join(rng.choice("abcdef") for _ in range(6))) for i in range(60)]
+    monkeypatch.setattr(jaccard_join, "_by_key", lambda *a: called.append(1) or step(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(docs, 80, 3, cluster=2, rare=2, middle=4).collect()}
+    assert got == classes(rows, 80, 3) and called
+
+
+def test_jaccard_edges(spark):
+    rows = [(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, "q"), (None, None), (7, "A  b c\nd"), (8, "q"), (9, ""), (9, ""), (10, "long " * 40_000 + "x" * 100_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as uid", "'k' as digest", "2 as comp", "3 as n")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.similar_documents(docs).collect()), key=key)
+    assert got == sorted([(1, 2, 1), (1, 2, 1), (None, 2, 1), (None, 1, 8), (None, 0, None), (7, 2, 1), (8, 1, 8), (9, 0, 9), (9, 0, 9), (10, 2, 10)], key=key)
+    assert jaccard_join.similar_documents(docs.where("false")).collect() == []
+    kept = jaccard_join.keep_one(docs, 90, 3)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, (r.text or "")[:3]) for r in kept.collect()), key=key) == sorted([(1, "a b"), (8, "q"), (9, ""), (10, "lon"), (None, "")], key=key)
+
+
 def test_keep_one(spark):
     rows = near_texts(7)
     docs = spark.createDataFrame([(i, t, "en", i) for i, t in rows], "doc_id long, text string, lang string, n_chars long")
@@ -125,6 +197,34 @@ def test_components(spark):
     assert got == {i: 0 for i in range(31)} | {50: 40, 40: 40}
 
 
+def test_components_of_a_star(spark):
+    edges = spark.range(2, 3000).selectExpr("id as a", "1 as b").unionByName(spark.createDataFrame([(5000, 6000)], "a long, b long"))
+    roots = graph.components(edges)
+    assert {(r.root, r["count"]) for r in roots.groupBy("root").count().collect()} == {(1, 2999), (5000, 2)}
+    assert graph.components(edges.where("false")).collect() == []
+
+
+def test_dealt_joins_equal_plain_ones(spark):
+    many = spark.range(500).selectExpr("if(id < 300, 1, id) as k", "id as v")
+    one = many.where("k % 2 = 1").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 10 as w")
+    for how in ("inner", "left"):
+        assert sorted(map(tuple, deal.join_dealt(many, one, ["k"], "n", many.v, how).select("k", "v", "w").collect()), key=str) == sorted(map(tuple, many.join(one, "k", how).select("k", "v", "w").collect()), key=str)
+
+
+def test_scratch_is_swept(spark):
+    before = scratch.mark(spark)
+    kept, gone = scratch.materialize(spark.range(3), "kept"), scratch.materialize(spark.range(4), "gone")
+    assert scratch.sweep(spark, before, (kept,)) == 1
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="granary-gone"):
+        gone.count()
+    scratch.discard(kept)
+    jaccard_join.similar_documents(spark.createDataFrame([(1, "a b c")], "doc_id long, text string")).collect()
+    assert any(t.name.startswith("granary_blocks") for t in spark.catalog.listTables())
+    scratch.sweep(spark, before)
+    assert scratch.mark(spark) == before
+
+
 def vectors(seed, n=400, dim=16):
     rng = np.random.default_rng(seed)
     x = rng.standard_normal((n, dim))
@@ -151,23 +251,95 @@ def test_embedding_links(spark, block):
     assert all(got[i].n_links == 0 and got[i].kept for i, _, _ in odd)
 
 
+def test_embedding_edges(spark):
+    one, other = [1.0, 0.0, 2.0], [0.0, 1.0, 0.0]
+    rows = [(1, one, 1), (1, None, 1), (1, one, 1), (2, other, 1), (2, one, None), (None, one, 1), (None, None, None), (3, [2.0, 0.0, 4.0], 1), (4, one, 2), (2, [1.0, 0.0, 2.1], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "2 as x", "3 as c", "4 as n_links")
+    key = lambda r: tuple((x is None, x or 0) for x in r)
+    got = sorted((tuple(r[:4]) for r in embedding_dedup.near_duplicates(table, 0.93).collect()), key=key)
+    linked = [(1, 3, 1, True), (1, 3, 1, True), (3, 3, 1, False), (2, 3, 1, False)]
+    assert got == sorted([*linked, (1, 0, 1, True), (2, 0, 2, True), (2, 0, 2, True), (4, 0, 4, True), (None, None, None, None), (None, None, None, None)], key=key)
+    assert embedding_dedup.near_duplicates(table.where("false")).collect() == []
+    assert embedding_dedup.near_duplicates(table.where("label is null")).count() == 2
+
+
+def deep_vectors(n=6000, dim=32):
+    """Vectors of one label, with partners of cosines from the threshold on."""
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.standard_normal((n // 3, dim))
+    side -= (side * x[: n // 3]).sum(1, keepdims=True) * x[: n // 3]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    cos = rng.uniform(0.93, 0.95, (n // 3, 1))
+    x[n // 3 : 2 * (n // 3)] = cos * x[: n // 3] + np.sqrt(1 - cos**2) * side
+    return x
+
+
+@pytest.mark.parametrize("sample", [20_000, 300])
+def test_embedding_recall_in_deep_trees(spark, sample):
+    x = deep_vectors()
+    table = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(table, 0.93, leaf_rows=10, block_rows=40, sample_rows=sample).collect()}
+    link = np.triu(x @ x.T >= 0.93, 1)
+    found = sum(got[i].n_links for i in range(len(x)))
+    assert 0.98 * 2 * link.sum() <= found <= 2 * link.sum()
+    # Ten levels, by the sample or at the leaves' own medians.
+    assert np.log2(len(x) / 10) > 9
+
+
+def neighbours(x, ids, q, k):
+    s = x @ x[q]
+    order = [i for i in np.lexsort((ids, -np.round(s, 9))) if i != q][:k]
+    return order, s[order]
+
+
 def test_nearest(spark):
     rows, odd = vectors(4)
     table = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, label int")
-    got = ann_hilbert.nearest(table, "vec_id % 20 = 0", k=7, window=32, query_block=8).collect()
     x = np.array([v for _, v, _ in rows])
-    by = {}
-    for r in got:
-        by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    pool = np.vstack([x, x[0]])
-    ids = np.array([*range(len(rows)), 1004])
-    for q in range(0, len(rows), 20):
-        s = pool @ x[q]
-        order = [k for k in np.lexsort((ids, -np.round(s, 9))) if ids[k] != q][:7]
-        found = sorted(by[q])
-        assert [f[0] for f in found] == list(range(1, 8))
-        assert np.allclose([f[2] for f in found], s[order])
+    pool, ids = np.vstack([x, x[0]]), np.array([*range(len(rows)), 1004])
+    for more in ({"window": 1 << 40, "query_rows": 8, "block": (16, 32)}, {"recall": 1.0, "probes": 1000, "block": (16, 64)}):
+        by = {}
+        for r in ann_hilbert.nearest(table, "vec_id % 20 = 0", k=7, **more).collect():
+            by.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+        for q in range(0, len(rows), 20):
+            found = sorted(by[q])
+            assert [f[0] for f in found] == list(range(1, 8))
+            assert np.allclose([f[2] for f in found], neighbours(pool, ids, q, 7)[1])
     assert ann_hilbert.nearest(table.where("false"), "vec_id % 20 = 0").count() == 0
+    assert ann_hilbert.nearest(table, "vec_id < 0").count() == 0
+
+
+def test_nearest_edges(spark):
+    one, other = [1.0, 0.0], [0.6, 0.8]
+    rows = [(20, one, 1), (20, other, 1), (20, one, 1), (3, one, 0), (2, one, 0), (None, one, 1), (40, None, 1), (5, [0.0, 1.0], 0)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 as id", "2 as query", "3 as score", "4 as class", "5 as h")
+    got = [tuple(r) for r in ann_hilbert.nearest(table, "label = 1 and vec_id > 0", k=2).collect()]
+    assert sorted(got) == sorted([(20, 1, 2, 1.0), (20, 2, 3, 1.0), (20, 1, 5, 0.8), (20, 2, 2, 0.6)])
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_recall_of_windows(spark, clustered):
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((6000, 24))
+    if clustered:
+        x = x[rng.integers(0, 150, 6000)] + 0.2 * x
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    by = {}
+    for r in ann_hilbert.nearest(table, "vec_id % 20 = 0").collect():
+        by.setdefault(r.query_id, set()).add(r.vec_id)
+    ids = np.arange(len(x))
+    assert sorted(by) == list(range(0, 6000, 20))
+    assert np.mean([len(by[q] & set(neighbours(x, ids, q, 20)[0])) / 20 for q in by]) >= 0.9
+
+
+def test_windows_are_chosen_by_cost():
+    far = np.array([[10, 900], [900, 10], [20, 20], [900, 900]])
+    assert ann_hilbert.choose_windows(far, 0.75, 10_000) == (2, 20)
+    assert ann_hilbert.choose_windows(far, 1.0, 10_000) == (2, 900)
+    three = np.array([[500, 500, 1], [500, 1, 500]])
+    assert ann_hilbert.choose_windows(three, 1.0, 10_000) == (3, 1)
 
 
 def test_hilbert_neighbours_are_adjacent():

@@ -1,14 +1,17 @@
 """Tokenizers, packing, URLs, HTML and quality against the libraries or brute force."""
 
 import hashlib
+import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from granary.llm import bpe, html_extract, packing, quality, token_counts, url_filter
 
+ROOT = Path(__file__).resolve().parents[2]
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 PIECES = ["a", "b", " ", "  ", "\n", "'s", "'LL", "don't", "é", "²", "日本", "😀", "\x1c", "\x85", "　", "<|endoftext|>", "<|endof", "!!", "23", "_", "aaaaaaaaaa", "e", "́", "İ", "Σ ", "The ", "ing", "\t", "\x00", "ẞ", "'"]
@@ -63,6 +66,18 @@ def test_bpe_and_count_queries(spark, byte_library):
     assert bpe.encode_documents(docs.where("doc_id < 0"), BYTE).count() == 0
 
 
+def test_counts_of_a_prefix_above_those_of_the_whole(spark, byte_library):
+    word = "qz" * 127 + "folder"  # 255 tokens, but a prefix has 256
+    own = token_counts.counter(bpe.read_vocabulary(BYTE))
+    assert own.counts(word)[-1] == 255 and max(own.counts(word)) == 256
+    rows = [(1, word), (2, "x" * 100_000), (2, "x" * 100_000), (3, word + " " + word), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as n_bytes", "2 as over_limit")
+    got = token_counts.count_tokens(docs, BYTE, limit=512).collect()
+    want = [(i, len((t or "").encode()), len(byte_library.encode(t or "", add_special_tokens=False).ids)) for i, t in rows]
+    assert sorted((r.doc_id or 0, r.n_bytes, r.n_tokens, r.over_limit) for r in got) == sorted((i or 0, b, n, n > 512) for i, b, n in want)
+    assert token_counts.count_tokens(docs.where("false"), BYTE).collect() == []
+
+
 def test_word_tokenizer_equals_the_library():
     from tokenizers import Tokenizer
 
@@ -163,8 +178,70 @@ def test_html_long_attribute_values():
     assert html_extract.extract(f'<body><div data-x="{value}"><p>Text of the article.</p></div><p title=it\'s>More &gt; text.</p></body>').split("\n") == ["Text of the article.", "More > text."]
 
 
+def plain_densities(page):
+    """Densities of a well-formed page by walking the tree for every node."""
+    from xml.etree import ElementTree
+
+    tree = ElementTree.fromstring(page)
+    text = lambda e: sum(len("".join(t.split())) for t in e.itertext())
+    links = lambda e: [e] if e.tag == "a" else [a for c in e for a in links(c)]
+    every = list(tree.iter())
+    ratio = sum(text(a) for a in links(tree)) / text(tree)
+    out = []
+    for e in every:
+        c, t = text(e), sum(x.tag != "br" for x in e.iter())
+        lc, lt = sum(text(a) for a in links(e)), sum(x.tag == "a" for x in e.iter())
+        out.append(html_extract.density(c, t, lc, lt, ratio))
+    return every, out, [sum(out[every.index(c)] for c in e) for e in every]
+
+
+def test_densities_equal_a_plain_computation():
+    rng = random.Random(2)
+
+    def some(depth):
+        kind = rng.choice(["div", "section", "p", "b", "a"]) if depth else "p"
+        inner = "".join(some(depth - 1) for _ in range(rng.randint(1, 4))) if depth and kind not in ("p", "b", "a") else "word " * rng.randint(0, 30) + "<br/>" * rng.randint(0, 1)
+        return f"<{kind}>{inner}</{kind}>"
+
+    for _ in range(40):
+        page = f"<body>{''.join(some(3) for _ in range(4))} x</body>"
+        every, own, total = plain_densities(page)
+        tree = html_extract.parse(page)
+        _, found, sums = html_extract.densities(tree)
+        assert tree.tag[1:] == [e.tag for e in every]
+        assert np.allclose(found[1:], own) and np.allclose(sums[1:], total)
+
+
+def test_html_density_finds_the_article_without_its_tag(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for page in pages:
+        tree = html_extract.parse(page)
+        assert [tree.tag[i] for i in html_extract.select(tree)] == ["article"]
+        assert html_extract.extract(page.replace("<article>", "<div>").replace("</article>", "</div>")) == html_extract.extract(page)
+
+
+def test_html_sections_and_unmarked_noise():
+    words = "Several words of running text, as an article has them, in one paragraph. "
+    part = lambda k: f"<section><h2>Part {k}</h2><p>{words * 3}</p><p>{words * k}</p><p>Short one.</p></section>"
+    links = "<ul>" + "".join(f"<li><a href=x>Link number {k} to somewhere</a></li>" for k in range(9)) + "</ul>"
+    page = f"<body><div>{links}</div><div><h1>Title</h1>{part(2)}{part(6)}{part(1)}</div><div>{links}</div></body>"
+    got = html_extract.extract(page).split("\n")
+    assert got[0] == "Title" and [x for x in got if x.startswith("Part")] == ["Part 2", "Part 6", "Part 1"]
+    assert got.count("Short one.") == 3 and not any("Link" in x for x in got)
+
+
+def test_html_stray_and_unclosed_tags_cost_nothing_extra():
+    import time
+
+    for page in ("<b>" * 60_000 + "</i>" * 60_000, "<b>" * 60_000 + "<p></p>" * 60_000, "<i><table><td>" + "<b>" * 60_000 + "</i>" * 60_000, "<ul>" + "<b>" * 60_000 + "<li>" * 60_000):
+        began = time.process_time()
+        html_extract.extract(page + "text")
+        assert time.process_time() - began < 10
+
+
 def test_html_query(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "é" * 10)], "page_id long, url string, html string").selectExpr("*", "url as text")
+    assert html_extract.extract_pages(pages.where("false")).collect() == []
     rows = html_extract.extract_pages(pages).collect()
     assert len(rows) == 4 and sorted(r.n_chars for r in rows)[:2] == [0, 10]
 
@@ -185,6 +262,45 @@ def test_quality(spark):
     assert {r.score for r in none} == {0.5}
 
 
+def test_risk_and_gradient():
+    rng = np.random.default_rng(7)
+    pos, unl, w, prior = rng.normal(1, 1, (30, 4)), rng.normal(0, 1, (50, 4)), rng.normal(0, 1, 5), 0.3
+    loss = lambda x, v, sign: float(np.mean([math.log(1 + math.exp(-sign * (sum(a * b for a, b in zip(r, v, strict=False)) + v[4]))) for r in x]))
+    parts = lambda v: (prior * loss(pos, v, 1), loss(unl, v, -1) - prior * loss(pos, v, -1))
+    gain, rest, up, down = quality.risk(w, pos, unl, prior)
+    assert np.allclose((gain, rest), parts(w))
+    for i in range(5):
+        step = np.eye(5)[i] * 1e-6
+        slope = (np.array(parts(w + step)) - np.array(parts(w - step))) / 2e-6
+        assert np.allclose(slope, (up[i], down[i]), atol=1e-6)
+
+
+def test_quality_features_do_not_depend_on_hashing():
+    import subprocess
+    import sys
+
+    code = "from granary.llm import quality; print(quality.features('dd cc bb aa dd aa aa ' * 3).tolist())"
+    found = {subprocess.run([sys.executable, "-c", code], env={"PYTHONPATH": str(ROOT), "PYTHONHASHSEED": str(k)}, capture_output=True, text=True, check=True).stdout for k in range(4)}
+    assert len(found) == 1
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, "a text"), (1, "a text"), (None, "x"), (2, ""), (3, None), (4, "w" * 200_000)], "doc_id long, text string").selectExpr("*", "1 as c0", "2 as predicted")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.score_quality(docs, labels, carry=["c0"]).collect()
+    assert len(got) == 6 and all(0 <= r.score <= 1 and r.c0 == 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1 and [r.held_out for r in got if r.doc_id is None] == [None]
+    assert quality.score_quality(docs.where("false"), labels).collect() == []
+
+
+def test_url_edges(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
+    pages = spark.createDataFrame([(None, "http://a.com/en/" + "x" * 50_000), (2, "http://a.com/en/")] + [(k, "http://www.hot.com/en/1") for k in range(3, 400)], "page_id long, url string").selectExpr("*", "'h' as host", "1 as lead", "2 as urls", "3 as best")
+    got = url_filter.judge_urls(pages, rules).collect()
+    assert len(got) == 399 and {(r.rule, r.verdict) for r in got} == {("com/en/", "block")}
+    assert url_filter.judge_urls(pages.where("false"), rules).collect() == []
+
+
 def test_prior_estimate():
     rng = np.random.default_rng(1)
     pos, unl = rng.normal(2, 1, 5000), np.concatenate([rng.normal(2, 1, 3500), rng.normal(-3, 1, 1500)])
