@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Keys of at least so many rows are dealt, the most frequent ones first, at most so many of them, over so many places each.
-FREQUENT, HOTTEST, PLACES = 1000, 1024, 64
+FREQUENT, HOTTEST, PLACES = 256, 1024, 64
 
 
 def join_dealt(many: DataFrame, one: DataFrame, keys: list[str], count: str, by: Column, how: str = "inner", counts: DataFrame | None = None) -> DataFrame:

@@ -204,7 +204,8 @@ def test_components_of_a_star(spark):
     assert graph.components(edges.where("false")).collect() == []
 
 
-def test_dealt_joins_equal_plain_ones(spark):
+def test_dealt_joins_equal_plain_ones(spark, monkeypatch):
+    monkeypatch.setattr(deal, "FREQUENT", 10)
     many = spark.range(500).selectExpr("if(id < 300, 1, id) as k", "id as v")
     one = many.where("k % 2 = 1").groupBy("k").count().withColumnRenamed("count", "n").selectExpr("k", "n", "k * 10 as w")
     for how in ("inner", "left"):
