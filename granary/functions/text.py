@@ -29,6 +29,12 @@ SCRUB_PATTERNS = [
 PRETOKEN_PATTERN = r"(?U)'(?i:[sdmt]|ll|ve|re)|[^\r\n\p{L}\p{N}]?+\p{L}+|\p{N}{1,3}| ?[^\s\p{L}\p{N}]++[\r\n]*|\s*[\r\n]|\s+(?!\S)|\s+"
 
 
+def draw(*parts: Column | int | str) -> Column:
+    """A number below 2 ** 60 that depends on the parts alone, on any engine: the first 15 hexadecimal digits of the SHA-256 of the parts, joined by ``|``."""
+    columns = [p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts]
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *columns), 256), 1, 15), 16, 10).cast("long")
+
+
 def words(text: Column) -> Column:
     r"""Lower-cased Unicode ``\w+`` runs."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\w+"), F.lit(0))

@@ -9,17 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions import vector as V
+from granary.operators import tiles
 from granary.operators.retrieval import top
 
 
-def pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every stated query against every other vector: ``vectors(doc_id, v, ...)``, ``queries(qid, q)``."""
-    return vectors.crossJoin(queries).where("doc_id <> qid")
-
-
 def exact(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Exact k nearest by cosine."""
-    return top(pairs(vectors, queries).select("qid", "doc_id", V.cosine(F.col("v"), F.col("q")).alias("score")), k)
+    """Exact k nearest of ``vectors(doc_id, v)`` by cosine for each of the stated ``queries(qid, q)``."""
+    return tiles.nearest(vectors, queries, k, "cosine")
 
 
 def prefiltered(vectors: DataFrame, queries: DataFrame, condition: str, k: int) -> DataFrame:
@@ -35,10 +31,8 @@ def postfiltered(vectors: DataFrame, queries: DataFrame, condition: str, k: int,
 
 def hamming_rescored(vectors: DataFrame, queries: DataFrame, dim: int, pool: int, k: int) -> DataFrame:
     """Best ``pool`` by sign bits, then the best k of those by cosine."""
-    coded = vectors.withColumn("c", V.sign_words(F.col("v"), dim))
-    asked = queries.withColumn("qc", V.sign_words(F.col("q"), dim))
-    near = pairs(coded, asked).select("qid", "doc_id", "v", "q", (-V.hamming(F.col("c"), F.col("qc"))).alias("score"))
-    return top(top(near, pool).select("qid", "doc_id", V.cosine(F.col("v"), F.col("q")).alias("score")), k)
+    near = tiles.nearest(vectors, queries, pool, "hamming", dim)
+    return top(tiles.with_vectors(near, vectors, queries, F.round(V.cosine(F.col("v"), F.col("q")), 12)), k)
 
 
 def int8(vectors: DataFrame, column: str = "v") -> DataFrame:
@@ -66,7 +60,8 @@ class InvertedFile:
     """
 
     def __init__(self, vectors: DataFrame, cells: int = 16, sample_rows: int = 20_000, seed: int = 1, rounds: int = 12):
-        rows = vectors.orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(sample_rows).select("doc_id", "v").collect()
+        share = max(1, min(1 << 20, (1 << 20) * sample_rows // max(1, vectors.count())))
+        rows = vectors.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) < share).select("doc_id", "v").collect()
         x = np.array([r["v"] for r in sorted(rows, key=lambda r: r["doc_id"])], float)
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
         rng = np.random.default_rng(seed)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from granary.functions import vector as V
+from granary.operators import tiles
 
 
 def embedding_key(text: Column, model: str) -> Column:
@@ -22,8 +22,10 @@ def idempotency_key(tool: Column, args: Column) -> Column:
     return F.substring(F.sha2(F.concat(tool, F.lit("\0"), args), 256), 1, 32)
 
 
-def backoff(attempt: Column, base: float = 0.5, most: float = 8.0) -> Column:
-    return F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))
+def backoff(attempt: Column, base: float = 0.5, most: float = 8.0, key: Column | None = None) -> Column:
+    """Seconds before an attempt is made again, doubling; with a hexadecimal ``key`` up to a tenth more, by the key."""
+    wait = F.least(F.lit(most), base * F.pow(F.lit(2.0), attempt - 1))
+    return wait if key is None else wait + wait * 0.1 * (F.conv(F.substring(key, 1, 8), 16, 10).cast("long") % 1000) / 1000
 
 
 def replay_exact(requests: DataFrame, key: str, order: list[str], latency: str) -> DataFrame:
@@ -67,9 +69,8 @@ def hit_stats(replayed: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def nearest_entry(entries: DataFrame, requests: DataFrame) -> DataFrame:
     """For every request ``(qid, q, q_intent)`` the most similar entry ``(doc_id, v, intent)``: ``qid, doc_id, similarity, same``."""
-    pairs = entries.crossJoin(requests).where("doc_id <> qid").select("qid", "doc_id", V.cosine(F.col("v"), F.col("q")).alias("s"), (F.col("intent") == F.col("q_intent")).alias("same"))
-    best = pairs.groupBy("qid").agg(F.max(F.struct("s", -F.col("doc_id"), "same")).alias("m"))
-    return best.select("qid", (-F.col("m.col2")).alias("doc_id"), F.col("m.s").alias("similarity"), F.col("m.same").alias("same"))
+    best = tiles.nearest(entries, requests, 1, "cosine").select("qid", "doc_id", F.col("score").alias("similarity"))
+    return best.join(entries.select("doc_id", "intent"), "doc_id").join(requests.select("qid", "q_intent"), "qid").select("qid", "doc_id", "similarity", (F.col("intent") == F.col("q_intent")).alias("same"))
 
 
 def sweep_thresholds(nearest: DataFrame, taus: list[float]) -> DataFrame:

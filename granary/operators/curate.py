@@ -9,6 +9,10 @@ from pyspark.sql.window import Window
 from granary.functions import text as T
 
 
+#: Hashes of n-grams, 8 bytes each, are broadcast up to this number.
+BROADCAST_HASHES = 2_000_000
+
+
 def filter_license(docs: DataFrame, allowed: list[str], column: str = "license") -> DataFrame:
     return docs.where(F.col(column).isin(allowed))
 
@@ -38,22 +42,26 @@ def mixture(sources: dict[str, tuple[DataFrame, float]], n_docs: int, seed: int)
     """
     spark = next(iter(sources.values()))[0].sparkSession
     total = sum(w for _, w in sources.values())
-    u = F.abs(F.xxhash64("draw", F.lit(seed)) % 1_000_000_007) / 1_000_000_007.0
+    u = (T.draw(F.col("draw"), seed) % 1_000_000_007) / 1_000_000_007.0
     pick: Column | None = None
     acc = 0.0
     for name, (_, weight) in sources.items():
         acc += weight / total
         pick = F.when(u < acc, name) if pick is None else pick.when(u < acc, name)
     draws = spark.range(n_docs).withColumnRenamed("id", "draw").withColumn("source_name", pick.otherwise(name))
-    draws = draws.withColumn("k", F.row_number().over(Window.partitionBy("source_name").orderBy("draw")) - 1)
-    pool = None
+    from granary.operators.packing import prefix_sums
+
+    # A source's draws and documents are numbered by prefix sums, so a source of any size is no task of its own.
+    numbered = lambda rows, order, name: prefix_sums(rows.withColumn("one", F.lit(1)), order=order, value="one").withColumnRenamed("start", name).drop("one")
+    out = None
     for name, (docs, _) in sources.items():
-        part = docs.select(F.lit(name).alias("source_name"), "doc_id", "text")
-        pool = part if pool is None else pool.unionByName(part)
-    pool = pool.withColumn("pos", F.row_number().over(Window.partitionBy("source_name").orderBy("doc_id")) - 1)
-    sizes = pool.groupBy("source_name").agg(F.count("*").alias("cnt"))
-    placed = draws.join(F.broadcast(sizes), "source_name", "left").withColumn("pos", F.when(F.col("cnt").isNull(), F.raise_error(F.lit("empty source"))).otherwise(F.pmod("k", "cnt")))
-    return placed.join(pool, ["source_name", "pos"]).select("draw", "source_name", "doc_id", "text")
+        mine = numbered(draws.where(F.col("source_name") == name), "draw", "k")
+        pool = numbered(docs.select("doc_id", "text"), "doc_id", "pos")
+        size = F.broadcast(docs.agg(F.count("*").alias("cnt")))
+        placed = mine.crossJoin(size).withColumn("pos", F.when(F.col("cnt") == 0, F.raise_error(F.lit("empty source"))).otherwise(F.pmod("k", "cnt")))
+        part = placed.join(pool, "pos").select("draw", "source_name", "doc_id", "text")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def decontaminated(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
@@ -78,6 +86,9 @@ def word_ngrams(docs: DataFrame, keys: list[str], n: int) -> DataFrame:
 def contaminated_ids(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
     grams = word_ngrams(evals, [], n).distinct().withColumn("h", F.xxhash64("g"))
     mine = word_ngrams(docs, ["doc_id"], n).withColumn("h", F.xxhash64("g"))
+    hashes = grams.select("h").distinct()
+    if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
+        mine = mine.join(F.broadcast(hashes), "h", "left_semi")  # so the n-grams that travel are those that meet
     return mine.join(grams, ["h", "g"], "left_semi").select("doc_id").distinct()
 
 
@@ -92,14 +103,21 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, rare: float = 1.0) -> DataFrame:
-    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: ``a, b, similarity``.
+def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: ``a, b, similarity`` with ``a < b``.
 
-    Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must meet those of a partner.
-    Candidates are verified on whole sets. The pairs are the result here; ``keep_first`` needs no more.
+    Of documents with equal sets the one with the least ``doc_id`` stands for all: it is paired with each of them, and with the representatives of
+    similar sets, so that m copies give m - 1 pairs. Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must
+    meet those of a partner. Candidates are verified on whole sets. ``keep_first`` needs no more pairs. Sets are written once, to the session's
+    checkpoint folder; equal ones are told by 128 bits.
     """
+    _ensure_checkpoint(docs.sparkSession)
     words = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    sets = words.select("doc_id", F.array_distinct(F.transform(T.ngrams(F.col("w"), n), lambda g: F.xxhash64(g))).alias("s"))
+    every = words.select("doc_id", F.array_sort(F.array_distinct(F.transform(T.ngrams(F.col("w"), n), lambda g: F.xxhash64(g)))).alias("s"))
+    every = every.select("doc_id", "s", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).checkpoint().where(F.size("s") > 0)
+    first = every.groupBy("h", "i").agg(F.min("doc_id").alias("a"))
+    copies = every.select("doc_id", "h", "i").join(first, ["h", "i"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
+    sets = every.join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "s")
     tokens = sets.select("doc_id", F.size("s").alias("m"), F.explode_outer("s").alias("t")).where("t is not null")
     frequency = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ranked = tokens.join(frequency, "t").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "t")))
@@ -108,7 +126,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5, ra
     pairs = prefix.withColumnRenamed("doc_id", "a").join(other, "t").where("a < b").where((F.col("m") >= threshold * F.col("mb")) & (F.col("mb") >= threshold * F.col("m"))).select("a", "b").distinct()
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold)
+    return scored.where(F.col("similarity") >= threshold).unionByName(copies)
 
 
 def keep_first(docs: DataFrame, pairs: DataFrame, small: int = 200_000) -> DataFrame:
@@ -143,10 +161,14 @@ def keep_first(docs: DataFrame, pairs: DataFrame, small: int = 200_000) -> DataF
 
 
 def _ensure_checkpoint(spark) -> None:
+    """The context's checkpoint folder is the session's ``spark.checkpoint.dir``; a temporary one is made only on a local master that has none."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         import tempfile
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp())
+        found, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+        if not found and master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(found or "file://" + tempfile.mkdtemp())
 
 
 def word_frequencies(docs: DataFrame) -> DataFrame:

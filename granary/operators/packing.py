@@ -6,14 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions import text as T
 
-def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buckets: int = 64) -> DataFrame:
+
+def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buckets: int | None = None) -> DataFrame:
     """``start``: the sum of all earlier values, over a global order of a numeric column.
 
     Two levels instead of one unpartitioned window: quantiles of the order, found first, cut it into ranges; sums of whole ranges (one row
     each) become their offsets, and a window adds up within each. A row's range depends on its value alone, so both levels agree
-    even where a plan is computed twice. Raise ``buckets`` with the data.
+    even where a plan is computed twice. There are as many ranges as the session has shuffle partitions, 64 at least, unless stated.
     """
+    buckets = buckets or max(64, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / buckets for i in range(1, buckets)]
     found = lengths.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
     cuts = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<long>")
@@ -70,7 +73,7 @@ def rows_per_shard(seq_len: int, target_bytes: int = 256 << 20, token_bytes: int
 
 def epoch_order(rows: DataFrame, seed: int, epoch: int, batch: int, key: str = "row") -> DataFrame:
     """A permutation that depends on seed and epoch alone, with the batch of every row."""
-    h = F.xxhash64(F.lit(seed), F.lit(epoch), F.col(key))
+    h = T.draw(seed, epoch, F.col(key))
     ranged = prefix_sums(rows.withColumn("h", h).withColumn("one", F.lit(1)), order="h", value="one")
     return ranged.select(*rows.columns, F.col("start").alias("place"), F.floor(F.col("start") / batch).alias("batch"))
 

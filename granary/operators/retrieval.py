@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from granary.functions import text as T
 from granary.functions import vector as V
+from granary.operators import tiles
 
 #: A query side is broadcast up to this many terms.
 BROADCAST_TERMS = 200_000
@@ -80,17 +81,15 @@ def sparse_search(doc_weights: DataFrame, query_weights: DataFrame, k: int = 10)
     return top(hits.groupBy("qid", "doc_id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")), k)
 
 
-def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, similarity: Column | None = None) -> DataFrame:
-    """Exact search: ``vectors(doc_id, v)`` against the stated ``queries(qid, q)``."""
-    score = V.dot(F.col("v"), F.col("q")) if similarity is None else similarity
-    return top(vectors.crossJoin(queries).where("doc_id <> qid").select("qid", "doc_id", score.alias("score")), k)
+def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """Exact search by dot product: ``vectors(doc_id, v)`` against the stated ``queries(qid, q)``."""
+    return tiles.nearest(vectors, queries, k)
 
 
 def two_stage(vectors: DataFrame, queries: DataFrame, dim: int, stage1: int = 100, k: int = 10) -> DataFrame:
     """Best ``stage1`` by a normalised prefix of the vectors, then the best k of those by the whole."""
-    both = vectors.withColumn("vp", V.truncate(F.col("v"), dim)).crossJoin(queries.withColumn("qp", V.truncate(F.col("q"), dim))).where("doc_id <> qid")
-    first = top(both.select("qid", "doc_id", "v", "q", V.dot(F.col("vp"), F.col("qp")).alias("score")), stage1)
-    return top(first.select("qid", "doc_id", V.dot(F.col("v"), F.col("q")).alias("score")), k)
+    first = tiles.nearest(vectors, queries, stage1, "cosine", dim, digits=9)
+    return top(tiles.with_vectors(first, vectors, queries, V.dot(F.col("v"), F.col("q"))), k)
 
 
 def late_interaction(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10) -> DataFrame:

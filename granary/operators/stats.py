@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions import text as T
+
 Z = 1.959963984540054
 
 # Two-sided 95 % points of Student's t by degrees of freedom.
@@ -72,57 +73,113 @@ def wilcoxon_sums(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     return ranked.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
 
 
-def wilcoxon_p(differences: np.ndarray) -> float:
-    """Two-sided p of the signed-rank test: exact up to 25 values without ties, else the normal approximation with corrections."""
-    d = differences[differences != 0]
-    n = len(d)
-    if not n:
-        return 1.0
-    sizes = pd.Series(np.abs(d)).rank().to_numpy()
-    w = min(sizes[d > 0].sum(), sizes[d < 0].sum())
-    _, ties = np.unique(np.abs(d), return_counts=True)
-    if n <= 25 and (ties == 1).all():
-        ways = np.zeros(n * (n + 1) // 2 + 1)
-        ways[0] = 1
-        for r in range(1, n + 1):
-            ways[r:] = ways[r:] + ways[: len(ways) - r]
-        return float(min(1.0, 2 * ways[: int(w) + 1].sum() / 2**n))
-    mean, var = n * (n + 1) / 4, n * (n + 1) * (2 * n + 1) / 24 - (ties**3 - ties).sum() / 48
-    if var <= 0:
-        return 1.0
-    z = (abs(w - mean) - 0.5) / math.sqrt(var)
-    return float(min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2))))
+EXACT = 25
 
 
-def wilcoxon(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    """``by, n, p`` of the signed-rank test in every group (a group is one comparison's paired results)."""
+def exact_ways(n: int) -> np.ndarray:
+    """In how many ways of signs the ranks 1..n of one sign add up to each sum."""
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1
+    for r in range(1, n + 1):
+        ways[r:] = ways[r:] + ways[: len(ways) - r]
+    return ways
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        d = (frame[x] - frame[y]).to_numpy()
-        return pd.DataFrame({by: [frame[by].iloc[0]], "n": [int((d != 0).sum())], "p": [wilcoxon_p(d)]})
 
-    kind = pairs.schema[by].dataType.simpleString()
-    return pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, n long, p double")
+def erfc(x: Column, terms: int = 80) -> Column:
+    """The complementary error function of a number from 0 on, by its power series; beyond 4.5 it is below 2e-10 and given as 0."""
+    step = lambda s, i: F.struct((s["t"] * -(x * x) / i).alias("t"), (s["e"] + s["t"] * -(x * x) / i / (2 * i + 1)).alias("e"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(x.alias("t"), x.alias("e")), step, lambda s: s["e"])
+    return F.when(x > 4.5, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * series))
 
 
-def bootstrap_mean(values: DataFrame, column: str, resamples: int = 1000, seed: int = 1234) -> DataFrame:
-    """Percentile bootstrap of a mean by Poisson weights: ``mean, lo, hi, n``.
+def wilcoxon(pairs: DataFrame, by: str, x: str, y: str) -> DataFrame:
+    """``by, n, p``: two-sided p of the signed-rank test in every group; zeros are dropped, a group of zeros has a p of 1.
 
-    Every row gets for each resample a Poisson(1) weight from a hash of its id and the resample, so no row is copied and sums are combined map-side.
+    Exact up to 25 values without ties, from a table of the null distribution; else the normal approximation with corrections for ties and continuity.
     """
-    id_ = F.monotonically_increasing_id()
-    u = (F.pmod(F.xxhash64("rid", "b", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    spark = pairs.sparkSession
+    diffs = pairs.withColumn("d", F.col(x) - F.col(y))
+    ties = diffs.where("d <> 0").groupBy(by, F.abs("d").alias("size")).agg(F.count("*").alias("t"))
+    ties = ties.groupBy(by).agg(F.max("t").alias("widest"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    sums = wilcoxon_sums(pairs, [by], x, y).join(ties, by)
+    n = F.col("n").cast("double")
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48
+    z = (F.abs(F.col("w") - n * (n + 1) / 4) - 0.5) / F.sqrt(variance)
+    rough = F.when(variance <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), erfc(F.greatest(z, F.lit(0.0)) / math.sqrt(2))))
+    rows = [(k, float(w), float(min(1.0, 2 * below / 2**k))) for k in range(1, EXACT + 1) for w, below in enumerate(np.cumsum(exact_ways(k)).tolist())]
+    table = F.broadcast(spark.createDataFrame(rows, "n long, w double, exact double"))
+    tested = sums.join(table, ["n", "w"], "left").select(by, "n", F.when(F.col("widest") == 1, F.coalesce("exact", rough)).otherwise(rough).alias("p"))
+    return pairs.select(by).distinct().join(tested, by, "left").select(by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("p", F.lit(1.0)).alias("p"))
+
+
+def snap(point: Column, lo: Column, hi: Column, tolerance: float = 1e-9) -> tuple[Column, Column]:
+    """Bounds that miss the point by rounding alone, set to it."""
+    low = F.when((lo - point > 0) & (lo - point <= tolerance), point).otherwise(lo)
+    high = F.when((point - hi > 0) & (point - hi <= tolerance), point).otherwise(hi)
+    return low, high
+
+
+def normal_quantile(p: float) -> float:
+    """The inverse of the normal distribution."""
+    from statistics import NormalDist
+
+    return NormalDist().inv_cdf(p)
+
+
+def require_seeds(seeds: list[int], least: int = 3) -> list[int]:
+    """Distinct seeds in order; fewer than ``least`` are an error."""
+    found = sorted(set(seeds))
+    if len(found) < least:
+        raise ValueError(f"{least} distinct seeds at least, not {len(found)}")
+    return found
+
+
+def seed_interval(values: DataFrame, by: list[str], seed: str, column: str, least: int = 3) -> DataFrame:
+    """Mean of the seeds' means with a t-interval over seeds: ``mean, lo, hi, n``; a group of fewer than ``least`` seeds is an error."""
+    means = values.groupBy(*by, seed).agg(F.avg(column).alias("m"))
+    enough = F.when(F.col("n") >= least, F.col("n")).otherwise(F.raise_error(F.lit(f"{least} distinct seeds at least")))
+    return mean_interval(means, by, "m").withColumn("n", enough)
+
+
+def _poisson(u: Column, largest: int = 10) -> Column:
+    """A Poisson(1) number from a uniform one."""
     weight, acc = F.lit(0), 0.0
-    for k in range(10):
+    for k in range(largest):
         acc += math.exp(-1) / math.factorial(k)
         weight = weight + (u > acc).cast("int")
-    rows = values.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x")).withColumn("rid", F.xxhash64("x", id_))
-    drawn = rows.select("x", "rid", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
-    means = drawn.groupBy("b").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("m"))
+    return weight
+
+
+def _resampled(rows: DataFrame, key: str, resamples: int, seed: int) -> DataFrame:
+    """Every row with each resample's number ``b`` and its weight ``w`` there, which depends on seed, key and number alone."""
+    u = (T.draw(seed, F.col(key), F.col("b")) + 0.5) / float(1 << 60)
+    return rows.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", _poisson(u))
+
+
+def bootstrap_mean(values: DataFrame, column: str, key: str, resamples: int = 1000, seed: int = 1234) -> DataFrame:
+    """Percentile bootstrap of a mean by Poisson weights: ``mean, lo, hi, n``; ``key`` tells rows apart.
+
+    Every row gets for each resample a Poisson(1) weight from a hash of its key and the resample, so no row is copied and sums are combined map-side.
+    """
+    rows = values.where(F.col(column).isNotNull()).select(F.col(key).alias("key"), F.col(column).cast("double").alias("x"))
+    means = _resampled(rows, "key", resamples, seed).groupBy("b").agg(F.try_divide(F.sum(F.col("x") * F.col("w")), F.sum("w")).alias("m"))
     interval = means.agg(F.percentile("m", F.lit(0.025)).alias("lo"), F.percentile("m", F.lit(0.975)).alias("hi"))
     return rows.agg(F.avg("x").alias("mean"), F.count("*").alias("n")).crossJoin(interval).select("mean", "lo", "hi", "n")
 
 
+def kappa_interval(pairs: DataFrame, a: str, b: str, key: str, resamples: int = 1000, seed: int = 1234) -> DataFrame:
+    """Cohen's kappa with a percentile bootstrap over items: ``kappa, lo, hi, n``."""
+    rows = pairs.select(F.col(key).alias("key"), F.col(a).alias("x"), F.col(b).alias("y"))
+    cells = _resampled(rows, "key", resamples, seed).groupBy("b", "x", "y").agg(F.sum("w").alias("n"))
+    total = cells.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("x") == F.col("y"), F.col("n")).otherwise(0)).alias("same"))
+    left, right = cells.groupBy("b", F.col("x").alias("v")).agg(F.sum("n").alias("ra")), cells.groupBy("b", F.col("y").alias("v")).agg(F.sum("n").alias("rb"))
+    chance = left.join(right, ["b", "v"]).groupBy("b").agg(F.sum(F.col("ra") * F.col("rb")).alias("c"))
+    po, pe = F.try_divide(F.col("same"), F.col("n")), F.try_divide(F.coalesce("c", F.lit(0)), F.col("n") * F.col("n"))
+    each = total.join(chance, "b", "left").where("n > 0").select(F.when(pe == 1, F.when(po == 1, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe)).alias("k"))
+    interval = each.agg(F.percentile("k", F.lit(0.025)).alias("lo"), F.percentile("k", F.lit(0.975)).alias("hi"))
+    return kappa(pairs, a, b).select("kappa", "n").crossJoin(interval).select("kappa", "lo", "hi", "n")
+
+
 def nearest_rank_percentile(values: DataFrame, by: list[str], column: str, p: float) -> DataFrame:
     """Value at the index ``p * (n - 1)`` rounded half to even."""
     w = Window.partitionBy(*by)

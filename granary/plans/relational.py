@@ -17,7 +17,7 @@ STATEMENTS: dict[str, str] = {
     "sql_left_join": """SELECT c_custkey, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey""",
     "sql_full_join": """SELECT coalesce(s_nationkey, c_nationkey) AS nationkey, s_n, c_n FROM (SELECT s_nationkey, count(*) AS s_n FROM supplier GROUP BY s_nationkey) s FULL JOIN (SELECT c_nationkey, count(*) AS c_n FROM customer WHERE c_acctbal > 9000 GROUP BY c_nationkey) c ON s_nationkey = c_nationkey""",
     "sql_semi_join": """SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)""",
-    "sql_anti_join": """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)""",
+    "sql_anti_join": """SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 150000)""",
     "sql_range_join": """SELECT b.lo, count(*) AS n FROM (SELECT 0 AS lo, 1000 AS hi UNION ALL SELECT 1000, 1500 UNION ALL SELECT 1500, 3000) b JOIN part ON p_retailprice >= b.lo AND p_retailprice < b.hi GROUP BY b.lo""",
     "sql_rollup": """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
     "sql_cube": """SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)""",
@@ -30,7 +30,7 @@ STATEMENTS: dict[str, str] = {
     "sql_except": """SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40""",
     "sql_distinct": """SELECT DISTINCT p_brand, p_type FROM part""",
     "sql_having": """SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 12""",
-    "sql_correlated": """SELECT p_brand, p_partkey FROM part p WHERE p_retailprice > (SELECT 1.3 * avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)""",
+    "sql_correlated": """SELECT p_brand, p_partkey FROM part p WHERE p_retailprice > (SELECT 1.05 * avg(p_retailprice) FROM part q WHERE q.p_brand = p.p_brand)""",
     "sql_case_pivot": """SELECT c_mktsegment, sum(CASE WHEN n_regionkey = 0 THEN 1 ELSE 0 END) AS r0, sum(CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END) AS r1, sum(CASE WHEN n_regionkey = 2 THEN 1 ELSE 0 END) AS r2 FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY c_mktsegment""",
     "sql_topk": """SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20""",
     "sql_sessions": """SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM

@@ -37,7 +37,7 @@ def test_near_duplicate_pairs(spark):
     near = base.replace("w100", "x")
     far = " ".join(f"z{i}" for i in range(200))
     pairs = curate.near_duplicate_pairs(docs(spark, [base, base, near, far, "short"])).collect()
-    assert {(r.a, r.b) for r in pairs} == {(0, 1), (0, 2), (1, 2)}
+    assert {(r.a, r.b) for r in pairs} == {(0, 1), (0, 2)}  # 1 is a copy of 0
 
 
 def test_decontamination(spark):

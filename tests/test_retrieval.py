@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,8 +60,28 @@ def test_kappa(spark):
     assert stats.kappa(pairs.select(F.lit("x").alias("a"), F.lit("x").alias("b")), "a", "b").first().kappa == 1.0
 
 
-def test_wilcoxon_exact():
-    import numpy as np
+def test_wilcoxon(spark):
+    rng = random.Random(4)
+    groups = {"exact": [1.0, 2.0, 3.0], "zeros": [0.0, 0.0], "ties": [1.0, 1.0, -2.0, 3.0, 0.0, 4.0], "long": [rng.gauss(0.3, 1) for _ in range(60)]}
+    rows = [(g, d, 0.0) for g, ds in groups.items() for d in ds]
+    got = {r.g: (r.n, r.p) for r in stats.wilcoxon(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y").collect()}
+    assert got["exact"] == (3, 0.25) and got["zeros"] == (0, 1.0)
+    for g in ("ties", "long"):
+        d = [x for x in groups[g] if x]
+        sizes = sorted(map(abs, d))
+        rank = lambda x: (sizes.index(abs(x)) + 1 + len(sizes) - sizes[::-1].index(abs(x))) / 2  # noqa: B023, E731
+        w, n = min(sum(rank(x) for x in d if x > 0), sum(rank(x) for x in d if x < 0)), len(d)
+        var = n * (n + 1) * (2 * n + 1) / 24 - sum(sizes.count(s) ** 3 - sizes.count(s) for s in set(sizes)) / 48
+        assert got[g][1] == pytest.approx(math.erfc((abs(w - n * (n + 1) / 4) - 0.5) / math.sqrt(2 * var)), abs=1e-9)
 
-    assert stats.wilcoxon_p(np.array([1.0, 2.0, 3.0])) == 0.25
-    assert stats.wilcoxon_p(np.array([0.0])) == 1.0
+
+def test_erfc(spark):
+    xs = [0.0, 0.1, 0.7, 1.5, 2.5, 3.3, 4.4, 5.0]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x double").select(stats.erfc(F.col("x"))).collect()]
+    assert got == pytest.approx([math.erfc(x) for x in xs], abs=1e-8)
+
+
+def test_seeds():
+    assert stats.require_seeds([3, 1, 2, 1]) == [1, 2, 3] and stats.normal_quantile(0.975) == pytest.approx(stats.Z)
+    with pytest.raises(ValueError, match="seeds"):
+        stats.require_seeds([1, 1, 2])
