@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from granary.functions import text as T
 from granary.operators import tiles
 
 
@@ -172,6 +173,16 @@ def load_report(requests: DataFrame, ttft_slo: float = 0.5, tpot_slo: float = 0.
     return requests.agg(F.count("*").alias("n"), good.alias("good"), (good / F.count("*")).alias("goodput"), F.percentile("ttft", F.lit(0.5)).alias("ttft_p50"), F.percentile("total", F.lit(0.95)).alias("total_p95"))
 
 
+def static_search(asked: DataFrame, results: DataFrame, k: int = 5) -> DataFrame:
+    """Canned web results: ``results(query, rank, title, url, snippet)`` of each of ``asked(qid, query)``, the first k."""
+    return asked.join(results.where(F.col("rank") <= k), "query").select("qid", "rank", "title", "url", "snippet")
+
+
+def verdict_rates(verdicts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """``hits, wrong, false_hit_rate`` of verdicts ``correct`` on answers that a cache gave."""
+    return verdicts.groupBy(*(by or [])).agg(F.count("*").alias("hits"), F.count_if(~F.col("correct")).alias("wrong"), (F.count_if(~F.col("correct")) / F.count("*")).alias("false_hit_rate"))
+
+
 def evict_oldest(entries: DataFrame, keep: int = 256) -> DataFrame:
     """The newest entries of a bounded cache."""
     return entries.orderBy(F.desc("ts"), "key").limit(keep)
@@ -181,6 +192,6 @@ def poisson_arrivals(spark, rate: float, n: int, seed: int = 0) -> DataFrame:
     """Arrival times with exponential gaps."""
     from granary.operators.packing import prefix_sums
 
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = (T.draw(seed, F.col("id")) + 0.5) / float(1 << 60)
     gaps = spark.range(n).withColumn("gap", -F.log(u) / rate)
     return prefix_sums(gaps, order="id", value="gap").select("id", (F.col("start") + F.col("gap")).alias("at"))

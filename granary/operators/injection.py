@@ -111,44 +111,34 @@ def _hidden(text: Column) -> Column:
     return F.array_join(F.concat(told, escaped, percent), " ")
 
 
-def readings(text: Column, raw: Column) -> dict[str, Column]:
-    """Readings in which an instruction may hide; ``raw`` is the text before any normalisation. A reading that doesn't apply is null."""
+#: Stands between readings: no pattern reaches across it, and a reading begins on a line of its own.
+_BETWEEN = "\0" * 64 + "])>.\n"
+
+
+def readings(text: Column, raw: Column) -> tuple[Column, Column]:
+    """The readings in which an instruction may hide, one after the other; and the one without white space. ``raw`` is the text before any normalisation."""
     base, hidden = _plain(text), _hidden(raw)
-    return {
-        "plain": base,
-        "close": F.regexp_replace(base, r"(?U)\s+", ""),
-        "leet": F.translate(base, "".join(LEET), "".join(LEET.values())),
-        "hidden": F.when(hidden != "", _plain(hidden)),
-        "rot13": T.rot13(base),
-        "reversed": F.reverse(base),
-    }
+    several = [base, F.translate(base, "".join(LEET), "".join(LEET.values())), F.when(hidden != "", _plain(hidden)), T.rot13(base), F.reverse(base)]
+    return F.concat_ws(_BETWEEN, *several), F.regexp_replace(base, r"(?U)\s+", "")
 
 
 def _without_space(pattern: str) -> str:
     return re.sub(r"\\s[*+]?| ", "", pattern)
 
 
-def _holds(reading: Column, rule: Rule, close: bool) -> Column:
-    """Whether a reading matches a rule; ``close``: white space is gone from the reading, so the pattern is also tried without its own."""
-    _, pattern, _, words = rule
-    may = reduce(lambda a, b: a | b, [F.contains(reading, F.lit(w)) for w in words])
-    found = reading.rlike("(?sU)" + pattern)
-    return may & (found | reading.rlike("(?sU)" + _without_space(pattern)) if close else found)
-
-
-def _test(rule: Rule, close: bool):
-    return lambda reading: _holds(reading, rule, close)
+def _holds(text: Column, pattern: str, words: list[str]) -> Column:
+    may = reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    return may & text.rlike("(?sU)" + pattern)
 
 
-def families(views: dict[str, Column], rules: list[Rule]) -> dict[str, Column]:
-    """For each family the greatest weight of its rules that match some reading, 0.0 if none does."""
+def families(text: Column, rules: list[Rule], close: Column | None = None) -> dict[str, Column]:
+    """For each family the greatest weight of its rules that match a text, 0.0 if none does; in ``close``, which has no white space, patterns are tried without theirs."""
     found: dict[str, list[Column]] = {}
-    others = F.array_compact(F.array(*[v for name, v in views.items() if name != "close"]))
-    for rule in rules:
-        hit = F.exists(others, _test(rule, False))
-        if "close" in views:
-            hit = hit | F.exists(F.array(views["close"]), _test(rule, True))
-        found.setdefault(rule[0], []).append(F.when(hit, F.lit(rule[2])).otherwise(F.lit(0.0)))
+    for family, pattern, weight, words in rules:
+        hit = _holds(text, pattern, words)
+        if close is not None:
+            hit = hit | _holds(close, _without_space(pattern), words)
+        found.setdefault(family, []).append(F.when(hit, F.lit(weight)).otherwise(F.lit(0.0)))
     return {f: F.greatest(*ws) if len(ws) > 1 else ws[0] for f, ws in found.items()}
 
 
@@ -173,10 +163,9 @@ def scan(docs: DataFrame, key: str = "doc_id", rules: list[Rule] | None = None,
     """
     rules = rules or INJECTION_PATTERNS
     made = _compatible(docs, key)
-    made = made.select(key, *[c.alias(f"_{n}") for n, c in readings(F.col("text"), F.col("raw")).items()])
-    views = {n: F.col(f"_{n}") for n in ("plain", "close", "leet", "hidden", "rot13", "reversed")}
-    weighed = families(views, rules)
-    made = made.select(key, *[c.alias(f"w_{f}") for f, c in weighed.items()])
+    several, close = readings(F.col("text"), F.col("raw"))
+    weighed = families(F.col("_several"), rules, F.col("_close"))
+    made = made.select(key, several.alias("_several"), close.alias("_close")).select(key, *[c.alias(f"w_{f}") for f, c in weighed.items()])
     score = F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.col(f"w_{f}") for f in weighed]))
     top = F.greatest(*[F.struct(F.col(f"w_{f}").alias("w"), F.lit(f).alias("f")) for f in weighed])
     return made.select(key, score.alias("score"), (score >= threshold).alias("flagged"), F.when(score > 0, top["f"]).alias("family"))
@@ -186,7 +175,7 @@ def scan_plain(docs: DataFrame, key: str = "doc_id", rules: list[Rule] | None =
     """``key, family, weight`` of the families found in the text in lower case alone, its other readings left out."""
     rules = rules or INJECTION_PATTERNS
     low = docs.select(key, F.lower(F.coalesce("text", F.lit(""))).alias("_plain"))
-    weighed = families({"plain": F.col("_plain")}, rules)
+    weighed = families(F.col("_plain"), rules)
     rows = low.select(key, F.explode(F.array(*[F.struct(F.lit(f).alias("family"), c.alias("weight")) for f, c in weighed.items()])).alias("r"))
     return rows.select(key, "r.family", "r.weight").where("weight > 0")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.operators import stats
@@ -34,6 +34,32 @@ def envelope(name: str, hardware: str, seeds: list[int], rows: list[dict]) -> st
     return json.dumps({"name": name, "hardware": hardware, "seeds": seeds, "rows": rows}, sort_keys=True)
 
 
+# Metrics in the order in which reports name them.
+METRIC_ORDER = ["recall@1", "recall@5", "recall@10", "recall@20", "ndcg@10", "mrr", "map"]
+
+
+def ordered_metrics(names: list[str]) -> list[str]:
+    """Well-known metrics first, the others by name."""
+    return [n for n in METRIC_ORDER if n in names] + sorted(n for n in names if n not in METRIC_ORDER)
+
+
+def metric_names(metric: str) -> list[str]:
+    """Both spellings of a metric at a cut: ``ndcg@10`` and ``ndcg_at_10``."""
+    return list(dict.fromkeys([metric, metric.replace("@", "_at_"), metric.replace("_at_", "@")]))
+
+
+def extract_metric(payload: Column, metric: str) -> Column:
+    """A metric's value in a result file's JSON, whatever its shape: the mean of an estimate or a number, under ``metrics``, ``summary`` or at the top."""
+    paths = [f"$.{top}['{name}']{tail}" for name in metric_names(metric) for top in ("metrics", "summary", "") for tail in (".mean", "")]
+    return F.coalesce(*[F.get_json_object(payload, p.replace("$.[", "$[")).try_cast("double") for p in paths])
+
+
+def per_question(payloads: DataFrame, metric: str) -> DataFrame:
+    """``run, qid, value`` of ``payloads(run, payload)``: the map under ``per_question`` in either spelling."""
+    maps = [F.from_json(F.get_json_object("payload", f"$.per_question['{n}']"), "map<string, double>") for n in metric_names(metric)]
+    return payloads.select("run", F.explode(F.coalesce(*maps)).alias("qid", "value"))
+
+
 def coverage(golden: DataFrame, categories: list[str]) -> DataFrame:
     """Questions per category, those without any included."""
     spark = golden.sparkSession

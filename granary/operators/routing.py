@@ -11,6 +11,23 @@ from granary.functions import text as T
 ROUTE_TOOLS = {"in_domain": ["search_documents", "retrieve_image", "summarize_document", "calculate", "query_database"], "needs_web": ["search_documents", "search_web", "calculate"], "out_of_domain": []}
 
 
+# Phrases of reasons for a refusal, and the codes that callers see.
+REASONS = [
+    ("out of domain", "out_of_domain"),
+    ("no relevant evidence", "insufficient_evidence"),
+    ("no sources to ground", "insufficient_evidence"),
+    ("no generator", "generator_unavailable"),
+    ("generator unavailable", "generator_unavailable"),
+    ("budget exhausted", "budget_exhausted"),
+    ("cap reached", "budget_exhausted"),
+    ("unsupported claim", "unverified_answer"),
+    ("citation-required", "uncited_answer"),
+    ("rate limit", "rate_limited"),
+    ("prompt injection", "blocked_input"),
+    ("internal error", "internal_error"),
+]
+
+
 def authorize(calls: DataFrame) -> DataFrame:
     """``allowed`` and ``reason`` for ``calls(tool, provenance, route)``: asked for by user or agent, and on the route's list."""
     spark = calls.sparkSession
@@ -23,8 +40,20 @@ def authorize(calls: DataFrame) -> DataFrame:
 
 def plan_tools(query: Column) -> Column:
     """Tools that a query's words ask for: arithmetic and pictures."""
-    arithmetic = F.regexp_extract(query, r"(\d[\d\s.]*(?:[-+*/^]\s*\d[\d\s.]*)+)", 1)
-    return F.array_compact(F.array(F.when(arithmetic != "", F.concat(F.lit("calculate:"), F.trim(arithmetic))), F.when(F.lower(query).rlike(r"\b(image|picture|figure|diagram|chart)\b"), F.lit("retrieve_image"))))
+    arithmetic = F.regexp_extract(query, r"(\d[\d\s.]*(?:[-+*/%]\s*\d[\d\s.]*)+)", 1)
+    return F.array_compact(F.array(F.when(arithmetic != "", F.concat(F.lit("calculate:"), F.trim(arithmetic))), F.when(F.lower(query).rlike(r"\b(figure|diagram|chart|image|photo|screenshot|plot)\b"), F.lit("retrieve_image"))))
+
+
+def build_prompt(category: Column, chunks: Column) -> Column:
+    """A prompt for a question of a category over chunks ``array<struct<id, text>>``, each in a tag with its id."""
+    tagged = F.transform(chunks, lambda c: F.concat(F.lit('<chunk id="'), c["id"], F.lit('">\n'), c["text"], F.lit("\n</chunk>")))
+    return F.concat(F.lit("CATEGORY: "), category, F.lit("\n"), F.array_join(tagged, "\n"))
+
+
+def split_claims(answer: Column, most: int = 8, least_chars: int = 12) -> Column:
+    """The sentences of an answer without its citations, those of at least ``least_chars`` characters, at most ``most``."""
+    plain = F.regexp_replace(answer, r"\[\d{1,2}\]", " ")
+    return F.slice(F.filter(F.transform(F.split(plain, r"(?U)(?<=[.!?])\s+"), lambda s: F.trim(s)), lambda s: F.length(s) >= least_chars), 1, most)
 
 
 def rewrite(query: Column, context: Column, attempt: Column, longest: int = 300) -> Column:
@@ -36,9 +65,11 @@ def rewrite(query: Column, context: Column, attempt: Column, longest: int = 300)
 
 
 def refusal_reason(reason: Column) -> Column:
-    """A reason in a closed vocabulary."""
-    low = F.lower(reason)
-    return F.when(low.contains("inject"), "unsafe_input").when(low.contains("pii") | low.contains("personal"), "personal_data").when(low.contains("evidence") | low.contains("context"), "insufficient_evidence").when(low.contains("domain"), "out_of_scope").otherwise("other")
+    """A reason in a closed vocabulary: the code of the first phrase that it holds, ``refused`` without one, empty for an empty reason."""
+    low, code = F.lower(reason), None
+    for phrase, name in REASONS:
+        code = F.when(low.contains(phrase), name) if code is None else code.when(low.contains(phrase), name)
+    return code.otherwise(F.when(F.coalesce(reason, F.lit("")) == "", "").otherwise("refused"))
 
 
 def first_json(text: Column, schema: str) -> Column:

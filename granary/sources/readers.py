@@ -44,9 +44,9 @@ def golden_violations(rows: DataFrame) -> DataFrame:
     """``id, problem`` of rows that break a constraint."""
     problems = F.array_compact(
         F.array(
-            F.when((F.col("category") == "out_of_domain") & (F.size("expected_doc_ids") > 0), "out of domain with documents"),
+            F.when((F.col("category") == "out-of-domain") & (F.size("expected_doc_ids") > 0), "out of domain with documents"),
             F.when(F.exists("expected_chunk_ids", lambda c: ~F.array_contains("expected_doc_ids", F.substring_index(c, "#", 1))), "chunk outside the documents"),
-            F.when(F.col("injection_canary").isNotNull() & (F.col("category") != "adversarial"), "canary outside adversarial"),
+            F.when((F.coalesce("injection_canary", F.lit("")) != "") != (F.col("category") == "adversarial-injection"), "canary without attack or attack without canary"),
             F.when(F.size(F.array_distinct("expected_doc_ids")) < F.size("expected_doc_ids"), "repeated document"),
         )
     )

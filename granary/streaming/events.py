@@ -34,10 +34,13 @@ def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
-def bucket_decisions(events: DataFrame, capacity: float = 10.0, rate: float = 1.0) -> DataFrame:
-    """Token bucket per user as streaming state: ``event_id, user_id, allowed``. State is one level and one time per user, dropped after a day."""
+def bucket_decisions(events: DataFrame, capacity: float = 10.0, rate: float = 1.0, late: str = "1 day", keep_ms: int = 86_400_000) -> DataFrame:
+    """Token bucket per user as streaming state: ``event_id, user_id, allowed``. State is one level and one time per user, dropped when the watermark is ``keep_ms`` beyond a user's last event."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         level, last = state.get if state.exists else (capacity, None)
         rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
         allowed = []
@@ -47,9 +50,10 @@ def bucket_decisions(events: DataFrame, capacity: float = 10.0, rate: float = 1.
             allowed.append(level >= 1.0)
             level -= 1.0 if allowed[-1] else 0.0
         state.update((level, last))
+        state.setTimeoutTimestamp(max(int(last * 1000) + keep_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": rows["event_id"], "user_id": key[0], "allowed": allowed})
 
-    return events.groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "level double, last double", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("user_id").applyInPandasWithState(step, "event_id long, user_id long, allowed boolean", "level double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def run_to_end(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
