@@ -169,15 +169,22 @@ def exchange(frame: DataFrame, hashes: Callable[[dict], tuple[np.ndarray, np.nda
         sizes = np.array([len(b) // (width + wide) for b in blobs])
         values = np.frombuffer(b"".join([b[: width * n] for b, n in zip(blobs, sizes, strict=True)]), "<" + key)
         notes = np.frombuffer(b"".join([b[width * n :] for b, n in zip(blobs, sizes, strict=True)]), "<" + note)
+        count = len(values)
+        del blobs
         order = np.argsort(values, kind="stable")
         ranked = values[order]
+        del values
         starts = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        ends = np.append(starts[1:], len(values))
-        owners = np.repeat(np.arange(len(sizes)), sizes)[order]
+        ends = np.append(starts[1:], count)
+        del ranked
+        owners = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         found = judge(notes[order], owners, starts, ends)
-        codes = np.empty(len(values), "<" + code)
-        codes[order] = found if len(found) == len(values) and len(starts) < len(values) else np.repeat(found, ends - starts)
+        del notes, owners
+        codes = np.empty(count, "<" + code)
+        codes[order] = found if len(found) == count and len(starts) < count else np.repeat(found, ends - starts)
         at = np.cumsum(sizes)
+        del order, found, starts, ends
+        tidy()
         return pa.table({"block_id": table.column("block_id"), "part": table.column("part"), "blob": pa.array([codes[e - n : e].tobytes() for e, n in zip(at, sizes, strict=True)], pa.binary())})
 
     return frame.mapInArrow(send, SIDE).groupBy("part").applyInArrow(count, SIDE)

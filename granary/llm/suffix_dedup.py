@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import scratch
-from .worker import enter
+from .worker import enter, tidy
 
 GRAM = 32
 #: Short strings that splitters are taken from, at most.
@@ -439,9 +439,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
                 out.setdefault(mine[1], []).append((mine[2], mine[2] + size))
             else:
                 best, size = mine, len(text)
+        del sources, orders
         for block, spans in out.items():
             told_ids.append(block)
             told.append(np.array(spans, "<i8").tobytes())
+        out.clear()
+        tidy()
         return pa.table({"block_id": pa.array(told_ids, pa.int64()), "part": pa.array([part] * len(told), pa.int32()), "blob": pa.array(told, pa.binary())})
 
     marked = scratch.materialize(runs.groupBy("part").applyInArrow(merge_runs, B.SIDE), "marks")
