@@ -9,22 +9,28 @@ from pyspark.sql.window import Window
 from granary.functions import text as T
 
 
-def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buckets: int | None = None) -> DataFrame:
-    """``start``: the sum of all earlier values, over a global order of a numeric column.
+def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buckets: int | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """``start``: the sum of all earlier values, over a global order of a numeric column, or over one within each group of ``by``.
 
     Two levels instead of one unpartitioned window: quantiles of the order, found first, cut it into ranges; sums of whole ranges (one row
-    each) become their offsets, and a window adds up within each. A row's range depends on its value alone, so both levels agree
-    even where a plan is computed twice. There are as many ranges as the session has shuffle partitions, 64 at least, unless stated.
+    each) become their offsets, and a window adds up within each, so a group of any size is no task of its own. A row's range depends on its
+    value alone, so both levels agree even where a plan is computed twice. There are as many ranges as the session has shuffle partitions, 64
+    at least, unless stated. Nulls come first, in the order as in ``by``.
     """
     buckets = buckets or max(64, int(lengths.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     shares = [i / buckets for i in range(1, buckets)]
     found = lengths.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
     cuts = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<long>")
     ranged = lengths.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col(order))))
-    sums = ranged.groupBy("part").agg(F.sum(value).alias("s"))
-    offsets = sums.select("part", (F.sum("s").over(Window.orderBy("part")) - F.col("s")).alias("before"))
-    w = Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return ranged.join(F.broadcast(offsets), "part").withColumn("start", F.col("before") + F.sum(value).over(w) - F.col(value)).drop("part", "before")
+    sums = ranged.groupBy(*by, "part").agg(F.sum(value).alias("s"))
+    offsets = sums.select(*by, "part", (F.sum("s").over(Window.partitionBy(*by).orderBy("part")) - F.col("s")).alias("before"))
+    w = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if by:
+        names = {c: f"_{c}" for c in (*by, "part")}
+        placed = ranged.join(offsets.withColumnsRenamed(names), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())
+    else:
+        placed = ranged.join(F.broadcast(offsets), "part")
+    return placed.withColumn("start", F.col("before") + F.sum(value).over(w) - F.col(value)).drop("part", "before")
 
 
 def pack_rows(lengths: DataFrame, seq_len: int) -> DataFrame:

@@ -7,9 +7,9 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from granary.functions import text as T
+from granary.operators.packing import prefix_sums
 
 Z = 1.959963984540054
 
@@ -57,20 +57,29 @@ def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return total.crossJoin(chance).select("n", po.alias("observed"), pe.alias("expected"), F.when(pe == 1, F.when(po == 1, 1.0).otherwise(0.0)).otherwise((po - pe) / (1 - pe)).alias("kappa"))
 
 
+def _counted(rows: DataFrame, by: list[str], column: str, *more: Column) -> DataFrame:
+    """A row per group and value: ``by, column``, how many rows hold it (``n``), the aggregates ``more``, and how many rows of the group hold less (``start``)."""
+    return prefix_sums(rows.groupBy(*by, column).agg(F.count("*").alias("n"), *more), order=column, by=tuple(by))
+
+
 def mid_ranks(values: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
-    """Ranks from 1, tied values sharing the mean of theirs."""
+    """Ranks from 1, tied values sharing the mean of theirs; nulls come first.
+
+    Values are counted first and only their counts are put in order, range by range.
+    """
     by = by or []
-    order = Window.partitionBy(*by).orderBy(column)
-    return values.withColumn("mid_rank", F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, column)) - 1) / 2.0)
+    keys = [*by, column]
+    ranks = _counted(values, by, column).select(*[F.col(c).alias(f"_{c}") for c in keys], (F.col("start") + (F.col("n") + 1) / 2.0).alias("mid_rank"))
+    return values.join(ranks, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]).select(*values.columns, "mid_rank")
 
 
 def wilcoxon_sums(pairs: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Signed-rank sums of paired differences, zeros dropped: ``n, w_plus, w_minus, w``."""
     diffs = pairs.withColumn("d", F.col(x) - F.col(y)).where("d <> 0").withColumn("size", F.abs("d"))
-    ranked = mid_ranks(diffs, "size", by)
-    plus = F.sum(F.when(F.col("d") > 0, F.col("mid_rank")).otherwise(0.0))
-    minus = F.sum(F.when(F.col("d") < 0, F.col("mid_rank")).otherwise(0.0))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
+    sizes = _counted(diffs, by, "size", F.count(F.when(F.col("d") > 0, 1)).alias("positive")).withColumn("mid_rank", F.col("start") + (F.col("n") + 1) / 2.0)
+    plus = F.sum(F.col("positive") * F.col("mid_rank"))
+    minus = F.sum((F.col("n") - F.col("positive")) * F.col("mid_rank"))
+    return sizes.groupBy(*by).agg(F.sum("n").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
 
 
 EXACT = 25
@@ -181,7 +190,8 @@ def kappa_interval(pairs: DataFrame, a: str, b: str, key: str, resamples: int =
 
 
 def nearest_rank_percentile(values: DataFrame, by: list[str], column: str, p: float) -> DataFrame:
-    """Value at the index ``p * (n - 1)`` rounded half to even."""
-    w = Window.partitionBy(*by)
-    placed = values.where(F.col(column).isNotNull()).withColumn("i", F.row_number().over(w.orderBy(column)) - 1).withColumn("n", F.count("*").over(w))
-    return placed.where(F.col("i") == F.bround(F.lit(p) * (F.col("n") - 1)).cast("int")).select(*by, F.col(column).alias("value"))
+    """Value at the index ``p * (n - 1)`` rounded half to even, in the group's order of values that are not null."""
+    rows = values.where(F.col(column).isNotNull())
+    totals = rows.groupBy(*by).agg(F.count("*").alias("_total")).select(*[F.col(c).alias(f"_{c}") for c in by], F.bround(F.lit(p) * (F.col("_total") - 1)).cast("long").alias("_index"))
+    held = (F.col("_index") >= F.col("start")) & (F.col("_index") < F.col("start") + F.col("n"))
+    return _counted(rows, by, column).join(totals, [held, *[F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]]).select(*by, F.col(column).alias("value"))
