@@ -23,10 +23,10 @@ def ranked_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataF
     Only chunks with one of the terms are ranked, found by an equi-join on words; ties go to the smaller document and chunk.
     """
     words = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
-    asked = questions.select("qid", F.col("doc_id").alias("wanted"), "terms", F.explode("terms").alias("term"))
-    hits = words.join(asked, "term").groupBy("qid", "wanted", "terms", "chunk_doc", "idx").agg(F.count("*").alias("hits"))
+    asked = questions.select("qid", F.explode("terms").alias("term"))
+    hits = words.join(asked, "term").groupBy("qid", "chunk_doc", "idx").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), "chunk_doc", "idx")
-    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(questions.select("qid", F.col("doc_id").alias("wanted"), "terms"), "qid")
     texts = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", "text")
     return best.join(texts, ["chunk_doc", "idx"]).select("qid", "rank", relevance(F.col("text"), F.col("terms"), F.col("chunk_doc") == F.col("wanted")).alias("relevance"))
 

@@ -238,7 +238,7 @@ def question_candidates(spark, d):
     return datasets.candidates(rows, quota=5, least=1).select("id", "category")
 
 
-_TERMS = "q AS (SELECT item_id AS qid, item_id AS doc_id, list_slice(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), 1, 6) AS terms FROM benchmark)"
+_TERMS = "q AS (SELECT item_id AS qid, item_id AS doc_id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS terms FROM benchmark)"
 
 
 def _ablation_sql(size: int, overlap: int) -> str:
@@ -253,7 +253,7 @@ def _ablation_sql(size: int, overlap: int) -> str:
 
 @query(" UNION ALL ".join(_ablation_sql(s, o) for s, o in ((64, 0), (128, 32))))
 def chunk_ablation(spark, d):
-    tokens = F.slice(F.array_sort(F.array_distinct(T.search_tokens(F.col("text")))), 1, 6)
+    tokens = F.array_sort(F.array_distinct(T.search_tokens(F.col("text"))))
     questions = items(spark, d).select("qid", F.col("qid").alias("doc_id"), tokens.alias("terms"))
     return ablation.compare(docs(spark, d).select("doc_id", "text"), questions, [("fixed", 64, 0), ("fixed", 128, 32)]).withColumn("ndcg", F.round("ndcg", 6))
 
