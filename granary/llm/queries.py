@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, suffix_dedup, token_counts, url_filter
+from . import ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, ranked_search, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,8 +61,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(_table(spark, sf_dir, "documents"), percent=90, n=3)
 
 
+def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join, op11_ranked_lexical_search)
 }
 
 _URL_PARTS = """
@@ -123,3 +127,20 @@ reach(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM reach r JOIN l ON
 m AS (SELECT a, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id FROM s LEFT JOIN m ON a = doc_id
 """
+
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+ORACLES["op11_ranked_lexical_search"] = f"""
+WITH d AS (SELECT doc_id, unnest({_TERMS}) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*)::BIGINT AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY ALL),
+c AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM n),
+w AS (SELECT t, floor(1000 * ln((2 * big_n + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, c GROUP BY t, big_n),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * big_n) // big_l AS m FROM n, c),
+q AS (SELECT item_id, t, count(*)::BIGINT AS times FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN tf USING (t) JOIN m USING (doc_id) GROUP BY ALL
+),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 10
+"""
