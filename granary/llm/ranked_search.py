@@ -12,7 +12,6 @@ term, which needs its document frequency, is multiplied in at the search. So blo
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,22 +29,33 @@ BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 1 << 16
 ITEMS, ITEM_BYTES = 2048, 8 << 20
 #: The impact is less than 10 ** 6 for a document's measure of at least 25.
 IMPACT_BITS = 20
-_TERM = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_GAP = re.compile(rb"[^0-9A-Za-z\x80-\xff]")
-_SEGMENT = 1 << 22
-_SOLID = np.zeros(256, bool)
-_SOLID[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: Bytes of terms: digits, letters and all of characters beyond ASCII; A-Z become a-z, any other byte a space.
+_SOLID = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b if _SOLID[b] else 32 for b in range(256)], np.uint8)
 _INDEX = "block_id long, doc_ids array<long>, terms binary, term_ends binary, ends binary, places binary, slices array<binary>"
 
 
-def terms(text: bytes) -> Iterator[list[bytes]]:
-    """The terms of UTF-8 bytes, A-Z as a-z, in lists of a few MB of text: runs of digits, letters and all characters beyond ASCII."""
-    at = 0
-    while at < len(text):
-        gap = _GAP.search(text, at + _SEGMENT) if len(text) - at > _SEGMENT else None
-        end = gap.start() if gap else len(text)
-        yield _TERM.findall(text[at:end].lower())
-        at = end
+def terms(text: str | None) -> list[bytes]:
+    """The terms of a text, A-Z as a-z."""
+    return (text or "").encode().translate(_LOWER.tobytes()).split()
+
+
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a binary column and where each row begins (one more than rows); a null is empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    return (np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)), offsets - offsets[0]
+
+
+def _beginnings(solid: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks at the first byte of each term; terms end with their text."""
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    begin[heads] = solid[heads]
+    return begin
 
 
 def _as_bytes(docs: DataFrame) -> DataFrame:
@@ -58,30 +68,14 @@ def corpus_size(docs: DataFrame) -> tuple[int, int]:
     def run(batches):
         enter("ranked")
         for batch in batches:
-            column = batch.column(0)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
-            raw = column.buffers()[2]
-            data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and raw.size else np.zeros(0, np.uint8)
-            offsets = offsets - offsets[0]
-            begin = _SOLID[data]
-            begin[1:] &= ~_SOLID[data[:-1]]
-            heads = offsets[:-1][np.diff(offsets) > 0]
-            begin[heads] = _SOLID[data[heads]]
-            counts = np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
+            data, offsets = _buffers(batch.column(0))
+            counts = np.diff(np.concatenate([[0], np.cumsum(_beginnings(_SOLID[data], offsets))])[offsets])
             yield pa.RecordBatch.from_arrays([pa.array([int((counts > 0).sum())], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["n", "l"])
 
     found = _as_bytes(docs).select("text").mapInArrow(run, "n long, l long").agg(F.sum("n"), F.sum("l")).first()
     return found[0] or 0, found[1] or 0
 
 
-class _Numbers(dict):
-    """Numbers for keys, in order of their first use."""
-
-    def __missing__(self, key):
-        self[key] = found = len(self)
-        return found
-
-
 def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_docs: int = BLOCK_DOCS) -> tuple[DataFrame, int, int]:
     """The index of ``docs(doc_id, text)`` as a written table, a block a row, with :func:`corpus_size`.
 
@@ -95,55 +89,53 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES, block_docs: int
 
         enter("ranked")
         pid, made = TaskContext.get().partitionId(), 0
-        numbers, ids, sizes, held, keys, times = _Numbers(), [], [], 0, [], []
+        ids, sizes, values, lengths, held = [], [], [], [], 0
 
         def flush():
-            nonlocal numbers, held, made
+            nonlocal held, made
             # Documents in order of id, null ones last, equal ones as they came.
             order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, i))
             place = np.empty(len(ids), np.int64)
             place[order] = np.arange(len(ids))
-            measure = np.array([25 + 75 * sizes[i] * documents // length for i in range(len(ids))], np.int64)
-            tf, doc = np.concatenate(times), np.repeat(np.arange(len(ids)), [len(k) for k in keys])
-            impact = (1_000_000_000 * tf) // (1000 * tf + 8 * measure[doc])
-            term = np.concatenate(keys)
-            by_term = np.lexsort((place[doc], term))
-            impact, places = impact[by_term], place[doc[by_term]].astype("<u4")
-            ends = np.cumsum(np.bincount(term, minlength=len(numbers))).astype("<u4")
-            names = list(numbers)
+            measure = np.array([25 + 75 * sizes[i] * documents // length for i in order], np.int64)
+            ends_of = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype(np.int32)
+            words = pa.Array.from_buffers(pa.binary(), len(ends_of) - 1, [None, pa.py_buffer(ends_of), pa.py_buffer(np.concatenate(values))]).dictionary_encode()
+            key = words.indices.to_numpy().astype(np.int64) * len(ids) + np.repeat(place, sizes)
+            key, tf = np.unique(key, return_counts=True)  # in order of term and place
+            term, places = key // len(ids), key % len(ids)
+            impact = (1_000_000_000 * tf) // (1000 * tf + 8 * measure[places])
+            names, name_offsets = _buffers(words.dictionary)
+            ends = np.cumsum(np.bincount(term, minlength=len(words.dictionary)))
             row = [
                 pa.array([(pid << 32) | made], pa.int64()), pa.array([[ids[i] for i in order]], pa.list_(pa.int64())),
-                pa.array([b"".join(names)], pa.binary()), pa.array([np.cumsum([len(x) for x in names]).astype("<u4").tobytes()], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.array([places.tobytes()], pa.binary()),
+                pa.array([names.tobytes()], pa.binary()), pa.array([name_offsets[1:].astype("<u4").tobytes()], pa.binary()), pa.array([ends.astype("<u4").tobytes()], pa.binary()), pa.array([places.astype("<u4").tobytes()], pa.binary()),
                 pa.array([[np.packbits((impact >> b) & 1 > 0, bitorder="little").tobytes() for b in range(IMPACT_BITS)]], pa.list_(pa.binary())),
             ]
-            numbers, held, made = _Numbers(), 0, made + 1
-            for x in (ids, sizes, keys, times):
+            made, held = made + 1, 0
+            for x in (ids, sizes, values, lengths):
                 x.clear()
             return pa.RecordBatch.from_arrays(row, ["block_id", "doc_ids", "terms", "term_ends", "ends", "places", "slices"])
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py() or b""
-                if ids and held + len(text) > block_bytes:
-                    yield flush()
-                found, total = [], 0
-                for words in terms(text):
-                    found.append(np.unique(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)), return_counts=True))
-                    total += len(words)
-                if not total:
-                    continue
-                if len(found) > 1:
-                    term, inverse = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                    count = np.zeros(len(term), np.int64)
-                    np.add.at(count, inverse, np.concatenate([f[1] for f in found]))
-                else:
-                    term, count = found[0]
-                ids.append(doc)
-                sizes.append(total)
-                keys.append(term)
-                times.append(count)
-                held += len(text)
-                if held >= block_bytes or len(ids) >= block_docs:
+            data, offsets = _buffers(batch.column(1))
+            docs_, at = batch.column(0).to_pylist(), 0
+            while at < len(docs_):
+                # As many documents as the block has room for, one at least.
+                to = max(at + (not ids), min(int(np.searchsorted(offsets, offsets[at] + block_bytes - held, side="right")) - 1, at + block_docs - len(ids)))
+                if to > at:
+                    part, borders = data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
+                    solid = _SOLID[part]
+                    begin = _beginnings(solid, borders)
+                    counts = np.diff(np.concatenate([[0], np.cumsum(begin)])[borders])
+                    first = np.concatenate([[0], np.cumsum(solid)])[np.flatnonzero(begin)]
+                    values.append(_LOWER[part[solid]])
+                    lengths.append(np.diff(np.append(first, len(values[-1]))))
+                    some = np.flatnonzero(counts).tolist()
+                    ids.extend([docs_[at + i] for i in some])
+                    sizes.extend(counts[some].tolist())
+                    held += int(borders[-1])
+                    at = to
+                if ids and (at < len(docs_) or held >= block_bytes or len(ids) >= block_docs):
                     yield flush()
         if ids:
             yield flush()
@@ -172,12 +164,14 @@ def add(total: np.ndarray, other: np.ndarray, shift: int = 0) -> None:
             carry = following
 
 
-def times(slices: np.ndarray, factor: int) -> np.ndarray:
-    """Bit-sliced numbers, each multiplied by the same factor: shifted additions."""
-    out = np.zeros((len(slices) + factor.bit_length(), slices.shape[1]), np.uint64)
-    for bit in range(factor.bit_length()):
-        if factor >> bit & 1:
-            add(out, slices, bit)
+def times(slices: np.ndarray, factors: np.ndarray) -> np.ndarray:
+    """Bit-sliced numbers of several terms, each term's multiplied by its factor: shifted additions. Rows are slices, then come terms, then documents."""
+    most = int(factors.max()).bit_length()
+    out = np.zeros((len(slices) + most, *slices.shape[1:]), np.uint64)
+    for bit in range(most):
+        on = -((factors >> bit) & 1).astype(np.int64)
+        if on.any():
+            add(out, slices & on.view(np.uint64)[None, :, None], bit)
     return out
 
 
@@ -240,55 +234,86 @@ def _frequencies(index: DataFrame, wanted: dict[bytes, int]) -> dict[int, int]:
     return {r["term"]: r["n"] for r in rows}
 
 
+#: Bytes of weighted slices held at a time, terms multiplied together, and items added up together.
+HELD_BYTES, TERMS_AT_ONCE, ITEMS_AT_ONCE = 64 << 20, 32, 32
+
+
 class _Scorer:
     """One block of the index and what a set of items asks of it."""
 
     def __init__(self, row: dict, wanted: dict[bytes, int], weights: dict[int, int]):
         self.width = -(-len(row["doc_ids"]) // 64) * 64
         self.places = np.frombuffer(row["places"], "<u4")
-        self.bits = np.stack([np.unpackbits(np.frombuffer(s, np.uint8), count=len(self.places), bitorder="little") for s in row["slices"]])
+        self.slices = np.stack([np.frombuffer(s, np.uint8) for s in row["slices"]])
         ends = np.frombuffer(row["ends"], "<u4").tolist()
         self.range = {}
         for i, word in enumerate(_words_of(row)):
             number = wanted.get(word)
             if number is not None and weights.get(number):
                 self.range[number] = (ends[i - 1] if i else 0, ends[i])
-        self.weights, self.known = weights, {}
-
-    def term(self, number: int) -> np.ndarray | None:
-        """The weighted impacts of a term as slices."""
-        if number not in self.range:
-            return None
-        if number not in self.known:
-            a, b = self.range[number]
-            wide = np.zeros((IMPACT_BITS, self.width), np.uint8)
-            wide[:, self.places[a:b]] = self.bits[:, a:b]
-            packed = np.packbits(wide, axis=1, bitorder="little").view(np.uint64)
-            self.known[number] = times(packed, self.weights[number])
-        return self.known[number]
-
-    def best(self, item: list[tuple[int, int]], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best documents for an item's ``(term, repeats)``."""
-        parts = [(s, r) for number, r in item if (s := self.term(number)) is not None]
-        if not parts:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        rows = max(len(s) for s, _ in parts) + sum(r for _, r in parts).bit_length()
-        total = np.zeros((rows, self.width // 64), np.uint64)
-        for slices, repeats in parts:
-            for bit in range(repeats.bit_length()):
-                if repeats >> bit & 1:
-                    add(total, slices, bit)
-        places = top(total, k)
-        return places, numbers_at(total, places)
+        self.weights = weights
+        self.rows = IMPACT_BITS + max([w.bit_length() for w in weights.values()], default=0)
+
+    def weighted(self, numbers: list[int]) -> dict[int, np.ndarray]:
+        """The weighted impacts of some terms that the block holds, as slices."""
+        out = {}
+        for at in range(0, len(numbers), TERMS_AT_ONCE):
+            some = numbers[at : at + TERMS_AT_ONCE]
+            wide = np.zeros((IMPACT_BITS, len(some), self.width), np.uint8)
+            for j, number in enumerate(some):
+                a, b = self.range[number]
+                wide[:, j, self.places[a:b]] = np.unpackbits(self.slices[:, a >> 3 : (b + 7) >> 3], axis=1, bitorder="little")[:, a & 7 : (a & 7) + b - a]
+            product = times(np.packbits(wide, axis=2, bitorder="little").view(np.uint64), np.array([self.weights[n] for n in some], np.int64))
+            out |= {n: product[:, j] for j, n in enumerate(some)}
+        return out
+
+    def groups(self, items: list[list[tuple[int, int]]]) -> Iterator[list[tuple[int, list[tuple[int, int]]]]]:
+        """Items with terms in the block, in groups whose weighted slices fit in memory together."""
+        room = max(1, HELD_BYTES // (self.rows * self.width // 8))
+        group, seen = [], set()
+        for i, item in enumerate(items):
+            mine = [x for x in item if x[0] in self.range]
+            if not mine:
+                continue
+            if group and (len(group) == ITEMS_AT_ONCE or len(seen | {n for n, _ in mine}) > room):
+                yield group
+                group, seen = [], set()
+            group.append((i, mine))
+            seen |= {n for n, _ in mine}
+        if group:
+            yield group
+
+    def best(self, items: list[list[tuple[int, int]]], k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Each item's place in the list, with the places and scores of its best documents; an item is a list of ``(term, repeats)``."""
+        room = max(1, HELD_BYTES // (self.rows * self.width // 8))
+        for group in self.groups(items):
+            extra = max(sum(r for _, r in mine) for _, mine in group).bit_length()
+            total = np.zeros((self.rows + extra, len(group), self.width // 64), np.uint64)
+            most = max(len(mine) for _, mine in group)
+            step = most if len(group) > 1 else room  # an item of very many terms is a group of its own and is added up in pieces
+            for at in range(0, most, step):
+                pieces = [mine[at : at + step] for _, mine in group]
+                product = self.weighted(sorted({n for piece in pieces for n, _ in piece}))
+                for j in range(max(map(len, pieces))):
+                    some = [(g, *piece[j]) for g, piece in enumerate(pieces) if j < len(piece)]
+                    repeats = max(r for _, _, r in some)
+                    for bit in range(repeats.bit_length()):
+                        other = np.zeros((max(len(product[n]) for _, n, _ in some), *total.shape[1:]), np.uint64)
+                        for g, n, r in some:
+                            if r >> bit & 1:
+                                other[: len(product[n]), g] = product[n]
+                        add(total, other, bit)
+            for g, (i, _) in enumerate(group):
+                places = top(total[:, g], k)
+                yield i, places, numbers_at(total[:, g], places)
 
 
 def _search_block(index: DataFrame, documents: int, rows: list, k: int) -> DataFrame:
     """The best documents for one block of items."""
     spark = index.sparkSession
-    wanted, items = _Numbers(), []
+    wanted, items = {}, []
     for r in rows:
-        items.append([(wanted[t], n) for t, n in sorted(Counter(t for part in terms((r["text"] or "").encode()) for t in part).items())])
-    wanted = dict(wanted)
+        items.append([(wanted.setdefault(t, len(wanted)), n) for t, n in sorted(Counter(terms(r["text"])).items())])
     weights = {t: weight(documents, n) for t, n in _frequencies(index, wanted).items()}
     held = spark.sparkContext.broadcast((wanted, weights, items))
 
@@ -301,8 +326,7 @@ def _search_block(index: DataFrame, documents: int, rows: list, k: int) -> DataF
             for row in batch.to_pylist():
                 scorer = _Scorer(row, wanted, weights)
                 ids = row["doc_ids"]
-                for i, item in enumerate(items):
-                    places, scores = scorer.best(item, k)
+                for i, places, scores in scorer.best(items, k):
                     if len(places):
                         kept[i] = sorted([*kept[i], *((s, ids[p], row["block_id"], p) for p, s in zip(places.tolist(), scores.tolist(), strict=True))], key=rank)[:k]
         flat = [(i, *x) for i, best in enumerate(kept) for x in best]
