@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann_hilbert, bpe, embedding_dedup, html_extract, jaccard_join, packing, quality, ranked_search, suffix_dedup, token_counts, url_filter
+from . import alignment, ann_hilbert, bpe, embedding_dedup, fingerprints, html_extract, jaccard_join, packing, quality, ranked_search, suffix_dedup, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,12 +65,16 @@ def op11_ranked_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_documents(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join, op11_ranked_lexical_search, op13_cross_tokenizer_alignment)
+    f.__name__: f for f in (op1_suffix_array_dedup, op2_embedding_near_dedup, op3_html_extraction, op4_approximate_nearest_neighbours, op5_url_filters, op6_token_counts, op7_bpe, op8_quality_classifier, op9_best_fit_packing, op10_ngram_jaccard_join, op11_ranked_lexical_search, op12_document_fingerprints, op13_cross_tokenizer_alignment)
 }
 
 _URL_PARTS = """

@@ -24,7 +24,7 @@ from . import scratch
 from .worker import enter, tidy
 
 #: Text and documents of a block, at most; a longer text is a block of its own.
-BLOCK_BYTES, BLOCK_DOCS = 32 << 20, 1 << 16
+BLOCK_BYTES, BLOCK_DOCS = 16 << 20, 1 << 16
 #: Items searched together, and their bytes; more go in several rounds over the index.
 ITEMS, ITEM_BYTES = 2048, 8 << 20
 #: The impact is less than 10 ** 6 for a document's measure of at least 25.
@@ -235,7 +235,7 @@ def _frequencies(index: DataFrame, wanted: dict[bytes, int]) -> dict[int, int]:
 
 
 #: Bytes of weighted slices held at a time, terms multiplied together, and items added up together.
-HELD_BYTES, TERMS_AT_ONCE, ITEMS_AT_ONCE = 64 << 20, 32, 32
+HELD_BYTES, TERMS_AT_ONCE, ITEMS_AT_ONCE = 32 << 20, 32, 32
 
 
 class _Scorer:
