@@ -31,55 +31,30 @@ RARE, MIDDLE = 32, 254
 #: Sets joined in one task, and their bytes; larger clusters are cut.
 CLUSTER, CLUSTER_BYTES = 1024, 32 << 20
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
-#: A word's hash is a polynomial in an odd base, modulo 2 ** 64, over a random odd value for each byte; A-Z have those of a-z.
-_BASE = 0xD1342543DE82EF95
-_VALUES = np.random.default_rng(20).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_VALUES[65:91] = _VALUES[97:123]
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_SEGMENT, _LONG_WORD = 1 << 17, 1 << 16
-
-
-def _powers(base: int) -> np.ndarray:
-    found = np.full(_SEGMENT + _LONG_WORD + 1, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    found[0] = 1
-    return np.cumprod(found, dtype=np.uint64)
-
-
-_UP, _DOWN = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+_SOLID = np.ones(256, bool)
+_SOLID[[32, *range(9, 14)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all documents in a row, A-Z as a-z, and where each document's begin (one more than documents).
 
-    Words are looked at in segments that stay in a core's cache; one of more than 64 KiB is hashed on its own.
+    Words are told apart by their bytes; each different one is hashed once, by a seeded 64-bit digest.
     """
-    n = len(data)
-    if not n:
+    if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    solid = ~_SPACE[data]
-    full = starts[:-1][np.diff(starts) > 0], starts[1:][np.diff(starts) > 0]
-    edge = np.empty(n, bool)
-    edge[0] = True
-    edge[1:] = ~solid[:-1]
-    edge[full[0]] = True
-    first = np.flatnonzero(solid & edge)
-    edge[-1] = True
-    edge[:-1] = ~solid[1:]
-    edge[full[1] - 1] = True
-    last = np.flatnonzero(solid & edge) + 1
-    out = np.empty(len(first), np.uint64)
-    long_ = last - first > _LONG_WORD
-    parts = np.flatnonzero(np.concatenate([[True], (np.diff(first // _SEGMENT) != 0) | long_[1:] | long_[:-1]])) if len(first) else np.zeros(0, np.int64)
-    for i, j in zip(parts.tolist(), [*parts[1:].tolist(), len(first)], strict=True):
-        at, end = int(first[i]), int(last[j - 1])
-        if long_[i]:
-            out[i] = xxhash.xxh3_64_intdigest(data[at:end].tobytes().lower())
-            continue
-        sums = np.zeros(end - at + 1, np.uint64)
-        np.cumsum(_VALUES[data[at:end]] * _UP[: end - at], out=sums[1:])
-        out[i:j] = (sums[last[i:j] - at] - sums[first[i:j] - at]) * _DOWN[first[i:j] - at] ^ (last[i:j] - first[i:j]).astype(np.uint64)
-    return B.mix(out), np.searchsorted(first, starts)
+    solid = _SOLID[data]
+    begin = solid.copy()
+    begin[1:] &= ~solid[:-1]
+    heads = starts[:-1][np.diff(starts) > 0]
+    begin[heads] = solid[heads]
+    first = np.flatnonzero(begin)
+    values = _LOWER[data[solid]]
+    ends = np.append(np.concatenate([[0], np.cumsum(solid)])[first], len(values)).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(values)]).dictionary_encode()
+    digests = np.array([xxhash.xxh3_64_intdigest(w, 0x5851F42D4C957F2D) for w in words.dictionary.to_pylist()], np.uint64)
+    return B.mix(digests)[words.indices.to_numpy()], np.searchsorted(first, starts)
 
 
 def _shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -165,7 +140,7 @@ def signatures(tokens: np.ndarray, frequency: np.ndarray, percent: int, rare: in
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Exact test of two sorted sets."""
+    """Exact test of two sorted sets of shingles' digests."""
     small, large = (len(a), len(b)) if len(a) < len(b) else (len(b), len(a))
     if 100 * small < percent * large:
         return False
@@ -347,7 +322,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, n: int = 3, cluster: i
 
     Reads ``doc_id`` and ``text``, so other columns can't clash. Words are maximal runs without white space (space, 0x09-0x0D) after lower-casing
     A-Z; texts and words may be of any length. Fewer than n words are one shingle; a text without words, or null, has an empty set and links with
-    nothing. Returns a row for each row, repeated ones too: ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included; null
+    nothing. Shingles are told apart by 64-bit digests of their words' digests. Returns a row for each row, repeated ones too: ``doc_id, n_shingles, component_id`` (least doc_id reachable, itself included; null
     only where all of a component's are). An empty table gives no rows. Equal sets are compared once. A cluster of more than ``cluster`` sets, or
     of more bytes than a task should hold, is cut into parts that share a pivot; only where they don't hang together after that are its
     sets joined key by key.
