@@ -14,7 +14,7 @@ bytes of those windows.
    comparison starts there and known prefixes are never compared again; equal suffixes show by their shared length alone.
 5. All but the earliest of equal suffixes mark their bytes; a last pass over the blocks takes them out.
 
-Hashes decide what is sorted; whether two strings are equal is decided by their bytes.
+Hashes (polynomials in two random bases modulo a prime, some 62 bits) decide what is sorted; whether two sorted strings are equal is decided by their bytes.
 """
 
 from __future__ import annotations
@@ -38,6 +38,39 @@ _CHUNK = 1 << 16
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
+#: A string's hash is, for each of two bases, the polynomial of its bytes' values modulo this prime. Prefix sums of values times powers, each below the prime, stay
+#: exact in 64 bits for 2 ** 32 bytes.
+_PRIME = np.uint64((1 << 31) - 1)
+_RANDOM = np.random.default_rng(41)
+_BASES = _RANDOM.integers(1 << 20, (1 << 31) - 2, 2).tolist()
+_BYTES = _RANDOM.integers(1, (1 << 31) - 1, (2, 256)).astype(np.uint64)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers below 2 ** 62 modulo the prime, which may stand for 0."""
+    x = (x & _PRIME) + (x >> np.uint64(31))
+    return (x & _PRIME) + (x >> np.uint64(31))
+
+
+def _power_table(base: int, step: int, count: int) -> np.ndarray:
+    """Powers ``base ** (step * i)``."""
+    prime, out, factor = int(_PRIME), [1], pow(base, step, int(_PRIME))
+    for _ in range(count - 1):
+        out.append(out[-1] * factor % prime)
+    return np.array(out, np.uint64)
+
+
+#: Powers of the bases for a chunk's places, and of their inverses for any place, by its low, middle and high bits.
+_UP = [_power_table(b, 1, _CHUNK) for b in _BASES]
+_DOWN = [[_power_table(pow(b, -1, int(_PRIME)), 1 << shift, 1 << 12) for shift in (0, 12, 24)] for b in _BASES]
+
+
+def _inverse(which: int, places: np.ndarray) -> np.ndarray:
+    """A base to the power of minus each place, modulo the prime."""
+    low, middle, high = _DOWN[which]
+    return _reduced(_reduced(low[places & 4095] * middle[(places >> 12) & 4095]) * high[places >> 24])
+
+
 class Anchors:
     """Anchors of a block's documents, with hashes of any of its strings.
 
@@ -50,7 +83,7 @@ class Anchors:
         self.length, self.gram_bytes = length, gram
         width = length - gram + 1
         raw = data.tobytes() + bytes(8)
-        self.sums, self.moments = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+        self.sums = np.zeros((2, n + 1), np.uint64)
         edge = np.zeros(n + 1, np.int8)  # no document is entered twice, so sums stay 0 or 1
         long_ = np.diff(starts) >= length
         np.add.at(edge, starts[:-1][long_], 1)
@@ -58,7 +91,7 @@ class Anchors:
         valid = np.cumsum(edge[:n], dtype=np.int8) > 0
         entry = np.zeros(n + 1, bool)
         entry[starts[:-1]] = True
-        total, moment = np.uint64(0), np.uint64(0)
+        total = np.zeros(2, np.uint64)
         shifts = sorted({*range(0, gram - 7, 8), gram - 8}) if gram >= 8 else [0]
         place, first, last = [], [], []
         for offset in range(0, n, _CHUNK):
@@ -66,12 +99,12 @@ class Anchors:
             reach = min(n, offset + count + length) - offset
             word = np.ndarray((reach,), "<u8", raw, offset, strides=(1,)).astype(np.uint64)
             value = B.mix(word + _K[0])
-            own = value[:count]
-            np.cumsum(own, out=self.sums[offset + 1 : offset + count + 1])
-            self.sums[offset + 1 : offset + count + 1] += total
-            np.cumsum(own * np.arange(offset, offset + count, dtype=np.uint64), out=self.moments[offset + 1 : offset + count + 1])
-            self.moments[offset + 1 : offset + count + 1] += moment
-            total, moment = self.sums[offset + count], self.moments[offset + count]
+            for which, base in enumerate(_BASES):
+                shifted = np.uint64(pow(base, offset, int(_PRIME)))
+                terms = _reduced(_reduced(_BYTES[which][data[offset : offset + count]] * _UP[which][:count]) * shifted)
+                np.cumsum(terms, out=self.sums[which, offset + 1 : offset + count + 1])
+                self.sums[which, offset + 1 : offset + count + 1] += total[which]
+                total[which] = self.sums[which, offset + count]
             windows = min(count, n - length + 1 - offset)
             if windows <= 0:
                 continue
@@ -114,11 +147,11 @@ class Anchors:
         self.last = last[np.append(np.flatnonzero(new)[1:], len(new)) - 1] if len(new) else last
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the strings from start to end (8 bytes at least): sums of word hashes, plain and weighted by place."""
-        last = end - 7
-        plain = self.sums[last] - self.sums[start]
-        weighted = self.moments[last] - self.moments[start] - plain * start.astype(np.uint64)
-        return B.mix(plain * _K[1] ^ B.mix(weighted * _K[2] + (end - start).astype(np.uint64)))
+        """Hashes of the strings from start to end: the same for equal strings wherever they stand."""
+        found = []
+        for which, sums in enumerate(self.sums):
+            found.append(_reduced(_reduced(sums[end] - sums[start]) * _inverse(which, start)) % _PRIME)
+        return B.mix(found[0] << np.uint64(31) ^ found[1] ^ B.mix((end - start).astype(np.uint64)))
 
 
 class Prepared:
@@ -349,9 +382,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, keep_text: bool = False,
     contexts = B.gathered(context_codes, "contexts")
     window_codes = scratch.materialize(B.exchange(table.joined(grams, contexts), send_windows, parts, _judge_windows, "u8", "u4", "u8"), "windows")
     windows = B.gathered(window_codes, "windows")
-    # Splitters: a fixed number of short strings from all over the corpus, taken by hash.
-    piece = F.expr("substring(text, cast(pmod(xxhash64(doc_id, 3), length(text)) as int) + 1, 24)")
-    probes = docs.where("length(text) > 0").select(F.xxhash64("doc_id").alias("h"), piece.alias("s")).orderBy("h", "s").limit(min(32 * parts, SPLITTER_SAMPLE)).collect()
+    # Splitters: short strings from all over the corpus, about four times as many as are used, by a hash that no two rows share.
+    count, wanted = table.table.select(F.sum(F.size("doc_ids"))).first()[0] or 0, min(32 * parts, SPLITTER_SAMPLE)
+    share = max(1, min(1 << 30, (4 * wanted << 30) // max(count, 1)))
+    piece = F.expr("substring(text, cast(pmod(h, length(text)) as int) + 1, 24)")
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.xxhash64("doc_id", F.monotonically_increasing_id()).alias("h")).where("length(text) > 0")
+    probes = rows.where(F.shiftrightunsigned("h", 34) < share).select("h", piece.alias("s")).orderBy("h", "s").limit(wanted).collect()
     some = sorted(r["s"].encode() for r in probes)
     splitters = sorted({some[i * len(some) // parts] for i in range(1, parts)}) if some else []
 
