@@ -42,7 +42,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     ``allow``), else null, and ``verdict`` its action, else ``default``. A rule fits its host and every subdomain if
     the URL's path starts with the rule's. Null and malformed URLs have an empty host and path, and get the
     default (a rule with an empty host fits no URL). Other columns of ``pages`` are not read, so names cannot
-    clash; repeated rows stay repeated.
+    clash; repeated rows stay repeated; URLs of any length are looked at whole, but only as much of a path as the longest rule has is expanded; an empty table gives no rows.
     """
     rules = rules.select(F.col("action"), F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path")).where("r_host <> ''").distinct()
     head = rules.agg(F.count("*"), F.sort_array(F.collect_set(F.length("r_path")))).first()
@@ -56,11 +56,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
         return urls.select(F.col("id").alias(id_col), "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
     longest = max(lengths)
     urls = urls.withColumn("lead", F.substring("path", 1, max(longest, 1)))
-    keys = urls.where("host <> ''").groupBy("host", "lead").agg(F.count("*").alias("urls"))
+    keys = urls.groupBy("host", "lead").agg(F.count("*").alias("urls"))  # null and malformed URLs are a key of their own, dealt like any other
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("lead")), lambda n: F.expr("lead").substr(F.lit(1), n))
-    expanded = keys.withColumn("s", F.explode(suffixes)).withColumn("p", F.explode(prefixes)).where("s <> ''")
+    expanded = keys.where("host <> ''").withColumn("s", F.explode(suffixes)).withColumn("p", F.explode(prefixes)).where("s <> ''")
     expanded = expanded.withColumn("full", _digest(F.col("s"), F.col("p"))).withColumn("short", F.substring("full", 1, prefix_hex)).drop("s", "p")
     side = F.broadcast(rules) if count <= BROADCAST_RULES else rules
     hits = expanded.join(side, "short").where("full = digest")
