@@ -349,3 +349,27 @@ def test_hilbert_neighbours_are_adjacent():
     assert sorted(keys) == list(range(64))
     path = cells[np.argsort(keys)]
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    a, b = "a", "b"
+    while len(a) < 2048:
+        a, b = a + b, b + a
+    rows = [(1, a), (2, b), (3, f"x {a} y"), (4, f"x {b} y"), (5, f"X {a.upper()} Y")]
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 3}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_before_tables(spark, seed):
+    rng = random.Random(seed)
+    cell = {"0": "|-------", "1": "|======="}
+    rows = []
+    for g in range(6):
+        head = "".join(rng.choice("abcdefghij ") for _ in range(100))
+        for tail in ("1001", "0110", "1100")[: 2 + g % 2]:
+            rows.append((len(rows), head + "".join(cell[c] for c in tail) + "|" * rng.randint(0, 3)))
+    rows += [(len(rows) + i, "".join(cell[rng.choice("01")] for _ in range(rng.randint(5, 60)))) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.remove_repeats(docs, 100).collect()}
+    assert got == removed(rows, 100) and got[1][1] >= 100
