@@ -25,23 +25,27 @@ from .worker import enter, keeps, tidy
 
 #: Pairs whose counts every task gets, at most.
 FREQUENT_PAIRS = 1 << 18
-#: Texts longer than this are given to the B library in stretches that no piece joins.
-STRETCH = 1 << 16
+#: Texts longer than this are given to the libraries in stretches that no token joins; a longer run without a break goes to the backtracking encoder.
+STRETCH, UNBROKEN = 1 << 16, 1 << 11
 #: Labels of a byte.
 A_END, B_END, BOTH = 1, 2, 3
 _SPAN = re.compile(rb"[\x01\x02]*\x03")
 #: Where B breaks whatever stands around it, given that no piece goes on from another character to a space.
-_CUT = re.compile(r"(?<=[^ ])(?= [^ ])")
+_CUT_B = re.compile(r"(?<=[^ ])(?= [^ ])")
+#: Where A always breaks.
+_CUT_A = re.compile(r"(?<=\S)(?= )")
+# Fixed value: the pattern of byte-level pre-tokens.
+_PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class _SpanCounts(dict):
-    """How many tokens of A and of B a span of labels has."""
+    """How many tokens of A and of B a span of labels has, as one number, A's times 2 ** 32."""
 
-    def __missing__(self, span: bytes) -> tuple[int, int]:
+    def __missing__(self, span: bytes) -> int:
         if len(self) > 200_000:
             self.clear()
         both = span.count(BOTH)
-        self[span] = found = (span.count(A_END) + both, span.count(B_END) + both)
+        self[span] = found = (span.count(A_END) + both << 32) + span.count(B_END) + both
         return found
 
 
@@ -53,18 +57,36 @@ def labels_of(sizes_a: np.ndarray, sizes_b: np.ndarray) -> bytes:
     return out.tobytes()
 
 
+def stretches(text: str, cut: re.Pattern) -> list[str]:
+    """A text in parts of at least :data:`STRETCH` characters, the last one perhaps shorter, that begin where ``cut`` fits."""
+    if len(text) <= STRETCH:
+        return [text]
+    borders = [0]
+    for m in cut.finditer(text):
+        if m.start() - borders[-1] >= STRETCH:
+            borders.append(m.start())
+    return [text[at:end] for at, end in zip(borders, [*borders[1:], len(text)], strict=True)]
+
+
 class Aligner:
     """Two vocabularies: byte-level BPE (A) and pieces with byte fallback (B)."""
 
     def __init__(self, source_a: str, model_b: bytes):
         import sentencepiece
+        import tiktoken
 
         self.a = bpe.load(source_a)
+        ids = self.a.id_of[256:]
+        #: A library for the same vocabulary, where its order of merges is that of ids.
+        self.fast = None
+        if min(self.a.id_of) >= 0 and all(x < y for x, y in zip(ids, ids[1:], strict=False)) and max(self.a.id_of[:256]) < min(ids, default=256):
+            raw = {self.a.blob[self.a.offsets[i] : self.a.offsets[i + 1]].tobytes(): i for i in self.a.id_of}
+            self.fast = tiktoken.Encoding("alignment", pat_str=_PRE_TOKENS, mergeable_ranks=raw, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model_b)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         raw = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.b_offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
-        self.b_blob = np.frombuffer(b"".join(raw), np.uint8)
+        self.raw_b = raw
         self.can_cut = not any(re.search("[^▁]▁", p) for p in pieces)
         self.size_b = len(pieces)
         digits = [str(i) for i in range(max(len(self.a.offsets) - 1, self.size_b))]
@@ -74,19 +96,18 @@ class Aligner:
 
     def encode_a(self, text: str) -> np.ndarray:
         """Ids of A, the strings of special tokens taken as plain text."""
-        own = self.a
-        return np.frombuffer(b"".join([own.words.get(w) or own._ids(w) for w in own.pieces(text)]), "<u4").astype(np.int64)
+        own, out = self.a, []
+        for part in stretches(text, _CUT_A):
+            if self.fast is not None and max(map(len, part.split(" "))) <= UNBROKEN and " " * UNBROKEN not in part:
+                out.append(np.array(self.fast.encode_ordinary(part), np.int64))
+            else:
+                out.append(np.frombuffer(b"".join([own.words.get(w) or own._ids(w) for w in own.pieces(part)]), "<u4").astype(np.int64))
+        return np.concatenate(out)
 
     def encode_b(self, text: str) -> np.ndarray:
         """Ids of B, which puts a space before the text itself."""
-        if len(text) <= STRETCH or not self.can_cut:
-            return np.array(self.b.encode(text, out_type=int), np.int64)
-        borders = [0]
-        for m in _CUT.finditer(text):
-            if m.start() - borders[-1] >= STRETCH:
-                borders.append(m.start())
-        parts = [text[at + (at > 0) : end] for at, end in zip(borders, [*borders[1:], len(text)], strict=True)]  # B adds the space at the head itself
-        return np.concatenate([np.array(self.b.encode(x, out_type=int), np.int64) for x in parts])
+        parts = stretches(text, _CUT_B) if self.can_cut else [text]
+        return np.concatenate([np.array(self.b.encode(x[i > 0 :], out_type=int), np.int64) for i, x in enumerate(parts)])  # B adds the space at a part's head itself
 
     def align(self, text: str | None) -> dict[str, np.ndarray] | None:
         """Ids of a text, how many tokens each group has, and the ids that each link holds; None if it has no tokens."""
@@ -98,11 +119,12 @@ class Aligner:
         sizes_b = self.b_offsets[b + 1] - self.b_offsets[b]
         if not len(b) or int(sizes_a.sum()) != len(raw) or int(sizes_b.sum()) != len(raw):
             return None
-        place = np.arange(len(raw)) + np.repeat(self.b_offsets[b] - (np.cumsum(sizes_b) - sizes_b), sizes_b)
-        if self.b_blob[place].tobytes() != raw or self.a.decode_bytes(a) != raw:
+        if b"".join(map(self.raw_b.__getitem__, b.tolist())) != raw:  # A's vocabulary has every byte and gives back any text
             return None
         marks = labels_of(sizes_a, sizes_b).translate(None, b"\x00")  # a byte where nothing ends counts for nothing
-        groups = np.array([self.spans[s] for s in _SPAN.findall(marks)], np.int64).reshape(-1, 2)
+        found = _SPAN.findall(marks)
+        counts = np.fromiter(map(self.spans.__getitem__, found), np.int64, len(found))
+        groups = np.stack([counts >> 32, counts & 0xFFFFFFFF], axis=1)
         label = np.frombuffer(marks, np.uint8)
         ends_a, ends_b = (label & 1).astype(np.int64), (label >> 1).astype(np.int64)
         return {"a": a, "b": b, "groups": groups, "link_a": a[np.cumsum(ends_a) - ends_a], "link_b": b[np.cumsum(ends_b) - ends_b]}
