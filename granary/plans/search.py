@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
+from granary.functions import permute
 from granary.operators import ann, graph_search
 from granary.plans.registry import asked, query, vecs
+from granary.sources import shard_source
+from granary.sources.readers import table
 
 
 @query()
@@ -14,3 +19,24 @@ def graph_recall_curve(spark, d):
     graph = graph_search.build_graph(v)
     found = graph_search.beam_search(graph, v, q, 10, [10, 20, 40, 80])
     return graph_search.recall_curve(found, ann.exact(v, q, 10)).orderBy("width")
+
+
+@query(f"SELECT x AS row, place, x AS back, count(*) OVER (PARTITION BY place) AS sharers FROM ({permute.place_sql('SELECT event_id AS x FROM events', 'epoch', 3, 1)})")
+def epoch_places(spark, d):
+    """Where an epoch's order puts each row, and which row the place leads back to."""
+    rows = table(spark, d, "events").select(F.col("event_id").alias("row"))
+    order = permute.Permutation(rows.count(), "epoch", 3, 1)
+    placed = rows.withColumn("place", order.place(F.col("row"))).withColumn("back", order.row(F.col("place")))
+    shared = placed.groupBy("place").agg(F.count("*").alias("sharers"))
+    return placed.join(shared, "place").select("row", "place", "back", "sharers")
+
+
+@query("SELECT o_orderkey // 10 AS row, string_agg(o_custkey, ',' ORDER BY o_custkey) AS tokens FROM orders GROUP BY 1")
+def committed_shards(spark, d):
+    """Rows written as shards in one commit and read back whole."""
+    from granary.plans.requests import _folder
+
+    rows = table(spark, d, "orders").groupBy(F.floor(F.col("o_orderkey") / 10).alias("row")).agg(F.sort_array(F.collect_list("o_custkey")).cast("array<int>").alias("tokens"))
+    path = _folder(spark, "committed")
+    shard_source.write(rows, path, rows_per_shard=100)
+    return shard_source.read(spark, path).select("row", F.array_join("tokens", ",").alias("tokens"))

@@ -1,4 +1,8 @@
-"""Reading packed shards in a stated order, batch by batch, from where another reader stopped."""
+"""Reading packed shards in a stated order, batch by batch, from where another reader stopped.
+
+The order of an epoch is a permutation that is computed, not stored: the rows of a batch follow from its number, the manifest tells their shards, and no
+other shard is opened.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +11,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.operators import packing
+from granary.functions.permute import Permutation
 from granary.sources import writers
 
 
 @dataclass
 class ShardReader:
-    """Batches of written shards. The order of an epoch depends on the seed and the epoch alone; ranks take turns, so none reads another's rows."""
+    """Batches of written shards whose rows are numbered from 0. The order of an epoch depends on the seed and the epoch alone; ranks take turns, so none reads another's rows."""
 
     spark: SparkSession
     path: str
@@ -26,8 +30,8 @@ class ShardReader:
     def __post_init__(self) -> None:
         if not 0 <= self.rank < self.ranks:
             raise ValueError("rank outside the ranks")
-        self.rows = self.spark.read.parquet(f"{self.path}/shards")
-        self.size = self.rows.count()
+        self.shards = self.spark.read.json(f"{self.path}/manifest")
+        self.size = self.shards.agg({"n_rows": "sum"}).first()[0] or 0
 
     def fingerprint(self) -> str:
         """A digest of all shards' contents."""
@@ -39,10 +43,17 @@ class ShardReader:
         return -(-self.size // (self.batch * self.ranks))
 
     def at(self, step: int) -> DataFrame:
-        """``row, tokens, place`` of a batch: of the epoch's order, the rows of this rank."""
+        """``row, tokens, place`` of a batch: of the epoch's order, the rows of this rank. Only the shards that hold them are read."""
         epoch, within = divmod(step, max(1, self.steps()))
-        order = packing.epoch_order(self.rows, self.seed, epoch, self.batch * self.ranks)
-        return order.where((F.col("batch") == within) & (F.pmod("place", F.lit(self.ranks)) == self.rank)).drop("batch")
+        whole = self.batch * self.ranks
+        places = [p for p in range(within * whole, min(self.size, (within + 1) * whole)) if p % self.ranks == self.rank]
+        order = Permutation(self.size, self.seed, epoch) if self.size else None
+        wanted = self.spark.createDataFrame([(p, order.row_of(p)) for p in places], "place long, row long")  # a batch
+        found = writers.locate(self.shards, F.broadcast(wanted.select("row"))).select("shard").distinct().collect()
+        if not found:
+            return wanted.select("row", F.lit(None).cast("array<int>").alias("tokens"), "place").where("false")
+        rows = self.spark.read.parquet(*sorted(f"{self.path}/shards/{r['shard']}" for r in found))
+        return rows.join(F.broadcast(wanted), "row").select("row", "tokens", "place")
 
     def next(self) -> DataFrame:
         found = self.at(self.step)
