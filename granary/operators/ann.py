@@ -101,10 +101,9 @@ class InvertedFile:
 
 def sign_maxsim(doc_tokens: DataFrame, query_tokens: DataFrame, dim: int, k: int = 10) -> DataFrame:
     """MaxSim over sign bits: ``1 - 2 * hamming / dim`` in place of the dot product."""
-    coded = doc_tokens.withColumn("c", V.sign_words(F.col("v"), dim))
-    asked = query_tokens.withColumn("qc", V.sign_words(F.col("q"), dim))
-    best = coded.crossJoin(asked).groupBy("qid", "pos", "doc_id").agg(F.max(1 - 2 * V.hamming(F.col("c"), F.col("qc")) / dim).alias("m"))
-    return top(best.groupBy("qid", "doc_id").agg(F.sum("m").alias("score")), k)
+    from granary.operators import late
+
+    return late.exact(doc_tokens.withColumn("v", F.slice("v", 1, dim)), query_tokens.withColumn("q", F.slice("q", 1, dim)), k, signs=True)
 
 
 def quantize_int4(column, group: int = 64):

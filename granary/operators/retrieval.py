@@ -93,9 +93,10 @@ def two_stage(vectors: DataFrame, queries: DataFrame, dim: int, stage1: int = 10
 
 
 def late_interaction(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10) -> DataFrame:
-    """MaxSim: ``doc_tokens(doc_id, v)`` and ``query_tokens(qid, pos, q)``; the best match of every query vector, summed."""
-    best = doc_tokens.crossJoin(query_tokens).groupBy("qid", "pos", "doc_id").agg(F.max(V.dot(F.col("v"), F.col("q"))).alias("m"))
-    return top(best.groupBy("qid", "doc_id").agg(F.sum("m").alias("score")), k)
+    """MaxSim: ``doc_tokens(doc_id, v)`` and ``query_tokens(qid, pos, q)``; the best match of every query vector, summed, over all documents in blocks."""
+    from granary.operators import late
+
+    return late.exact(doc_tokens, query_tokens, k)
 
 
 def reciprocal_rank_fusion(arms: dict[str, DataFrame], rrf_k: int = 60, k: int = 10) -> DataFrame:

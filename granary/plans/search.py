@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from granary.functions import permute
-from granary.operators import ann, graph_search
-from granary.plans.registry import asked, query, vecs
+from granary.operators import ann, block_max, graph_search, late
+from granary.plans.catalogue import _bm_sql
+from granary.plans.registry import asked, docs, items, query, vecs
 from granary.sources import shard_source
 from granary.sources.readers import table
 
@@ -40,3 +41,30 @@ def committed_shards(spark, d):
     path = _folder(spark, "committed")
     shard_source.write(rows, path, rows_per_shard=100)
     return shard_source.read(spark, path).select("row", F.array_join("tokens", ",").alias("tokens"))
+
+
+def _vectors_of(spark, d):
+    """Documents and queries of four vectors each: the quarters of an embedding."""
+    tokens = vecs(spark, d).select("doc_id", F.explode(F.array(*[F.slice("v", i * 16 + 1, 16) for i in range(4)])).alias("v"))
+    wanted = asked(spark, d).select("qid", F.posexplode(F.array(*[F.slice("q", i * 16 + 1, 16) for i in range(4)])).alias("pos", "q"))
+    return tokens, wanted
+
+
+@query()
+def late_pruned_recall(spark, d):
+    """Recall of the pruned late interaction against all documents scored."""
+    tokens, wanted = _vectors_of(spark, d)
+    found = late.LateIndex(tokens).search(wanted, 10)
+    return late.recall(found, late.exact(tokens, wanted, 10), tokens.select("doc_id").distinct().count())
+
+
+@query(_bm_sql(1.5, 10, "SELECT qid, doc_id, rank, round(round(score, 9), 6) AS score FROM r WHERE rank <= {k}"))
+def bm25_block_max(spark, d):
+    """The rows of an exhaustive BM25 search from the blocks that can hold them."""
+    return block_max.ImpactIndex(docs(spark, d)).search(items(spark, d), 10).select("qid", "doc_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def bm25_postings_read(spark, d):
+    """How many of the postings of the queries' terms that search reads."""
+    return block_max.ImpactIndex(docs(spark, d)).read_share(items(spark, d), 10)

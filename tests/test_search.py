@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from granary.operators import ann, graph_search
+from granary.operators import ann, block_max, graph_search, late, retrieval
 
 
 def clustered(n, dim=16, clusters=12, seed=1):
@@ -33,3 +33,45 @@ def test_graph_of_nothing(spark):
     assert graph.count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, q array<double>")
     assert graph_search.beam_search(graph, none, one, 5, [10]).count() == 0
+
+
+def brute_late(docs, asked, k):
+    out = {}
+    for qid, qs in asked.items():
+        scores = [(-round(float(sum(max(np.dot(v, q) for v in vs) for q in qs)), 9), i) for i, vs in docs.items()]
+        out[qid] = [i for _, i in sorted(scores)[:k]]
+    return out
+
+
+def test_late_interaction(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(10, 8))
+    docs = {i: centres[rng.integers(0, 10, rng.integers(1, 6))] + 0.3 * rng.normal(size=(1, 8)) for i in range(250)}
+    asked = {q: centres[rng.integers(0, 10, 3)] + 0.2 * rng.normal(size=(3, 8)) for q in range(12)}
+    tokens = spark.createDataFrame([*((i, v.tolist()) for i, vs in docs.items() for v in vs), (None, [1.0] * 8), (9999, None)], "doc_id long, v array<double>")
+    wanted = spark.createDataFrame([(q, j, v.tolist()) for q, vs in asked.items() for j, v in enumerate(vs)], "qid long, pos int, q array<double>")
+    truth = brute_late(docs, asked, 10)
+    found = late.exact(tokens, wanted, 10)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+    by = lambda f: {q: [r.doc_id for r in sorted(rows, key=lambda r: r.rank)] for q, rows in ((q, [r for r in f if r.qid == q]) for q in asked)}
+    assert by(found.collect()) == truth
+    pruned = late.LateIndex(tokens, centroids=24).search(wanted, 10, probes=6, pool=80, final=40)
+    some = by(pruned.collect())
+    assert sum(len(set(some[q]) & set(truth[q])) for q in asked) >= 0.95 * 120
+    assert late.recall(pruned, found, 250).first().met < 1
+    signs = {q: [-round(float(sum(max((np.sign(v) * np.sign(x)).sum() / 8 for v in docs[i]) for x in asked[q])), 9) for i in range(250)] for q in asked}
+    want = {q: sorted(range(250), key=lambda i: (signs[q][i], i))[:5] for q in asked}
+    assert by(ann.sign_maxsim(tokens, wanted, 8, 5).collect()) == want
+
+
+def test_block_max_search_equals_the_exhaustive_one(spark):
+    rng = random.Random(5)
+    words = [f"w{int(40 * rng.random() ** 2)}" for _ in range(4000)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(1, 40)))) for i in range(300)] + [(400, None), (401, ""), (402, "alone here")]
+    queries = spark.createDataFrame([(q, " ".join(rng.choice(words) for _ in range(rng.randint(1, 4)))) for q in range(20)] + [(77, "alone"), (78, "nowhere"), (79, None)], "qid long, text string")
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    index = block_max.ImpactIndex(table)
+    key = lambda r: (r.qid, r.rank, r.doc_id, round(r.score, 8))
+    want = retrieval.bm25(table, queries, 5).where("score > 0")
+    assert sorted(map(key, index.search(queries, 5).collect())) == sorted(map(key, want.collect()))
+    assert 0 < index.read_share(queries, 5).first().share < 1
