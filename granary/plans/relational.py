@@ -44,7 +44,7 @@ STATEMENTS: dict[str, str] = {
 def _run(statement: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         register(spark, sf_dir)
-        return spark.sql(validate_read_only(statement))
+        return spark.sql(validate_read_only(statement, spark))
 
     return run
 
