@@ -21,7 +21,7 @@ NODES = set(
 )
 #: Kinds of expressions: operators, names, literals, casts, cases, windows and subqueries.
 EXPRESSIONS = set(
-    """Add Alias And Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat CreateArray CreateNamedStruct Cube CurrentDate CurrentTimestamp CurrentRow$ Divide EqualNullSafe EqualTo Exists GreaterThan
+    """Add Alias And AttributeReference Between BitwiseAnd BitwiseNot BitwiseOr BitwiseXor CaseWhen Cast Concat CreateArray CreateNamedStruct Cube CurrentDate CurrentTimestamp CurrentRow$ Divide EqualNullSafe EqualTo Exists GreaterThan
     GreaterThanOrEqual GroupingSets ILike If In InSubquery IntegralDivide IsFalse IsNotNull IsNotUnknown IsNull IsTrue IsUnknown LambdaFunction LateralSubquery LessThan LessThanOrEqual Like LikeAll LikeAny ListQuery Literal MultiAlias
     Multiply NamePlaceholder$ Not NotLikeAll NotLikeAny NamedParameter Or OuterReference PosParameter RLike Remainder Rollup ScalarSubquery SortOrder SpecifiedWindowFrame StringTrim StringTrimBoth StringTrimLeft
     StringTrimRight Substring Subtract TimestampAdd TimestampDiff TryCast UnaryMinus UnaryPositive UnboundedFollowing$ UnboundedPreceding$ UnresolvedAlias UnresolvedAttribute UnresolvedExtractValue UnresolvedFunction
