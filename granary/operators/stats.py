@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.functions import probability as P
 from granary.functions import text as T
 from granary.operators.packing import prefix_sums
 
@@ -46,6 +47,30 @@ def mean_interval(values: DataFrame, by: list[str], column: str) -> DataFrame:
     return joined.select(*by, "mean", (F.col("mean") - half).alias("lo"), (F.col("mean") + half).alias("hi"), "n")
 
 
+def snapped(point: Column, lo: Column, hi: Column, tolerance: float = 1e-9) -> tuple[Column, Column]:
+    """An interval that holds its estimate: ends that miss it by no more than rounding are put on it, others stay."""
+    low = F.when((lo > point) & (lo - point <= tolerance), point).otherwise(lo)
+    high = F.when((hi < point) & (point - hi <= tolerance), point).otherwise(hi)
+    return low, high
+
+
+def exact_mean_interval(values: DataFrame, by: list[str], column: str, level: float = 0.95) -> DataFrame:
+    """Mean with a t-interval of any level per group, from Student's distribution itself: ``mean, lo, hi, n``; a single value has no width."""
+    sums = values.groupBy(*by).agg(F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.count(column).alias("n"))
+    half = F.coalesce(P.t_ppf(F.lit((1 + level) / 2), (F.col("n") - 1).cast("double")) * F.col("sd") / F.sqrt("n"), F.lit(0.0))
+    lo, hi = snapped(F.col("mean"), F.col("mean") - half, F.col("mean") + half)
+    return sums.select(*by, "mean", lo.alias("lo"), hi.alias("hi"), "n")
+
+
+def normal_scores(rows: DataFrame, by: str, column: str, key: str) -> DataFrame:
+    """``key, by, p, z``: where a value stands in its group, ``(rank - 3/8) / (n + 1/4)`` with the mean rank of equal values, and the normal quantile of that."""
+    counted = _counted(rows.where(F.col(column).isNotNull()), [by], column)
+    total = counted.groupBy(by).agg(F.sum("n").alias("total"))
+    p = (F.col("start") + (F.col("n") + 1) / 2 - 0.375) / (F.col("total") + 0.25)
+    placed = counted.join(total, by).select(by, column, p.alias("p"))
+    return rows.join(placed, [by, column]).select(key, by, "p", P.norm_ppf(F.col("p")).alias("z"))
+
+
 def kappa(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """Cohen's kappa of two raters: ``n, observed, expected, kappa``. If chance agreement is certain, kappa is 1 for full agreement, else 0."""
     cells = pairs.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count("*").alias("n"))

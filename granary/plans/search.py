@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from granary.functions import permute
-from granary.operators import ann, block_max, graph_search, late, replay
+from granary.functions import permute, probability
+from granary.operators import ann, block_max, graph_search, late, replay, stats
 from granary.plans.catalogue import _bm_sql
 from granary.plans.registry import asked, docs, items, query, vecs
 from granary.sources import shard_source
@@ -119,3 +119,24 @@ def bounded_cache_replay(spark, d):
     """Hits of a cache of sixteen entries a shard, the least recently used one evicted."""
     requests = table(spark, d, "events").select(F.col("event_id").alias("request"), (F.col("user_id") % 8).alias("shard"), F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
     return caches.replay_bounded(requests, 86_400.0, 16).groupBy("shard").agg(F.count("*").alias("requests"), F.count_if("hit").alias("hits"), F.max("size").alias("largest"))
+
+
+_PLACES = "SELECT event_id, event_type, (rank() OVER w - 1 + (count(*) OVER (PARTITION BY event_type, value) + 1) / 2.0::DOUBLE - 0.375::DOUBLE) / (count(*) OVER (PARTITION BY event_type) + 0.25::DOUBLE) AS p FROM events WINDOW w AS (PARTITION BY event_type ORDER BY value)"
+
+
+@query(f"SELECT event_id, event_type, round(p, 12) AS p, round(z, 9) AS z FROM ({probability.norm_ppf_sql(_PLACES)})")
+def normal_scores(spark, d):
+    """The normal score of every event's value within its type."""
+    return stats.normal_scores(table(spark, d, "events"), "event_type", "value", "event_id").select("event_id", "event_type", F.round("p", 12).alias("p"), F.round("z", 9).alias("z"))
+
+
+_X, _DF = stats.Z, "(n - 1)"
+
+
+@query(f"""WITH s AS (SELECT event_type, avg(value) AS mean, stddev_samp(value) AS sd, count(value) AS n FROM events GROUP BY event_type),
+ t AS (SELECT *, x + (x**3 + x) / 4 / {_DF} + (5 * x**5 + 16 * x**3 + 3 * x) / 96 / {_DF}**2 + (3 * x**7 + 19 * x**5 + 17 * x**3 - 15 * x) / 384 / {_DF}**3 + (79 * x**9 + 776 * x**7 + 1482 * x**5 - 1920 * x**3 - 945 * x) / 92160 / {_DF}**4 AS t FROM (SELECT *, {_X!r}::DOUBLE AS x FROM s))
+ SELECT event_type, round(mean, 6) AS mean, round(mean - t * sd / sqrt(n), 6) AS lo, round(mean + t * sd / sqrt(n), 6) AS hi, n FROM t""")
+def exact_mean_interval(spark, d):
+    """Means of events' values by type with intervals from Student's distribution."""
+    found = stats.exact_mean_interval(table(spark, d, "events"), ["event_type"], "value")
+    return found.select("event_type", *[F.round(c, 6).alias(c) for c in ("mean", "lo", "hi")], "n")
