@@ -129,7 +129,7 @@ def _deepened(spots: DataFrame, classes: DataFrame, dim: int, spill: float, bloc
 
 
 def near_duplicates(
-    table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 4, leaf_rows: int = 1024, spill: float = 0.2, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 11
+    table: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", trees: int = 4, leaf_rows: int = 32, spill: float = 0.2, sample_rows: int = 20_000, block_rows: int = 4096, seed: int = 11
 ) -> DataFrame:
     """Links between vectors of equal label with a cosine of at least ``threshold``, and their components.
 

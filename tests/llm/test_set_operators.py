@@ -373,3 +373,24 @@ def test_repeats_before_tables(spark, seed):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = {r[0]: tuple(r[1:5]) for r in suffix_dedup.remove_repeats(docs, 100).collect()}
     assert got == removed(rows, 100) and got[1][1] >= 100
+
+
+def test_small_labels_go_through_the_trees(spark, monkeypatch):
+    built = []
+    plant = embedding_dedup.Tree.__init__
+
+    def noted(self, sample, depth, *more):
+        built.append(depth)
+        plant(self, sample, depth, *more)
+
+    monkeypatch.setattr(embedding_dedup.Tree, "__init__", noted)
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(60, 16))
+    rows = [(i, (base[i % 60] + 0.03 * rng.normal(size=16)).tolist(), 1) for i in range(180)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(table).collect()}
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = (x @ x.T >= 0.93).sum(1) - 1
+    assert built == [3] * 4 and {i: n for i, (n, _) in got.items()} == {i: int(near[i]) for i in range(180)}
+    assert all(c == i % 60 for i, (_, c) in got.items())
