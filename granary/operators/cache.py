@@ -188,10 +188,10 @@ def evict_oldest(entries: DataFrame, keep: int = 256) -> DataFrame:
     return entries.orderBy(F.desc("ts"), "key").limit(keep)
 
 
-def poisson_arrivals(spark, rate: float, n: int, seed: int = 0) -> DataFrame:
-    """Arrival times with exponential gaps."""
+def poisson_arrivals(requests: DataFrame, rate: float, key: str, seed: int = 0) -> DataFrame:
+    """``key, at``: arrival times for the rows of a table in order of a numeric key, with exponential gaps; a row's gap depends on its key and the seed alone."""
     from granary.operators.packing import prefix_sums
 
-    u = (T.draw(seed, F.col("id")) + 0.5) / float(1 << 60)
-    gaps = spark.range(n).withColumn("gap", -F.log(u) / rate)
-    return prefix_sums(gaps, order="id", value="gap").select("id", (F.col("start") + F.col("gap")).alias("at"))
+    u = (T.draw(seed, F.col(key)) + 0.5) / float(1 << 60)
+    gaps = requests.select(key, (-F.log(u) / rate).alias("gap"))
+    return prefix_sums(gaps, order=key, value="gap").select(key, (F.col("start") + F.col("gap")).alias("at"))

@@ -25,7 +25,7 @@ def replay_semantic(requests: DataFrame, tau: float, block: int = BLOCK, digits:
     """``qid, hit, entry, similarity, same`` for each of ``requests(qid, at, v, intent)`` in order of the number ``at`` and of ``qid``.
 
     ``entry`` is the most similar stored request, the earlier one on a tie (null while nothing is stored), ``similarity`` their cosine to ``digits`` digits, ``hit`` whether it reaches ``tau``, and
-    ``same`` whether their intents agree. Requests with a null id, time or vector take no part; ids must differ. A block of requests is one step: their number grows with the table,
+    ``same`` whether a hit's intents agree, which null ones never do. Requests with a null id, time or vector take no part; ids must differ. A block of requests is one step: their number grows with the table,
     the work of each is spread over all tasks but for the requests that no earlier block answers, at most ``block`` of them.
     """
     spark = requests.sparkSession
@@ -81,7 +81,7 @@ def replay_semantic(requests: DataFrame, tau: float, block: int = BLOCK, digits:
     out = placed.select("place", "qid", "intent").join(decided, "place")
     out = out.join(placed.select(F.col("place").alias("best"), F.col("qid").alias("entry"), F.col("intent").alias("had")), "best", "left")
     hit = F.coalesce(F.col("score") >= tau, F.lit(False))
-    return out.select("qid", hit.alias("hit"), "entry", F.col("score").alias("similarity"), (hit & (F.col("intent") == F.col("had"))).alias("same"))
+    return out.select("qid", hit.alias("hit"), "entry", F.col("score").alias("similarity"), (hit & F.coalesce(F.col("intent") == F.col("had"), F.lit(False))).alias("same"))
 
 
 def _better(asked: DataFrame, fresh: DataFrame, digits: int) -> DataFrame:

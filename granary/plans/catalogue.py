@@ -797,10 +797,15 @@ def screen_input(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", guard.screen_input(F.col("text")).alias("verdict"))
 
 
-@query("SELECT item_id, 3 - (item_id % 3) AS first, 2 AS n FROM benchmark")
+@query(r"""WITH a AS (SELECT item_id, '[9] ' || replace(text, ' a', ' [' || (3 - item_id % 3) || '][99] a') || ' and [4] [0]' AS answer FROM benchmark),
+ c AS (SELECT item_id, list_filter(list_transform(regexp_extract_all(answer, '\[(\d{1,4})\]', 1), lambda x: x::INT), lambda n: n >= 1 AND n <= 4) AS c FROM a)
+ SELECT item_id, c[1]::BIGINT AS first, array_to_string(list_sort(list_distinct(c)), ',') AS cited FROM c""")
 def citations(spark, d):
-    answer = F.concat(F.substring("text", 1, 30), F.lit(" ["), (3 - F.col("item_id") % 3).cast("string"), F.lit("][99] and ["), F.lit("4"), F.lit("] ["), (3 - F.col("item_id") % 3).cast("string"), F.lit("]"))
-    return table(spark, d, "benchmark").select("item_id", guard.citations(answer, F.lit(4)).alias("c")).select("item_id", F.element_at("c", 1).cast("long").alias("first"), F.size("c").alias("n"))
+    """Citations put into the whole of every item's text, among them numbers of no source."""
+    cited = F.concat(F.lit(" ["), (3 - F.col("item_id") % 3).cast("string"), F.lit("][99] a"))
+    answer = F.concat(F.lit("[9] "), F.replace(F.col("text"), F.lit(" a"), cited), F.lit(" and [4] [0]"))
+    found = table(spark, d, "benchmark").select("item_id", guard.citations(answer, F.lit(4)).alias("c"))
+    return found.select("item_id", F.element_at("c", 1).cast("long").alias("first"), F.array_join(F.array_sort("c"), ",").alias("cited"))
 
 
 @query("SELECT doc_id, '<untrusted_data source=\"' || doc_id || '\" nonce=\"' || left(sha256(encode(doc_id || chr(0) || text)), 12) || '\">' || chr(10) || text || chr(10) || '</untrusted_data nonce=\"' || left(sha256(encode(doc_id || chr(0) || text)), 12) || '\">' AS wrapped FROM documents")
