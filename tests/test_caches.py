@@ -1,5 +1,6 @@
 """Caches in order of time, over tables and over streams."""
 
+import datetime
 import random
 from collections import OrderedDict
 
@@ -64,7 +65,7 @@ def requests_of(seed, n=300):
 
 def test_bounded_cache_over_a_table(spark):
     rows = requests_of(1)
-    table = spark.createDataFrame([(a, b, c, pd.Timestamp(d, unit="s")) for a, b, c, d in rows], "request long, shard int, key string, ts timestamp")
+    table = spark.createDataFrame([(a, b, c, datetime.datetime.fromtimestamp(d)) for a, b, c, d in rows], "request long, shard int, key string, ts timestamp")
     for ttl, capacity in ((500.0, 4), (1e9, 3), (50.0, 100)):
         found = caches.replay_bounded(table, ttl, capacity).collect()
         assert {r.request: r.hit for r in found} == brute_cache(rows, ttl, capacity) and max(r.size for r in found) <= capacity
