@@ -230,7 +230,8 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
 
     A row for each row of ``docs``: the id column, ``n_tokens`` long, ``ids_sha256`` (ids as little-endian unsigned
     32-bit integers), ``decoded_sha256`` (decoded text in UTF-8), and, if asked for, ``ids`` array<int> and
-    ``decoded`` string. A null text counts as empty: no tokens. Only the two columns named are read.
+    ``decoded`` string. A null text counts as empty: no tokens. Repeated rows stay repeated, a null id stays null, an empty table gives no rows, and texts of any length, also without a
+    break, are encoded whole. Only the two columns named are read, so others can't clash.
     The vocabulary file is read on the driver and broadcast (a fixed size of one or two MB).
     """
     spark = docs.sparkSession

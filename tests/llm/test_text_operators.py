@@ -305,3 +305,30 @@ def test_prior_estimate():
     rng = np.random.default_rng(1)
     pos, unl = rng.normal(2, 1, 5000), np.concatenate([rng.normal(2, 1, 3500), rng.normal(-3, 1, 1500)])
     assert abs(quality.estimate_prior(pos, unl) - 0.7) < 0.05
+
+
+def test_samples_are_bounded_where_an_id_is_on_most_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda pos, unl: seen.append((len(pos), len(unl))))
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5)
+    rows = spark.range(3000).selectExpr(f"if(id < 2000, {hot}, id) as doc_id", "concat('text number ', id) as text")
+    copies = spark.range(3000).selectExpr(f"{hot} as doc_id", "'the same text' as text")
+    labels = spark.range(6000).selectExpr("id as doc_id", "1 as quality")
+    quality.fit_quality(rows.unionByName(copies), labels, sample_rows=100)
+    assert all(10 < n < 400 for n in seen[0])
+
+
+def test_null_urls_are_spread(spark):
+    rules = spark.createDataFrame(url_filter.RULES, "action string, host string, path string")
+    pages = spark.range(4000).selectExpr("id as page_id", "if(id % 2 = 0, null, concat('http://h', id, '.example.com/en/7')) as url")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(before, ("-1", "false", "8"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        found = url_filter.judge_urls(pages, rules)
+        sizes = found.rdd.glom().map(len).collect()
+        assert found.where("verdict = 'allow'").count() == 4000 and found.where("rule is null").count() == 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(sizes) == 8 and max(sizes) < 1200
