@@ -37,7 +37,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of near copies: five-word shingles, a Jaccard similarity of 0.8 or more.
 
     The least ``doc_id`` stays; a null one counts as the largest. Repeated rows count as copies; texts that are null or without words are copies of
-    nothing but rows with their own ``doc_id``.
+    nothing but rows with their own ``doc_id``. Texts of any length are compared whole.
     """
     return jaccard_join.keep_one(docs, percent=80, n=5)
 
@@ -53,7 +53,8 @@ def repeat_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all texts in sequences of 2048 tokens; a null or empty text is its end id alone, every row is packed, whatever its ``doc_id``."""
+    """Pieces of all texts in sequences of 2048 tokens; a null or empty text is its end id alone, every row is packed, whatever its ``doc_id``, repeated ones too; texts of any length are
+    cut into as many pieces as they need."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
