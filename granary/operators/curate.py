@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,19 +76,62 @@ def decontaminated(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
     return docs.join(contaminated_ids(docs, evals, n), "doc_id", "left_anti")
 
 
-def word_ngrams(docs: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Distinct word n-grams of each text as ``g``.
+def _holding(words: DataFrame, evals: DataFrame, n: int) -> DataFrame:
+    """The rows of ``words(.., w)`` that may share an n-gram with the texts of ``evals``: a superset, told by hashes of n words in a row.
+
+    Words are numbered by the vocabulary of the evaluation texts, if those have no more than ``BROADCAST_HASHES`` words; else every row is returned.
+    """
+    wanted = evals.select(T.words(F.col("text")).alias("w")).where(F.size("w") >= n)
+    if (wanted.agg(F.sum(F.size("w")).alias("n")).first()["n"] or 0) > BROADCAST_HASHES:
+        return words
+    texts = [r["w"] for r in wanted.collect()]
+    vocabulary = sorted({w for t in texts for w in t})
+    factors = [pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(n)]
+    place = {w: i for i, w in enumerate(vocabulary)}
+
+    def hashes(ids: np.ndarray) -> np.ndarray:
+        ids = (ids + 1).astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        ids ^= ids >> np.uint64(29)
+        out = np.zeros(max(0, len(ids) - n + 1), np.uint64)
+        for i, f in enumerate(factors):
+            out += ids[i : i + len(out)] * np.uint64(f)
+        return out
+
+    sought = np.unique(np.concatenate([np.zeros(0, np.uint64), *[hashes(np.array([place[w] for w in t])) for t in texts]]))
+    at = words.columns.index("w")
+
+    def run(batches):
+        values = pa.array(vocabulary, pa.string())
+        for batch in batches:
+            w = batch.column(at)
+            sizes = pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(w)), sizes)
+            ids = pc.fill_null(pc.index_in(w.flatten(), value_set=values), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            mask = np.zeros(len(w), bool)
+            if len(ids) >= n:
+                met = np.flatnonzero(np.isin(hashes(ids), sought))
+                mask[row[met[row[met] == row[met + n - 1]]]] = True
+            if mask.any():
+                yield batch.filter(pa.array(mask))
+
+    return words.mapInArrow(run, words.schema)
+
+
+def word_ngrams(docs: DataFrame, keys: list[str], n: int, evals: DataFrame | None = None) -> DataFrame:
+    """Distinct word n-grams of each text as ``g``; with ``evals`` only of texts that may share one with those, so that few are written out.
 
     Words are a column of their own, or every n-gram would split the text again; and the outer form of explode keeps Spark from
     inferring a filter on the array's size, which it would push below that column.
     """
     words = docs.select(*keys, T.words(F.col("text")).alias("w"))
+    if evals is not None:
+        words = _holding(words, evals, n)
     return words.select(*keys, F.explode_outer(F.array_distinct(T.ngrams(F.col("w"), n))).alias("g")).where("g is not null")
 
 
 def contaminated_ids(docs: DataFrame, evals: DataFrame, n: int = 13) -> DataFrame:
     grams = word_ngrams(evals, [], n).distinct().withColumn("h", F.xxhash64("g"))
-    mine = word_ngrams(docs, ["doc_id"], n).withColumn("h", F.xxhash64("g"))
+    mine = word_ngrams(docs, ["doc_id"], n, evals).withColumn("h", F.xxhash64("g"))
     hashes = grams.select("h").distinct()
     if hashes.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES:
         mine = mine.join(F.broadcast(hashes), "h", "left_semi")  # so the n-grams that travel are those that meet
