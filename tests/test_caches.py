@@ -97,3 +97,14 @@ def test_the_stream_gives_what_the_table_gives_also_after_a_restart(spark, tmp_p
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
     assert got == brute_cache(rows, 500.0, 4)
+
+
+def test_replay_takes_few_blocks_and_thresholds_together(spark):
+    rng = random.Random(11)
+    rows = [(i, i, [rng.gauss(0, 1) for _ in range(4)], i % 3) for i in range(400)]
+    assert len(replay._sizes(100_000, 200)) < 15 and sum(replay._sizes(100_000, 200)) == 100_000 and max(replay._sizes(10**6, 200)) == replay.BLOCK
+    table = spark.createDataFrame(rows, "qid long, at long, v array<double>, intent int")
+    taus = [0.3, 0.9]
+    for t, tau in enumerate(taus):
+        got = {r.qid: (r.hit, r.entry, r.similarity) for r in replay._replays(table, taus, 30, 12).where(f"t = {t}").collect()}
+        assert got == {r.qid: (r.hit, r.entry, r.similarity) for r in replay.replay_semantic(table, tau, 400).collect()}
