@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from granary.functions import vector as V
 from granary.operators import tiles
+from granary.operators.curate import _ensure_checkpoint
 from granary.operators.retrieval import top
 
 
@@ -79,7 +80,7 @@ class InvertedFile:
 
         def run(batches):
             for batch in batches:
-                x = np.array(batch.column(1).to_pylist(), float).reshape(batch.num_rows, -1)
+                x = tiles._matrix(pa.chunked_array([batch.column(1)])) if batch.num_rows else np.zeros((0, 1))
                 order = np.argsort(-(x @ centroids.T), axis=1, kind="stable")[:, :cells] if batch.num_rows else np.zeros((0, 1), int)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(order.tolist(), pa.list_(pa.int32()))], [key, column, "cells"])
 
@@ -87,11 +88,12 @@ class InvertedFile:
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
         asked = self._placed(queries, "qid", "q", probes)
-        hits = self.table.join(asked, "cell").where("doc_id <> qid")
-        return top(hits.select("qid", "doc_id", V.cosine(F.col("v"), F.col("q")).alias("score")), k)
+        return tiles.nearest_in(self.table, asked, "cell", k, "cosine")
 
     def curve(self, queries: DataFrame, truth: DataFrame, k: int, probes: list[int]) -> DataFrame:
         """Recall by number of cells looked at."""
+        _ensure_checkpoint(truth.sparkSession)
+        truth = truth.checkpoint()  # one exact search for all rows of the curve
         out = None
         for n in probes:
             row = recall(self.search(queries, k, n), truth).select(F.lit(n).alias("probes"), "recall")

@@ -33,22 +33,8 @@ def _scores(x: np.ndarray, q: np.ndarray, measure: str, dim: int | None) -> np.n
     return q @ x.T
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dot", dim: int | None = None, digits: int = 12) -> DataFrame:
-    """The k best of ``vectors(doc_id, v)`` for each of ``queries(qid, q)``: ``qid, doc_id, score, rank``; ties to the smaller ``doc_id``, never the query's own id.
-
-    ``measure``: dot, cosine (0 for a zero vector) or hamming (of signs, negative); ``dim``: of the first components only. Scores have ``digits`` digits
-    when they are ranked. Rows with a null id or vector take no part.
-    """
-    from granary.operators.retrieval import top
-
-    vectors = vectors.where("doc_id is not null and v is not null").select("doc_id", "v")
-    queries = queries.where("qid is not null and q is not null").select("qid", "q")
-    many, asked = vectors.count(), queries.count()
-    rows, groups = max(1, -(-many // VECTOR_ROWS)), max(1, -(-asked // QUERY_ROWS))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = vectors.select(dealt("doc_id", rows).alias("b"), every(groups).alias("g"), F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"))
-    right = queries.select(every(rows).alias("b"), dealt("qid", groups).alias("g"), F.col("qid").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"))
+def _tile(k: int, measure: str, dim: int | None, digits: int):
+    """What a tile does: the k best of its vectors for each of its queries."""
 
     def tile(table: pa.Table) -> pa.Table:
         mask = table.column("asks").to_numpy()
@@ -73,7 +59,42 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dot"
         qid, doc, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"qid": pa.array(qid, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "score": pa.array(score)})
 
-    found = left.unionByName(right).groupBy("b", "g").applyInArrow(tile, "qid long, doc_id long, score double")
+    return tile
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, measure: str = "dot", dim: int | None = None, digits: int = 12) -> DataFrame:
+    """The k best of ``vectors(doc_id, v)`` for each of ``queries(qid, q)``: ``qid, doc_id, score, rank``; ties to the smaller ``doc_id``, never the query's own id.
+
+    ``measure``: dot, cosine (0 for a zero vector) or hamming (of signs, negative); ``dim``: of the first components only. Scores have ``digits`` digits
+    when they are ranked. Rows with a null id or vector take no part.
+    """
+    from granary.operators.retrieval import top
+
+    vectors = vectors.where("doc_id is not null and v is not null").select("doc_id", "v")
+    queries = queries.where("qid is not null and q is not null").select("qid", "q")
+    many, asked = vectors.count(), queries.count()
+    rows, groups = max(1, -(-many // VECTOR_ROWS)), max(1, -(-asked // QUERY_ROWS))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = vectors.select(dealt("doc_id", rows).alias("b"), every(groups).alias("g"), F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"))
+    right = queries.select(every(rows).alias("b"), dealt("qid", groups).alias("g"), F.col("qid").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"))
+
+    found = left.unionByName(right).groupBy("b", "g").applyInArrow(_tile(k, measure, dim, digits), "qid long, doc_id long, score double")
+    return top(found, k)
+
+
+def nearest_in(vectors: DataFrame, queries: DataFrame, by: str, k: int, measure: str = "dot", digits: int = 12) -> DataFrame:
+    """``nearest`` where a query meets only the vectors that have its ``by``: a column of both sides, in which a query may stand several times, a vector once."""
+    from granary.operators.retrieval import top
+
+    vectors = vectors.where("doc_id is not null and v is not null")
+    queries = queries.where("qid is not null and q is not null")
+    parts = vectors.groupBy(by).agg(F.ceil(F.count("*") / VECTOR_ROWS).cast("int").alias("rows")).join(queries.groupBy(by).agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("groups")), by)
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = vectors.join(parts, by).select(by, dealt("doc_id", "rows").alias("b"), every("groups").alias("g"), F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"))
+    right = queries.join(parts, by).select(by, every("rows").alias("b"), dealt("qid", "groups").alias("g"), F.col("qid").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"))
+    found = left.unionByName(right).groupBy(by, "b", "g").applyInArrow(_tile(k, measure, None, digits), "qid long, doc_id long, score double")
     return top(found, k)
 
 

@@ -61,3 +61,20 @@ def test_only_texts_that_may_share_are_cut_into_ngrams(spark):
     want = {i for i, t in rows if t and any(tuple(t.split()[j : j + 5]) in grams for j in range(len(t.split())))}
     assert held == want and 200 in held and 202 not in held
     assert {r.doc_id for r in curate.contaminated_ids(docs, evals, 5).collect()} == want
+
+
+def test_cells_are_searched_in_products(spark):
+    from granary.operators import ann, tiles
+
+    rng = random.Random(2)
+    v = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(6)]) for i in range(300)], "doc_id long, v array<double>")
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    index = ann.InvertedFile(v, cells=4)
+    found = index.search(q, 5, 4)
+    assert "FlatMapGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    key = lambda rows: {(r.qid, r["rank"], r.doc_id) for r in rows.collect()}
+    assert key(found) == key(ann.exact(v, q, 5))
+    cells = {r.doc_id: r.cell for r in index.table.collect()}
+    mine = {r.qid: r.cell for r in index._placed(q, "qid", "q", 1).collect()}
+    assert all(cells[r.doc_id] == mine[r.qid] for r in index.search(q, 5, 1).collect())
+    assert tiles.nearest_in(index.table.where("false"), index._placed(q, "qid", "q", 1), "cell", 5).count() == 0
