@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions import text as T
-from granary.operators import chunking
+from granary.operators import chunking, text_search
+from granary.operators.curate import _ensure_checkpoint
 from granary.operators.metrics import graded_ndcg
+from granary.operators.retrieval import BROADCAST_TERMS
 
 
 def relevance(chunk_text: Column, terms: Column, same_document: Column, least: int = 2) -> Column:
@@ -20,15 +23,24 @@ def relevance(chunk_text: Column, terms: Column, same_document: Column, least: i
 def ranked_chunks(chunks: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
     """``qid, rank, relevance`` of the k chunks with the most of each question's terms; ``questions(qid, doc_id, terms)``, ``chunks(doc_id, idx, text)``.
 
-    Only chunks with one of the terms are ranked, found by an equi-join on words; ties go to the smaller document and chunk.
+    Only chunks with one of the terms are ranked, counted in blocks where they are cut, or by a join if there are more than ``BROADCAST_TERMS`` terms; ties go to the smaller document and chunk.
     """
-    words = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
-    asked = questions.select("qid", F.explode("terms").alias("term"))
-    hits = words.join(asked, "term").groupBy("qid", "chunk_doc", "idx").agg(F.count("*").alias("hits"))
+    asked = questions.select("qid", F.explode(F.array_distinct("terms")).alias("term")).where("qid is not null")
+    rows = asked.limit(BROADCAST_TERMS + 1).collect()
+    if len(rows) <= BROADCAST_TERMS:
+        words = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", T.search_tokens(F.col("text")).alias("w"))
+        sought = text_search.Asked([(r["qid"], r["term"], 1.0) for r in rows])
+        hits = text_search.best(words, ["chunk_doc", "idx"], sought, questions.schema["qid"].dataType, k, lambda tf, dl: np.ones(len(tf))).withColumnRenamed("score", "hits")
+    else:
+        words = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", F.explode(F.array_distinct(T.search_tokens(F.col("text")))).alias("term"))
+        hits = words.join(asked, "term").groupBy("qid", "chunk_doc", "idx").agg(F.count("*").alias("hits"))
     order = Window.partitionBy("qid").orderBy(F.desc("hits"), "chunk_doc", "idx")
     best = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).join(questions.select("qid", F.col("doc_id").alias("wanted"), "terms"), "qid")
     texts = chunks.select(F.col("doc_id").alias("chunk_doc"), "idx", "text")
-    return best.join(texts, ["chunk_doc", "idx"]).select("qid", "rank", relevance(F.col("text"), F.col("terms"), F.col("chunk_doc") == F.col("wanted")).alias("relevance"))
+    if len(rows) * k <= BROADCAST_TERMS:  # so many rows at most: the chunks' texts stay where they are
+        _ensure_checkpoint(chunks.sparkSession)
+        best = F.broadcast(best.checkpoint())
+    return texts.join(best, ["chunk_doc", "idx"]).select("qid", "rank", relevance(F.col("text"), F.col("terms"), F.col("chunk_doc") == F.col("wanted")).alias("relevance"))
 
 
 def compare(docs: DataFrame, questions: DataFrame, ways: list[tuple[str, int, int]], k: int = 10) -> DataFrame:
