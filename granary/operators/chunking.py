@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import hashlib
 import re
 
@@ -14,6 +15,9 @@ from pyspark.sql.window import Window
 
 from granary.functions import text as T
 
+#: Characters of chunks that leave a task at once, and texts made into vectors at once.
+OUT_CHARS, VECTOR_ROWS = 1 << 21, 256
+
 _WORD = re.compile(r"\S+")
 _BORDER = re.compile(r"(?<=[.!?])\s+|\n\s*\n")
 
@@ -28,10 +32,10 @@ def fixed(docs: DataFrame, size: int = 512, overlap: int = 0) -> DataFrame:
     stride = size - overlap
     words = docs.select("doc_id", T.spaced_words(F.col("text")).alias("w")).where(F.size("w") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("w") - size) / stride)).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), last), lambda i: i * stride)
-    rows = words.select("doc_id", "w", F.posexplode(starts).alias("idx", "start"))
-    part = F.slice("w", F.col("start") + 1, size)
-    return rows.select("doc_id", "idx", F.concat_ws("#", "doc_id", "idx").alias("chunk_id"), F.size(part).alias("size_tokens"), F.least(F.lit(overlap), F.col("start")).alias("overlap_tokens"), F.array_join(part, " ").alias("text"))
+    # Windows are cut before they are exploded, so that none carries all words of its text; the outer form keeps Spark from cutting them twice.
+    rows = words.select("doc_id", F.posexplode_outer(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("w", i * stride + 1, size))).alias("idx", "part"))
+    part, start = F.col("part"), F.col("idx") * stride
+    return rows.select("doc_id", "idx", F.concat_ws("#", "doc_id", "idx").alias("chunk_id"), F.size(part).alias("size_tokens"), F.least(F.lit(overlap), start).alias("overlap_tokens"), F.array_join(part, " ").alias("text"))
 
 
 def word_spans(text: str) -> list[tuple[int, int]]:
@@ -65,13 +69,18 @@ def _recursive(text: str, size: int, overlap: int, least: float) -> list[tuple[i
     return out
 
 
+@functools.lru_cache(1 << 17)
+def _place(token: str) -> int:
+    return int.from_bytes(hashlib.blake2b(token.encode(), digest_size=4).digest(), "little")
+
+
 def _vectors(sentences: list[str], dim: int = 64) -> np.ndarray:
     """Hashed unigrams and bigrams, normalised: a stand-in for a sentence encoder."""
     out = np.zeros((len(sentences), dim))
     for row, s in zip(out, sentences, strict=True):
         tokens = re.findall(r"[a-z0-9]+", s.lower())
         for t in [*tokens, *(f"{a} {b}" for a, b in zip(tokens, tokens[1:], strict=False))]:
-            row[int.from_bytes(hashlib.blake2b(t.encode(), digest_size=4).digest(), "little") % dim] += 1
+            row[_place(t) % dim] += 1
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
@@ -99,13 +108,19 @@ _CHUNK = "doc_id long, idx int, chunk_id string, start int, end int, size_tokens
 
 
 def _spanned(docs: DataFrame, cut) -> DataFrame:
+    names = [c.split()[0] for c in _CHUNK.split(", ")]
+
     def run(frames):
         for frame in frames:
-            rows = []
+            rows, chars = [], 0
             for doc, text in zip(frame["doc_id"], frame["text"], strict=True):
                 for i, (a, b, n, o) in enumerate(cut(text or "")):
                     rows.append((doc, i, f"{doc}#{i}", a, b, n, o, text[a:b]))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in _CHUNK.split(", ")])
+                    chars += b - a
+                    if chars > OUT_CHARS:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, chars = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "text").mapInPandas(run, _CHUNK)
 
@@ -131,13 +146,21 @@ def late(docs: DataFrame, size: int = 512, overlap: int = 0, weight: float = 0.3
     """Fixed chunks whose vector is blended with their document's: ``vector`` array<double>."""
     chunks = fixed(docs, size, overlap)
 
+    def whole(frames):
+        for frame in frames:
+            for at in range(0, len(frame), VECTOR_ROWS):
+                part = frame[at : at + VECTOR_ROWS]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "whole": list(_vectors(list(part["text"]), dim))})
+
     def run(frames):
         for frame in frames:
-            mixed = weight * _vectors(list(frame["whole"]), dim) + (1 - weight) * _vectors(list(frame["text"]), dim)
+            mixed = weight * np.stack(frame["whole"].to_list()) + (1 - weight) * _vectors(list(frame["text"]), dim) if len(frame) else np.zeros((0, dim))
             mixed /= np.maximum(np.linalg.norm(mixed, axis=1, keepdims=True), 1e-12)
             yield frame.drop(columns="whole").assign(vector=list(mixed))
 
-    joined = chunks.join(docs.select("doc_id", F.col("text").alias("whole")), "doc_id")
+    # A document's vector travels to its chunks, not its text: a long one has many.
+    named = docs.where("text is not null").select("doc_id", "text")
+    joined = chunks.join(named.mapInPandas(whole, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, whole array<double>"), "doc_id")
     return joined.select(*chunks.columns, "whole").mapInPandas(run, chunks.schema.simpleString()[7:-1].replace(":", " ") + ", vector array<double>")
 
 
