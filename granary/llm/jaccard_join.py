@@ -30,6 +30,8 @@ from .worker import enter
 RARE, MIDDLE = 32, 254
 #: Sets joined in one task, and their bytes; larger clusters are cut.
 CLUSTER, CLUSTER_BYTES = 1024, 32 << 20
+#: Bytes of words that are digested together.
+LONG = 256
 _K = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
 _SOLID = np.ones(256, bool)
 _SOLID[[32, *range(9, 14)]] = False
@@ -40,7 +42,8 @@ _LOWER[65:91] = _LOWER[97:123]
 def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all documents in a row, A-Z as a-z, and where each document's begin (one more than documents).
 
-    Words are told apart by their bytes; each different one is hashed once, by a seeded 64-bit digest.
+    Words are told apart by their bytes: a 64-bit digest of their length and of eight bytes at a time, of all words at once. Words of more than
+    :data:`LONG` bytes are digested one by one.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
@@ -50,11 +53,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
     heads = starts[:-1][np.diff(starts) > 0]
     begin[heads] = solid[heads]
     first = np.flatnonzero(begin)
-    values = _LOWER[data[solid]]
-    ends = np.append(np.concatenate([[0], np.cumsum(solid)])[first], len(values)).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(values)]).dictionary_encode()
-    digests = np.array([xxhash.xxh3_64_intdigest(w, 0x5851F42D4C957F2D) for w in words.dictionary.to_pylist()], np.uint64)
-    return B.mix(digests)[words.indices.to_numpy()], np.searchsorted(first, starts)
+    solid[:-1] &= begin[1:] | ~solid[1:]
+    size = np.flatnonzero(solid) + 1 - first
+    lower = np.zeros(len(data) + 8, np.uint8)
+    lower[: len(data)] = _LOWER[data]
+    eight = np.ndarray((len(data) + 1,), "<u8", lower, strides=(1,))
+
+    def chunk(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return eight[at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+
+    digests = B.mix(size.astype(np.uint64) * _K[3] ^ chunk(first, size))
+    open_, done = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(open_):
+        digests[open_] = B.mix(digests[open_] * _K[0] ^ chunk(first[open_] + done, size[open_] - done))
+        done += 8
+        open_ = open_[size[open_] > done]
+    for i in np.flatnonzero(size > LONG).tolist():
+        digests[i] = xxhash.xxh3_64_intdigest(lower[first[i] : first[i] + size[i]].tobytes(), 0x5851F42D4C957F2D)
+    return digests, np.searchsorted(first, starts)
 
 
 def _shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -212,28 +228,29 @@ def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int,
     # Places of the representatives of a block: at most its documents.
     chosen = scratch.materialize(classes.select(block_of, place_of).groupBy("block_id").agg(F.sort_array(F.collect_list("at")).alias("only")), "classes")
 
-    def held(block: dict) -> tuple[dict[int, np.ndarray], np.ndarray, np.ndarray]:
+    def held(block: dict) -> tuple[dict[int, np.ndarray], np.ndarray]:
         sets = block_sets(block, n, block["only"] or [])
-        flat = np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
-        values, times = np.unique(flat, return_counts=True)
-        return sets, values, np.minimum(times, 255).astype(np.uint8)
+        return sets, np.concatenate([*sets.values(), np.zeros(0, np.uint64)])
 
     def hashes(block):
-        return held(block)[1:]
+        values, times = np.unique(held(block)[1], return_counts=True)
+        return values, np.minimum(times, 255).astype(np.uint8)
 
     codes = B.gathered(B.census(table.joined(chosen), hashes, B.parts_for(spark, table.bytes())))
     bands = size_edges(percent)
 
     def sign(batches):
         for block in B.rows(batches):
-            sets, values, _ = held(block)
+            sets, flat = held(block)
             if not sets:
                 continue
-            code = B.codes_of(block, len(values))
-            keys, owners = [], []
+            values, place = np.unique(flat, return_inverse=True)
+            code = B.codes_of(block, len(values))[place]
+            keys, owners, end = [], [], 0
             for i, tokens in sets.items():
                 if len(tokens):
-                    found = signatures(tokens, code[np.searchsorted(values, tokens)], percent, rare, middle)
+                    end += len(tokens)
+                    found = signatures(tokens, code[end - len(tokens) : end], percent, rare, middle)
                     band = np.searchsorted(bands, len(tokens), side="right") + np.array([[0], [1]])
                     keys.append(B.mix(found + band.astype(np.uint64) * _K[1]).reshape(-1))
                     owners.append(np.full(2 * len(found), block["block_id"] * (1 << 20) + i))

@@ -119,6 +119,19 @@ def test_word_hashes_tell_words_apart():
     assert len(names) == len(set(names.values()))
 
 
+def test_word_hashes_take_no_call_for_each_word(monkeypatch):
+    """Words of usual lengths are digested together: a call for each different one made most of the join's time."""
+    called = []
+    digest = jaccard_join.xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(jaccard_join.xxhash, "xxh3_64_intdigest", lambda *a: called.append(a[0]) or digest(*a))
+    words = [bytes([97 + i % 26]) * i for i in range(1, 300)] + [b"b" * i + b"c" for i in range(299)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    hashes, _ = jaccard_join.word_hashes(data, np.array([0, len(data)]))
+    again, _ = jaccard_join.word_hashes(np.frombuffer(b"\t ".join(words[::-1]), np.uint8), np.array([0, len(data) + len(words) - 1]))
+    assert len(set(hashes.tolist())) == len(words) and hashes.tolist() == again.tolist()[::-1]
+    assert all(len(w) > jaccard_join.LONG for w in called)
+
+
 @pytest.mark.parametrize("percent", [55, 60, 80, 90, 95])
 def test_similar_sets_share_a_key(percent):
     """Sets at the edge of similarity, over all mixtures of rare, middle and frequent tokens."""
