@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -149,27 +150,54 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
+def _gram_sets(words: DataFrame, n: int) -> DataFrame:
+    """``doc_id, s``: the sorted hashes of the distinct word n-grams of ``words(doc_id, w)``. A hash is made of 64-bit digests of the n words, so no n-gram is written out as a text."""
+    mix = lambda h: (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def run(batches):
+        for whole in batches:
+            for batch in (whole.slice(at, 2_048) for at in range(0, whole.num_rows, 2_048)):
+                w = batch.column(1)
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(w), 0).to_numpy(zero_copy_only=False))
+                coded = w.flatten().dictionary_encode()
+                digests = np.array([xxhash.xxh3_64_intdigest(x) for x in coded.dictionary.cast(pa.binary()).to_pylist()], np.uint64)[coded.indices.to_numpy()]
+                grams = np.zeros(max(0, len(digests) - n + 1), np.uint64)
+                for i in range(n):
+                    grams = mix(grams * np.uint64(0x9E3779B97F4A7C15) + digests[i : i + len(grams)])
+                grams = mix(grams ^ (grams >> np.uint64(29))).view(np.int64)
+                sets = [np.unique(grams[a : max(a, b - n + 1)]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+                edges = np.cumsum([0, *map(len, sets)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(np.concatenate(sets)))], ["doc_id", "s"])
+
+    return words.mapInArrow(run, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, s array<long>")
+
+
 def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: ``a, b, similarity`` with ``a < b``.
 
     Of documents with equal sets the one with the least ``doc_id`` stands for all: it is paired with each of them, and with the representatives of
     similar sets, so that m copies give m - 1 pairs. Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must
-    meet those of a partner. Candidates are verified on whole sets. ``keep_first`` needs no more pairs. Sets are written once, to the session's
-    checkpoint folder; equal ones are told by 128 bits.
+    meet those of a partner. Those that no other set holds come first and meet none, so only their number counts: all n-grams travel once, to be counted, and then the others. Candidates are verified
+    on whole sets, of which only theirs travel. ``keep_first`` needs no more pairs. Sets are written once, to the session's
+    checkpoint folder; n-grams are told by 64 bits, equal sets by 128.
     """
     _ensure_checkpoint(docs.sparkSession)
-    words = docs.select("doc_id", T.words(F.col("text")).alias("w"))
-    every = words.select("doc_id", F.array_sort(F.array_distinct(F.transform(T.ngrams(F.col("w"), n), lambda g: F.xxhash64(g)))).alias("s"))
-    every = every.select("doc_id", "s", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).checkpoint().where(F.size("s") > 0)
+    every = _gram_sets(docs.select("doc_id", T.words(F.col("text")).alias("w")), n).where("size(s) > 0")
+    every = every.select("doc_id", "s", F.xxhash64("s").alias("h"), F.xxhash64(F.lit(1), "s").alias("i")).checkpoint()
     first = every.groupBy("h", "i").agg(F.min("doc_id").alias("a"))
-    copies = every.select("doc_id", "h", "i").join(first, ["h", "i"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity"))
-    sets = every.join(first.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "s")
-    tokens = sets.select("doc_id", F.size("s").alias("m"), F.explode_outer("s").alias("t")).where("t is not null")
-    frequency = tokens.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = tokens.join(frequency, "t").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "t")))
-    prefix = ranked.where((F.col("r") <= F.col("m") - F.ceil(F.col("m") * threshold) + 1) & (F.col("df") > 1)).select("doc_id", "m", "t")
+    copies = every.select("doc_id", "h", "i").join(first, ["h", "i"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")).checkpoint()
+    few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else ids
+    sets = every.where("doc_id is not null").join(few(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti").select("doc_id", "s")
+    tokens = sets.select("doc_id", F.explode_outer("s").alias("t")).where("t is not null")
+    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1")
+    sizes = sets.select("doc_id", F.size("s").alias("m"))
+    own = Window.partitionBy("doc_id")
+    ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "t"))).withColumn("held", F.count("*").over(own)).join(sizes, "doc_id")
+    prefix = ranked.where(F.col("r") + F.col("m") - F.col("held") <= F.col("m") - F.ceil(F.col("m") * threshold) + 1).select("doc_id", "m", "t").checkpoint()
     other = prefix.select(F.col("doc_id").alias("b"), F.col("m").alias("mb"), "t")
-    pairs = prefix.withColumnRenamed("doc_id", "a").join(other, "t").where("a < b").where((F.col("m") >= threshold * F.col("mb")) & (F.col("mb") >= threshold * F.col("m"))).select("a", "b").distinct()
+    pairs = prefix.withColumnRenamed("doc_id", "a").join(other, "t").where("a < b").where((F.col("m") >= threshold * F.col("mb")) & (F.col("mb") >= threshold * F.col("m"))).select("a", "b").distinct().checkpoint()
+    met = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = sets.join(few(met), "doc_id", "left_semi")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
     return scored.where(F.col("similarity") >= threshold).unionByName(copies)

@@ -59,3 +59,29 @@ def test_empty_tables(spark):
     none = docs(spark, ["x"]).where("doc_id < 0")
     assert curate.near_duplicate_pairs(none).count() == 0
     assert curate.exact_duplicates(none).count() == 0
+
+
+def test_near_duplicate_pairs_count_ngrams_once(spark):
+    """Against brute force, and n-grams are ranked and met once: what is verified is read back, no window over all n-grams stands in the plan."""
+    import random
+
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randint(3, 40))] for _ in range(12)]
+    texts = []
+    for words in base:
+        for _ in range(5):
+            some = list(words)
+            for _ in range(rng.randint(0, 2)):
+                some[rng.randrange(len(some))] = f"w{rng.randrange(60)}"
+            texts.append(" ".join(some))
+    texts += [None, "", "one two three four"]
+    pairs = curate.near_duplicate_pairs(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    grams = {i: {tuple(w[j : j + 5]) for j in range(len(w) - 4)} for i, t in enumerate(texts) for w in [(t or "").split()]}
+    first = {}
+    for i, g in grams.items():
+        if g:
+            first.setdefault(frozenset(g), i)
+    want = {(first[frozenset(g)], i) for i, g in grams.items() if g and first[frozenset(g)] != i}
+    want |= {(a, b) for a in first.values() for b in first.values() if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 10
+    assert "Window" not in pairs._jdf.queryExecution().executedPlan().toString()
