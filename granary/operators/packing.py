@@ -21,7 +21,8 @@ def prefix_sums(lengths: DataFrame, order: str = "doc_id", value: str = "n", buc
     shares = [i / buckets for i in range(1, buckets)]
     found = lengths.agg(F.percentile_approx(order, shares, 10_000)).first()[0] or []
     cuts = F.array(*[F.lit(c) for c in sorted(set(found))]) if found else F.array().cast("array<long>")
-    ranged = lengths.withColumn("part", F.size(F.filter(cuts, lambda c: c < F.col(order))))
+    # The order goes through an array of one, or Spark would compute what it is made of anew for each of the cuts.
+    ranged = lengths.withColumn("part", F.get(F.transform(F.array(order), lambda x: F.size(F.filter(cuts, lambda c: c < x))), F.lit(0)))
     sums = ranged.groupBy(*by, "part").agg(F.sum(value).alias("s"))
     offsets = sums.select(*by, "part", (F.sum("s").over(Window.partitionBy(*by).orderBy("part")) - F.col("s")).alias("before"))
     w = Window.partitionBy(*by, "part").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

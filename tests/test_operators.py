@@ -164,3 +164,41 @@ def test_crossing_and_hash(spark):
     for b in "héllo".encode():
         h = (h ^ b) * 0x01000193 % (1 << 32)
     assert spark.createDataFrame([("héllo",)], "t string").select(routing.stable_hash(F.col("t"))).first()[0] == h
+
+
+def test_encoding_gives_out_rows_by_their_ids(spark, monkeypatch):
+    """Rows of one batch come in several parts, bounded by ids; long words aren't kept."""
+    texts = ["ab ab", None, "", "x" * 500, "abc " * 40, "é ab"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    merges = [(97, 98), (256, 99)]
+    own = tokenizer.Tokenizer(merges)
+    want = {i: (own.encode(t or ""), len((t or "").encode())) for i, t in enumerate(texts)}
+    assert all(len(w) <= tokenizer.KNOWN_CHARS for w in own.known)
+    found = tokenizer.encode(docs, merges)
+    assert {r.doc_id: (r.ids, r.n_bytes) for r in found.collect()} == want and all(r.n_tokens == len(r.ids) for r in found.collect())
+    parts = []
+    monkeypatch.setattr(tokenizer, "IDS", 50)
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f) or self)
+    tokenizer.encode(docs, merges)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    for part in run[0](iter([batch])):
+        parts.append(part.num_rows)
+    assert sum(parts) == 6 and len(parts) > 1
+
+
+def test_prefix_sums_compute_the_order_once(spark):
+    """What the order is made of doesn't stand inside the comparison with each cut."""
+    import re
+
+    from granary.functions import text as T
+
+    rows = spark.range(500).select("id", T.draw(3, F.col("id")).alias("d"), F.lit(1).alias("one"))
+    placed = packing.prefix_sums(rows, order="d", value="one")
+    drawn = {r.id: r.d for r in rows.collect()}
+    want = {i: n for n, i in enumerate(sorted(drawn, key=drawn.get))}
+    assert {r.id: r.start for r in placed.collect()} == want
+    plan = placed.groupBy("start").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" in plan and not re.search(r"lambdafunction\(\(lambda [^)]{0,40}< [^)]{0,60}sha2", plan), plan
