@@ -8,8 +8,10 @@ from __future__ import annotations
 import heapq
 import json
 import re
+from array import array
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from pyspark.sql import functions as F
 from granary.functions import text as T
 from granary.operators.curate import _ensure_checkpoint
 
+#: Ids that are given out together, and characters of a word whose ids are kept.
+IDS, KNOWN_CHARS = 1_000_000, 64
 _PATTERN = T.PRETOKEN_PATTERN.removeprefix("(?U)")
 
 
@@ -154,6 +158,8 @@ class Tokenizer:
                 if best not in self.rank:
                     break
                 found = merge(found, best, 256 + self.rank[best])
+            if len(word) > KNOWN_CHARS:
+                return found
             if len(self.known) > 100_000:
                 self.known.clear()
             self.known[word] = found
@@ -176,14 +182,21 @@ class Tokenizer:
 
 
 def encode(docs: DataFrame, merges: list[tuple[int, int]], key: str = "doc_id") -> DataFrame:
-    """``key, ids, n_tokens, n_bytes`` of every text."""
+    """``key, ids, n_tokens, n_bytes`` of every text. Rows are given out as soon as they hold :data:`IDS` ids, so memory doesn't grow with the rows of a batch."""
 
     def run(batches):
         own = Tokenizer(merges)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [own.encode(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([len(i) for i in ids], pa.int64()), pa.array([len(t.encode()) for t in texts], pa.int64())], [key, "ids", "n_tokens", "n_bytes"])
+            ids, ends, sizes, at = array("i"), [0], [], 0
+            for i in range(batch.num_rows):
+                text = batch.column(1)[i].as_py() or ""
+                ids.extend(own.encode(text))
+                ends.append(len(ids))
+                sizes.append(len(text.encode()))
+                if len(ids) >= IDS or i + 1 == batch.num_rows:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, np.int32) if ids else [], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sizes)), lists, pa.array(np.diff(ends), pa.int64()), pa.array(sizes, pa.int64())], [key, "ids", "n_tokens", "n_bytes"])
+                    ids, ends, sizes, at = array("i"), [0], [], i + 1
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {docs.schema[key].dataType.simpleString()}, ids array<int>, n_tokens long, n_bytes long")
 
