@@ -13,8 +13,6 @@ task is cut, its parts are joined, and what then still falls apart is joined key
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -170,42 +168,78 @@ def join_sets(sets: list[np.ndarray], percent: int, root: list[int] | None = Non
     """Components of sets under the exact test: for each set the least place it reaches.
 
     Sets are met in order of size through an inverted index over local prefixes; a set is not tested against one that it
-    already hangs together with. ``root`` gives components known before; ``across`` a side for each set, to test sets
-    of different sides only.
+    already hangs together with. ``root`` gives components known before: sets of the largest of them are met by others only. ``across`` is a side for
+    each set, to test sets of different sides only.
     """
     count = len(sets)
-    root = list(range(count)) if root is None else list(root)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
+    label = np.arange(count) if root is None else np.array(root, np.int64)
     if not count:
-        return root
-    flat = np.concatenate(sets)
-    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(s) for s in sets])
-    index: dict[int, list[int]] = defaultdict(list)
-    for i in sorted(range(count), key=lambda i: (len(sets[i]), i)):
-        n = len(sets[i])
-        if not n:
+        return []
+    sizes = np.array([len(s) for s in sets])
+    _, inverse, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    order = [i for i in np.lexsort((np.arange(count), sizes)).tolist() if sizes[i]]
+    prefixes = {}
+    for i in order:
+        mine = inverse[ends[i] - sizes[i] : ends[i]]
+        mine = mine[np.lexsort((mine, times[mine]))][: sizes[i] - -(-percent * sizes[i] // 100) + 1]
+        prefixes[i] = mine[times[mine] > 1].tolist()
+    main = np.zeros(count, bool) if root is None else label == np.bincount(label).argmax()
+    every = _Postings(prefixes, order)
+    others = every if root is None else _Postings(prefixes, [i for i in order if not main[i]])
+    whole: list[np.ndarray] = []
+    side = None if across is None else np.asarray(across)
+    for i in order:
+        near = (others if main[i] else every).of(prefixes[i])
+        near = near[label[near] != label[i]]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        every.add(i)
+        if others is not every and not main[i]:
+            others.add(i)
+        if not len(near):
+            continue
+        hits = np.bincount(near, minlength=count)
+        near = np.flatnonzero(hits)
+        near = near[np.argsort(-hits[near], kind="stable")]
+        for _ in range(4):
+            if not len(near):
+                break
+            j, near = near[0], near[1:]
+            if linked(sets[i], sets[j], percent):
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+                near = near[label[near] != label[i]]
+        if not len(near):
             continue
-        mine = inverse[ends[i] - n : ends[i]]
-        mine = mine[np.lexsort((mine, times[mine]))][: n - -(-percent * n // 100) + 1]
-        keys = mine[times[mine] > 1].tolist()
-        met = [index[k] for k in keys]
-        near = np.array([j for js in met for j in js], np.int64)
-        if len(near):
-            near, hits = np.unique(near, return_counts=True)
-            for j in near[np.argsort(-hits, kind="stable")].tolist():
-                a, b = find(i), find(j)
-                if a != b and (across is None or across[i] != across[j]) and linked(sets[i], sets[j], percent):
-                    root[max(a, b)] = min(a, b)
-        for js in met:
-            js.append(i)
-    return [find(i) for i in range(count)]
+        # Many are left: what they share with the set is counted through the sets of all tokens at once.
+        if not whole:
+            whole = [np.repeat(np.arange(count), sizes)[np.argsort(inverse, kind="stable")], np.concatenate([[0], np.cumsum(times)])]
+        mine = inverse[ends[i] - sizes[i] : ends[i]]
+        common = np.bincount(np.concatenate([whole[0][whole[1][t] : whole[1][t + 1]] for t in mine.tolist()]), minlength=count)[near]
+        for found in np.unique(label[near[100 * common >= percent * (sizes[i] + sizes[near] - common)]]).tolist():
+            if found != label[i]:
+                label[label == max(label[i], found)] = min(label[i], found)
+    return label.tolist()
+
+
+class _Postings:
+    """For each token the sets added so far that have it in their prefix, room being made for all that will be."""
+
+    def __init__(self, prefixes: dict[int, list[int]], sets: list[int]):
+        self.prefixes = prefixes
+        tokens, room = np.unique(np.array([t for i in sets for t in prefixes[i]], np.int64), return_counts=True)
+        self.rows = np.empty(room.sum(), np.int64)
+        self.begin = dict(zip(tokens.tolist(), (np.cumsum(room) - room).tolist(), strict=True))
+        self.end = dict(self.begin)
+
+    def add(self, i: int) -> None:
+        for t in self.prefixes[i]:
+            self.rows[self.end[t]] = i
+            self.end[t] += 1
+
+    def of(self, tokens: list[int]) -> np.ndarray:
+        """The sets of all these tokens, once for each."""
+        return np.concatenate([np.zeros(0, np.int64), *[self.rows[self.begin[t] : self.end[t]] for t in tokens if t in self.begin]])
 
 
 def _classified(docs: DataFrame, percent: int, n: int, cluster: int, rare: int, middle: int, carry: list[str] | None = None) -> tuple[B.Blocks, DataFrame]:

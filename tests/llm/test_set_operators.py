@@ -217,6 +217,33 @@ def test_components_of_a_star(spark):
     assert graph.components(edges.where("false")).collect() == []
 
 
+def test_components_take_as_many_tasks_as_their_edges_need(spark):
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        roots = graph.components(spark.range(4000).selectExpr("id as a", "id - id % 40 + least(id % 40 + 1, 39) as b"))
+        assert {r["count"] for r in roots.groupBy("root").count().collect()} == {40}
+        assert len(roots.inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_sets_that_share_much_but_do_not_link_are_counted_together(monkeypatch):
+    random_ = np.random.default_rng(3)
+    sets = [np.unique(np.concatenate([np.arange(20), random_.integers(1000, 10**9, 5)])).astype(np.uint64) for _ in range(120)]
+    sets += [np.append(np.setdiff1d(s, s[-1:]), np.uint64(10**10 + i)) for i, s in enumerate(sets[:40])]
+    tests, plain = [], jaccard_join.linked
+    monkeypatch.setattr(jaccard_join, "linked", lambda *x: tests.append(0) or plain(*x))
+    assert jaccard_join.join_sets(sets, 80) == [*range(120), *range(40)]
+    assert len(tests) <= 4 * len(sets)
+    # Sets of one component known before are not met with one another.
+    tests.clear()
+    assert jaccard_join.join_sets(sets, 80, [0] * 159 + [159])[159] == 0
+    assert len(tests) <= 8
+
+
 def test_dealt_joins_equal_plain_ones(spark, monkeypatch):
     monkeypatch.setattr(deal, "FREQUENT", 10)
     many = spark.range(500).selectExpr("if(id < 300, 1, id) as k", "id as v")
