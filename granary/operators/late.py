@@ -2,7 +2,7 @@
 
 Exact scores come from blocks: documents' vectors meet the vectors of a block of queries in matrix products. The pruned search looks at few documents: a query's vectors
 name their nearest centroids, documents with vectors there are candidates, sums of centroid scores choose among those, residual codes among the
-rest, and only what is left is scored on its vectors.
+rest, and only what is left is scored on its vectors. Candidates are counted by score in the blocks first, so that hardly more than the chosen ones leave them.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from granary.functions import vector as V
 from granary.operators.curate import _ensure_checkpoint
 from granary.operators.retrieval import top
 
-#: Documents and queries in a block.
-BLOCK_DOCS, BLOCK_QUERIES = 8_192, 256
+#: Vectors of documents and of queries in a block, queries whose counts travel together, and ranges of scores that are counted.
+BLOCK_VECTORS, BLOCK_QUERIES, PART, BINS = 65_536, 16_384, 256, 256
 
 
 def _rows(column: pa.ChunkedArray) -> np.ndarray:
@@ -25,19 +25,39 @@ def _rows(column: pa.ChunkedArray) -> np.ndarray:
     return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
 
 
+def _tiled(docs: DataFrame, asked: DataFrame, *columns: str) -> DataFrame:
+    """Rows of ``docs(id)`` and ``asked(id)``, with the other columns of either, grouped in tiles ``b, g`` of a block of each; ``asks`` tells them apart."""
+    vectors, queries = docs.count(), asked.count()
+    groups = max(1, -(-queries // BLOCK_QUERIES))
+    # Smaller blocks of documents repeat the queries only.
+    rows = max(1, -(-vectors // BLOCK_VECTORS), -(-2 * docs.sparkSession.sparkContext.defaultParallelism // groups))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = docs.select(dealt(rows).alias("b"), every(groups).alias("g"), F.lit(False).alias("asks"), *docs.columns)
+    right = asked.select(every(rows).alias("b"), dealt(groups).alias("g"), F.lit(True).alias("asks"), *asked.columns)
+    return left.unionByName(right, allowMissingColumns=True).groupBy("b", "g")
+
+
+def _starts(ids: np.ndarray) -> np.ndarray:
+    """Where each run of equal ids begins."""
+    return np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest, the largest first, ties in order of place."""
+    some = np.arange(len(scores))
+    if len(scores) > 4 * k:
+        some = np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+    return some[np.argsort(-scores[some], kind="stable")[:k]]
+
+
 def exact(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, signs: bool = False, digits: int = 9) -> DataFrame:
     """``qid, doc_id, score, rank``: the best of ``doc_tokens(doc_id, v)`` for the stated ``query_tokens(qid, q)``, all documents scored.
 
     ``signs``: by sign bits, ``1 - 2 * hamming / dim`` in place of the dot product. Scores have ``digits`` digits when they are ranked. Rows with a null id or vector take no part.
     """
-    docs = doc_tokens.where("doc_id is not null and v is not null")
-    asked = query_tokens.where("qid is not null and q is not null")
-    sizes = docs.agg(F.count_distinct("doc_id")).first()[0], asked.agg(F.count_distinct("qid")).first()[0]
-    rows, groups = max(1, -(-sizes[0] // BLOCK_DOCS)), max(1, -(-sizes[1] // BLOCK_QUERIES))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = docs.select(dealt("doc_id", rows).alias("b"), every(groups).alias("g"), F.col("doc_id").alias("id"), "v", F.lit(False).alias("asks"))
-    right = asked.select(every(rows).alias("b"), dealt("qid", groups).alias("g"), F.col("qid").alias("id"), F.col("q").alias("v"), F.lit(True).alias("asks"))
+    docs = doc_tokens.where("doc_id is not null and v is not null").select(F.col("doc_id").alias("id"), "v")
+    asked = query_tokens.where("qid is not null and q is not null").select(F.col("qid").alias("id"), F.col("q").alias("v"))
 
     def block(table: pa.Table) -> pa.Table:
         mask = table.column("asks").to_numpy()
@@ -47,19 +67,20 @@ def exact(doc_tokens: DataFrame, query_tokens: DataFrame, k: int = 10, signs: bo
         ids, x = table.column("id").to_numpy(), _rows(table.column("v"))
         if signs:
             x = np.where(x > 0, 1.0, -1.0) / np.sqrt(x.shape[1])
-        order = np.argsort(ids[~mask], kind="stable")
-        docs_, v = ids[~mask][order], x[~mask][order]
-        starts = np.flatnonzero(np.append(True, docs_[1:] != docs_[:-1]))
-        out = []
-        for qid in np.unique(ids[mask]):
-            q = x[mask][ids[mask] == qid]
-            scores = np.round(np.maximum.reduceat(v @ q.T, starts, axis=0).sum(axis=1), digits)
-            best = np.argsort(-scores, kind="stable")[:k]
-            out.append((np.full(len(best), qid), docs_[starts][best], scores[best]))
+        order = np.flatnonzero(~mask)[np.argsort(ids[~mask], kind="stable")]
+        docs_, v = ids[order], x[order]
+        starts = _starts(docs_)
+        order = np.flatnonzero(mask)[np.argsort(ids[mask], kind="stable")]
+        qids, asks = ids[order], x[order]
+        edges, out = _starts(qids), []
+        for a, e in zip(edges, [*edges[1:], len(qids)], strict=True):
+            scores = np.round(np.maximum.reduceat(v @ asks[a:e].T, starts, axis=0).sum(axis=1), digits)
+            best = _best(scores, k)
+            out.append((np.full(len(best), qids[a]), docs_[starts][best], scores[best]))
         qid, doc, score = (np.concatenate(c) for c in zip(*out, strict=True))
         return pa.table({"qid": pa.array(qid, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "score": pa.array(score)})
 
-    return top(left.unionByName(right).groupBy("b", "g").applyInArrow(block, "qid long, doc_id long, score double"), k)
+    return top(_tiled(docs, asked).applyInArrow(block, "qid long, doc_id long, score double"), k)
 
 
 class LateIndex:
@@ -101,8 +122,6 @@ class LateIndex:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near, pa.int32()), pa.array(list(codes), pa.list_(pa.int8()))], ["doc_id", "cell", "code"])
 
         self.coded = self.tokens.mapInArrow(code, "doc_id long, cell int, code array<tinyint>").checkpoint()
-        self.lists = self.coded.select("cell", "doc_id").distinct()
-        self.centres = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(self.centroids)], "cell int, c array<double>")
 
     def _nearest(self, x: np.ndarray, count: int) -> np.ndarray:
         return _near(x, self.centroids, count)
@@ -114,34 +133,55 @@ class LateIndex:
         and the ``final`` best of those on their vectors.
         """
         asked = query_tokens.where("qid is not null and q is not null").select("qid", "pos", "q")
-        centres = self.centroids
-
-        def probe(batches):
-            for batch in batches:
-                if not batch.num_rows:
+        centres, levels = self.centroids, self.levels
+        cells = self.coded.select(F.col("doc_id").alias("id"), "cell", "code")
+        queries = asked.select(F.col("qid").alias("id"), "pos", "q")
+
+        def survey(key, table):
+            parts: dict[int, list] = {}
+            for n, (qid, _, bins, met, _) in enumerate(_met(table, centres, probes)):
+                parts.setdefault(n // PART, []).append((qid, np.bincount(bins[met], minlength=BINS).astype(np.uint32)))
+            return pa.table(
+                {
+                    "g": pa.array([key[1].as_py()] * len(parts), pa.int32()),
+                    "part": pa.array(list(parts), pa.int32()),
+                    "qids": pa.array([np.array([q for q, _ in p], np.int64).tobytes() for p in parts.values()], pa.binary()),
+                    "counts": pa.array([b"".join(c.tobytes() for _, c in p) for p in parts.values()], pa.binary()),
+                }
+            )
+
+        def cut(table: pa.Table) -> pa.Table:
+            qids = np.frombuffer(table.column("qids")[0].as_py(), np.int64)
+            counts = np.zeros((len(qids), BINS), np.int64)
+            for blob in table.column("counts"):
+                counts += np.frombuffer(blob.as_buffer(), np.uint32).reshape(len(qids), BINS)
+            above = np.cumsum(counts[:, ::-1], axis=1)
+            enough = above >= pool
+            cuts = np.where(enough.any(1), BINS - 1 - enough.argmax(1), 0)
+            return pa.table({"qid": pa.array(qids), "cut": pa.array(cuts, pa.int32()), "met": pa.array(above[:, -1], pa.int64())})
+
+        counted = _tiled(cells.drop("code"), queries).applyInArrow(survey, "g int, part int, qids binary, counts binary")
+        cuts = counted.groupBy("g", "part").applyInArrow(cut, "qid long, cut int, met long").checkpoint()
+
+        def pick(table: pa.Table) -> pa.Table:
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+            for qid, q, bins, met, (docs, starts, score, where, code, least) in _met(table, centres, probes):
+                some = np.flatnonzero(met & (bins >= least))
+                some = np.sort(some[_best(score[some], pool)])
+                if not len(some):
                     continue
-                q = _rows(pa.chunked_array([batch.column(2)]))
-                near = np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes]
-                score = np.take_along_axis(q @ centres.T, near, 1)
-                times = near.shape[1]
-                rows = np.repeat(np.arange(batch.num_rows), times)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(near.ravel(), pa.int32()), pa.array(score.ravel()), pa.array(np.repeat(score[:, -1], times))], ["qid", "pos", "cell", "s", "least"]
-                )
-
-        probed = asked.mapInArrow(probe, "qid long, pos int, cell int, s double, least double").checkpoint()
-        # A vector none of whose centroids a document has counts as its last one.
-        floor = probed.groupBy("qid", "pos").agg(F.first("least").alias("least")).groupBy("qid").agg(F.sum("least").alias("floor"))
-        best = probed.join(self.lists, "cell").groupBy("qid", "pos", "doc_id").agg(F.max(F.col("s") - F.col("least")).alias("over"))
-        met = best.groupBy("qid", "doc_id").agg(F.sum("over").alias("over")).join(floor, "qid").select("qid", "doc_id", (F.col("over") + F.col("floor")).alias("score")).checkpoint()
-        chosen = top(met, pool).select("qid", "doc_id")
-        levels = F.array(*[F.lit(float(x)) for x in self.levels])
-        coded = chosen.join(self.coded, "doc_id").join(F.broadcast(self.centres), "cell")  # as many rows as centroids
-        guess = F.zip_with("c", "code", lambda x, i: x + F.get(levels, i.cast("int")))
-        near = self._scored(coded.select("qid", "doc_id", guess.alias("v")), asked)
-        left = top(near, final).select("qid", "doc_id")
-        counts = met.groupBy("qid").agg(F.count("*").alias("met"))
-        return top(self._scored(left.join(self.tokens, "doc_id"), asked), k).join(counts, "qid")
+                sizes = np.diff(np.append(starts, len(where)))[some]
+                heads = np.cumsum(sizes) - sizes
+                rows = np.repeat(starts[some] - heads, sizes) + np.arange(sizes.sum())
+                near = np.maximum.reduceat((centres[where[rows]] + levels[code[rows]]) @ q.T, heads, axis=0).sum(1)
+                out.append((np.full(len(some), qid), docs[starts[some]], score[some], np.round(near, 9)))
+            qid, doc, score, near = (np.concatenate(c) for c in zip(*out, strict=True))
+            return pa.table({"qid": pa.array(qid, pa.int64()), "doc_id": pa.array(doc, pa.int64()), "score": pa.array(score), "near": pa.array(near)})
+
+        limited = queries.join(cuts.select(F.col("qid").alias("id"), "cut"), "id")
+        picked = _tiled(cells, limited).applyInArrow(pick, "qid long, doc_id long, score double, near double")
+        left = top(top(picked, pool).drop("rank"), final, "near").select("qid", "doc_id")
+        return top(self._scored(left.join(self.tokens, "doc_id"), asked), k).join(cuts.where("met > 0").select("qid", "met"), "qid")
 
     @staticmethod
     def _scored(pairs: DataFrame, asked: DataFrame) -> DataFrame:
@@ -152,8 +192,42 @@ class LateIndex:
 
 def _near(x: np.ndarray, centres: np.ndarray, count: int) -> np.ndarray:
     """Nearest centroids by distance."""
-    far = (centres * centres).sum(1)[None, :] - 2 * x @ centres.T
-    return np.argsort(far, axis=1, kind="stable")[:, :count]
+    found = [np.zeros((0, count), np.int64)]
+    for at in range(0, len(x), 1024):
+        far = (centres * centres).sum(1)[None, :] - 2 * x[at : at + 1024] @ centres.T
+        found.append(far.argmin(1)[:, None] if count == 1 else np.argsort(far, axis=1, kind="stable")[:, :count])
+    return np.concatenate(found)
+
+
+def _met(table: pa.Table, centres: np.ndarray, probes: int):
+    """For each query of a tile, in order of id: ``id, vectors, bins, met`` and the documents' ``ids, starts, scores, cells, codes`` with the query's cut.
+
+    A vector of the query scores with a document by the best of its ``probes`` nearest centroids that the document has, by the last of them if it has none; ``met``: the
+    document has one at least. ``bins`` are ranges of scores between the least and the largest possible.
+    """
+    mask = table.column("asks").to_numpy()
+    if not mask.any() or mask.all():
+        return
+    docs, asked = table.filter(pa.array(~mask)).sort_by("id"), table.filter(pa.array(mask)).sort_by([("id", "ascending"), ("pos", "ascending")])
+    ids, cells = docs.column("id").to_numpy(), docs.column("cell").to_numpy()
+    code = docs.column("code").combine_chunks() if "code" in table.schema.names else None
+    code = code if code is None else code.flatten().to_numpy().reshape(len(ids), -1)
+    starts, qids, q = _starts(ids), asked.column("id").to_numpy(), _rows(asked.column("q"))
+    cuts = asked.column("cut").to_numpy() if "cut" in table.schema.names else np.zeros(len(qids), np.int32)
+    edges, probes = _starts(qids), min(probes, len(centres))
+    for a, e in zip(edges, [*edges[1:], len(qids)], strict=True):
+        s = q[a:e] @ centres.T
+        least = np.partition(s, len(centres) - probes, axis=1)[:, len(centres) - probes, None]
+        over = np.where(s >= least, s - least, -1.0)
+        for i in np.flatnonzero((over >= 0).sum(1) > probes):
+            ties = np.flatnonzero(s[i] == least[i])
+            over[i, ties[probes - int((s[i] > least[i]).sum()) :]] = -1.0
+        best = np.array([np.maximum.reduceat(row[cells], starts) for row in over])
+        floor = least.sum()
+        score = np.maximum(best, 0).sum(0) + floor
+        span = over.max(1).sum()
+        bins = np.minimum((score - floor) / span * BINS, BINS - 1).astype(np.int64) if span > 0 else np.zeros(len(score), np.int64)
+        yield qids[a], q[a:e], bins, (best >= 0).any(0), (ids, starts, score, cells, code, cuts[a])
 
 
 def recall(found: DataFrame, truth: DataFrame, docs: int) -> DataFrame:

@@ -43,6 +43,24 @@ def brute_late(docs, asked, k):
     return out
 
 
+def shuffled(spark):
+    """Bytes that the session has shuffled so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(e.totalShuffleWrite() for e in (lambda found: [found.apply(i) for i in range(found.size())])(spark.sparkContext._jsc.sc().statusStore().executorList(False)))
+
+
+def test_pruned_late_search_shuffles_what_it_chooses(spark):
+    rng = np.random.default_rng(5)
+    tokens = spark.createDataFrame([(i, v.tolist()) for i in range(2000) for v in rng.normal(size=(2, 4))], "doc_id long, v array<double>")
+    wanted = spark.createDataFrame([(q, j, v.tolist()) for q in range(100) for j, v in enumerate(rng.normal(size=(2, 4)))], "qid long, pos int, q array<double>")
+    index = late.LateIndex(tokens, centroids=40)
+    before = shuffled(spark)
+    found = index.search(wanted, 5, probes=40, pool=20, final=10).collect()
+    # Every query meets every document: 200,000 pairs.
+    assert len(found) == 500 and {r.met for r in found} == {2000}
+    assert shuffled(spark) - before < 1_500_000
+
+
 def test_late_interaction(spark):
     rng = np.random.default_rng(3)
     centres = rng.normal(size=(10, 8))
