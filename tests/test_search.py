@@ -35,6 +35,17 @@ def test_graph_of_nothing(spark):
     assert graph_search.beam_search(graph, none, one, 5, [10]).count() == 0
 
 
+def test_graph_starts_near(spark):
+    """Few rounds are needed, as the start alone finds most of the links."""
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(100, 16))[:, None] + 0.2 * rng.normal(size=(100, 20, 16))).reshape(-1, 16)
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = graph_search.neighbour_links(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, v array<double>"), 10, rounds=0).collect()
+    near = np.argsort(-(x @ x.T) + 9 * np.eye(len(x)), axis=1)[:, :10]
+    assert len(links) == 20_000
+    assert len({(r.doc_id, r.other) for r in links} & {(i, int(j)) for i, row in enumerate(near) for j in row}) >= 16_000
+
+
 def brute_late(docs, asked, k):
     out = {}
     for qid, qs in asked.items():
