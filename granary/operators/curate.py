@@ -176,9 +176,28 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) ->
     """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: ``a, b, similarity`` with ``a < b``.
 
     Of documents with equal sets the one with the least ``doc_id`` stands for all: it is paired with each of them, and with the representatives of
-    similar sets, so that m copies give m - 1 pairs. Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must
+    similar sets, so that m copies give m - 1 pairs. What is kept of near duplicates doesn't follow from these pairs alone, see :func:`first_of_near_duplicates`.
+    """
+    links, copies = _near_duplicates(docs, threshold, n)
+    return links.unionByName(copies)
+
+
+def first_of_near_duplicates(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
+    """Documents kept in order of ``doc_id``: one is kept unless an earlier *kept* one has a similarity of at least ``threshold``, over all pairs, those of copies included.
+
+    Documents with equal sets are similar to the same others and to each other. So the first of them is judged by the first ones of other sets, and
+    every later one goes: after the first if that is kept, or else after the kept document that the first went for. No copy is ever kept, so none takes another away.
+    """
+    links, copies = _near_duplicates(docs, threshold, n)
+    return keep_first(docs, links).join(copies.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+
+
+def _near_duplicates(docs: DataFrame, threshold: float, n: int) -> tuple[DataFrame, DataFrame]:
+    """The similar pairs among the first documents of each set, and the pairs of each first document with its copies: ``a, b, similarity``.
+
+    Prefix filter: of a set of m n-grams, ordered by frequency, the first m - ceil(threshold * m) + 1 must
     meet those of a partner. Those that no other set holds come first and meet none, so only their number counts: all n-grams travel once, to be counted, and then the others. Candidates are verified
-    on whole sets, of which only theirs travel. ``keep_first`` needs no more pairs. Sets are written once, to the session's
+    on whole sets, of which only theirs travel. Sets are written once, to the session's
     checkpoint folder; n-grams are told by 64 bits, equal sets by 128.
     """
     _ensure_checkpoint(docs.sparkSession)
@@ -200,7 +219,7 @@ def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) ->
     sets = sets.join(few(met), "doc_id", "left_semi")
     left, right = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     scored = pairs.join(left, "a").join(right, "b").select("a", "b", T.jaccard(F.col("sa"), F.col("sb")).alias("similarity"))
-    return scored.where(F.col("similarity") >= threshold).unionByName(copies)
+    return scored.where(F.col("similarity") >= threshold), copies
 
 
 def keep_first(docs: DataFrame, pairs: DataFrame, small: int = 200_000) -> DataFrame:

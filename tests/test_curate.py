@@ -85,3 +85,32 @@ def test_near_duplicate_pairs_count_ngrams_once(spark):
     want |= {(a, b) for a in first.values() for b in first.values() if a < b and len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b])}
     assert {(r.a, r.b) for r in pairs.collect()} == want and len(want) > 10
     assert "Window" not in pairs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_copy_goes_with_its_first(spark):
+    """1 goes for 0, and so does its copy 2; 3 is near to 1 and 2 only and stays, as they are gone; its copy 4 goes."""
+    base = [f"w{i}" for i in range(100)]
+    changed = lambda words, at: [*words[:at], "x", *words[at + 1 :]]
+    near = changed(changed(base, 50), 35)
+    far = changed(near, 20)
+    texts = [" ".join(w) for w in (base, near, near, far, far)]
+    assert sorted(r[0] for r in curate.first_of_near_duplicates(docs(spark, texts)).select("doc_id").collect()) == [0, 3]
+
+
+def test_near_duplicates_kept_by_all_pairs(spark):
+    import random
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(900)}" for _ in range(60)] for _ in range(8)]
+    texts = []
+    for _ in range(120):
+        words = list(rng.choice(base))
+        for at in rng.sample(range(4), rng.randrange(3)):
+            words[10 + 14 * at] = "x"
+        texts.append(" ".join(words))
+    grams = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    kept = []
+    for i, g in enumerate(grams):
+        if all(len(g & grams[k]) < 0.8 * len(g | grams[k]) for k in kept):
+            kept.append(i)
+    assert sorted(r[0] for r in curate.first_of_near_duplicates(docs(spark, texts)).select("doc_id").collect()) == kept and len(kept) > 10
