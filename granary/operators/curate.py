@@ -272,5 +272,5 @@ def word_frequencies(docs: DataFrame) -> DataFrame:
 def curate(docs: DataFrame, evals: DataFrame, licenses: list[str]) -> DataFrame:
     """License, language and quality filters, near-duplicate removal, scrubbing, decontamination."""
     kept = filter_quality(filter_language(filter_license(with_license(docs), licenses)))
-    unique = keep_first(kept, near_duplicate_pairs(kept))
+    unique = first_of_near_duplicates(kept)
     return decontaminated(scrub_documents(unique), evals)

@@ -114,3 +114,13 @@ def test_near_duplicates_kept_by_all_pairs(spark):
         if all(len(g & grams[k]) < 0.8 * len(g | grams[k]) for k in kept):
             kept.append(i)
     assert sorted(r[0] for r in curate.first_of_near_duplicates(docs(spark, texts)).select("doc_id").collect()) == kept and len(kept) > 10
+
+
+def test_curated_corpus_drops_copies_with_their_first(spark):
+    words = "the cat sat on a mat and it was happy with warm sun in its window for some long time of day".split()
+    base = [f"{w}{'abcdefgh'[i // len(words)]}" if i % 4 else w for i in range(5 * len(words)) for w in [words[i % len(words)]]]
+    changed = lambda words, at: [*words[:at], "other", *words[at + 1 :]]
+    near = changed(changed(base, 50), 35)
+    far = changed(near, 20)
+    texts = docs(spark, [" ".join(w) for w in (base, near, near, far, far)]).withColumn("source", F.lit("site-1"))
+    assert sorted(r[0] for r in curate.curate(texts, docs(spark, ["nothing of this"]), ["mit"]).select("doc_id").collect()) == [0, 3]
