@@ -15,6 +15,8 @@ from granary.functions import text as T
 
 #: Hashes of n-grams, 8 bytes each, are broadcast up to this number.
 BROADCAST_HASHES = 2_000_000
+#: Hashes of n-grams that are counted in one call, about.
+COUNTED = 2_000_000
 
 
 def filter_license(docs: DataFrame, allowed: list[str], column: str = "license") -> DataFrame:
@@ -172,6 +174,35 @@ def _gram_sets(words: DataFrame, n: int) -> DataFrame:
     return words.mapInArrow(run, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, s array<long>")
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """``doc_id, t, df``: the hashes of ``sets(doc_id, s)`` that more than one set holds. They travel in lists, by ranges of their values, and are sorted in arrays."""
+    parts = max(1, -(-(sets.agg(F.sum(F.size("s")).alias("n")).first()["n"] or 0) // COUNTED))
+    kind = sets.schema["doc_id"].dataType.simpleString()
+
+    def deal(batches):
+        for whole in batches:
+            for batch in (whole.slice(at, 2_048) for at in range(0, whole.num_rows, 2_048)):
+                tokens = batch.column(1).flatten().to_numpy()
+                part = (tokens.view(np.uint64) >> np.uint64(32)) % np.uint64(parts)
+                order = np.argsort(part, kind="stable")
+                rows = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(1)).to_numpy())[order]
+                begin = np.flatnonzero(np.append(True, np.diff(part[order]) != 0)) if len(order) else np.zeros(0, np.int64)
+                edges = pa.array([*begin.tolist(), len(order)], pa.int32())
+                lists = [pa.ListArray.from_arrays(edges, x) for x in (batch.column(0).take(pa.array(rows)), pa.array(tokens[order]))]
+                yield pa.RecordBatch.from_arrays([pa.array(part[order][begin].astype(np.int64)), *lists], ["part", "ids", "tokens"])
+
+    def count(table: pa.Table) -> pa.Table:
+        ids, tokens = (pa.chunked_array([x.flatten() for x in table.column(c).chunks]) for c in ("ids", "tokens"))
+        tokens = tokens.to_numpy()
+        order = np.argsort(tokens)
+        times = np.diff(np.append(np.flatnonzero(np.append(True, np.diff(tokens[order]) != 0)), len(order)))
+        df = np.repeat(times, times)
+        order, df = order[df > 1], df[df > 1]
+        return pa.table({"doc_id": ids.take(pa.array(order)), "t": tokens[order], "df": df})
+
+    return sets.mapInArrow(deal, f"part long, ids array<{kind}>, tokens array<long>").groupBy("part").applyInArrow(count, f"doc_id {kind}, t long, df long")
+
+
 def near_duplicate_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
     """Pairs of documents whose sets of word n-grams have a Jaccard similarity of at least ``threshold``: ``a, b, similarity`` with ``a < b``.
 
@@ -207,8 +238,7 @@ def _near_duplicates(docs: DataFrame, threshold: float, n: int) -> tuple[DataFra
     copies = every.select("doc_id", "h", "i").join(first, ["h", "i"]).where("doc_id > a").select("a", F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")).checkpoint()
     few = lambda ids: F.broadcast(ids) if ids.limit(BROADCAST_HASHES + 1).count() <= BROADCAST_HASHES else ids
     sets = every.where("doc_id is not null").join(few(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti").select("doc_id", "s")
-    tokens = sets.select("doc_id", F.explode_outer("s").alias("t")).where("t is not null")
-    shared = tokens.withColumn("df", F.count("*").over(Window.partitionBy("t"))).where("df > 1")
+    shared = _shared(sets)
     sizes = sets.select("doc_id", F.size("s").alias("m"))
     own = Window.partitionBy("doc_id")
     ranked = shared.withColumn("r", F.row_number().over(own.orderBy("df", "t"))).withColumn("held", F.count("*").over(own)).join(sizes, "doc_id")
@@ -270,7 +300,11 @@ def word_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def curate(docs: DataFrame, evals: DataFrame, licenses: list[str]) -> DataFrame:
-    """License, language and quality filters, near-duplicate removal, scrubbing, decontamination."""
-    kept = filter_quality(filter_language(filter_license(with_license(docs), licenses)))
+    """License, language and quality filters, near-duplicate removal, scrubbing, decontamination.
+
+    What the filters leave and what is scrubbed are read more than once, so each is written out, to the session's checkpoint folder.
+    """
+    _ensure_checkpoint(docs.sparkSession)
+    kept = filter_quality(filter_language(filter_license(with_license(docs), licenses))).checkpoint()
     unique = first_of_near_duplicates(kept)
-    return decontaminated(scrub_documents(unique), evals)
+    return decontaminated(scrub_documents(unique).checkpoint(), evals)

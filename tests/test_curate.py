@@ -124,3 +124,23 @@ def test_curated_corpus_drops_copies_with_their_first(spark):
     far = changed(near, 20)
     texts = docs(spark, [" ".join(w) for w in (base, near, near, far, far)]).withColumn("source", F.lit("site-1"))
     assert sorted(r[0] for r in curate.curate(texts, docs(spark, ["nothing of this"]), ["mit"]).select("doc_id").collect()) == [0, 3]
+
+
+def test_shared_ngrams_are_counted_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(curate, "COUNTED", 3)
+    sets = spark.createDataFrame([(1, [-5, 2, 1 << 40]), (2, [2, 7]), (3, [-5, 2]), (4, [])], "doc_id long, s array<long>")
+    assert sorted(map(tuple, curate._shared(sets).collect())) == [(1, -5, 2), (1, 2, 3), (2, 2, 3), (3, -5, 2), (3, 2, 3)]
+    assert curate._shared(sets.where("doc_id > 9")).count() == 0
+
+
+def test_curated_corpus_scrubs_once(spark):
+    """What is read twice, to be told contaminated and to be returned, was scrubbed before."""
+    texts = docs(spark, ["a text"]).withColumn("source", F.lit("site-1"))
+    assert "PHONE" not in curate.curate(texts, docs(spark, ["nothing of this"]), ["mit"])._jdf.queryExecution().toString()
+
+
+def test_letters_and_scrubbing_by_parts(spark):
+    text = "é1ß 𝒜b, call 555-123-4567 or 1.2.3.4, a@b.org"
+    found = docs(spark, [text, "", None]).select(T.letters(F.col("text")), T.scrub(F.col("text"))).collect()
+    assert found[0][0] == sum(c.isalpha() for c in text) and found[0][1] == "é1ß 𝒜b, call [PHONE] or [IP], [EMAIL]"
+    assert tuple(found[1]) == (0, "") and tuple(found[2]) == (None, None)
