@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from granary.functions import text as T
-from granary.functions import vector as V
 from granary.operators.curate import _ensure_checkpoint
 from granary.operators.retrieval import top
 
@@ -145,7 +144,7 @@ def neighbour_links(vectors: DataFrame, keep: int = 16, rounds: int = 12, settle
 def build_graph(vectors: DataFrame, degree: int = 16, keep: int = 32, random_links: int = 2, rounds: int = 12, seed: int = 1) -> DataFrame:
     """The graph of ``vectors(doc_id, v)``: ``doc_id, neighbours``, at most ``2 * degree + random_links`` each."""
     links = neighbour_links(vectors, keep, rounds, seed=seed)
-    clean = vectors.where("doc_id is not null and v is not null").select("doc_id", "v").dropDuplicates(["doc_id"])
+    clean = vectors.where("doc_id is not null and v is not null").select("doc_id", "v").dropDuplicates(["doc_id"]).checkpoint()
     met = links.join(clean.withColumnRenamed("doc_id", "other"), "other")
 
     def thin(table: pa.Table) -> pa.Table:
@@ -173,6 +172,14 @@ def build_graph(vectors: DataFrame, degree: int = 16, keep: int = 32, random_lin
     return clean.select("doc_id").join(both.groupBy("doc_id").agg(F.collect_set("other").alias("neighbours")), "doc_id", "left").checkpoint()
 
 
+def _scored(batches):
+    """Rows of ``qid, doc_id, v, q`` and others with their cosine in place of the vectors."""
+    for batch in batches:
+        if batch.num_rows:
+            v, q = (_unit(pa.table({"x": batch.column(i)}), "x") for i in (2, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.round((v * q).sum(1), 9)), *batch.columns[4:]], ["qid", "doc_id", "score", *batch.schema.names[4:]])
+
+
 def beam_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int, widths: list[int], rounds: int = 200, seed: int = 1) -> DataFrame:
     """``width, qid, doc_id, score, rank, scored``: the ``k`` nearest found for ``queries(qid, q)`` with beams of each width, and how many vectors a query looked at.
 
@@ -180,36 +187,38 @@ def beam_search(graph: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
     """
     spark = vectors.sparkSession
     _ensure_checkpoint(spark)
-    vectors = vectors.where("doc_id is not null and v is not null").select("doc_id", "v").dropDuplicates(["doc_id"])
-    queries = queries.where("qid is not null and q is not null").select("qid", "q").dropDuplicates(["qid"])
+    vectors = vectors.where("doc_id is not null and v is not null").select("doc_id", "v").dropDuplicates(["doc_id"]).checkpoint()
+    queries = queries.where("qid is not null and q is not null").select("qid", "q").dropDuplicates(["qid"]).checkpoint()
     # The sample: the first ids by a hash; tasks keep the first ENTRIES of theirs.
     entries = vectors.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(ENTRIES)
-    score = F.round(V.cosine(F.col("v"), F.col("q")), 9)
     widths_ = spark.createDataFrame([(w,) for w in widths], "width int")
 
-    def best(scored: DataFrame) -> DataFrame:
-        ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("width", "qid").orderBy(F.desc("score"), "doc_id")))
-        return ranked.where(F.col("r") <= F.col("width")).drop("r")
-
+    # A search is a row: the ids it has seen, and its beam in order, nodes with the negative score first.
+    node = lambda done: F.struct((-F.col("score")).alias("far"), "doc_id", F.lit(done).alias("done"))
     # Fixed sizes on one side: the sampled nodes and the widths.
-    start = queries.crossJoin(F.broadcast(entries.select("doc_id", "v"))).where("doc_id <> qid").select("qid", "doc_id", score.alias("score"))
-    start = top(start, max(1, ENTRIES // 8)).drop("rank").crossJoin(F.broadcast(widths_)).withColumn("done", F.lit(False))
-    beam = best(start).checkpoint()
-    seen, looked = beam.select("width", "qid", "doc_id"), beam.groupBy("width", "qid").agg(F.lit(ENTRIES).cast("long").alias("n"))
+    start = queries.crossJoin(F.broadcast(entries.select("doc_id", "v"))).where("doc_id <> qid").select("qid", "doc_id", "v", "q")
+    start = top(start.mapInArrow(_scored, "qid long, doc_id long, score double"), max(1, ENTRIES // 8))
+    start = start.groupBy("qid").agg(F.sort_array(F.collect_list(node(False))).alias("beam")).crossJoin(F.broadcast(widths_))
+    state = start.select("width", "qid", F.transform("beam", lambda x: x["doc_id"]).alias("seen"), F.slice("beam", 1, F.col("width")).alias("beam")).withColumn("looked", F.lit(ENTRIES).cast("long")).checkpoint()
     for _ in range(rounds):
-        ahead = beam.where("not done").select("width", "qid", "doc_id")
+        ahead = state.select("width", "qid", F.explode(F.filter("beam", lambda x: ~x["done"])["doc_id"]).alias("doc_id"))
         if not ahead.head(1):
             break
-        met = ahead.join(graph, "doc_id").select("width", "qid", F.explode("neighbours").alias("doc_id")).distinct().where("doc_id <> qid")
-        met = met.join(seen, ["width", "qid", "doc_id"], "left_anti")
-        new = met.join(vectors, "doc_id").join(queries, "qid").select("width", "qid", "doc_id", score.alias("score"), F.lit(False).alias("done")).checkpoint()
-        seen = seen.unionByName(new.select("width", "qid", "doc_id"))
-        looked = looked.unionByName(new.groupBy("width", "qid").agg(F.count("*").alias("n")))
-        beam = best(beam.withColumn("done", F.lit(True)).unionByName(new)).checkpoint()
+        met = ahead.join(graph, "doc_id").select("width", "qid", F.explode("neighbours").alias("other")).groupBy("width", "qid").agg(F.collect_set("other").alias("met"))
+        new = met.join(state.select("width", "qid", "seen"), ["width", "qid"]).select("width", "qid", F.explode(F.array_except("met", "seen")).alias("doc_id")).where("doc_id <> qid")
+        # A pair is scored once for all widths that meet it in a round.
+        pairs = new.groupBy("qid", "doc_id").agg(F.collect_list("width").alias("widths")).join(vectors, "doc_id").join(queries, "qid")
+        scored = pairs.select("qid", "doc_id", "v", "q", "widths").mapInArrow(_scored, "qid long, doc_id long, score double, widths array<int>")
+        found = scored.select("qid", "doc_id", "score", F.explode("widths").alias("width")).groupBy("width", "qid").agg(F.collect_list(node(False)).alias("new"))
+        known = F.transform("beam", lambda x: F.struct(x["far"].alias("far"), x["doc_id"].alias("doc_id"), F.lit(True).alias("done")))
+        fresh = F.coalesce("new", F.slice("beam", 1, 0))
+        state = state.join(found, ["width", "qid"], "left").select(
+            "width", "qid", F.concat("seen", fresh["doc_id"]).alias("seen"), F.slice(F.sort_array(F.concat(known, fresh)), 1, F.col("width")).alias("beam"), (F.col("looked") + F.size(fresh)).alias("looked")
+        ).checkpoint()
     else:
         raise RuntimeError("the search did not end")
-    ranked = beam.withColumn("rank", F.row_number().over(Window.partitionBy("width", "qid").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    return ranked.join(looked.groupBy("width", "qid").agg(F.sum("n").alias("scored")), ["width", "qid"]).select("width", "qid", "doc_id", "score", "rank", "scored")
+    ranked = state.select("width", "qid", F.posexplode(F.slice("beam", 1, k)).alias("at", "n"), F.col("looked").alias("scored"))
+    return ranked.select("width", "qid", "n.doc_id", (-F.col("n.far")).alias("score"), (F.col("at") + 1).alias("rank"), "scored")
 
 
 def recall_curve(found: DataFrame, truth: DataFrame) -> DataFrame:

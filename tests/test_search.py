@@ -46,6 +46,33 @@ def test_graph_starts_near(spark):
     assert len({(r.doc_id, r.other) for r in links} & {(i, int(j)) for i, row in enumerate(near) for j in row}) >= 16_000
 
 
+def test_beam_search_walks_as_by_hand(spark):
+    """Every search is a row that is read off at its end: nothing seen is compared or counted again."""
+    rows = clustered(200, seed=4)
+    x = np.array([v for _, v in rows])
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame(rows, "doc_id long, v array<double>")
+    links = {i: [(i + s) % 200 for s in (1, 7, 31, 90)] for i in range(200)}
+    graph = spark.createDataFrame(list(links.items()), "doc_id long, neighbours array<long>")
+    queries = vectors.where("doc_id % 50 = 3").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    entries = [r[0] for r in vectors.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(graph_search.ENTRIES).select("doc_id").collect()]
+    found = graph_search.beam_search(graph, vectors, queries, 5, [3, 12])
+    want = set()
+    for q in range(3, 200, 50):
+        far = {i: (-round(float(x[i] @ x[q]), 9), i) for i in range(200)}
+        for width in (3, 12):
+            seen = sorted((i for i in entries if i != q), key=far.get)[:8]
+            beam, done, looked = seen[:width], set(), graph_search.ENTRIES
+            while ahead := [i for i in beam if i not in done]:
+                done |= set(ahead)
+                new = {j for i in ahead for j in links[i]} - set(seen) - {q}
+                seen, looked = [*seen, *new], looked + len(new)
+                beam = sorted([*beam, *new], key=far.get)[:width]
+            want |= {(width, q, i, at + 1, looked) for at, i in enumerate(beam[:5])}
+    assert {(r.width, r.qid, r.doc_id, r["rank"], r.scored) for r in found.collect()} == want
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def brute_late(docs, asked, k):
     out = {}
     for qid, qs in asked.items():
